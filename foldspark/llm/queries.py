@@ -11,6 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import exact_dedup, exact_topk
+from .exact_dedup import mark_duplicates
+from .language_id import language_id
+from .mixing import balanced_mix
 from .packing import Limits, pack_digest
 from .token_binary import token_binary
 
@@ -36,6 +40,24 @@ def query(f):
     return f
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op3_exact_dedup"] = exact_dedup.ORACLE_SQL
+
+
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2, Limits())
@@ -44,3 +66,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0)
+
+
+@query
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op10_exact_topk"] = exact_topk.ORACLE_SQL
