@@ -4,9 +4,10 @@ A document of a source with target t and total size s is wanted t / s times: the
 fraction as an inclusion probability. The flight phase moves the probabilities of three documents at a time along the
 null space of two balancing equations (total of words, number of documents) until one of them is 0 or 1, so both totals
 of a source stay exactly as they were. Documents are dealt to buckets of about ``BUCKET`` rows of one source; each
-bucket flies alone and leaves at most two documents open, and what is open flies again, level by level, until at most
-two documents of a source are left. That landing keeps the total of words and then rounds the last document, one of
-the smallest, to the nearer side.
+bucket flies alone and leaves at most two documents open, and what is open flies again, level by level, until one
+bucket of a source is left. Its flight spares ``LANDING`` documents, spread evenly over the order of size: the landing
+takes, of all ways to round these and the open ones, that with the smallest error of the word total (then of the
+document count).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ._shared import Scratch
 
 BUCKET = 1024
+LANDING = 12
 WORDS = r"[^\x20\x09-\x0D]+"
 _NEAR = 1e-9
 
@@ -58,11 +60,13 @@ def _step(p: list, u: tuple, draw: float) -> None:
 def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool = False) -> np.ndarray:
     """Probabilities after the flight phase over units in the given order; with land, all 0 or 1.
 
-    Sums of p and of size * p stay as they were, but for what landing adds or takes.
+    Sums of p and of size * p stay as they were, but for what landing adds or takes. Units come largest first.
     """
     p = p.astype(float).copy()
     x, draws = size.astype(float).tolist(), rng.random(len(p)).tolist()
     left = [int(i) for i in np.flatnonzero((p > _NEAR) & (p < 1 - _NEAR))]
+    spared = [left[i] for i in np.unique(np.linspace(0, len(left) - 1, LANDING).astype(int))] if land and left else []
+    left = sorted(set(left) - set(spared))
     p[p <= _NEAR], p[p >= 1 - _NEAR] = 0, 1
     active: list[int] = []
     for i in left:
@@ -74,15 +78,11 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool
             _step(q, u if any(u) else (1.0, -1.0, 0.0), draws[i])
             p[a], p[b], p[c] = q
             active = [j for j in active if 0 < p[j] < 1]
-    if land and len(active) == 2:
-        a, b = active
-        q = [p[a], p[b]]
-        _step(q, (x[b], -x[a]) if x[a] or x[b] else (1.0, 0.0), draws[a])
-        p[a], p[b] = q
-        active = [j for j in active if 0 < p[j] < 1]
-    if land:
-        for j in active:
-            p[j] = float(p[j] >= 0.5)
+    if open_ := active + spared if land else []:
+        ways = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+        change = ways - p[open_]
+        words, documents = np.abs(change @ size[open_].astype(float)), np.abs(change.sum(1))
+        p[open_] = ways[np.lexsort((documents.round(6), words.round(6)))[0]]
     return p
 
 
@@ -110,7 +110,7 @@ def balanced_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: f
 
     Size is the number of words (null text: 0). Sources in code-point order, null last, take the weights in turn;
     together they share ``share`` times all words, each at most ``most`` times its own. taken = copies * size, and a
-    source's taken words differ from its target by less than one small document. row_key is a hash of the row's
+    source's taken words differ from its target by what the landing can't even out, less than one small document. row_key is a hash of the row's
     columns; identical rows are decided each for itself, and documents without words too. Reruns agree. One row for each
     source is brought to the driver. An empty table gives no rows; extra columns are ignored.
     """

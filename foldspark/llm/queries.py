@@ -15,6 +15,7 @@ from . import exact_dedup, exact_topk
 from .exact_dedup import mark_duplicates
 from .language_id import language_id
 from .mixing import balanced_mix
+from .near_dedup import near_duplicates
 from .packing import Limits, pack_digest
 from .token_binary import token_binary
 
@@ -63,6 +64,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2, Limits())
 
 
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0)
