@@ -10,10 +10,12 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup, exact_topk
+from .class_lm import class_scores
 from .exact_dedup import mark_duplicates
-from .language_id import language_id
+from .language_id import language_id, split_of
 from .mixing import balanced_mix
 from .near_dedup import near_duplicates
 from .packing import Limits, pack_digest
@@ -74,6 +76,12 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0)
 
 
+@query
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return class_scores(docs.select("doc_id", split_of(F.col("doc_id"), 10).alias("held_out"), "text"))
+
+
 @query
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.exact_topk(table(spark, sf_dir, "embeddings"))
