@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, exact_topk
+from . import chat_rotation, exact_dedup, exact_topk
 from .class_lm import class_scores
 from .exact_dedup import mark_duplicates
 from .language_id import language_id, split_of
@@ -20,6 +20,7 @@ from .mixing import balanced_mix
 from .near_dedup import near_duplicates
 from .packing import Limits, pack_digest
 from .token_binary import token_binary
+from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,6 +72,19 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op7_chat_rotation"] = chat_rotation.ORACLE_SQL
+
+
 @query
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 0)
