@@ -1,0 +1,3 @@
+"""Time-ordered analytics and model evaluation on Spark."""
+
+__version__ = "0.1.0"
