@@ -23,5 +23,5 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def rounded(df, digits: int = 6):
-    """df with every double column rounded, for comparison between engines."""
-    return df.select(*(F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """df with every double column rounded, and no negative zeros, for comparison between engines."""
+    return df.select(*((F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))

@@ -46,7 +46,7 @@ def sample_means(sums: DataFrame, starts: DataFrame, n: int, block: int) -> Data
 def arithmetic_starts(spark, samples: int, blocks: int, n: int) -> DataFrame:
     """Starts by integer arithmetic, the same in any engine: (sample * 7919 + block * 104729 + sample * block * 31) mod n."""
     s, b = F.col("sample"), F.col("block_no")
-    grid = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block_no"))
+    grid = spark.range(samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block_no"))
     return grid.select("sample", "block_no", ((s * 7919 + b * 104729 + s * b * 31) % n).alias("start"))
 
 

@@ -43,7 +43,7 @@ def query(oracle: str | None = None):
         name = f.__name__
         QUERIES[name] = lambda spark, sf_dir: shown(f(spark, sf_dir))
         if oracle:
-            ORACLE_SQL[name] = oracle
+            ORACLE_SQL[name] = oracle.replace(", 6) AS ", ", 6) + 0 AS ")  # no negative zeros
         return f
 
     return add
@@ -279,12 +279,18 @@ def loss_difference_report(spark, sf_dir):
 SAMPLES = 500
 
 
-@query(sql(f"""SELECT series_id, round(quantile_cont(m, 0.05), 6) AS bootstrap_p05, round(quantile_cont(m, 0.95), 6) AS bootstrap_p95, round(avg(m), 6) AS bootstrap_mean FROM (
-  SELECT d.series_id, s.sample, avg(d.d) AS m
-  FROM (SELECT series_id, count(*) AS n, CAST(ceil(pow(count(*), 1.0 / 3)) AS BIGINT) AS b FROM diff GROUP BY 1) z,
-       (SELECT unnest(range({SAMPLES})) AS sample) s, (SELECT unnest(range(10000)) AS j) x, diff d
-  WHERE x.j < z.n AND d.series_id = z.series_id AND d.i = ((s.sample * 7919 + (x.j // z.b) * 104729 + s.sample * (x.j // z.b) * 31) % z.n + x.j % z.b) % z.n
-  GROUP BY 1, 2) GROUP BY 1"""))
+# Block sums are differences of running sums over the series continued with itself.
+BOOTSTRAP = f"""SELECT series_id, round(quantile_cont(m, 0.05), 6) AS bootstrap_p05, round(quantile_cont(m, 0.95), 6) AS bootstrap_p95, round(avg(m), 6) AS bootstrap_mean FROM (
+  SELECT g.series_id, g.sample, sum(e.before - s.before) / max(g.n) AS m
+  FROM (SELECT series_id, n, sample, (sample * 7919 + j * 104729 + sample * j * 31) % n AS start, least(b, n - j * b) AS len
+        FROM (SELECT series_id, count(*) AS n, CAST(ceil(pow(count(*), 1.0 / 3)) AS BIGINT) AS b FROM diff GROUP BY 1) z,
+             (SELECT unnest(range({SAMPLES})) AS sample) q, (SELECT unnest(range(1000)) AS j) x WHERE j * b < n) g
+  JOIN twice s ON s.series_id = g.series_id AND s.i = g.start
+  JOIN twice e ON e.series_id = g.series_id AND e.i = g.start + g.len
+  GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query(sql(BOOTSTRAP))
 def block_bootstrap(spark, sf_dir):
     """With starts by integer arithmetic; one series, whose length alone is brought to the driver."""
     diff = loss_difference(tested(spark, sf_dir), "historical_mean", "naive_zero")
@@ -294,25 +300,25 @@ def block_bootstrap(spark, sf_dir):
     return means.groupBy("series_id").agg(F.percentile("mean_difference", F.lit(0.05)).alias("bootstrap_p05"), F.percentile("mean_difference", F.lit(0.95)).alias("bootstrap_p95"), F.avg("mean_difference").alias("bootstrap_mean"))
 
 
-@query(sql("SELECT series_id, round(avg(CASE WHEN c < b THEN 1.0::DOUBLE ELSE 0 END), 6) AS fold_win_rate FROM (SELECT series_id, fold, max(CASE WHEN model = 'historical_mean' THEN mae END) AS c, max(CASE WHEN model = 'naive_zero' THEN mae END) AS b FROM fm GROUP BY 1, 2) GROUP BY 1"))
+@query(sql("SELECT series_id, round(avg(CASE WHEN c < b THEN 1.0::DOUBLE ELSE 0 END), 6) AS fold_win_rate FROM (SELECT series_id, fold, max(CASE WHEN model = 'seasonal_naive_5' THEN mae END) AS c, max(CASE WHEN model = 'naive_zero' THEN mae END) AS b FROM fm GROUP BY 1, 2) GROUP BY 1"))
 def fold_win_rate(spark, sf_dir):
     m = matrix(spark, sf_dir)
-    return win_rate(fold_metrics(predictions(m, CONFIG, BASELINES), train_statistics(m, CONFIG)), "historical_mean", "naive_zero")
+    return win_rate(fold_metrics(predictions(m, CONFIG, BASELINES), train_statistics(m, CONFIG)), "seasonal_naive_5", "naive_zero")
 
 
-DECISION = """SELECT series_id, 'historical_mean' AS candidate, 'naive_zero' AS baseline, CASE WHEN reasons = '' THEN 'champion' ELSE 'rejected' END AS status,
+DECISION = """SELECT series_id, 'seasonal_naive_5' AS candidate, 'naive_zero' AS baseline, CASE WHEN reasons = '' THEN 'champion' ELSE 'rejected' END AS status,
   CASE WHEN reasons = '' THEN 'all_promotion_gates_passed' ELSE reasons END AS reasons, round(i, 6) AS relative_mae_improvement, round(w, 6) AS fold_win_rate, round(k, 6) AS business_cost_ratio
 FROM (SELECT *, concat_ws(',', CASE WHEN i < 0.01 THEN 'relative_mae_improvement_below_threshold' END, CASE WHEN w < 0.5 THEN 'insufficient_fold_win_rate' END, CASE WHEN k > 1 THEN 'business_cost_regression' END) AS reasons
   FROM (SELECT p.series_id, CASE WHEN bm = 0 THEN CASE WHEN cm = 0 THEN 0 ELSE -1 END ELSE (bm - cm) / bm END AS i, w, CASE WHEN bc = 0 THEN CASE WHEN cc = 0 THEN 1 ELSE 1.7976931348623157e308 END ELSE cc / bc END AS k
-    FROM (SELECT pm.series_id, max(CASE WHEN model = 'historical_mean' THEN mae END) AS cm, max(CASE WHEN model = 'naive_zero' THEN mae END) AS bm, max(CASE WHEN model = 'historical_mean' THEN mean_business_cost END) AS cc, max(CASE WHEN model = 'naive_zero' THEN mean_business_cost END) AS bc FROM pm JOIN pc USING (series_id, model) GROUP BY 1) p
-    JOIN (SELECT series_id, avg(CASE WHEN c < b THEN 1.0::DOUBLE ELSE 0 END) AS w FROM (SELECT series_id, fold, max(CASE WHEN model = 'historical_mean' THEN mae END) AS c, max(CASE WHEN model = 'naive_zero' THEN mae END) AS b FROM fm GROUP BY 1, 2) GROUP BY 1) q USING (series_id)))"""
+    FROM (SELECT pm.series_id, max(CASE WHEN model = 'seasonal_naive_5' THEN mae END) AS cm, max(CASE WHEN model = 'naive_zero' THEN mae END) AS bm, max(CASE WHEN model = 'seasonal_naive_5' THEN mean_business_cost END) AS cc, max(CASE WHEN model = 'naive_zero' THEN mean_business_cost END) AS bc FROM pm JOIN pc USING (series_id, model) GROUP BY 1) p
+    JOIN (SELECT series_id, avg(CASE WHEN c < b THEN 1.0::DOUBLE ELSE 0 END) AS w FROM (SELECT series_id, fold, max(CASE WHEN model = 'seasonal_naive_5' THEN mae END) AS c, max(CASE WHEN model = 'naive_zero' THEN mae END) AS b FROM fm GROUP BY 1, 2) GROUP BY 1) q USING (series_id)))"""
 
 
 @query(sql(DECISION, series="segments"))
 def promotion_decision(spark, sf_dir):
     m = matrix(spark, sf_dir, segment_daily)
     rows = predictions(m, CONFIG, BASELINES)
-    made = PromotionPolicy(0.01, 1.0, 0.5).decisions(pooled_metrics(rows, COST), fold_metrics(rows, train_statistics(m, CONFIG)), "historical_mean", "naive_zero")
+    made = PromotionPolicy(0.01, 1.0, 0.5).decisions(pooled_metrics(rows, COST), fold_metrics(rows, train_statistics(m, CONFIG)), "seasonal_naive_5", "naive_zero")
     return made.withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -340,12 +346,12 @@ SHOCK_ROWS = 400
     0.0015::DOUBLE * sin(i / 17.0::DOUBLE) + CASE WHEN i < {SHOCK_ROWS} * 0.35::DOUBLE THEN 0.010::DOUBLE WHEN i < {SHOCK_ROWS} * 0.70::DOUBLE THEN 0.016::DOUBLE ELSE 0.008::DOUBLE END * (((i * 7919) % 2001 - 1000) / 500.0::DOUBLE) AS push
   FROM (SELECT unnest(range(CAST({SHOCK_ROWS} AS BIGINT))) AS i)),
 a AS (SELECT CAST(0 AS BIGINT) AS i, 0.0::DOUBLE AS ret UNION ALL SELECT s.i, s.phi * a.ret + s.push FROM a JOIN s ON s.i = a.i + 1)
-SELECT 'shocks' AS series_id, i, round(ret, 8) AS simple_return FROM a""")
+SELECT 'shocks' AS series_id, i, round(ret, 6) AS simple_return FROM a""")
 def ar_regime_recursion(spark, sf_dir):
     """The synthetic recursion on shocks by integer arithmetic."""
     z = ((F.col("id") * 7919) % 2001 - 1000) / F.lit(500.0)
     made = regime_returns(spark.range(SHOCK_ROWS).select(F.lit("shocks").alias("series_id"), F.col("id").alias("i"), z.alias("z")))
-    return made.select("series_id", "i", F.round("return", 8).alias("simple_return"))
+    return made.select("series_id", "i", F.col("return").alias("simple_return"))
 
 
 LEARNED = WalkForwardConfig(250, 100, 1)

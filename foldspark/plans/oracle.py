@@ -76,6 +76,7 @@ def blocks(series: str = "lineitem", min_train=250, test=20, gap=0, step=None, c
         "iv": "SELECT s.series_id, s.ts, s.row_idx, s.model, s.actual, s.prediction AS point, s.prediction - radius AS lower, s.prediction + radius AS upper FROM seg s JOIN rad USING (series_id, model) WHERE NOT calibrates",
         "cost": "SELECT *, CASE WHEN e >= 0 THEN e * 1.5::DOUBLE ELSE -e END + CASE WHEN abs(prediction) > 0.002 THEN 0.00005::DOUBLE ELSE 0 END AS c, CASE WHEN abs(prediction) > 0.002 THEN 1.0::DOUBLE ELSE 0 END AS acts FROM e",
         "diff": "SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY row_idx) - 1 AS i, max(CASE WHEN model = 'historical_mean' THEN abs(e) END) - max(CASE WHEN model = 'naive_zero' THEN abs(e) END) AS d FROM e GROUP BY series_id, row_idx",
+        "twice": "SELECT series_id, i, coalesce(sum(d) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT series_id, i, d FROM diff UNION ALL SELECT series_id, i + count(*) OVER (PARTITION BY series_id), d FROM diff)",
         "fm": "SELECT e.series_id, fold, model, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(CASE WHEN size > 0 THEN 2 * abs(e) / size ELSE 0 END) AS smape, avg(abs(e)) / max(mase_scale) AS mase FROM e JOIN stats USING (series_id, fold) GROUP BY 1, 2, 3",
         "pm": "SELECT series_id, model, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(CASE WHEN size > 0 THEN 2 * abs(e) / size ELSE 0 END) AS smape, avg(CASE WHEN sign(actual) = sign(prediction) THEN 1.0::DOUBLE ELSE 0 END) AS directional_accuracy FROM e GROUP BY 1, 2",
         "pc": "SELECT series_id, model, avg(c) AS mean_business_cost, sum(c) AS total_business_cost, avg(acts) AS action_rate FROM cost GROUP BY 1, 2",
