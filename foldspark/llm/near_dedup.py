@@ -7,10 +7,12 @@
 3. Buckets. Runs of ``rows`` signature values are hashed to band keys; representatives that share a key share a bucket.
 4. Stars. In a bucket only edges from a hub (its smallest member) to the others are candidates, so a bucket of n
    members has n - 1 candidates. Candidates are confirmed on full shingle sets, confirmed ones joined to components.
-5. Rest. A bucket whose members are not yet in one component may hide a link between two that are no hub. Such buckets
-   go on, in rounds: the next ``HUBS`` smallest members become hubs for the others that are not in their component.
-   A bucket is done when the members that were no hub are in one component; rounds end when all are done. So every
-   pair that shares a bucket is confirmed, refuted, or already connected, without a cap on members or partners.
+5. Rest. A bucket whose members are not yet in one component may hide a link between two that are no hub. Members of
+   such buckets that share them, directly or over others, are a cluster. In a cluster the largest component is told
+   from the other members, both are dealt to blocks of about ``BLOCK``, and every pair of blocks that may hold a link
+   between components is compared in full at once, by a product of its document-shingle matrices. So every pair that
+   shares a bucket is confirmed, refuted, or already connected, without a cap on members or partners; rows moved are
+   members times blocks, never pairs.
 
 Shingles are compared by 64-bit hashes of their words.
 """
@@ -29,7 +31,7 @@ from ._text import hash_words, mix, slices
 
 #: Members of one hub that are confirmed in one group, which holds the hub's set and reads the others one by one.
 STAR = 256
-HUBS = 16
+BLOCK = 256
 #: Up to so many requested documents (24 bytes each) are broadcast to the scan of the texts; more are joined by shuffle.
 BROADCAST_REQUESTS = 500_000
 
@@ -123,18 +125,19 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return texts.mapInArrow(sign, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted, rows with a doc_id, with the text of their documents; small requests are broadcast to the scan."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
+    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_REQUESTS else wanted, "doc_id")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of (hub, member), the pairs with 100 * intersection >= percent * union of their full sets."""
-    spark = docs.sparkSession
+    """Of (hub, member), the pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("stars"))
     dealt = pairs.join(sizes, "hub").withColumn("star", F.pmod(F.xxhash64("member"), F.col("stars"))).select("hub", "star", "member")
     hubs = dealt.select("hub", "star", F.col("hub").alias("doc_id")).distinct()
-    wanted = dealt.select("hub", "star", F.col("member").alias("doc_id")).unionByName(hubs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
-    if wanted.count() <= BROADCAST_REQUESTS:
-        wanted = F.broadcast(wanted)
-    found = texts.join(wanted, "doc_id").select("hub", "star", "doc_id", "text")
-    ordered = found.repartition(partitions(spark), "hub", "star").sortWithinPartitions("hub", "star", (F.col("doc_id") != F.col("hub")).cast("int"), "doc_id")
+    found = _texts(docs, dealt.select("hub", "star", F.col("member").alias("doc_id")).unionByName(hubs)).select("hub", "star", "doc_id", "text")
+    ordered = found.repartition(partitions(docs.sparkSession), "hub", "star").sortWithinPartitions("hub", "star", (F.col("doc_id") != F.col("hub")).cast("int"), "doc_id")
 
     def check(batches):
         at, base = None, None
@@ -149,9 +152,100 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                     if 100 * both >= percent * (len(base) + len(s) - both):
                         linked[0].append(h)
                         linked[1].append(i)
-            yield pa.RecordBatch.from_pydict({"hub": pa.array(linked[0], pa.int64()), "member": pa.array(linked[1], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(linked[0], pa.int64()), "b": pa.array(linked[1], pa.int64())})
 
-    return ordered.mapInArrow(check, "hub long, member long").distinct()
+    return ordered.mapInArrow(check, "a long, b long").distinct()
+
+
+def intersections(sets: list[np.ndarray], cells: int = 1 << 24) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of 0/1 matrices of at most ``cells`` cells."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    distinct, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    column = (np.cumsum(shared) - 1)[place]
+    keep = shared[place]
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n), np.int64)
+    step = max(1, cells // n)
+    for first in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(column, [first, first + step])
+        matrix = np.zeros((n, step), np.float32)
+        matrix[owner[a:b], column[a:b] - first] = 1
+        out += (matrix @ matrix.T).astype(np.int64)
+    out[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+    return out
+
+
+def _within(names: list, labels: list, sets: list, percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different labels in one pair of blocks: those that join labels not yet joined here."""
+    both = intersections(sets)
+    size = both.diagonal()
+    linked = np.argwhere(np.triu(100 * both >= percent * (size[:, None] + size - both), 1))
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in linked.tolist():
+        x, y = find(labels[i]), find(labels[j])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((names[i], names[j]))
+    return out
+
+
+def _clusters(labelled: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components within clusters of torn buckets; labelled: (key, rep, label)."""
+    torn = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("rep").alias("hub")).filter("x <> y").select("key", "hub")
+    rest = scratch.write(labelled.join(torn, "key").select("rep", "label", "hub").distinct(), "torn")
+    cluster = components(rest.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch, "clusters")
+    people = rest.select("rep", "label").distinct().join(cluster, F.col("rep") == F.col("node"), "left").select("rep", "label", F.coalesce("component", "rep").alias("cluster"))
+    people = scratch.write(people, "cluster-members")
+    by_label = people.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    sizes = by_label.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("m"))
+    sizes = sizes.select("cluster", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("main.n")) / BLOCK).cast("int").alias("others"))
+    dealt = people.join(sizes, "cluster")
+    # Blocks 0 to others - 1 hold the smaller components, the blocks after them the main one.
+    apart = F.col("label") != F.col("main")
+    block = F.when(apart, F.pmod(F.xxhash64("rep"), F.col("others"))).otherwise(F.col("others") + F.pmod(F.xxhash64("rep"), F.col("mains"))).cast("int")
+    dealt = dealt.withColumn("block", block)
+    partner = F.when(apart, F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") - 1))
+    sent = dealt.select("cluster", "label", F.col("rep").alias("doc_id"), "block", F.explode(partner).alias("with"))
+    sent = sent.select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "doc_id", "label")
+    found = _texts(docs, sent).select("cluster", "i", "j", "doc_id", "label", "text")
+    ordered = found.repartition(partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+
+    def compare(batches):
+        at, held = None, ([], [], [])
+
+        def close():
+            made = _within(*held, percent) if len(held[0]) > 1 else []
+            for x in held:
+                x.clear()
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in made], pa.int64()), "b": pa.array([y for _, y in made], pa.int64())})
+
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for key, name, label, s in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), shingle_sets(batch.column(5), words)):
+                if key != at:
+                    if held[0]:
+                        yield close()
+                    at = key
+                if not held[0] or held[0][-1] != name:  # rows that share a doc_id are one here
+                    held[0].append(name)
+                    held[1].append(label)
+                    held[2].append(s)
+        if held[0]:
+            yield close()
+
+    return ordered.mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -162,6 +256,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     mark, step, last = None, 0, None
+    edges = scratch.write(edges, f"{name}edges")
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -197,24 +292,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     stars = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = scratch.write(members.join(stars, "key").select("key", "rep", "hub"), "buckets")
     pairs = scratch.write(shared.filter("rep <> hub").select("hub", F.col("rep").alias("member")).distinct(), "pairs0")
-    links, tested, turn = None, None, 0
-    while True:
-        found = scratch.write(confirm(pairs, docs, words, percent), f"links{turn}").select(F.col("hub").alias("a"), F.col("member").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        joined = components(links, scratch, f"components{turn}-")
-        # Buckets that go on: their members beyond the hubs so far are of more than one component.
-        left = shared.filter("rep > hub").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-        torn = left.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        rest = scratch.write(left.join(torn, "key"), f"rest{turn}")
-        if rest.isEmpty():
-            break
-        turn += 1
-        order = Window.partitionBy("key").orderBy("rep")
-        hubs = rest.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= HUBS).select("key", F.col("rep").alias("hub"), F.col("label").alias("hub_label"))
-        pairs = rest.join(hubs, "key").filter("rep > hub and label <> hub_label").select("hub", F.col("rep").alias("member")).distinct()
-        pairs = scratch.write(pairs.join(tested, ["hub", "member"], "left_anti"), f"pairs{turn}")
-        shared = rest.select("key", "rep").join(hubs.groupBy("key").agg(F.max("hub").alias("hub")), "key")
+    links = scratch.write(confirm(pairs, docs, words, percent), "links")
+    joined = components(links, scratch, "starred")
+    labelled = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+    more = scratch.write(_clusters(labelled, docs, scratch, words, percent), "more-links")
+    # What is joined so far stands for the links it came from.
+    joined = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "joined")
     names = classes.select("fingerprint", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "fingerprint").join(names, "fingerprint", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
