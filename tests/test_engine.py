@@ -136,7 +136,7 @@ def test_conformal_bootstrap_promotion(spark):
     assert (made["observed_mae_difference"], made["bootstrap_p05"], made["bootstrap_p95"]) == pytest.approx((d.mean(), np.quantile(means, 0.05), np.quantile(means, 0.95)))
     with pytest.raises(ValueError, match="block_size"):
         paired_bootstrap(rows, "a", "b", block_size=7)
-    pooled = lambda x, y: spark.createDataFrame([("c", x[0], x[1]), ("b", y[0], y[1])], "model string, mae double, mean_business_cost double")
+    pooled = lambda x, y: spark.createDataFrame([("c", float(x[0]), float(x[1])), ("b", float(y[0]), float(y[1]))], "model string, mae double, mean_business_cost double")
     folds = lambda x, y: spark.createDataFrame([(k, m, v) for k in (0, 1) for m, v in (("c", x), ("b", y))], "fold long, model string, mae double")
     got = PromotionPolicy().decide("c", "b", pooled((0.8, 1.2), (1.0, 1.0)), folds(0.8, 1.0))
     assert got["status"] == "rejected" and got["reasons"] == ["business_cost_regression"]
