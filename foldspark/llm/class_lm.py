@@ -43,7 +43,32 @@ def _expand(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-CHUNK_SCHEMA = "chunk long, doc_ids array<long>, held array<boolean>, lengths array<long>, tokens binary, words array<long>, counts array<long>"
+CHUNK_SCHEMA = "chunk long, payload binary, words array<long>, counts array<long>"
+
+
+def _pack(doc_ids: list, held: list, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
+    """A chunk's documents as one value: a table of them, then their tokens."""
+    table = pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "length": pa.array(lengths, pa.int64())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_batch(table)
+    head = sink.getvalue().to_pybytes()
+    return len(head).to_bytes(8, "little") + head + _squeeze(tokens)
+
+
+def _unpack(payload) -> tuple[pa.RecordBatch, np.ndarray]:
+    payload = memoryview(payload)
+    n = int.from_bytes(payload[:8], "little")
+    with pa.ipc.open_stream(pa.py_buffer(payload[8 : 8 + n])) as reader:
+        table = reader.read_next_batch()
+    return table, _expand(bytes(payload[8 + n :])).astype(np.int64)
+
+
+def _rows(batch: pa.RecordBatch):
+    """(payload, words) of each chunk of a batch."""
+    payload, words = batch.column("payload"), batch.column("words")
+    for i in range(batch.num_rows):
+        yield payload[i].as_buffer(), words[i].values.to_numpy()
 
 
 def code_chunks(docs: DataFrame) -> DataFrame:
@@ -62,7 +87,7 @@ def code_chunks(docs: DataFrame) -> DataFrame:
         coded, training = rank[of], np.repeat(~np.array(held_flags, bool), lengths)
         counts = np.bincount(coded[training], minlength=len(distinct))
         part = TaskContext.get().partitionId()
-        return pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 32) + number], pa.int64()), "doc_ids": pa.array([held_ids], pa.list_(pa.int64())), "held": pa.array([held_flags], pa.list_(pa.bool_())), "lengths": pa.array([lengths], pa.list_(pa.int64())), "tokens": pa.array([_squeeze(coded)], pa.binary()), "words": pa.array([distinct[order]], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64()))})
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 32) + number], pa.int64()), "payload": pa.array([_pack(held_ids, held_flags, lengths, coded)], pa.binary()), "words": pa.array([distinct[order]], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64()))})
 
     def code(batches):
         ids, flags, hashes, lengths, size, number = [], [], [], [], 0, 0
@@ -85,22 +110,15 @@ def code_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(code, CHUNK_SCHEMA)
 
 
-def _sequences(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: its tokens, where a token is the first of its document, and where its document is held out."""
-    tokens = _expand(row["tokens"]).astype(np.int64)
-    lengths = np.array(row["lengths"], np.int64)
-    first = np.zeros(len(tokens), bool)
-    first[(np.cumsum(lengths) - lengths)] = True
-    return tokens, first, np.repeat(np.array(row["held"], bool), lengths)
-
-
-def _pairs(of_word: np.ndarray, row: dict, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(of_word: np.ndarray, payload, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """of_word of each training token's predecessor (end's before the first), of the token, and the token itself."""
-    tokens, first, held = _sequences(row)
+    table, tokens = _unpack(payload)
+    lengths = table.column("length").to_numpy()
+    held = np.repeat(table.column("held_out").to_numpy(zero_copy_only=False), lengths)
     value = of_word[tokens]
     before = np.empty_like(value)
     before[1:] = value[:-1]
-    before[first] = end
+    before[np.cumsum(lengths) - lengths] = end
     return before[~held], value[~held], tokens[~held]
 
 
@@ -186,9 +204,8 @@ def _seed_bigrams(chunks: DataFrame, seeds: np.ndarray) -> np.ndarray:
     def count(batches):
         table = np.zeros((n + 1) ** 2, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                of = _seed_numbers(np.array(row["words"], np.int64), seeds)
-                a, b, _ = _pairs(of, row, n)
+            for payload, words in _rows(batch):
+                a, b, _ = _pairs(_seed_numbers(words, seeds), payload, n)
                 both = (a >= 0) & (b >= 0)
                 table += np.bincount(a[both] * (n + 1) + b[both], minlength=len(table))
         yield _matrix_rows(table.reshape(n + 1, n + 1))
@@ -213,11 +230,10 @@ def _assign(chunks: DataFrame, seeds: np.ndarray, of_seed: np.ndarray, table: np
 
     def contexts(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                words = np.array(row["words"], np.int64)
+            for payload, words in _rows(batch):
                 number = _seed_numbers(words, seeds)
                 of = np.where(number >= 0, of_seed[number], -1)
-                before, own, tokens = _pairs(of, row, classes)
+                before, own, tokens = _pairs(of, payload, classes)
                 behind = np.empty_like(own)
                 behind[:-1], behind[-1:] = own[1:], -1
                 # An end token has no word behind it, and is itself no word to be classed.
@@ -292,9 +308,9 @@ def class_scores(docs: DataFrame, classes: int = 64, seeds: int = 512, alpha: fl
     for r in lexicon.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         totals[r["class"]], kinds[r["class"]] = r["n"], r["v"]
 
-    empty = {"doc_ids": "array<long>", "held": "array<boolean>", "lengths": "array<long>", "tokens": "binary"}
-    answers = each.select("chunk", "place", "word").join(lexicon, "word").select("chunk", "place", "n", "class", *(F.lit(None).cast(t).alias(c) for c, t in empty.items()))
-    sequences = chunks.select("chunk", F.lit(2**31 - 1).alias("place"), F.size("words").cast("long").alias("n"), F.lit(0).alias("class"), *empty)
+    # Arrow's list vectors are slow where most rows are null, so what belongs to a chunk is one binary value.
+    answers = each.select("chunk", "place", "word").join(lexicon, "word").select("chunk", "place", "n", "class", F.lit(None).cast("binary").alias("payload"))
+    sequences = chunks.select("chunk", F.lit(2**31 - 1).alias("place"), F.size("words").cast("long").alias("n"), F.lit(0).alias("class"), "payload")
     gathered = answers.unionByName(sequences).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "place")
     unseen, base_all = classes + 1, tokens + alpha * (distinct + 1)
 
@@ -310,27 +326,24 @@ def class_scores(docs: DataFrame, classes: int = 64, seeds: int = 512, alpha: fl
                     counts.append(n[begin:end])
                     kinds_of.append(kind[begin:end])
                 if end < batch.num_rows:
-                    row = batch.slice(end, 1).to_pylist()[0]
                     count, of = np.zeros(int(n[end]), np.int64), np.full(int(n[end]), unseen)
                     if places:
                         p = np.concatenate(places)
                         count[p], of[p] = np.concatenate(counts), np.concatenate(kinds_of)
                     places, counts, kinds_of = [], [], []
-                    yield documents(row, count, of)
+                    yield documents(batch.column(4)[int(end)].as_buffer(), count, of)
                 begin = end + 1
 
-    def documents(row, count, of):
-        tokens = _expand(row["tokens"]).astype(np.int64)
-        lengths = np.array(row["lengths"], np.int64)
+    def documents(payload, count, of):
+        table, tokens = _unpack(payload)
+        lengths = table.column("length").to_numpy()
         starts = np.cumsum(lengths) - lengths
         base = np.log10((count + alpha) / base_all)
         emission = np.where(of == unseen, 0.0, np.log10((count + alpha) / np.maximum(totals[of] + alpha * kinds[of], 1e-300)))
         code = (of | np.where(count == 1, _FLAG, 0)).astype(np.uint8)[tokens].tobytes()
         ends = (starts + lengths).tolist()
-        if not len(lengths):
-            starts = np.zeros(0, np.int64)
         add = lambda x: np.add.reduceat(x[tokens], starts)
-        return pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(lengths), "n_known": pa.array(add((count > 0).astype(np.int64))), "base_score": pa.array(add(base)), "emission": pa.array(add(emission)), "classes": pa.array([code[a:b] for a, b in zip(starts.tolist(), ends)], pa.binary())})
+        return pa.RecordBatch.from_pydict({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(lengths), "n_known": pa.array(add((count > 0).astype(np.int64))), "base_score": pa.array(add(base)), "emission": pa.array(add(emission)), "classes": pa.array([code[a:b] for a, b in zip(starts.tolist(), ends)], pa.binary())})
 
     scored = scratch.write(gathered.mapInArrow(read, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, classes binary"), "scored")
     scratch.drop("chunks")
