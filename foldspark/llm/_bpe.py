@@ -66,8 +66,8 @@ class PartEncoder:
 
         self.tokenizer, self.kind, self.limit = Tokenizer.from_file(path), _kind(path), limit
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes | None] = {}
-        self.opening: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | bool] = {}
+        self.opening: dict[str, bytes | bool] = {}
         self.raw: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -82,32 +82,40 @@ class PartEncoder:
         return self.raw[tail]
 
     def _learn(self, parts: list[str], known: dict, lead: str) -> None:
-        """Puts unknown parts into known, each as encoded behind lead; None where a part can't stand alone."""
-        need: dict[str, bytes] = {}
-        split: list[tuple[str, str, str, str]] = []
+        """Puts unknown parts into known, each as encoded behind lead; False where a part can't stand alone."""
+        need: dict[str, bytes | None] = {}  # by the string to encode
+        words: list[tuple[str, str]] = []  # (word alone, string to encode)
+        split: list[tuple[str, str, str, str, dict]] = []
         lower = self.kind == "word"
         for p in parts:
             if m := _WORD.fullmatch(p):
                 head, stem, tail = m.groups()
-                key = stem if head else lead + stem
+                alone, key = (self.opening, stem) if head else (known, lead + stem)
                 if lower and key.isascii():
                     key = key.lower()
+                if head or tail:
+                    split.append((p, head, stem, tail, alone))
+                    if stem in alone:
+                        continue
+                need[key] = None
+                words.append((stem, key))
+            elif not lower and (p[-1].isspace() or p[1:2].isspace() or (p[0] != "\n" and p[0].isspace())):
+                known[p] = False
             else:
-                if not lower and (p[-1].isspace() or p[1:2].isspace() or (p[0] != "\n" and p[0].isspace())):
-                    known[p] = None
-                    continue
-                head, tail, key = "", "", p if p[0] == "\n" else lead + p
-            split.append((p, head, key, tail))
-            need[key] = b""
+                key = p if p[0] == "\n" else lead + p
+                need[key] = None
+                words.append((p, key))
         if lower:
             tokenize = self.model.tokenize
             for key in need:
                 if key.isascii() and key.isalpha():
                     need[key] = np.array([t.id for t in tokenize(key)], "<u4").tobytes()
-        todo = [key for key, ids in need.items() if not ids]
+        todo = [key for key, ids in need.items() if ids is None]
         need.update(zip(todo, self._encode_all(todo)))
-        for p, head, key, tail in split:
-            ids = need[key]
+        for word, key in words:
+            (known if not lead or key[0] == lead or word[0] == "\n" else self.opening)[word] = need[key]
+        for p, head, stem, tail, alone in split:
+            ids = alone[stem]
             if head:
                 ids = self._tail(head) + ids
             known[p] = ids + self._tail(tail) if tail else ids
@@ -130,27 +138,31 @@ class PartEncoder:
         self._forget()
         lead = " " if self.kind == "byte" else ""
         cut = [(t.replace("\n", " \n") if lead else t.replace("\n", " ")).split(" ") if t else [] for t in texts]
-        fresh: set[str] = set()
+        known, opening = self.known, self.opening if lead else self.known
+        rows, fresh, begin = [], set(), set()
         for parts in cut:
-            fresh.update(parts)
-        fresh.difference_update(self.known)
-        if "" in fresh:
-            self.known[""] = None if lead else b""
-            fresh.discard("")
-        self._learn(list(fresh), self.known, lead)
+            found = list(map(known.get, parts))
+            if parts and lead:
+                found[0] = opening.get(parts[0])
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            if missing and missing[0] == 0 and lead:
+                begin.add(parts[0])
+            fresh.update([parts[i] for i in missing])
+            rows.append((found, missing))
         if lead:
-            begin = {parts[0] for parts in cut if parts} - self.opening.keys()
-            if "" in begin:
-                self.opening[""] = None
-                begin.discard("")
-            self._learn(list(begin), self.opening, "")
-        out, known = [], self.known
-        for text, parts in zip(texts, cut):
-            if not parts:
-                out.append(b"")
-                continue
-            found = [known[p] for p in parts]
-            if lead:
-                found[0] = self.opening[parts[0]]
-            out.append(self.whole(text) if None in found else b"".join(found))
+            fresh.difference_update(known)  # a first part may be known as another part, or not be one elsewhere
+        for store, new, before in ((known, fresh, lead), (opening, begin, "")):
+            if "" in new:
+                store[""] = False if lead else b""
+                new.discard("")
+            if new:
+                self._learn(list(new), store, before)
+        out = []
+        for text, parts, (found, missing) in zip(texts, cut, rows):
+            for i in missing:
+                found[i] = known[parts[i]] if i else opening[parts[i]]
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # a part that can't stand alone
+                out.append(self.whole(text))
         return out

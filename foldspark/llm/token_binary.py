@@ -24,20 +24,22 @@ from ._shared import Scratch, partitions
 #: Fixed values of the format: ids in a word and bits of each, by selector from 1; selector 0 is the escape.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK_IDS = 1 << 16
+#: Bits of each number that a public vocabulary may have for an id.
+_BITS = np.frexp(np.arange(1 << 18, dtype=np.float64))[1].astype(np.uint8)
 BLOCK_SCHEMA = "shard int, block int, first_id long, doc_ids array<long>, doc_tokens array<long>, n_ids long, words binary"
 
 
 def encode_words(ids: np.ndarray) -> np.ndarray:
     """Simple-8b words of unsigned 64-bit values; each word takes as many of the next values as fit in it."""
-    ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, "<u8")
     need = np.zeros(n + 60, np.uint8)  # bits of each value; behind the end, values of no bits fill the last word
-    exact = ids < (1 << 52)
-    need[:n] = np.where(exact, np.frexp(ids.astype(np.float64))[1], 64).astype(np.uint8)
-    for i in np.flatnonzero(~exact):
-        need[i] = int(ids[i]).bit_length()
+    if ids.max() < len(_BITS):
+        need[:n] = _BITS[ids]
+    else:
+        need[:n] = [int(x).bit_length() for x in ids]
+    ids = np.ascontiguousarray(ids, np.uint64)
     selector, width = np.zeros(n, np.uint8), need.copy()
     reach = 1
     for k in range(len(SELECTORS), 0, -1):
@@ -49,12 +51,13 @@ def encode_words(ids: np.ndarray) -> np.ndarray:
         if not fits.any():
             break
         selector[fits] = k
-    step = np.array([1, *(c for c, _ in SELECTORS)], np.uint8)[selector].tobytes()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += step[i]
-    starts = np.array(starts)
+    # The starts of the words: the chain of jumps from 0, doubled in length each round.
+    jump = np.append(np.minimum(np.arange(n) + np.array([1, *(c for c, _ in SELECTORS)])[selector], n), n).astype(np.int32)
+    starts = np.zeros(1, np.int32)
+    while starts[-1] < n:
+        starts = np.concatenate([starts, jump[starts]])
+        jump = jump[jump]
+    starts = starts[: np.searchsorted(starts, n)]
     kind = selector[starts]
     place = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(kind == 0)[:-1]])
     words = np.zeros(len(starts) + int((kind == 0).sum()), np.uint64)
