@@ -7,8 +7,10 @@ p(word | previous) = p(class | previous class) * p(word | class). Classes come f
 2. The ``seeds`` most frequent words are clustered by the exchange algorithm on their full bigram counts: each word in
    turn moves to the class that raises the mutual information of adjacent classes most, until none moves. Their table
    of bigrams has a fixed size, so this runs on the driver.
-3. One exchange step over every other word of the training text, distributed: a word's neighbours among the seeds, from
-   the whole corpus, decide the class in which its mutual information is largest.
+3. From there the exchange goes on over all words of the training text, distributed: sweep by sweep each chunk counts the
+   classes next to its words, the counts of a word from the whole corpus decide the class in which the mutual
+   information is largest, and the new classes go back to the chunks. Half of the words move in a sweep; sweeps end when
+   a turn of all words moves few of them.
 4. Each chunk gets counts and classes of its words back by a join, never by a broadcast vocabulary.
 5. Transitions between classes are counted over the whole training text, in which words seen once also stand for
    words never seen.
@@ -16,6 +18,8 @@ p(word | previous) = p(class | previous class) * p(word | class). Classes come f
 
 from __future__ import annotations
 
+from itertools import count as count_up
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,6 +32,7 @@ from ._text import hash_words, slices
 CHUNK = 24 << 20
 END_WORD = -1  # hash kept for the end token
 _FLAG = 128
+NONE = 255  # class of a word that has none yet
 
 
 def _squeeze(ids: np.ndarray) -> bytes:
@@ -148,7 +153,7 @@ def _f(x):
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 20) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
     """Class of each word by exchange clustering; the last word (the end token) is a class of its own, number ``classes``.
 
     A sweep takes the words in order and moves each to the class with the largest mutual information of adjacent
@@ -162,7 +167,9 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 20) -> np.ndarray:
     member[np.arange(n + 1), of] = 1
     right, left = b @ member, (member.T @ b).T  # counts of each word before and after each class
     table = member.T @ b @ member
-    for _ in range(sweeps):
+    least = 1e-12 * float(_f(max(b.sum(), 1.0)))  # a move has to gain more than sums are off by
+    moved = True
+    while moved:
         moved = False
         for w in range(n):
             own, twin = of[w], b[w, w]
@@ -172,7 +179,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 20) -> np.ndarray:
             table[own] -= r
             table[:, own] -= l
             table[own, own] -= twin
-            rows, cols = table.sum(1), table.sum(0)
+            rows, cols = table.sum(1) + l, table.sum(0) + r  # its neighbours' counts don't depend on its class
             k = np.arange(classes)
             gain = (_f(table[:classes] + r) - _f(table[:classes])).sum(1) + (_f(table[:, :classes] + l[:, None]) - _f(table[:, :classes])).sum(0)
             cell = table[k, k]
@@ -180,7 +187,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 20) -> np.ndarray:
             r_all, l_all = r.sum() + twin, l.sum() + twin
             gain -= _f(rows[k] + r_all) - _f(rows[k]) + _f(cols[k] + l_all) - _f(cols[k])
             best = int(gain.argmax())
-            if gain[best] <= gain[own] + 1e-9:
+            if gain[best] <= gain[own] + max(1e-9, least):
                 best = own
             table[best] += r
             table[:, best] += l
@@ -192,8 +199,6 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 20) -> np.ndarray:
                 right[:, best] += b[:, w]
                 left[:, own] -= b[w]
                 left[:, best] += b[w]
-        if not moved:
-            break
     return of
 
 
@@ -220,64 +225,252 @@ def _seed_numbers(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return of
 
 
-def _assign(chunks: DataFrame, seeds: np.ndarray, of_seed: np.ndarray, table: np.ndarray, classes: int) -> DataFrame:
-    """(word, class) of every training word that has a seed as neighbour: the class of largest mutual information."""
-    size = classes + 1
-    smooth = table + 0.5
-    info = np.log(smooth * smooth.sum() / (smooth.sum(1, keepdims=True) * smooth.sum(0)))
-    # Gain of class B by one neighbour: class a before it, or class b behind it.
-    weight = np.concatenate([info[:, :classes], info[:classes].T])
+def _changes(keys: np.ndarray, counts: np.ndarray, of: np.ndarray, table: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that have contexts (places in ``of``), and the change of mutual information for each of them in each class.
 
-    def contexts(batches):
+    keys: sorted, place * (2 * size + 1) + context, size being classes + 1: a class before it, size + a class behind it, or 2 * size where
+    it follows itself. of: its class now, or NONE. table: counts of adjacent classes, with the word where it is now. A
+    word is first taken out of its class, as in ``exchange``, so the largest change is also the best class to stay in.
+    """
+    size = classes + 1
+    place, context = np.divmod(keys, 2 * size + 1)
+    words, row = np.unique(place, return_inverse=True)
+    dense = np.bincount(row * (2 * size + 1) + context, weights=counts, minlength=len(words) * (2 * size + 1)).reshape(len(words), -1)
+    left, right, twin = dense[:, :size], dense[:, size : 2 * size], dense[:, 2 * size]
+    own, table = of[words].astype(np.int64), table.astype(float)
+    placed = own != NONE
+    seated, seat = np.flatnonzero(placed), own[placed]
+    change = np.zeros((len(words), classes))
+    for side, other, held in ((0, right, table[:, :classes]), (size, left, table[:classes].T)):
+        at = np.flatnonzero((context >= side) & (context < side + size))
+        for x in (at[i : i + 20_000] for i in range(0, len(at), 20_000)):
+            r, c, n = row[x], context[x] - side, counts[x].astype(float)
+            cell = held[c]
+            here = np.flatnonzero(placed[r])
+            cell[here, own[r[here]]] -= n[here]
+            same = np.flatnonzero(c == own[r])  # the neighbours are in its own class, which it leaves
+            cell[same] -= other[r[same], :classes]
+            cell[same, own[r[same]]] -= twin[r[same]]
+            cell = np.maximum(cell, 0)
+            gain = _f(cell + n[:, None]) - _f(cell)
+            starts = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            change[r[starts]] += np.add.reduceat(gain, starts)
+    cell = np.tile(np.diag(table)[:classes], (len(words), 1))
+    cell[seated, seat] -= left[seated, seat] + right[seated, seat] + twin[seated]
+    before, behind = left[:, :classes], right[:, :classes]
+    change += _f(cell + before + behind + twin[:, None]) + _f(cell) - _f(cell + before) - _f(cell + behind)
+    for sums, own_sum in ((table.sum(1), right.sum(1) + twin), (table.sum(0), left.sum(1) + twin)):
+        rest = np.tile(sums[:classes], (len(words), 1))
+        rest[seated, seat] = np.maximum(rest[seated, seat] - own_sum[seated], 0)
+        change -= _f(rest + own_sum[:, None]) - _f(rest)
+    return words, change
+
+
+def _information(table: np.ndarray) -> float:
+    """Mutual information of adjacent classes, in nats a token."""
+    table = table.astype(float)
+    n = max(table.sum(), 1.0)
+    return float((_f(table).sum() - _f(table.sum(1)).sum() - _f(table.sum(0)).sum() + _f(n)) / n)
+
+
+def _turn(words: np.ndarray, sweep: int, turns: int) -> np.ndarray:
+    """The words that move in a sweep, one of ``turns`` (a power of two) shares of them by hash."""
+    return ((words >> 7) & (turns - 1)) == sweep % turns
+
+
+REQUEST_SCHEMA = "part int, chunk long, words binary, keys binary, counts binary"
+ANSWER_SCHEMA = "part int, chunk long, words binary, counts binary, classes binary, moved long, left long"
+
+
+def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct: int, seeds: np.ndarray, of_seed: np.ndarray, classes: int, few: float) -> DataFrame:
+    """(word, n, class) of all training words by exchange over the whole text, begun from the seeds' classes.
+
+    Words are dealt into parts by hash. In a sweep each chunk counts the classes next to its words and sends each part
+    one value; a part sums its words' neighbours over all chunks, moves each word whose turn it is to the class of
+    largest mutual information, and sends each chunk the classes of its words. Words without a class are taken in every
+    sweep: the end token has one, so classes reach every word of a document. Half of the words take turns; where their moving
+    at once has not raised the information, a share half as large. Sweeps end when all words have a class and a turn of
+    each moved at most a share of ``few`` of them.
+    """
+    spark = chunks.sparkSession
+    parts, size = partitions(spark), classes + 1
+    width = 2 * size + 1
+
+    def first(words):
+        number = _seed_numbers(words, seeds)
+        return np.where(number >= 0, of_seed[number], NONE).astype(np.uint8)
+
+    def dealt(words):
+        """Places of a chunk's words in order of (part, hash), and the bounds of the parts."""
+        part = words % parts
+        order = np.lexsort((words, part))
+        return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+    def lexicon(batches):
+        held: dict[int, list] = {}
         for batch in batches:
-            for payload, words in _rows(batch):
-                number = _seed_numbers(words, seeds)
-                of = np.where(number >= 0, of_seed[number], -1)
-                before, own, tokens = _pairs(of, payload, classes)
-                behind = np.empty_like(own)
-                behind[:-1], behind[-1:] = own[1:], -1
-                # An end token has no word behind it, and is itself no word to be classed.
-                word = words[tokens] != END_WORD
-                keys = np.concatenate([tokens[word & (before >= 0)] * (2 * size) + before[word & (before >= 0)], tokens[word & (behind >= 0)] * (2 * size) + size + behind[word & (behind >= 0)]])
-                keys, n = np.unique(keys, return_counts=True)
-                for a in range(0, len(keys), 100_000):
-                    k = keys[a : a + 100_000]
-                    yield pa.RecordBatch.from_pydict({"word": pa.array(words[k // (2 * size)]), "context": pa.array(k % (2 * size), pa.int16()), "n": pa.array(n[a : a + 100_000], pa.int32())})
-
-    def choose(batches):
-        word, total = None, None  # the last word's contexts may go on in the next batch
+            part, word, n = (batch.column(i).to_numpy() for i in range(3))
+            for p in np.unique(part).tolist():
+                held.setdefault(p, []).append((word[part == p], n[part == p]))
+        for p, rows in held.items():
+            word, n = (np.concatenate(x) for x in zip(*rows))
+            order = np.argsort(word)
+            yield answer(p, -1, word[order].tobytes(), n[order].tobytes(), first(word[order]), 0, 0)
+
+    def answer(part, chunk, words, counts, of, moved, left):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([words], pa.binary()), pa.array([counts], pa.binary()), pa.array([of.tobytes()], pa.binary()), pa.array([moved], pa.int64()), pa.array([left], pa.int64())], names=["part", "chunk", "words", "counts", "classes", "moved", "left"])
+
+    def as_bytes(batches):
         for batch in batches:
-            w, c, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(w):
-                continue
-            starts = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(w))))
-            dense = np.bincount(of * (2 * size) + c, weights=n, minlength=len(starts) * 2 * size).reshape(-1, 2 * size)
-            names, gains = w[starts], dense @ weight
-            if word is not None:
-                if names[0] == word:
-                    gains[0] += total
-                else:
-                    names, gains = np.append(word, names), np.vstack([total, gains])
-            word, total = names[-1], gains[-1]
-            if len(names) > 1:
-                yield pa.RecordBatch.from_pydict({"word": pa.array(names[:-1], pa.int64()), "class": pa.array(gains[:-1].argmax(1), pa.int16())})
-        if word is not None:
-            yield pa.RecordBatch.from_pydict({"word": pa.array([word], pa.int64()), "class": pa.array([int(total.argmax())], pa.int16())})
-
-    # A word has at most 2 * (classes + 1) contexts in a chunk, so a frequent word has few rows, not one for each use.
-    rows = chunks.mapInArrow(contexts, "word long, context short, n int")
-    return rows.repartition(partitions(chunks.sparkSession), "word").sortWithinPartitions("word", "context", "n").mapInArrow(choose, "word long, class short")
-
-
-def class_scores(docs: DataFrame, classes: int = 64, seeds: int = 512, alpha: float = 0.1) -> DataFrame:
+            chunk = batch.column("chunk")
+            for i, (payload, words) in enumerate(_rows(batch)):
+                yield pa.RecordBatch.from_arrays([chunk[i : i + 1], pa.array([2**31 - 1], pa.int32()), pa.array([words.tobytes()], pa.binary()), pa.array([payload.to_pybytes()], pa.binary())], names=["chunk", "part", "data", "payload"])
+
+    def tallied(keys, rank):
+        """Distinct keys and their counts, by rank of the word: dense for frequent words, which have the low numbers."""
+        bound = min(len(rank), 1 << 14) * width
+        dense = np.bincount(keys[keys < bound], minlength=bound)
+        some = np.flatnonzero(dense)
+        rare, n = np.unique(keys[keys >= bound], return_counts=True)
+        keys, n = np.concatenate([some, rare]), np.concatenate([dense[some], n])
+        place, context = np.divmod(keys, width)
+        keys = rank[place] * width + context
+        order = np.argsort(keys)
+        return keys[order], n[order]
+
+    def requests(chunk, payload, words, of, sweep, turns):
+        order, bounds = dealt(words)
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        before, own, tokens = _pairs(of.astype(np.int64), payload, classes)
+        both = (before != NONE) & (own != NONE)
+        rows = _matrix_rows(np.bincount(before[both] * size + own[both], minlength=size * size).reshape(size, size))
+        none = pa.nulls(rows.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, -1), pa.int32()), rows.column(0).cast(pa.int64()), rows.column(1), none, none], names=["part", "chunk", "words", "keys", "counts"])
+        asked = ((of == NONE) | _turn(words, sweep, turns)) & (words != END_WORD)
+        end = words[tokens] == END_WORD
+        twin = np.zeros(len(tokens), bool)  # the token is the one before it again, in one document
+        twin[1:] = (tokens[1:] == tokens[:-1]) & ~end[1:]
+        behind, twin_behind = np.full_like(own, NONE), np.zeros_like(twin)
+        behind[:-1], twin_behind[:-1] = own[1:], twin[1:]
+        word = asked[tokens]
+        base = tokens * width
+        a, b = word & (before != NONE) & ~twin, word & (behind != NONE) & ~twin_behind
+        keys, n = tallied(np.concatenate([base[a] + before[a], base[b] + size + behind[b], base[word & twin] + 2 * size]), rank)
+        cuts = np.searchsorted(keys, bounds * width)
+        full = np.flatnonzero(np.diff(bounds)).tolist()
+        told = [words[order[bounds[p] : bounds[p + 1]]].tobytes() for p in full]
+        steps = [_squeeze(np.diff(keys[cuts[p] : cuts[p + 1]] - bounds[p] * width, prepend=0)) for p in full]
+        sums = [_squeeze(n[cuts[p] : cuts[p + 1]]) for p in full]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array(told, pa.binary()), pa.array(steps, pa.binary()), pa.array(sums, pa.binary())], names=["part", "chunk", "words", "keys", "counts"])
+
+    def count(sweep, turns):
+        def run(batches):
+            got: list[bytes] = []
+            for batch in batches:
+                chunk, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for i in range(batch.num_rows):
+                    if part[i] < 2**31 - 1:
+                        got.append(batch.column(2)[i].as_py())
+                        continue
+                    words = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+                    if sweep:
+                        of = np.empty(len(words), np.uint8)
+                        of[dealt(words)[0]] = np.frombuffer(b"".join(got), np.uint8)
+                    else:
+                        of = first(words)
+                    got = []
+                    yield from requests(int(chunk[i]), batch.column(3)[i].as_buffer(), words, of, sweep, turns)
+
+        return run
+
+    def choose(table):
+        least = 1e-12 * float(_f(np.array(max(table.sum(), 1.0))))
+
+        def part_done(part, words, counts, of, asked):
+            keys, n = (np.concatenate([x[i] for x in asked]) if asked else np.zeros(0, np.int64) for i in (2, 3))
+            keys, at = np.unique(keys, return_inverse=True)
+            n = np.bincount(at, weights=n, minlength=len(keys))
+            new = of.copy()
+            cuts = np.searchsorted(keys, np.arange(0, len(words) + 4096, 4096) * width)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a < b:
+                    who, change = _changes(keys[a:b], n[a:b], of, table, classes)
+                    best, own, rows = change.argmax(1), of[who], np.arange(len(who))
+                    stays = (own != NONE) & (change[rows, best] <= change[rows, np.where(own == NONE, 0, own)] + least)
+                    new[who] = np.where(stays, own, best)
+            yield answer(part, -1, words.tobytes(), counts, new, int((new != of).sum()), int((new == NONE).sum()))
+            told = [np.where(found >= 0, new[found], NONE).astype(np.uint8).tobytes() if len(new) else bytes([NONE]) * len(found) for _, found, _, _ in asked]
+            none, zero = pa.nulls(len(told), pa.binary()), pa.array(np.zeros(len(told), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(told), pa.int32()), pa.array([x[0] for x in asked], pa.int64()), none, none, pa.array(told, pa.binary()), zero, zero], names=["part", "chunk", "words", "counts", "classes", "moved", "left"])
+
+        def run(batches):
+            now = None
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    part, chunk = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                    words = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+                    if now is None or now[0] != part:
+                        if now is not None:
+                            yield from part_done(*now)
+                        known = chunk < 0
+                        now = (part, words if known else words[:0], batch.column(4)[i].as_py() if known else b"", np.frombuffer(batch.column(5)[i].as_py(), np.uint8) if known else np.zeros(0, np.uint8), [])
+                        if known:
+                            continue
+                    at = np.minimum(np.searchsorted(now[1], words), max(len(now[1]) - 1, 0))
+                    found = np.where(now[1][at] == words, at, -1) if len(now[1]) else np.full(len(words), -1)  # -1: only in held-out text
+                    keys, n = np.cumsum(_expand(batch.column(3)[i].as_py()).astype(np.int64)), _expand(batch.column(4)[i].as_py()).astype(np.int64)
+                    place, context = np.divmod(keys, width)
+                    now[4].append((chunk, found, found[place] * width + context, n))
+            if now is not None:
+                yield from part_done(*now)
+
+        return run
+
+    rows = vocabulary.select(F.pmod("word", F.lit(parts)).cast("int").alias("part"), "word", "n").repartition(parts, "part").mapInArrow(lexicon, ANSWER_SCHEMA)
+    answers, sequences = scratch.write(rows, "classes-0"), chunks.select("chunk", "payload", "words").mapInArrow(as_bytes, "chunk long, part int, data binary, payload binary")
+    moves, known, turns, left = [], [], 2, distinct  # words moved, and the information where all words had classes
+    for sweep in count_up():
+        told = sequences
+        if sweep:
+            sent = answers.filter("chunk >= 0").select("chunk", "part", F.col("classes").alias("data"), F.lit(None).cast("binary").alias("payload"))
+            told = sent.unionByName(sequences).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
+        asked = scratch.write(told.mapInArrow(count(sweep, turns), REQUEST_SCHEMA), f"neighbours-{sweep}")
+        table = _summed(asked.filter("part < 0").select(F.col("chunk").cast("int").alias("i"), F.col("words").alias("v")), size)
+        if not left:
+            known.append(_information(table))
+        held = answers.filter("chunk < 0").select("part", "chunk", "words", F.lit(None).cast("binary").alias("keys"), "counts", "classes")
+        both = held.unionByName(asked.filter("part >= 0").withColumn("classes", F.lit(None).cast("binary"))).repartition(parts, "part").sortWithinPartitions("part", "chunk")
+        new = scratch.write(both.mapInArrow(choose(table), ANSWER_SCHEMA), f"classes-{sweep + 1}")
+        scratch.drop(f"classes-{sweep}", f"neighbours-{sweep}")
+        answers = new
+        moved, left = answers.filter("chunk < 0").agg(F.coalesce(F.sum("moved"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0))).first()
+        moves.append(moved)
+        spark._jvm.System.gc()  # lets Spark remove the shuffles of the sweep
+        if not left and len(moves) >= turns and sum(moves[-turns:]) <= few * distinct:
+            break
+        if len(known) > turns and known[-1] <= known[-1 - turns]:
+            moves, known, turns = [], [], turns * 2
+            if turns > 2 * distinct:
+                break
+
+    def rows_of(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, n, of = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in ((0, np.int64), (1, np.int64), (2, np.uint8)))
+                yield pa.RecordBatch.from_pydict({"word": pa.array(words), "n": pa.array(n), "class": pa.array(of, pa.int32())})
+
+    return answers.filter("chunk < 0").select("words", "counts", "classes").mapInArrow(rows_of, "word long, n long, class int")
+
+
+def class_scores(docs: DataFrame, classes: int = 64, seeds: int = 512, alpha: float = 0.1, few: float = 0.01) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of (doc_id, held_out, text).
 
     Tokens are the words and one end; null text is empty. Learned from the rows that are not held out. base_score is
     the unigram log10 probability with alpha added to each count and one unseen word; score that of the class model:
     unseen words are a class of their own that words seen once stand for, classes follow one another with counts plus
     alpha, and words within a class have their counts plus alpha. An empty table gives no rows; without training rows
-    every token is unseen.
+    every token is unseen. few: the share of words below which a turn of all words ends the exchange.
     """
     if classes > 64:
         raise ValueError("classes and two more must fit 7 bits")
@@ -298,12 +491,7 @@ def class_scores(docs: DataFrame, classes: int = 64, seeds: int = 512, alpha: fl
     of = exchange(bigrams[np.ix_(full, full)], classes)
     of_seed = np.empty_like(of)
     of_seed[full] = of
-    member = np.zeros((len(of_seed), classes + 1))
-    member[np.arange(len(of_seed)), of_seed] = 1
-    found = _assign(chunks, sorted_seeds, of_seed, member.T @ bigrams @ member, classes)
-    known = spark.createDataFrame([(int(w), int(c)) for w, c in zip(sorted_seeds, of_seed)] + [(END_WORD, classes)], "word long, fixed int")
-    lexicon = vocabulary.join(found, "word", "left").join(known, "word", "left").select("word", "n", F.coalesce("fixed", "class", F.pmod("word", F.lit(classes))).cast("int").alias("class"))
-    lexicon = scratch.write(lexicon, "lexicon")
+    lexicon = scratch.write(_sweeps(scratch, chunks, vocabulary, distinct, sorted_seeds, of_seed, classes, few), "lexicon")
     totals, kinds = np.zeros(classes + 2), np.zeros(classes + 2)
     for r in lexicon.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         totals[r["class"]], kinds[r["class"]] = r["n"], r["v"]

@@ -250,6 +250,50 @@ def test_exchange_finds_classes():
     assert all((of[i] == of[j]) == (i % 3 == j % 3) for i in range(12) for j in range(12)) and of[12] == 3
 
 
+def information(pairs, of, size):
+    t = np.zeros((size, size))
+    for (a, b), n in pairs.items():
+        t[of[a], of[b]] += n
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    return f(t) - f(t.sum(1)) - f(t.sum(0)), t
+
+
+def test_changes_of_information():
+    rng, classes = np.random.default_rng(8), 4
+    text = [12, *rng.integers(0, 12, 300).tolist(), 12]
+    pairs = Counter(zip(text, text[1:]))
+    of = np.append(rng.integers(0, classes, 12), classes)
+    _, table = information(pairs, of, classes + 1)
+    keys = Counter()
+    for (a, b), n in pairs.items():
+        for w, context in ((b, of[a]), (a, classes + 1 + of[b])) if a != b else ((a, 2 * classes + 2),):
+            keys[w * (2 * classes + 3) + context] += n * (w != 12)
+    k = np.array(sorted(x for x in keys if keys[x]))
+    words, change = class_lm._changes(k, np.array([keys[x] for x in k]), of.astype(np.uint8), table, classes)
+    assert words.tolist() == list(range(12))
+    for w in words:
+        moved = [information(pairs, np.where(np.arange(13) == w, c, of), classes + 1)[0] for c in range(classes)]
+        assert change[w] - change[w, 0] == pytest.approx(np.array(moved) - moved[0], abs=1e-8)
+
+
+def test_class_lm_clusters_all_words(spark, monkeypatch):
+    """Words with no frequent word beside them get classes by the text too, and at the end no word is better off elsewhere."""
+    rng, tables = np.random.default_rng(9), {}
+    texts = [" ".join(f"{k}{rng.integers(6)}" for k in "abc") for _ in range(150)]
+    df = docs(spark, texts).filter("doc_id is not null").selectExpr("doc_id", "false held_out", "text")
+    write = class_lm.Scratch.write
+    monkeypatch.setattr(class_lm.Scratch, "write", lambda self, df, name, *a: tables.setdefault(name, write(self, df, name, *a)))
+    class_lm.class_scores(df, classes=3, seeds=1)
+    found = {r["word"]: r["class"] for r in tables["lexicon"].collect()}
+    names = sorted({w for t in texts for w in t.split()})
+    [(_, _, data, offsets)] = slices(pa.array(names))
+    of = {w: found[h] for w, h in zip(names, hash_words(data, offsets)[0].view(np.int64).tolist())} | {None: 3}
+    assert len(found) == len(of) and found[class_lm.END_WORD] == 3
+    pairs = Counter(p for t in texts for p in zip([None, *t.split()], [*t.split(), None]))
+    best = information(pairs, of, 4)[0]
+    assert all(information(pairs, of | {w: c}, 4)[0] <= best + 1e-6 for w in names for c in range(3))
+
+
 def test_token_counts(spark):
     scores = token_counts.load_pieces(tokenizer_path("byte_bpe_50k.tiktoken"))
     longest = max(map(len, scores))
