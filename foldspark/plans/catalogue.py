@@ -354,17 +354,18 @@ def ar_regime_recursion(spark, sf_dir):
     return made.select("series_id", "i", F.col("return").alias("simple_return"))
 
 
-LEARNED = WalkForwardConfig(250, 100, 1)
+#: Folds of the evidence flow, as in plans/experiment.py.
+EVIDENCE = WalkForwardConfig(250, 25, 1)
 
 
 @query()
 def ridge_backtest(spark, sf_dir):
-    return pooled_metrics(predictions(matrix(spark, sf_dir), LEARNED, {"ridge": learned(ridge())}))
+    return pooled_metrics(predictions(matrix(spark, sf_dir), CONFIG, {"ridge": learned(ridge())}))
 
 
 @query()
 def boosting_backtest(spark, sf_dir):
-    return pooled_metrics(predictions(matrix(spark, sf_dir), LEARNED, {"gradient_boosting": learned(boosting())}))
+    return pooled_metrics(predictions(matrix(spark, sf_dir), CONFIG, {"gradient_boosting": learned(boosting())}))
 
 
 @query()
@@ -373,8 +374,8 @@ def evidence_summary(spark, sf_dir):
     from ..operators.backtest import default_models
 
     m = matrix(spark, sf_dir, segment_daily)
-    rows = predictions(m, LEARNED, default_models())
-    made = PromotionPolicy(0.01, 1.0, 0.5).decisions(pooled_metrics(rows, COST), fold_metrics(rows, train_statistics(m, LEARNED)), "gradient_boosting", "naive_zero")
+    rows = predictions(m, EVIDENCE, default_models())
+    made = PromotionPolicy(0.01, 1.0, 0.5).decisions(pooled_metrics(rows, COST), fold_metrics(rows, train_statistics(m, EVIDENCE)), "gradient_boosting", "naive_zero")
     return made.withColumn("reasons", F.array_join("reasons", ",")).join(interval_evaluation(rows.filter("model = 'gradient_boosting'")), "series_id")
 
 

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from foldspark.functions.metrics import BusinessCost, evaluate_interval, evaluate_pair, mae, mase, pinball, rmse, smape
@@ -15,6 +16,7 @@ from foldspark.operators.features import align_volume, assert_no_leakage, checke
 from foldspark.operators.folds import WalkForwardConfig, boundaries, fold_table, isolation_violations, test_rows as rows_tested, train_rows
 from foldspark.operators.learners import boosting, ridge
 from foldspark.operators.promotion import PromotionPolicy
+from foldspark.plans import catalogue
 from foldspark.plans.artifacts import render_report, write_manifest
 from foldspark.sources.market import read_market_csv
 from foldspark.sources.synthetic import synthetic_market
@@ -208,3 +210,17 @@ def test_synthetic_and_artifacts(spark, tmp_path):
     metrics = {"mae": 1, "rmse": 1, "directional_accuracy": 0.5, "strategy_sharpe": 0, "net_cumulative_return": 0}
     page = render_report({"models": {"<b>": metrics}, "dataset": {"kind": "market_csv"}}, tmp_path / "r.html").read_text()
     assert "&lt;b&gt;" in page and "Historical" in page
+
+
+@pytest.mark.parametrize("name, config", [("ridge_backtest", (250, 20, 0)), ("boosting_backtest", (250, 20, 0)), ("evidence_summary", (250, 25, 1))])
+def test_learner_queries_use_the_folds_of_their_flow(spark, monkeypatch, name, config):
+    class Seen(Exception):
+        pass
+
+    def predictions(matrix, config, models):
+        raise Seen(config)
+
+    monkeypatch.setattr(catalogue, "predictions", predictions)
+    with pytest.raises(Seen) as seen:
+        catalogue.QUERIES[name](spark, SMALL)
+    assert seen.value.args == (WalkForwardConfig(*config),)
