@@ -10,7 +10,7 @@ p(word | previous) = p(class | previous class) * p(word | class). Classes come f
 3. From there the exchange goes on over all words of the training text, distributed: sweep by sweep each chunk counts the
    classes next to its words, the counts of a word from the whole corpus decide the class in which the mutual
    information is largest, and the new classes go back to the chunks. Half of the words move in a sweep; sweeps end when
-   a turn of all words moves few of them.
+   a turn of all words raises the information by a small share of it at most.
 4. Each chunk gets counts and classes of its words back by a join, never by a broadcast vocabulary.
 5. Transitions between classes are counted over the whole training text, in which words seen once also stand for
    words never seen.
@@ -33,6 +33,8 @@ CHUNK = 24 << 20
 END_WORD = -1  # hash kept for the end token
 _FLAG = 128
 NONE = 255  # class of a word that has none yet
+_REACH = 2  # sweeps in which classes spread from word to word
+_SMALL = 32  # counts whose changes are tabulated
 
 
 def _squeeze(ids: np.ndarray) -> bytes:
@@ -119,12 +121,12 @@ def _pairs(of_word: np.ndarray, payload, end: int) -> tuple[np.ndarray, np.ndarr
     """of_word of each training token's predecessor (end's before the first), of the token, and the token itself."""
     table, tokens = _unpack(payload)
     lengths = table.column("length").to_numpy()
-    held = np.repeat(table.column("held_out").to_numpy(zero_copy_only=False), lengths)
+    training = np.repeat(~table.column("held_out").to_numpy(zero_copy_only=False), lengths)
     value = of_word[tokens]
     before = np.empty_like(value)
     before[1:] = value[:-1]
     before[np.cumsum(lengths) - lengths] = end
-    return before[~held], value[~held], tokens[~held]
+    return before[training], value[training], tokens[training]
 
 
 def _summed(rows: DataFrame, size: int) -> np.ndarray:
@@ -225,12 +227,19 @@ def _seed_numbers(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return of
 
 
-def _changes(keys: np.ndarray, counts: np.ndarray, of: np.ndarray, table: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def _steps(table: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """f(cell + n) - f(cell) by n (up to ``_SMALL``), context and class: for classes in front, and for classes behind."""
+    n = np.arange(_SMALL + 1.0)[:, None, None]
+    return tuple(_f(held + n) - _f(held) for held in (table[:, :classes].astype(float), table[:classes].T.astype(float)))
+
+
+def _changes(keys: np.ndarray, counts: np.ndarray, of: np.ndarray, table: np.ndarray, classes: int, steps: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Words that have contexts (places in ``of``), and the change of mutual information for each of them in each class.
 
     keys: sorted, place * (2 * size + 1) + context, size being classes + 1: a class before it, size + a class behind it, or 2 * size where
     it follows itself. of: its class now, or NONE. table: counts of adjacent classes, with the word where it is now. A
-    word is first taken out of its class, as in ``exchange``, so the largest change is also the best class to stay in.
+    word is first taken out of its class, as in ``exchange``, so the largest change is also the best class to stay in. steps:
+    of the table (see ``_steps``); most counts are small, and what they change is looked up.
     """
     size = classes + 1
     place, context = np.divmod(keys, 2 * size + 1)
@@ -241,18 +250,24 @@ def _changes(keys: np.ndarray, counts: np.ndarray, of: np.ndarray, table: np.nda
     placed = own != NONE
     seated, seat = np.flatnonzero(placed), own[placed]
     change = np.zeros((len(words), classes))
-    for side, other, held in ((0, right, table[:, :classes]), (size, left, table[:classes].T)):
+    steps = steps or _steps(table, classes)
+    for side, other, held, step in ((0, right, table[:, :classes], steps[0]), (size, left, table[:classes].T, steps[1])):
         at = np.flatnonzero((context >= side) & (context < side + size))
         for x in (at[i : i + 20_000] for i in range(0, len(at), 20_000)):
             r, c, n = row[x], context[x] - side, counts[x].astype(float)
-            cell = held[c]
+            gain = step[np.minimum(n, _SMALL).astype(np.int64), c]
             here = np.flatnonzero(placed[r])
-            cell[here, own[r[here]]] -= n[here]
-            same = np.flatnonzero(c == own[r])  # the neighbours are in its own class, which it leaves
-            cell[same] -= other[r[same], :classes]
-            cell[same, own[r[same]]] -= twin[r[same]]
+            rest = np.maximum(held[c[here], own[r[here]]] - n[here], 0)  # its own class without it
+            gain[here, own[r[here]]] = _f(rest + n[here]) - _f(rest)
+            odd = np.flatnonzero((n > _SMALL) | (c == own[r]))
+            cell = held[c[odd]]
+            away = np.flatnonzero(placed[r[odd]])
+            cell[away, own[r[odd[away]]]] -= n[odd[away]]
+            same = np.flatnonzero(c[odd] == own[r[odd]])  # the neighbours are in its own class, which it leaves
+            cell[same] -= other[r[odd[same]], :classes]
+            cell[same, own[r[odd[same]]]] -= twin[r[odd[same]]]
             cell = np.maximum(cell, 0)
-            gain = _f(cell + n[:, None]) - _f(cell)
+            gain[odd] = _f(cell + n[odd, None]) - _f(cell)
             starts = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
             change[r[starts]] += np.add.reduceat(gain, starts)
     cell = np.tile(np.diag(table)[:classes], (len(words), 1))
@@ -282,15 +297,17 @@ REQUEST_SCHEMA = "part int, chunk long, words binary, keys binary, counts binary
 ANSWER_SCHEMA = "part int, chunk long, words binary, counts binary, classes binary, moved long, left long"
 
 
-def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct: int, seeds: np.ndarray, of_seed: np.ndarray, classes: int, few: float) -> DataFrame:
+def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct: int, seeds: np.ndarray, of_seed: np.ndarray, classes: int, least_rise: float) -> DataFrame:
     """(word, n, class) of all training words by exchange over the whole text, begun from the seeds' classes.
 
     Words are dealt into parts by hash. In a sweep each chunk counts the classes next to its words and sends each part
     one value; a part sums its words' neighbours over all chunks, moves each word whose turn it is to the class of
-    largest mutual information, and sends each chunk the classes of its words. Words without a class are taken in every
-    sweep: the end token has one, so classes reach every word of a document. Half of the words take turns; where their moving
-    at once has not raised the information, a share half as large. Sweeps end when all words have a class and a turn of
-    each moved at most a share of ``few`` of them.
+    largest mutual information, and sends each chunk the classes of its words. Words without a class are taken in the first
+    ``_REACH`` sweeps, in which classes spread from the seeds and the end token; those that no class has reached, as in the
+    middle of a document of words that occur once, then begin in any class and are moved by the turns that follow, of
+    which at least one is whole. Half of the words take turns; where their moving at once has not raised the
+    information, a share half as large. Sweeps end when all words have a class and a turn of
+    all words moved none, or raised the information by at most a share ``least_rise`` of it.
     """
     spark = chunks.sparkSession
     parts, size = partitions(spark), classes + 1
@@ -342,9 +359,9 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
         order, bounds = dealt(words)
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
-        before, own, tokens = _pairs(of.astype(np.int64), payload, classes)
-        both = (before != NONE) & (own != NONE)
-        rows = _matrix_rows(np.bincount(before[both] * size + own[both], minlength=size * size).reshape(size, size))
+        before, own, tokens = _pairs(of, payload, classes)
+        both = np.bincount(before.astype(np.int32) << 8 | own, minlength=1 << 16).reshape(256, 256)
+        rows = _matrix_rows(both[:size, :size])
         none = pa.nulls(rows.num_rows, pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, -1), pa.int32()), rows.column(0).cast(pa.int64()), rows.column(1), none, none], names=["part", "chunk", "words", "keys", "counts"])
         asked = ((of == NONE) | _turn(words, sweep, turns)) & (words != END_WORD)
@@ -384,8 +401,8 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
 
         return run
 
-    def choose(table):
-        least = 1e-12 * float(_f(np.array(max(table.sum(), 1.0))))
+    def choose(table, sweep):
+        least, steps = 1e-12 * float(_f(np.array(max(table.sum(), 1.0)))), _steps(table, classes)
 
         def part_done(part, words, counts, of, asked):
             keys, n = (np.concatenate([x[i] for x in asked]) if asked else np.zeros(0, np.int64) for i in (2, 3))
@@ -395,10 +412,12 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
             cuts = np.searchsorted(keys, np.arange(0, len(words) + 4096, 4096) * width)
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a < b:
-                    who, change = _changes(keys[a:b], n[a:b], of, table, classes)
+                    who, change = _changes(keys[a:b], n[a:b], of, table, classes, steps)
                     best, own, rows = change.argmax(1), of[who], np.arange(len(who))
                     stays = (own != NONE) & (change[rows, best] <= change[rows, np.where(own == NONE, 0, own)] + least)
                     new[who] = np.where(stays, own, best)
+            if sweep + 1 >= _REACH:
+                new = np.where((new == NONE) & (words != END_WORD), (words >> 13) % classes, new).astype(np.uint8)
             yield answer(part, -1, words.tobytes(), counts, new, int((new != of).sum()), int((new == NONE).sum()))
             told = [np.where(found >= 0, new[found], NONE).astype(np.uint8).tobytes() if len(new) else bytes([NONE]) * len(found) for _, found, _, _ in asked]
             none, zero = pa.nulls(len(told), pa.binary()), pa.array(np.zeros(len(told), np.int64))
@@ -441,15 +460,18 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
             known.append(_information(table))
         held = answers.filter("chunk < 0").select("part", "chunk", "words", F.lit(None).cast("binary").alias("keys"), "counts", "classes")
         both = held.unionByName(asked.filter("part >= 0").withColumn("classes", F.lit(None).cast("binary"))).repartition(parts, "part").sortWithinPartitions("part", "chunk")
-        new = scratch.write(both.mapInArrow(choose(table), ANSWER_SCHEMA), f"classes-{sweep + 1}")
+        new = scratch.write(both.mapInArrow(choose(table, sweep), ANSWER_SCHEMA), f"classes-{sweep + 1}")
         scratch.drop(f"classes-{sweep}", f"neighbours-{sweep}")
         answers = new
         moved, left = answers.filter("chunk < 0").agg(F.coalesce(F.sum("moved"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0))).first()
         moves.append(moved)
         spark._jvm.System.gc()  # lets Spark remove the shuffles of the sweep
-        if not left and len(moves) >= turns and sum(moves[-turns:]) <= few * distinct:
+        if not left and len(moves) >= turns and not sum(moves[-turns:]):
+            break
+        rise = known[-1] - known[-1 - turns] if len(known) > turns else None
+        if rise is not None and 0 < rise <= least_rise * known[-1]:
             break
-        if len(known) > turns and known[-1] <= known[-1 - turns]:
+        if rise is not None and rise <= 0:
             moves, known, turns = [], [], turns * 2
             if turns > 2 * distinct:
                 break
@@ -463,16 +485,17 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
     return answers.filter("chunk < 0").select("words", "counts", "classes").mapInArrow(rows_of, "word long, n long, class int")
 
 
-def class_scores(docs: DataFrame, classes: int = 64, seeds: int = 512, alpha: float = 0.1, few: float = 0.01) -> DataFrame:
+def class_scores(docs: DataFrame, classes: int = 64, seeds: int = 512, alpha: float = 0.1, least_rise: float = 0.01) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of (doc_id, held_out, text).
 
     Tokens are the words and one end; null text is empty. Learned from the rows that are not held out. base_score is
     the unigram log10 probability with alpha added to each count and one unseen word; score that of the class model:
     unseen words are a class of their own that words seen once stand for, classes follow one another with counts plus
     alpha, and words within a class have their counts plus alpha. An empty table gives no rows; without training rows
-    every token is unseen. few: the share of words below which a turn of all words ends the exchange.
+    every token is unseen. The exchange ends when a turn of all words raises the information of adjacent classes by at most
+    a share ``least_rise`` of it; at 0, when no word is better off in another class. Rows that repeat a doc_id are scored each.
     """
-    if classes > 64:
+    if classes + 2 > _FLAG:
         raise ValueError("classes and two more must fit 7 bits")
     spark = docs.sparkSession
     scratch = Scratch(spark, "class-lm")
@@ -491,7 +514,7 @@ def class_scores(docs: DataFrame, classes: int = 64, seeds: int = 512, alpha: fl
     of = exchange(bigrams[np.ix_(full, full)], classes)
     of_seed = np.empty_like(of)
     of_seed[full] = of
-    lexicon = scratch.write(_sweeps(scratch, chunks, vocabulary, distinct, sorted_seeds, of_seed, classes, few), "lexicon")
+    lexicon = scratch.write(_sweeps(scratch, chunks, vocabulary, distinct, sorted_seeds, of_seed, classes, least_rise), "lexicon")
     totals, kinds = np.zeros(classes + 2), np.zeros(classes + 2)
     for r in lexicon.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         totals[r["class"]], kinds[r["class"]] = r["n"], r["v"]
