@@ -1,11 +1,12 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. The vector of three letters in a row is the product of their vectors,
+Every letter of every script has a random vector of +1 and -1 of its own. The vector of three letters in a row is the product of their vectors,
 each rotated by its place; a document is the sum of the vectors of its trigrams; a language's prototype is the sum of
 its documents. A document gets the language whose prototype has the largest cosine with it.
 
 Sums are linear, so a document's vector is its trigram counts times a table of trigram vectors, and a prototype is
-summed from counts alone, task by task; only one vector for each language and task is moved.
+summed from counts alone, task by task; only one vector for each language and task is moved. Trigram vectors are made
+from the letters' when needed, a block at a time, so a worker's memory doesn't depend on how varied the letters are.
 """
 
 from __future__ import annotations
@@ -14,182 +15,233 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._text import slices
 
 DIMENSIONS = 2048
-#: Letters fall on so many symbols: a-z each on its own, others by code point; symbol 0 is everything that is no letter.
-SYMBOLS = 128
+#: Trigrams whose vectors are held at once, and rows whose vectors are.
+BLOCK = 1024
+#: Letters whose vectors a worker keeps (2 KB each); beyond it they are made anew.
+LETTERS = 8192
+#: Languages that prototypes are held of: in every worker, so their number is bounded.
+LANGUAGES = 4096
 UNKNOWN = "und"
 
 
 @cache
-def _letters(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
+def _lowered() -> np.ndarray:
+    """Letter of each code point below 0x3000, lower-cased where that is one letter; 0 for what is no letter."""
+    return np.array([_letter(cp) for cp in range(0x3000)], np.uint32)
 
 
-@cache
-def _symbol_of() -> np.ndarray:
-    """Symbol of each code point below 0x3000; letters of other scripts are dealt by code point."""
-    out = np.zeros(0x3000, np.uint8)
-    for cp in range(0x3000):
-        ch = chr(cp)
-        if ch.isalpha():
-            low = ord(ch.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
-    return out
+def _letter(cp: int) -> int:
+    ch = chr(cp)
+    if not ch.isalpha():
+        return 0
+    low = ch.lower()
+    return ord(low) if len(low) == 1 else cp
 
 
-def _symbols(points: np.ndarray) -> np.ndarray:
-    table = _symbol_of()
+def _letters_of(points: np.ndarray) -> np.ndarray:
+    table = _lowered()
+    out = table[np.minimum(points, len(table) - 1)]
     if len(points) and points.max() >= len(table):
-        out = table[np.minimum(points, len(table) - 1)].copy()
-        for cp in np.unique(points[points >= len(table)]):
-            out[points == cp] = 27 + int(cp) % (SYMBOLS - 27) if chr(cp).isalpha() else 0
-        return out
-    return table[points]
-
-
-class Trigrams:
-    """Vectors of trigrams, made when first met; forgotten when more than ``limit`` are known."""
+        far = points >= len(table)
+        distinct, place = np.unique(points[far], return_inverse=True)
+        out[far] = np.array([_letter(int(cp)) for cp in distinct], np.uint32)[place]
+    return out
 
-    def __init__(self, seed: int, limit: int = 20_000):
-        self.seed, self.limit, self.place = seed, limit, np.full(SYMBOLS**3, -1, np.int32)
-        self.table, self.n = np.zeros((1024, DIMENSIONS), np.float32), 0
 
-    def rows(self, codes: np.ndarray) -> np.ndarray:
-        """Vectors of distinct trigram codes."""
-        if self.n + len(codes) > self.limit:
-            self.place[:] = -1
-            self.n = 0
-        fresh = codes[self.place[codes] < 0]
-        if len(fresh):
-            letters = _letters(self.seed)
-            a, b, c = fresh // SYMBOLS**2, fresh // SYMBOLS % SYMBOLS, fresh % SYMBOLS
-            made = np.roll(letters, 2, 1)[a] * np.roll(letters, 1, 1)[b] * letters[c]
-            while self.n + len(fresh) > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.n : self.n + len(fresh)] = made
-            self.place[fresh] = np.arange(self.n, self.n + len(fresh))
-            self.n += len(fresh)
-        return self.table[self.place[codes]]
+_made: dict[tuple[int, int], np.ndarray] = {}
 
 
-_known: dict[int, Trigrams] = {}
+def letter_vectors(letters: np.ndarray, seed: int) -> np.ndarray:
+    """A row of +1 and -1 for each letter, drawn from the letter's code point and the seed alone."""
+    if len(_made) + len(letters) > LETTERS:
+        _made.clear()
+    out = np.empty((len(letters), DIMENSIONS), np.int8)
+    for i, cp in enumerate(letters.tolist()):
+        v = _made.get((seed, cp))
+        if v is None:
+            v = np.random.default_rng([seed, cp]).integers(0, 2, DIMENSIONS, np.int8) * 2 - 1
+            if len(_made) < LETTERS:
+                _made[seed, cp] = v
+        out[i] = v
+    return out
 
 
-def _trigrams(seed: int) -> Trigrams:
-    return _known.setdefault(seed, Trigrams(seed))
+def trigram_vectors(trigrams: np.ndarray, letters: np.ndarray, seed: int) -> np.ndarray:
+    """Vectors of trigrams given by three places in letters each: their letters' vectors rotated and multiplied."""
+    used, place = np.unique(trigrams, return_inverse=True)
+    v, place = letter_vectors(letters[used], seed), place.reshape(trigrams.shape)
+    return np.roll(v, 2, 1)[place[:, 0]] * np.roll(v, 1, 1)[place[:, 1]] * v[place[:, 2]]
 
 
 def trigram_codes(texts: pa.Array):
-    """(first row, end row, trigram codes, row of each code, has letters) of slices of a text column.
+    """(first row, end row, letters, trigram codes, row of each code, has letters) of slices of a text column.
 
-    Runs of what is no letter are one symbol, as are the start and the end of a text. Texts are taken whole.
+    A code is three places in the slice's sorted letters, as digits. Runs of what is no letter are one symbol, as are the start
+    and the end of a text. Texts are taken whole.
     """
     for a, b, data, offsets in slices(texts):
         if not len(data):
-            yield a, b, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(b - a, bool)
+            yield a, b, np.zeros(1, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(b - a, bool)
             continue
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        heads = np.cumsum((data & 0xC0) != 0x80)
-        ends = np.concatenate([[0], heads])[offsets]  # character offsets of the rows
-        symbols = _symbols(points)
-        # A row becomes: gap, its symbols, gap.
+        heads = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)
+        ends = np.concatenate([np.zeros(1, np.int32), heads])[offsets]  # character offsets of the rows
+        found = _letters_of(points)
+        top = int(found.max()) + 1
+        seen = np.zeros(top, bool)
+        seen[found] = True
+        seen[0] = True
+        letters = np.flatnonzero(seen)
+        place = np.zeros(top, np.int32)
+        place[letters] = np.arange(len(letters))
+        # A row becomes: gap, its letters, gap.
         n = np.diff(ends)
-        row = np.repeat(np.arange(b - a), n + 2)
-        padded = np.zeros(len(points) + 2 * (b - a), np.int64)
-        padded[np.arange(len(points)) + 2 * np.repeat(np.arange(b - a), n) + 1] = symbols
+        row = np.repeat(np.arange(b - a, dtype=np.int32), n + 2)
+        padded = np.zeros(len(points) + 2 * (b - a), np.int32)
+        padded[np.arange(len(points)) + 2 * np.repeat(np.arange(b - a), n) + 1] = place[found]
         keep = np.ones(len(padded), bool)
         keep[1:] = (padded[1:] != 0) | (padded[:-1] != 0) | (row[1:] != row[:-1])
         padded, row = padded[keep], row[keep]
-        codes = (padded[:-2] * SYMBOLS + padded[1:-1]) * SYMBOLS + padded[2:]
+        base = np.int64(len(letters))
+        codes = (padded[:-2] * base + padded[1:-1]) * base + padded[2:]
         inside = row[:-2] == row[2:]
-        letters = np.zeros(b - a, bool)
-        letters[row[padded != 0]] = True
-        yield a, b, codes[inside], row[:-2][inside], letters
+        has = np.zeros(b - a, bool)
+        has[row[padded != 0]] = True
+        yield a, b, letters.astype(np.uint32), codes[inside], row[:-2][inside], has
 
 
-def _group(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, and the place of each code among them."""
-    seen = np.zeros(SYMBOLS**3, bool)
+def _group(codes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes (all below top), and the place of each code among them."""
+    if top > 1 << 22:
+        return np.unique(codes, return_inverse=True)
+    seen = np.zeros(top, bool)
     seen[codes] = True
     distinct = np.flatnonzero(seen)
-    place = np.zeros(SYMBOLS**3, np.int32)
-    place[distinct] = np.arange(len(distinct))
+    place = np.zeros(top, np.int32)
+    place[distinct] = np.arange(len(distinct), dtype=np.int32)
     return distinct, place[codes]
 
 
+def bundles(rows: np.ndarray, n: int, codes: np.ndarray, letters: np.ndarray, seed: int) -> np.ndarray:
+    """Sum of the trigram vectors of each of n rows; rows and codes go together. Vectors are made ``BLOCK`` at a time."""
+    out = np.zeros((n, DIMENSIONS), np.float32)
+    if not len(codes):
+        return out
+    base = len(letters)
+    distinct, place = _group(codes, base**3)
+    block = place // BLOCK
+    order = np.argsort(block.astype(np.uint16) if len(distinct) <= BLOCK << 16 else block, kind="stable") if len(distinct) > BLOCK else slice(None)
+    rows, place = rows[order].astype(np.int64), place[order]
+    cuts = np.searchsorted(place // BLOCK, np.arange(-(-len(distinct) // BLOCK) + 1))
+    for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        some = distinct[k * BLOCK : (k + 1) * BLOCK]
+        trigrams = np.stack([some // base**2, some // base % base, some % base], 1)
+        counts = np.bincount(rows[x:y] * len(some) + place[x:y] - k * BLOCK, minlength=n * len(some)).reshape(n, len(some))
+        out += counts.astype(np.float32) @ trigram_vectors(trigrams, letters, seed).astype(np.float32)
+    return out
+
+
+def _summed(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of (lang, salt, v) by keys, v being float64 vectors in bytes; rows of a key are added as they come."""
+
+    def add(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for lang, salt, v in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (lang, salt if len(keys) > 1 else 0)
+                sums[key] = sums.get(key, 0) + np.frombuffer(v)
+        for (lang, salt), v in sums.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "salt": pa.array([salt], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
+
+    return vectors.repartition(*keys).mapInArrow(add, vectors.schema)
+
+
 def fit_prototypes(docs: DataFrame, seed: int = 0) -> dict[str, np.ndarray]:
     """Prototype of each language of (text, lang), from all rows whose lang is not null.
 
-    A task sends one vector for each language; a language's prototype is all that reaches the driver.
+    A task sends one vector for each language it meets; they are added in two steps, and a language's prototype is
+    all that reaches the driver. Repeated rows count each; an empty table gives no prototypes. More than
+    ``LANGUAGES`` distinct values of lang are refused (ValueError).
     """
     rows = docs.filter(F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
-        table = _trigrams(seed)
+        salt = TaskContext.get().partitionId() % 64
+
+        def flush():
+            for name, v in sums.items():
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name]), "salt": pa.array([salt], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
+            sums.clear()
+
         for batch in batches:
             langs = batch.column(1).dictionary_encode()
             names, of = langs.dictionary.to_pylist(), langs.indices.to_numpy()
-            for a, b, codes, row, _ in trigram_codes(batch.column(0)):
-                if not len(codes):
-                    continue
-                distinct, place = _group(codes)
-                counts = np.bincount(of[a:b][row] * len(distinct) + place, minlength=len(names) * len(distinct))
-                part = counts.reshape(len(names), -1).astype(np.float32) @ table.rows(distinct)
-                for name, v in zip(names, part):
-                    sums[name] = sums.get(name, 0) + v.astype(np.float64)
-        for name, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name]), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
-
-    parts = rows.mapInArrow(bundle, "lang string, v array<double>").select("lang", F.posexplode("v").alias("d", "x"))
-    summed = parts.groupBy("lang", "d").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
-    return {r["lang"]: np.array([x["x"] for x in r["v"]]) for r in summed.collect()}
-
-
-def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 0, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
+            for a, b, letters, codes, row, _ in trigram_codes(batch.column(0)):
+                here, index = np.unique(of[a:b], return_inverse=True)
+                for x in range(0, len(here), BLOCK):
+                    mine = index[row]
+                    part = (mine >= x) & (mine < x + BLOCK)
+                    found = bundles(mine[part] - x, min(BLOCK, len(here) - x), codes[part], letters, seed)
+                    for i, v in zip(here[x : x + BLOCK].tolist(), found):
+                        sums[names[i]] = sums.get(names[i], 0) + v.astype(np.float64)
+                    if len(sums) > BLOCK:
+                        yield from flush()
+        yield from flush()
+
+    parts = _summed(rows.mapInArrow(bundle, "lang string, salt int, v binary"), ["lang", "salt"])
+    found = _summed(parts, ["lang"]).limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"lang has more than {LANGUAGES} distinct values")
+    return {r["lang"]: np.frombuffer(r["v"]) for r in found}
+
+
+def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 0, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, if None) and lang_pred, score: the language of the largest cosine, and that cosine, 0 to 1.
 
     ``und`` with score 0 where text is null or has no letters, or nothing was learned. Equal cosines go to the
-    language first in order. A column of docs that is named lang_pred or score is replaced.
+    language first in order. Repeated rows are rows each, an empty table gives no rows. A column of docs that is named
+    lang_pred or score is replaced.
     """
     names = sorted(prototypes)
-    # Languages share most of their direction; what they have in common tells nothing and is left out of ties alone.
     norms = [np.linalg.norm(prototypes[x]) or 1.0 for x in names]
     weights = np.stack([prototypes[x] / n for x, n in zip(names, norms)], 1).astype(np.float32) if names else np.zeros((DIMENSIONS, 0), np.float32)
+    kept = docs.select(*(F.col(f"`{c}`") for c in (keep or docs.columns) if c.lower() not in ("lang_pred", "score")))
+    # The text goes to the workers once: as the column it is, or behind the others where it isn't among them.
+    own = text in kept.columns and isinstance(kept.schema[text].dataType, T.StringType)
+    at = kept.columns.index(text) if own else len(kept.columns)
+    rows = kept if own else docs.select(*(F.col(f"`{c}`") for c in kept.columns), F.col(text).cast("string").alias("whole text"))
+
+    made = [*kept.columns, "lang_pred", "score"]
 
     def predict(batches):
-        table = _trigrams(seed)
+        answers = pa.array([*names, UNKNOWN])
         for batch in batches:
-            best, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            for a, b, codes, row, letters in trigram_codes(batch.column(batch.num_columns - 1)):
-                if not len(codes) or not names:
-                    continue
-                distinct, place = _group(codes)
-                vectors = table.rows(distinct)
-                step = max(1, (1 << 22) // len(distinct))
+            for a, b, letters, codes, row, has in trigram_codes(batch.column(at)):
+                best, score = np.full(b - a, len(names)), np.zeros(b - a)
                 first = np.searchsorted(row, np.arange(b - a + 1))
-                for x in range(0, b - a, step):
-                    y = min(b - a, x + step)
+                for x in range(0, b - a, BLOCK) if names else ():
+                    y = min(b - a, x + BLOCK)
                     part = slice(first[x], first[y])
-                    counts = np.bincount((row[part] - x) * len(distinct) + place[part], minlength=(y - x) * len(distinct))
-                    h = counts.reshape(y - x, -1).astype(np.float32) @ vectors
+                    h = bundles(row[part] - x, y - x, codes[part], letters, seed)
                     norm = np.linalg.norm(h, axis=1)
                     cosine = (h @ weights) / np.where(norm > 0, norm, 1)[:, None]
                     top = cosine.argmax(1)
-                    for i in np.flatnonzero(letters[x:y]):
-                        best[a + x + i] = names[top[i]]
-                        score[a + x + i] = min(1.0, max(0.0, float(cosine[i, top[i]])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(best), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                    best[x:y] = np.where(has[x:y], top, len(names))
+                    score[x:y] = np.where(has[x:y], np.clip(cosine[np.arange(y - x), top], 0, 1), 0)
+                columns = [c for i, c in enumerate(batch.slice(a, b - a).columns) if own or i != at]
+                yield pa.RecordBatch.from_arrays([*columns, answers.take(pa.array(best)), pa.array(score)], names=made)
 
-    kept = docs.select(*(keep or [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]))
-    rows = docs.select(*(keep or [F.col(f"`{c}`") for c in kept.columns]), F.col(text).cast("string").alias("whole text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return rows.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(predict, schema)
 
 
 def split_of(doc_id: Column, folds: int) -> Column:
@@ -198,7 +250,10 @@ def split_of(doc_id: Column, folds: int) -> Column:
 
 
 def language_id(docs: DataFrame, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred and score; learned from the rows that are not held out."""
+    """doc_id, held_out, lang_pred and score of every row of (doc_id, text, lang); learned from the rows that are not held out.
+
+    A null doc_id is not held out. Repeated rows are rows each; an empty table gives no rows; extra columns are ignored.
+    """
     held = split_of(F.col("doc_id"), folds)
     prototypes = fit_prototypes(docs.filter(~held))
-    return predict_language(docs, prototypes, keep=[F.col("doc_id"), held.alias("held_out")])
+    return predict_language(docs.select("doc_id", held.alias("held_out"), "text"), prototypes, keep=["doc_id", "held_out"])

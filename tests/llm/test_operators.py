@@ -210,14 +210,60 @@ def test_language(spark):
 
 
 def test_hypervectors_match_counts():
-    """A document's vector from grouped counts is the sum of its trigrams' bound vectors."""
-    letters = language_id._letters(0).astype(int)
-    for a, b, codes, row, has in language_id.trigram_codes(pa.array(["Ab, c"])):
-        symbols = [0, 1, 2, 0, 3, 0]
-        expected = sum(np.roll(letters[x], 2) * np.roll(letters[y], 1) * letters[z] for x, y, z in zip(symbols, symbols[1:], symbols[2:]))
-        distinct, place = language_id._group(codes)
-        counts = np.bincount(place, minlength=len(distinct))
-        assert (counts @ language_id.Trigrams(0).rows(distinct) == expected).all() and has.all()
+    """A document's vector is the sum of its trigrams' bound vectors, each letter of any script having its own."""
+    texts = ["Ab, c", "é日本 Ж", None, "1"]
+    [(a, b, letters, codes, row, has)] = language_id.trigram_codes(pa.array(texts))
+    made = language_id.bundles(row, 4, codes, letters, 0)
+    vector = lambda ch: language_id.letter_vectors(np.array([ord(ch) if ch else 0]), 0)[0].astype(int)
+    for i, symbols in enumerate([["", "a", "b", "", "c", ""], ["", "é", "日", "本", "", "ж", ""], [], []]):
+        v = [vector(ch) for ch in symbols]
+        expected = sum((np.roll(x, 2) * np.roll(y, 1) * z for x, y, z in zip(v, v[1:], v[2:])), np.zeros(language_id.DIMENSIONS))
+        assert (made[i] == expected).all()
+    assert has.tolist() == [True, True, False, False]
+    assert abs(vector("ü") @ vector("š")) < 300
+
+
+def test_language_brute_force(spark):
+    """Predictions are those of cosines worked out letter by letter."""
+    texts = ["the cat sat on the mat", "der Hund läuft im Wald", "le chat est là", "der Wald", "the mat", "le là", "", None, "123", "žluťoučký kůň"] * 3
+    rows = [(i, t, ["en", "de", "fr"][i % 10] if i % 10 < 3 else None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    vector = lambda cp: language_id.letter_vectors(np.array([cp]), 0)[0].astype(float)
+
+    def bundle(t):
+        words = "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        v = [vector(0), *(vector(ord(c)) if c != " " else vector(0) for c in " ".join(words)), vector(0)] if words else []
+        return sum((np.roll(x, 2) * np.roll(y, 1) * z for x, y, z in zip(v, v[1:], v[2:])), np.zeros(language_id.DIMENSIONS))
+
+    prototypes = {}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            prototypes[lang] = prototypes.get(lang, 0) + bundle(t)
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    got = {r["doc_id"]: r for r in language_id.language_id(df).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        cosine = {k: unit(bundle(t)) @ unit(p) for k, p in prototypes.items()}
+        best = min(cosine, key=lambda k: (-cosine[k], k)) if bundle(t).any() else "und"
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(max(0, cosine.get(best, 0)), abs=1e-5)
+    twice = language_id.language_id(df.union(df))
+    assert twice.count() == 2 * len(rows)
+
+
+def test_language_memory_is_bounded():
+    """A text of very many different letters takes no more memory than a block of vectors."""
+    import tracemalloc
+
+    rng = np.random.default_rng(10)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 350_000).tolist()))
+    list(language_id.trigram_codes(pa.array(["warm up"])))
+    tracemalloc.start()
+    for a, b, letters, codes, row, _ in language_id.trigram_codes(pa.array([text])):
+        keep = codes < np.partition(codes, 20_000)[20_000]  # vectors of a share of them: all take long, and no more memory
+        language_id.bundles(row[keep], b - a, codes[keep], letters, 0)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
 
 
 def test_class_lm(spark):
