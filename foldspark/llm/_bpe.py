@@ -2,22 +2,27 @@
 
 Both kinds of file split a text before the vocabulary is applied, and that split never joins characters across
 some places: for byte-level files before a single space (or at a single line feed) between two characters that are
-no white space, for files that drop white space at any space or line feed. The text is cut there, each distinct
-part is encoded once by the tokenizers library, and a document is the concatenation of its parts. A text with any
-other white space arrangement is encoded whole, and a file of an unknown kind always is.
+no white space, for files that drop white space at any space or line feed. The texts of a slice are cut there and turned to
+a dictionary of distinct parts by Arrow; each part not yet known is encoded once by the tokenizers library, and the
+ids of all texts are gathered from the parts' ids in one step. A text with any other white space arrangement is
+encoded whole, and a file of an unknown kind always is.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import re
+from itertools import chain
 
 import numpy as np
-
-#: A line feed or nothing, Latin letters that no normal form changes, plain punctuation: each is a part of its own in
-#: both kinds of file.
-_WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:]*)")
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Letters that are one code point in any normal form and case, then punctuation that no rule joins to a letter: both kinds
+#: of file split between the two. (Tested for each letter against the library.)
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Bytes of a text to be encoded at a time; a longer document is taken alone.
+SLICE = 4 << 20
 _encoders: dict[str, "PartEncoder"] = {}
 
 
@@ -42,7 +47,7 @@ def _kind(path: str) -> str:
     return "whole"
 
 
-def pieces(batch, limit: int = 4 << 20):
+def pieces(batch, limit: int = SLICE):
     """(first column's values, texts of the second column) of consecutive rows with about limit characters."""
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     a, size = 0, 0
@@ -55,114 +60,155 @@ def pieces(batch, limit: int = 4 << 20):
         yield ids[a:], texts[a:]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next one from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class PartEncoder:
-    """``encode(texts)``: for each text its ids as little-endian unsigned 32-bit integers, in bytes.
+    """``encode(texts)``: token ids of an Arrow column of texts, as one array, and the number of each text's.
 
     ``limit`` bounds the known parts (about 200 bytes each); beyond it they are forgotten and learned anew.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.limit = Tokenizer.from_file(path), _kind(path), limit
-        self.model = self.tokenizer.model
-        self.known: dict[str, bytes | bool] = {}
-        self.opening: dict[str, bytes | bool] = {}
-        self.raw: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _encode_all(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def _tail(self, tail: str) -> bytes:
-        if tail not in self.raw:
-            self.raw[tail] = self.whole(tail)
-        return self.raw[tail]
-
-    def _learn(self, parts: list[str], known: dict, lead: str) -> None:
-        """Puts unknown parts into known, each as encoded behind lead; False where a part can't stand alone."""
-        need: dict[str, bytes | None] = {}  # by the string to encode
-        words: list[tuple[str, str]] = []  # (word alone, string to encode)
-        split: list[tuple[str, str, str, str, dict]] = []
-        lower = self.kind == "word"
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.lead = " " if self.kind == "byte" else ""
+        self._clear()
+
+    def _clear(self) -> None:
+        """No parts are known but number 0, which has no ids. A number below 0: a part that can't stand alone."""
+        self.known: dict[str, int] = {}
+        self.opening: dict[str, int] = {} if self.lead else self.known  # parts at the start of a text
+        self.tails: dict[str, list[int]] = {}
+        self.pool, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.parts, self.ids = 1, 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _tail(self, tail: str) -> list[int]:
+        if tail not in self.tails:
+            if len(self.tails) > 100_000:
+                self.tails.clear()
+            self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+        return self.tails[tail]
+
+    def _stem(self, word: str, lead: str) -> list[int]:
+        """Ids of a word of plain letters, straight from the vocabulary: no rule splits it."""
+        if self.kind == "word":
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenize("Ġ" + word if lead else word)]
+
+    def _add(self, found: list[list[int]]) -> int:
+        """Appends parts' ids to the pool; the number of the first."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        first, total = self.parts, int(sizes.sum())
+        while self.parts + len(found) > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        while self.ids + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.ids : self.ids + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.starts[first : first + len(found)], self.sizes[first : first + len(found)] = self.ids + np.cumsum(sizes) - sizes, sizes
+        self.parts, self.ids = first + len(found), self.ids + total
+        return first
+
+    def _learn(self, parts: list[str], store: dict[str, int], lead: str) -> None:
+        """Puts unknown parts into the store, each as encoded behind lead."""
+        found: list[list[int]] = []
+        names: list[str] = []
+        hard: list[str] = []
+        here: dict[tuple[str, str], list[int]] = {}
         for p in parts:
-            if m := _WORD.fullmatch(p):
-                head, stem, tail = m.groups()
-                alone, key = (self.opening, stem) if head else (known, lead + stem)
-                if lower and key.isascii():
-                    key = key.lower()
-                if head or tail:
-                    split.append((p, head, stem, tail, alone))
-                    if stem in alone:
-                        continue
-                need[key] = None
-                words.append((stem, key))
-            elif not lower and (p[-1].isspace() or p[1:2].isspace() or (p[0] != "\n" and p[0].isspace())):
-                known[p] = False
+            own, front, word = lead, [], p
+            if not p:
+                store[p] = -1 if self.lead else 0
+                continue
+            if p[0] == "\n":  # only in byte-level files
+                own, word = "", p[1:]
+                front = self._tail("\n")
+            m = _WORD.fullmatch(word)
+            if m:
+                stem, tail = m.groups()
+                ids = here.get((own, stem))
+                if ids is None:
+                    ids = here[own, stem] = self._stem(stem, own)
+                found.append([*front, *ids, *self._tail(tail)] if tail or front else ids)
+                names.append(p)
+            elif self.lead and (p[-1].isspace() or p[1:2].isspace() or (p[0] != "\n" and p[0].isspace())):
+                store[p] = -1
             else:
-                key = p if p[0] == "\n" else lead + p
-                need[key] = None
-                words.append((p, key))
-        if lower:
-            tokenize = self.model.tokenize
-            for key in need:
-                if key.isascii() and key.isalpha():
-                    need[key] = np.array([t.id for t in tokenize(key)], "<u4").tobytes()
-        todo = [key for key, ids in need.items() if ids is None]
-        need.update(zip(todo, self._encode_all(todo)))
-        for word, key in words:
-            (known if not lead or key[0] == lead or word[0] == "\n" else self.opening)[word] = need[key]
-        for p, head, stem, tail, alone in split:
-            ids = alone[stem]
-            if head:
-                ids = self._tail(head) + ids
-            known[p] = ids + self._tail(tail) if tail else ids
-
-    def _forget(self) -> None:
-        if len(self.known) + len(self.opening) > self.limit:
-            self.known.clear()
-            self.opening.clear()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        gc.disable()  # nothing here makes cycles, and the many small objects would be walked again and again
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
+                hard.append(p)
+        if hard:
+            keys = [p if p[0] == "\n" else lead + p for p in hard]
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
+            names += hard
+        if found:
+            first = self._add(found)
+            store.update(zip(names, range(first, first + len(names))))
+
+    def _numbers(self, parts: list[str], store: dict[str, int], lead: str) -> np.ndarray:
+        """Numbers of distinct parts."""
+        out = list(map(store.get, parts))
+        fresh = [i for i, k in enumerate(out) if k is None]
+        if fresh:
+            self._learn([parts[i] for i in fresh], store, lead)
+            for i in fresh:
+                out[i] = store[parts[i]]
+        return np.array(out, np.int64)
+
+    def slices(self, column: pa.Array):
+        """(first row, end row, ids, number of ids of each row) of slices of a text column of about ``SLICE`` bytes."""
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        a = 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+            yield a, b, *self.encode(column.slice(a, b - a))
+            a = b
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none) one after another, and how many each has."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
         if self.kind == "whole":
-            return [self.whole(t) if t else b"" for t in texts]
-        self._forget()
-        lead = " " if self.kind == "byte" else ""
-        cut = [(t.replace("\n", " \n") if lead else t.replace("\n", " ")).split(" ") if t else [] for t in texts]
-        known, opening = self.known, self.opening if lead else self.known
-        rows, fresh, begin = [], set(), set()
-        for parts in cut:
-            found = list(map(known.get, parts))
-            if parts and lead:
-                found[0] = opening.get(parts[0])
-            missing = [i for i, ids in enumerate(found) if ids is None]
-            if missing and missing[0] == 0 and lead:
-                begin.add(parts[0])
-            fresh.update([parts[i] for i in missing])
-            rows.append((found, missing))
-        if lead:
-            fresh.difference_update(known)  # a first part may be known as another part, or not be one elsewhere
-        for store, new, before in ((known, fresh, lead), (opening, begin, "")):
-            if "" in new:
-                store[""] = False if lead else b""
-                new.discard("")
-            if new:
-                self._learn(list(new), store, before)
-        out = []
-        for text, parts, (found, missing) in zip(texts, cut, rows):
-            for i in missing:
-                found[i] = known[parts[i]] if i else opening[parts[i]]
-            try:
-                out.append(b"".join(found))
-            except TypeError:  # a part that can't stand alone
-                out.append(self.whole(text))
-        return out
+            found = [self.whole(t) if t else np.zeros(0, np.uint32) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+        if len(self.known) + len(self.opening) > self.limit:
+            self._clear()
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n" if self.lead else " "), " ")
+        bounds = np.frombuffer(cut.buffers()[1], np.int32 if pa.types.is_list(cut.type) else np.int64)[cut.offset : cut.offset + len(cut) + 1].astype(np.int64)
+        parts = cut.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds = bounds - bounds[0]
+        place = parts.indices.to_numpy()
+        number = np.zeros(len(place), np.int64)
+        if len(place):
+            rest = np.ones(len(place), bool)
+            rest[bounds[:-1]] = not self.lead
+            wanted = np.zeros(len(parts.dictionary), bool)
+            wanted[place[rest]] = True
+            wanted = np.flatnonzero(wanted)
+            table = np.zeros(len(parts.dictionary), np.int64)
+            table[wanted] = self._numbers(parts.dictionary.take(pa.array(wanted)).to_pylist(), self.known, self.lead)
+            number = table[place]
+            if self.lead:  # the first part of a text has no space in front
+                opening, at = np.unique(place[bounds[:-1]], return_inverse=True)
+                number[bounds[:-1]] = self._numbers(parts.dictionary.take(pa.array(opening)).to_pylist(), self.opening, "")[at]
+        empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
+        number[bounds[:-1][empty]] = 0
+        odd = np.unique(np.searchsorted(bounds, np.flatnonzero(number < 0), "right") - 1)
+        kept = self.parts, self.ids
+        for i in odd.tolist():
+            number[bounds[i] : bounds[i + 1]] = 0
+            number[bounds[i]] = self._add([self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids])
+        sizes = self.sizes[number]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        ids = self.pool[np.repeat(self.starts[number] - ends[:-1], sizes) + np.arange(ends[-1])]
+        self.parts, self.ids = kept  # whole texts are not kept
+        return ids, np.diff(ends[bounds])

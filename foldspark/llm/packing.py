@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bpe import encoder, pieces
+from ._bpe import encoder
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -37,8 +37,8 @@ class Packer:
 
     ``add`` and ``finish`` return placed pieces (name, start, ids, tokens of the document, sequence, offset). A piece's
     loss-bearing tokens are the document's last ones. Sequences are filled to their token limit by cutting a piece
-    where none fits whole, unless the limit on segments or loss-bearing tokens ends them. The last, partly filled
-    sequence is laid out anew as sequences whose lengths are powers of two, which need no padding.
+    where none fits whole, unless the limit on segments or loss-bearing tokens ends them. A sequence that ends partly
+    filled is laid out anew as sequences whose lengths are powers of two, which need no padding.
     """
 
     limits: Limits = field(default_factory=Limits)
@@ -51,25 +51,21 @@ class Packer:
         """Takes a document up; places pieces as soon as more than ``view`` are waiting."""
         total, out, start = len(ids), [], 0
         free = total - loss  # tokens before the loss-bearing ones
-        full = min(self.limits.tokens, self.limits.loss_tokens)
-        while total - start >= full and total - start > 0:
-            out += self._whole(name, start, ids[start : start + full], total)
-            start += full
+        full = self.limits.tokens
+        while total - start >= full and self.limits.loss_tokens >= full and self.limits.segments:
+            out.append((name, start, ids[start : start + full], total, self.sequence, 0))
+            self.sequence, start = self.sequence + 1, start + full
         if start < total:
             self.waiting.append((name, start, ids[start:], total, free))
         while len(self.waiting) > self.limits.view:
             out += self._place()
         return out
 
-    def _whole(self, name, start, ids, total) -> list:
-        self.sequence += 1
-        return [(name, start, ids, total, self.sequence - 1, 0)]
-
     def finish(self) -> list:
         out = []
         while self.waiting:
             out += self._place()
-        return out + self._close(last=True)
+        return out + self._close()
 
     def _demand(self) -> np.ndarray:
         n = np.array([len(p[2]) for p in self.waiting], np.int64)
@@ -104,8 +100,9 @@ class Packer:
             self.waiting.pop()
         self.used = [u + int(d) for u, d in zip(self.used, demand)]
 
-    def _close(self, last: bool = False) -> list:
+    def _close(self) -> list:
         out, total = [], sum(len(p[2]) for p in self.open)
+        last = total < self.limits.tokens
         room = 1 << (total.bit_length() - 1) if last and total else total
         offset = 0
         for name, start, ids, whole in self.open:
@@ -122,47 +119,58 @@ class Packer:
 
 
 def _emit(batches, tokenizer_path: str, end_id: int, limits: Limits, row, schema: pa.Schema):
-    """Placed pieces of a task's documents, turned to rows by row(piece, sequence_id)."""
-    tokens, packer, end = encoder(tokenizer_path), Packer(limits), np.array([end_id], "<u4").tobytes()
+    """Placed pieces of a task's documents (doc_id, text, loss-bearing tokens or null), turned to rows by row(piece, sequence_id)."""
+    tokens, packer = encoder(tokenizer_path), Packer(limits)
     base = TaskContext.get().partitionId() << 40
 
     def rows(placed):
-        return pa.RecordBatch.from_pylist([row(p, base + p[4]) for p in placed], schema)
+        columns = zip(*(row(p, base + p[4]) for p in placed))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     for batch in batches:
-        for doc_ids, texts in pieces(batch):
-            placed = []
-            for doc_id, data in zip(doc_ids, tokens.encode(texts)):
-                ids = np.frombuffer(data + end, "<u4")
-                placed += packer.add(doc_id, ids, len(ids))
+        names, loss = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for a, b, ids, sizes in tokens.slices(batch.column(1)):
+            placed, start = [], 0
+            ids = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4", copy=False)
+            for i, n in zip(range(a, b), (sizes + 1).tolist()):
+                mine = ids[start : start + n]
+                placed += packer.add(names[i], mine, n if loss[i] is None else min(max(loss[i], 0), n))
+                start += n
             if placed:
                 yield rows(placed)
     if placed := packer.finish():
         yield rows(placed)
 
 
-def pack_digest(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Limits()) -> DataFrame:
+def _documents(docs: DataFrame, loss: str | None) -> DataFrame:
+    bearing = F.col(loss).cast("long") if loss else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), bearing.alias("loss"))
+
+
+def pack_digest(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Limits(), loss: str | None = None) -> DataFrame:
     """Where each piece of each document lies: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each input task packs its own documents, so nothing is shuffled and a lost task is simply read and packed again;
     sequence ids hold the task's number. Null text is empty (its end id only), repeated rows are packed each, a null
-    doc_id stays null, an empty table gives no rows, other columns are ignored.
+    doc_id stays null, an empty table gives no rows, other columns are ignored. loss: a column with the number of each
+    document's last tokens, the end id among them, that bear loss (null, or without the column: all of them).
     """
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def row(p, sequence):
-        return {"doc_id": p[0], "start": p[1], "length": len(p[2]), "ids_crc32": zlib.crc32(p[2].tobytes()), "doc_tokens": p[3], "sequence_id": sequence, "offset": p[5]}
+        return p[0], p[1], len(p[2]), zlib.crc32(p[2]), p[3], sequence, p[5]
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda b: _emit(b, tokenizer_path, end_id, limits, row, schema), PIECE_SCHEMA)
+    return _documents(docs, loss).mapInArrow(lambda b: _emit(b, tokenizer_path, end_id, limits, row, schema), PIECE_SCHEMA)
 
 
-def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Limits()) -> DataFrame:
-    """The pieces themselves: sequence_id, offset, doc_id, start and ids; a sequence's pieces follow one another."""
+def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int, limits: Limits = Limits(), loss: str | None = None) -> DataFrame:
+    """The pieces themselves: sequence_id, offset, doc_id, start and ids; a sequence's pieces follow one another.
+
+    As ``pack_digest`` in all else.
+    """
     schema = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
     def row(p, sequence):
-        return {"sequence_id": sequence, "offset": p[5], "doc_id": p[0], "start": p[1], "ids": p[2].tolist()}
+        return sequence, p[5], p[0], p[1], p[2].tolist()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda b: _emit(b, tokenizer_path, end_id, limits, row, schema), "sequence_id long, offset long, doc_id long, start long, ids array<long>")
+    return _documents(docs, loss).mapInArrow(lambda b: _emit(b, tokenizer_path, end_id, limits, row, schema), "sequence_id long, offset long, doc_id long, start long, ids array<long>")

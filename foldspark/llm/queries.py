@@ -64,7 +64,7 @@ ORACLE_SQL["op3_exact_dedup"] = exact_dedup.ORACLE_SQL
 
 @query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2, Limits())
+    return pack_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2, Limits(segments=64))
 
 
 @query

@@ -18,12 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bpe import encoder, pieces
+from ._bpe import encoder
 from ._shared import Scratch, partitions
 
 #: Fixed values of the format: ids in a word and bits of each, by selector from 1; selector 0 is the escape.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK_IDS = 1 << 16
+PREFIX = 64
 #: Bits of each number that a public vocabulary may have for an id.
 _BITS = np.frexp(np.arange(1 << 18, dtype=np.float64))[1].astype(np.uint8)
 BLOCK_SCHEMA = "shard int, block int, first_id long, doc_ids array<long>, doc_tokens array<long>, n_ids long, words binary"
@@ -99,37 +100,47 @@ def decode_words(words: np.ndarray, n: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shards: int) -> None:
     """Encodes (doc_id, text) with a tokenizers file and writes Simple-8b blocks in ascending doc_id order.
 
-    Null text is empty, so a document always has its end id. Null doc_ids come first; rows that share a doc_id stay
-    together in the order of their texts. A document longer than ``BLOCK_IDS`` is a block of its own.
+    Null text is empty, so a document always has its end id. Null doc_ids come first; rows that share a doc_id follow one
+    another in the order of their texts' first ``PREFIX`` characters, then their hashes, so they may lie in several
+    shards. A document longer than ``BLOCK_IDS`` is a block of its own. An empty table gives no blocks.
     """
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # The salt deals out rows that are equal in all: which of them comes first can't be seen.
+    keyed = rows.withColumns({"start": F.substring("text", 1, PREFIX), "hash": F.xxhash64("text"), "salt": F.monotonically_increasing_id() % 1024})
+    ordered = keyed.repartitionByRange(shards, "doc_id", "start", "hash", "salt").sortWithinPartitions("doc_id", "start", "hash", "salt").select("doc_id", "text")
 
     def blocks(batches):
         shard, tokens = TaskContext.get().partitionId(), encoder(tokenizer_path)
-        held: list[bytes] = []
-        names: list = []
+        held: list[np.ndarray] = []
+        names: list[pa.Array] = []
+        sizes: list[np.ndarray] = []
         state = {"block": 0, "first": 0, "ids": 0}
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("words", pa.binary())])
 
         def flush():
             n = state["ids"]
-            words = encode_words(np.frombuffer(b"".join(held), "<u4"))
-            row = pa.RecordBatch.from_pylist([{"shard": shard, "block": state["block"], "first_id": state["first"], "doc_ids": names[:], "doc_tokens": [len(x) // 4 for x in held], "n_ids": n, "words": words.tobytes()}], schema)
+            words = encode_words(np.concatenate(held))
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            columns = [pa.array([shard], pa.int32()), pa.array([state["block"]], pa.int32()), pa.array([state["first"]], pa.int64()), one(pa.concat_arrays(names)), one(pa.array(np.concatenate(sizes))), pa.array([n], pa.int64()), pa.array([words.tobytes()], pa.binary())]
             state.update(block=state["block"] + 1, first=state["first"] + n, ids=0)
-            held.clear()
-            names.clear()
-            return row
+            for x in (held, names, sizes):
+                x.clear()
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
-            for doc_ids, texts in pieces(batch):
-                for doc_id, ids in zip(doc_ids, tokens.encode(texts)):
-                    held.append(ids + end)
-                    names.append(doc_id)
-                    state["ids"] += len(ids) // 4 + 1
+            for first, last, ids, each in tokens.slices(batch.column(1)):
+                ids, each = np.insert(ids, np.cumsum(each), end_id), each + 1
+                ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+                a = 0
+                while a < len(each):  # documents up to the one that fills the block
+                    b = min(len(each), int(np.searchsorted(ends, ends[a] + BLOCK_IDS - state["ids"])))
+                    held.append(ids[ends[a] : ends[b]])
+                    names.append(batch.column(0).slice(first + a, b - a))
+                    sizes.append(each[a:b])
+                    state["ids"] += int(ends[b] - ends[a])
                     if state["ids"] >= BLOCK_IDS:
                         yield flush()
+                    a = b
         if held:
             yield flush()
 
@@ -141,7 +152,10 @@ def read_blocks(spark, path: str) -> DataFrame:
 
 
 def decode_documents(blocks: DataFrame) -> DataFrame:
-    """(shard, doc_id, first_id, n_tokens, ids binary) of every document of the blocks; ids as unsigned 32-bit."""
+    """(shard, doc_id, first_id, n_tokens, ids binary) of every document of the blocks; ids as unsigned 32-bit.
+
+    Repeated and null doc_ids are documents each; no blocks give no rows.
+    """
 
     def documents(batches):
         for batch in batches:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from foldspark.llm import chat_rotation, class_lm, exact_dedup, exact_topk, language_id, mixing, near_dedup, packing, token_binary, token_counts
 from foldspark.llm._bpe import PartEncoder
@@ -47,8 +48,26 @@ def test_words():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder(name):
     e = PartEncoder(tokenizer_path(name))
+
+    def same(texts):
+        ids, sizes = e.encode(pa.array(texts, pa.string()))
+        found = np.split(ids, np.cumsum(sizes)[:-1])
+        for t, got in zip(texts, found):
+            assert got.tolist() == (e.whole(t).tolist() if t else []), repr(t)
+
     for _ in range(2):  # the second time from what is known
-        assert e.encode(ODD) == [e.whole(t) if t else b"" for t in ODD]
+        same(ODD)
+    same(ODD[5:])
+    # Every letter, alone in a word and before punctuation; every other code point that there is, within words.
+    points = [c for c in map(chr, range(1, 0x3000)) if c.isalpha()]
+    same([f"a{c}. {c}! b{c}" for c in points])
+    same([f"x {chr(c)} y{chr(c)}, z{chr(c)}w {chr(c)}\n{chr(c)}" for c in [*range(1, 0x3000, 3), *range(0x3000, 0x11000, 97)] if not 0xD800 <= c < 0xE000])
+    rng = np.random.default_rng(11)
+    alphabet = list("abcXYZ .,!?'\"\n\t$-09") + ["é", "ß", "İ", "ſ", "ı", "\u0301", "\u0338", "日", "\xa0", "\x1c", " ", "'s", "<|endoftext|>", "Ǆ", "ﬁ"]
+    same(["".join(rng.choice(alphabet, int(rng.integers(0, 30)))) for _ in range(3000)])
+    e.limit = 10
+    same(ODD)
+    same(ODD)
 
 
 def test_simple8b():
@@ -64,10 +83,20 @@ def test_token_binary(spark):
     rows = sorted(token_binary.token_binary(docs(spark, ODD), path, 0).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in rows] == [None, *range(len(ODD))]
     for r, t in zip(rows, ["null id here", *ODD]):
-        data = (e.whole(t) if t else b"") + bytes(4)
+        data = (e.whole(t).tobytes() if t else b"") + bytes(4)
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(data) // 4, zlib.crc32(data))
         start += len(data) // 4
     assert token_binary.token_binary(empty(spark), path, 0).count() == 0
+    # Repeated ids, repeated rows and null ids, over several shards; a document longer than a block.
+    long = " ".join(f"w{i}" for i in range(40_000))
+    many = [(1, "b"), (1, "a"), (1, "a"), (None, "x"), (None, None), (2, long), (0, "z")] * 3
+    table = spark.createDataFrame(many, "doc_id long, text string")
+    rows = sorted(token_binary.token_binary(table, path, 0).collect(), key=lambda r: r["start"])
+    crc = lambda t: zlib.crc32((e.whole(t).tobytes() if t else b"") + bytes(4))
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in rows) == Counter((i, crc(t)) for i, t in many)
+    order = [-1 if r["doc_id"] is None else r["doc_id"] for r in rows]
+    assert order == sorted(order) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
+    assert max(r["n_tokens"] for r in rows) > token_binary.BLOCK_IDS
 
 
 def check_packed(rows, ids, limit=4096):
@@ -91,10 +120,24 @@ def check_packed(rows, ids, limit=4096):
 def test_packing(spark):
     path = tokenizer_path("word_bpe_49k.json")
     e = PartEncoder(path)
-    rows = packing.pack_digest(docs(spark, ODD), path, 2).collect()
     end = np.array([2], "<u4").tobytes()
-    check_packed(rows, {i: (e.whole(t) if t else b"") + end for i, t in enumerate(ODD)} | {None: e.whole("null id here") + end})
+    whole = {i: (e.whole(t).tobytes() if t else b"") + end for i, t in enumerate(ODD)} | {None: e.whole("null id here").tobytes() + end}
+    check_packed(packing.pack_digest(docs(spark, ODD), path, 2).collect(), whole)
     assert packing.pack_digest(empty(spark), path, 2).count() == 0
+    assert packing.pack_digest(docs(spark, ODD).union(docs(spark, ODD)), path, 2).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).filter("`sum(length)` <> 2 * `max(doc_tokens)`").count() == 0
+    # Limits on segments and on loss-bearing tokens that bind: an end id bears no loss, nor does any token of even ids.
+    limits = packing.Limits(4096, 4, 1500)
+    loss = docs(spark, ODD).coalesce(1).withColumn("bearing", F.when(F.col("doc_id") % 2 == 0, 0))
+    rows = packing.pack_digest(loss, path, 2, limits, "bearing").collect()
+    check_packed(rows, whole)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append(r)
+    bearing = [sum(r["length"] for r in g if r["doc_id"] is None or r["doc_id"] % 2) for g in sequences.values()]
+    assert max(bearing) <= 1500 and max(map(len, sequences.values())) == 4
+    assert max(sum(r["length"] for r in g) for g in sequences.values()) > 1500
+    made = packing.pack_sequences(loss, path, 2, limits, "bearing").collect()
+    assert {(r["sequence_id"], r["offset"], r["doc_id"], zlib.crc32(np.array(r["ids"], "<u4"))) for r in made} == {(r["sequence_id"], r["offset"], r["doc_id"], r["ids_crc32"]) for r in rows}
 
 
 def test_packer_limits():
