@@ -25,15 +25,6 @@ def header(role: Column, perspective: Column) -> Column:
     return F.concat(F.lit(OPEN), who, F.lit(MIDDLE))
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left with the other columns of right, equal keys (null equals null)."""
-    named = right.withColumnsRenamed({k: f"{k}_" for k in keys})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    return left.join(named, cond).drop(*(f"{k}_" for k in keys))
-
-
 def rotate(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, segment, turn, role, rendered, start, length, loss_start and loss_length of each segment.
 
@@ -43,41 +34,54 @@ def rotate(conversations: DataFrame) -> DataFrame:
     empty, a null role speaks as the user named unknown, null conv_id is a conversation of its own. Repeated rows are
     segments each, counted before anything is shuffled by conversation. An empty table gives no rows; extra columns are
     ignored.
+
+    What one role says in one turn is a seat. Places are worked out from the seats' numbers of segments and characters, which
+    are a few numbers whatever the texts; texts are shuffled twice, and multiplied by perspectives only in the result.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     said = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("times"))
-    people = rows.filter(F.col("role").isNotNull() & (F.col("role") != SYSTEM)).select("conv_id", F.col("role").alias("perspective")).distinct()
-    each = _joined(said, people, ["conv_id"])
-    each = each.withColumn("rendered", F.concat(header(F.col("role"), F.col("perspective")), F.col("text"), F.lit(CLOSE)))
-    each = each.withColumn("length", F.length("rendered").cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    each = each.withColumns({"chars": F.col("length") * F.col("times")})
-    who = ["conv_id", "perspective"]
+    # Structs compare null with null as equal, so they are keys in joins too.
+    said = said.select(F.struct("conv_id", "turn", "role").alias("seat"), "text", "times", (F.col("times") * F.length("text")).alias("chars"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    running = lambda name, w: F.coalesce(F.sum(name).over(before(w)), F.lit(0))
-    # Within a turn; turns within a block; blocks within a conversation.
+    running = lambda name, w: F.coalesce(F.sum(name).over(before(w)), F.lit(0)).cast("long")
+    w0 = Window.partitionBy("seat").orderBy("text")
+    said = said.withColumns({"x_times": running("times", w0), "x_chars": running("chars", w0)})
+    seats = rows.groupBy("conv_id", "turn", "role").agg(F.count("*").alias("times"), F.sum(F.length("text")).alias("chars"))
+    seats = seats.select(F.struct("conv_id").alias("conv"), F.col("turn"), F.col("role"), "times", "chars")
+    people = rows.filter(F.col("role").isNotNull() & (F.col("role") != SYSTEM)).select(F.struct("conv_id").alias("p_conv"), F.col("role").alias("perspective")).distinct()
+    each = seats.join(people, F.col("conv") == F.col("p_conv")).drop("p_conv")
+    frame = F.length(header(F.col("role"), F.col("perspective"))) + len(CLOSE)
+    each = each.withColumns({"chars": F.col("chars") + F.col("times") * frame, "block": F.floor(F.col("turn") / BLOCK)})
+    # Roles within a turn; turns within a block; blocks within a conversation.
+    who = ["conv", "perspective"]
     turns = each.groupBy(*who, "block", "turn").agg(F.sum("times").alias("t_times"), F.sum("chars").alias("t_chars"))
     blocks = turns.groupBy(*who, "block").agg(F.sum("t_times").alias("b_times"), F.sum("t_chars").alias("b_chars"))
     w3 = Window.partitionBy(*who).orderBy(F.col("block").asc_nulls_first())
-    blocks = blocks.select(*who, "block", running("b_times", w3).alias("b_segment"), running("b_chars", w3).alias("b_start"))
+    blocks = blocks.select(F.struct(*who, "block").alias("b_key"), running("b_times", w3).alias("b_segment"), running("b_chars", w3).alias("b_start"))
     w2 = Window.partitionBy(*who, "block").orderBy(F.col("turn").asc_nulls_first())
-    turns = turns.select(*who, "block", "turn", running("t_times", w2).alias("t_segment"), running("t_chars", w2).alias("t_start"))
-    w1 = Window.partitionBy(*who, "block", "turn").orderBy(F.col("role").asc_nulls_first(), "text")
-    each = each.withColumns({"r_segment": running("times", w1), "r_start": running("chars", w1)})
-    placed = _joined(_joined(each, turns, [*who, "block", "turn"]), blocks, [*who, "block"])
-    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    start = F.col("b_start") + F.col("t_start") + F.col("r_start") + F.col("copy") * F.col("length")
-    masked = F.col("role") == F.col("perspective")
-    lead = F.length(header(F.col("role"), F.col("perspective")))
-    return placed.select(
-        *who,
-        (F.col("b_segment") + F.col("t_segment") + F.col("r_segment") + F.col("copy")).alias("segment"),
-        "turn",
-        "role",
-        "rendered",
-        start.alias("start"),
+    turns = turns.select(F.struct(*who, "turn").alias("t_key"), F.struct(*who, "block").alias("b_key_"), running("t_times", w2).alias("t_segment"), running("t_chars", w2).alias("t_start"))
+    turns = turns.join(blocks, F.col("b_key_") == F.col("b_key")).select("t_key", (F.col("t_segment") + F.col("b_segment")).alias("t_segment"), (F.col("t_start") + F.col("b_start")).alias("t_start"))
+    w1 = Window.partitionBy(*who, "turn").orderBy(F.col("role").asc_nulls_first())
+    each = each.select(F.struct(*who, "turn").alias("key"), "perspective", F.struct("conv.conv_id", "turn", "role").alias("p_seat"), running("times", w1).alias("r_segment"), running("chars", w1).alias("r_start"))
+    placed = each.join(turns, F.col("key") == F.col("t_key")).select("p_seat", "perspective", (F.col("r_segment") + F.col("t_segment")).alias("p_segment"), (F.col("r_start") + F.col("t_start")).alias("p_start"))
+    joined = said.join(placed, F.col("seat") == F.col("p_seat")).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    role, perspective = F.col("seat.role"), F.col("perspective")
+    head = header(role, perspective)
+    lead = F.length(head).cast("long")
+    length = lead + F.length("text") + len(CLOSE)
+    joined = joined.withColumns({"lead": lead, "length": length, "start": F.col("p_start") + F.col("x_chars") + F.col("x_times") * (lead + len(CLOSE)) + F.col("copy") * length})
+    masked = role == perspective
+    return joined.select(
+        F.col("seat.conv_id").alias("conv_id"),
+        "perspective",
+        (F.col("p_segment") + F.col("x_times") + F.col("copy")).alias("segment"),
+        F.col("seat.turn").alias("turn"),
+        role.alias("role"),
+        F.concat(head, F.col("text"), F.lit(CLOSE)).alias("rendered"),
+        "start",
         "length",
-        F.when(masked, start + lead).otherwise(F.lit(-1).cast("long")).alias("loss_start"),
-        F.when(masked, F.col("length") - lead).otherwise(F.lit(0).cast("long")).alias("loss_length"),
+        F.when(masked, F.col("start") + F.col("lead")).otherwise(F.lit(-1).cast("long")).alias("loss_start"),
+        F.when(masked, F.col("length") - F.col("lead")).otherwise(F.lit(0).cast("long")).alias("loss_length"),
     )
 
 

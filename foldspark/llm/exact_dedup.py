@@ -5,7 +5,8 @@ sorted externally by the same key and then the whole normalised text, so equal t
 the whole text compares neighbours in full. Only splitters of bounded length are sampled, never whole texts.
 
 A text with many copies would fill one range. Its hash is found beforehand by counting hashes; its rows are salted
-into subgroups of about ``HOT_ROWS`` rows, and one row of each subgroup is compared in full again afterwards.
+into subgroups of about ``HOT_ROWS`` rows, and one row of each subgroup is compared in full again afterwards: by an
+aggregation keyed by the whole text, of which each task sends one row, so no task gets all subgroups of a text.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def _subgroups(docs: DataFrame, keep: str, payload: bool) -> DataFrame:
     keyed = base.withColumns({"hash": F.xxhash64(loose), "start": F.substring(loose, 1, PREFIX)})
     hot = keyed.groupBy("hash").agg(F.count("*").alias("copies")).filter(F.col("copies") >= max(HOT_ROWS, rows // HOT_TEXTS))
     parts = F.ceil(F.col("copies") / HOT_ROWS).cast("int")
-    salted = keyed.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.when(F.col("copies").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int"))).drop("copies")
+    salted = keyed.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.when(F.col("copies").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.coalesce("id", F.monotonically_increasing_id()), F.lit(1)), parts).cast("int"))).drop("copies")
     ranged = salted.repartitionByRange(partitions(docs.sparkSession), "start", "hash", "salt").withColumn("norm", normalised(F.col("body"))).drop("body")
     group = Window.partitionBy("start", "hash", "salt", "norm")
     order = group.orderBy(F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last())
@@ -63,17 +64,16 @@ def mark_duplicates(docs: DataFrame, keep: str = "largest", payload: bool = Fals
         columns.append(F.when(first, F.col("row")).alias("row"))
     subs = scratch.write(subs.select(*columns), "subgroups")
     # The subgroups of hot texts: one row of each, compared in full.
-    order = Window.partitionBy("hash", "again").orderBy(F.col("sub_id").desc_nulls_last() if keep == "largest" else F.col("sub_id").asc_nulls_last(), "salt")
-    whole = Window.partitionBy("hash", "again")
-    merged = subs.filter(F.col("again").isNotNull()).select("hash", "again", "salt", "sha", "sub_id", "sub_size")
-    merged = merged.select("hash", "salt", F.col("sha").alias("m_sha"), F.first("sub_id").over(order).alias("m_id"), F.sum("sub_size").over(whole).alias("m_size"), F.row_number().over(order).alias("m_place"))
-    joined = subs.join(merged.withColumnsRenamed({"hash": "m_hash", "salt": "m_salt"}), (F.col("hash") == F.col("m_hash")) & (F.col("salt") == F.col("m_salt")) & (F.col("sha") == F.col("m_sha")), "left")
+    best = F.max(F.struct("sub_id", F.negate("salt").alias("salt"))) if keep == "largest" else F.min(F.struct(F.col("sub_id").isNull().alias("none"), "sub_id", F.negate("salt").alias("salt")))
+    merged = subs.filter(F.col("again").isNotNull()).groupBy("hash", "again").agg(F.first("sha").alias("m_sha"), best.alias("best"), F.sum("sub_size").alias("m_size"))
+    merged = merged.select(F.col("hash").alias("m_hash"), "m_sha", F.col("best.sub_id").alias("m_id"), F.negate("best.salt").alias("m_salt"), "m_size")
+    joined = subs.join(merged, (F.col("hash") == F.col("m_hash")) & (F.col("sha") == F.col("m_sha")), "left")
     hot = F.col("m_hash").isNotNull()
     out = [
         F.col("id").alias("doc_id"),
         F.when(hot, F.col("m_id")).otherwise(F.col("sub_id")).alias("keep_id"),
         F.when(hot, F.col("m_size")).otherwise(F.col("sub_size")).alias("group_size"),
-        (first & F.coalesce(F.col("m_place") == 1, F.lit(True))).alias("kept"),
+        (first & F.coalesce(F.col("m_salt") == F.col("salt"), F.lit(True))).alias("kept"),
         F.col("sha").alias("text_sha256"),
     ]
     return joined.select(*out, *(["row"] if payload else []))

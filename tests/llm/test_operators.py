@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from foldspark.llm import chat_rotation, class_lm, exact_dedup, exact_topk, language_id, mixing, near_dedup, packing, token_binary, token_counts
 from foldspark.llm._bpe import PartEncoder
 from foldspark.llm._text import hash_words, slices
-from foldspark.llm.queries import QUERIES, tokenizer_path
+from foldspark.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 ODD = [None, "", " ", "\n", "a", "A b", "a\n\nb ", " x  y", "don't stop, it's. we'll", "é\xa0z ÉB!", "x\x1cy \x85z", "<|endoftext|> a", "日本 語", "z" * 5000, "word " * 3000, "\tq\r\n"]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -436,3 +436,19 @@ def test_pipeline(spark):
     assert ids == {i for i, t in texts.items() if any(c.isalpha() for c in t or "")} - {len(ODD)}
     mixed = corpus_pipeline.mix(spark, kept, "")
     assert mixed.columns == base.columns and {r["doc_id"] for r in mixed.collect()} <= ids
+
+
+@pytest.fixture(scope="module")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    d = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        d.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    return d
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_oracle(spark, duck, name):
+    """The queries with SQL give DuckDB's rows."""
+    rows = lambda df: sorted(map(repr, ([None if x is None or x != x else x for x in r] for r in df[sorted(df.columns)].astype(object).values.tolist())))
+    assert rows(QUERIES[name](spark, SMALL).toPandas()) == rows(duck.sql(ORACLE_SQL[name]).df())
