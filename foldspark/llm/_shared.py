@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; set to a temporary one only where the session names none."""
+    """The shared folder of the session; a temporary one only where the session names none and runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="foldspark-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -39,6 +42,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -46,6 +50,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(self.path(name))
+        self.names.add(name)
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:
@@ -54,6 +59,10 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, self.path(name))
+            self.names.discard(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*self.names.difference(names))
 
     def close(self) -> None:
         with contextlib.suppress(Exception):  # the session may have ended, and its folder with it

@@ -557,7 +557,7 @@ def class_scores(docs: DataFrame, classes: int = 64, seeds: int = 512, alpha: fl
         return pa.RecordBatch.from_pydict({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(lengths), "n_known": pa.array(add((count > 0).astype(np.int64))), "base_score": pa.array(add(base)), "emission": pa.array(add(emission)), "classes": pa.array([code[a:b] for a, b in zip(starts.tolist(), ends)], pa.binary())})
 
     scored = scratch.write(gathered.mapInArrow(read, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, classes binary"), "scored")
-    scratch.drop("chunks")
+    scratch.drop_all_but("scored")
     size = classes + 2
 
     def follow(data: list[bytes]):

@@ -16,13 +16,15 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import Scratch
 
 BUCKET = 1024
 LANDING = 12
+#: Up to so many sources (some 50 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 _NEAR = 1e-9
 
@@ -86,16 +88,21 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool
     return p
 
 
+def _by_source(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A table of one row for each source, broadcast where it is small: so no source's documents meet in one task."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
+
+
 def _level(units: DataFrame, level: int, buckets: dict, seed: int) -> DataFrame:
     """One flight over units dealt to buckets; a source with one bucket lands."""
     spark = units.sparkSession
-    rows = [(s, n) for s, n in buckets.items()]
-    dealt = units.join(spark.createDataFrame(rows, "b_source string, b_count int"), F.col("source").eqNullSafe(F.col("b_source")))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("row_key", "doc_id", "size", F.lit(level)), F.col("b_count")).cast("int")).withColumn("lands", F.col("b_count") == 1).drop("b_source", "b_count")
+    dealt = units.join(_by_source(spark, list(buckets.items()), "b_source string, b_count int"), F.col("source").eqNullSafe(F.col("b_source")))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("row_key", "doc_id", "size", "nth", F.lit(level)), F.col("b_count")).cast("int")).withColumn("lands", F.col("b_count") == 1).drop("b_source", "b_count")
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         # Large documents first: those left open are small.
-        pdf = pdf.sort_values(["size", "row_key"], ascending=[False, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["size", "row_key", "nth"], ascending=[False, True, True], kind="stable", ignore_index=True)
         name = pdf["source"].iloc[0]
         code = zlib.crc32(name.encode()) if isinstance(name, str) else 1 << 32
         rng = np.random.default_rng([seed, level, code, int(pdf["bucket"].iloc[0])])
@@ -106,7 +113,7 @@ def _level(units: DataFrame, level: int, buckets: dict, seed: int) -> DataFrame:
 
 
 def balanced_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """row_key, doc_id, size, source, source_size, target, copies and taken for every row of (doc_id, text, source).
+    """doc_id, size, source_size, target, taken, source, copies and row_key for every row of (doc_id, text, source).
 
     Size is the number of words (null text: 0). Sources in code-point order, null last, take the weights in turn;
     together they share ``share`` times all words, each at most ``most`` times its own. taken = copies * size, and a
@@ -117,8 +124,9 @@ def balanced_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: f
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     units = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    # doc_id travels as text: pandas has no integer that may be null.
-    units = scratch.write(units, "sizes")
+    # doc_id travels as text: pandas has no integer that may be null. Identical rows are counted, then numbered.
+    units = units.groupBy(*units.columns).agg(F.count("*").alias("n"))
+    units = scratch.write(units.select("row_key", "doc_id", "source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth")), "sizes")
     totals = {r["source"]: (r["n"], r["words"]) for r in units.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()}
     names = sorted((s for s in totals if s is not None), key=lambda s: s.encode()) + [None] * (None in totals)
     sizes = {s: totals[s][1] for s in names}
@@ -128,7 +136,7 @@ def balanced_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: f
         rate = targets[s] / sizes[s] if sizes[s] else 0.0
         whole = int(rate + _NEAR)
         plan.append((s, sizes[s], targets[s], whole, max(0.0, rate - whole) if rate - whole > _NEAR else 0.0))
-    wanted = spark.createDataFrame(plan, "w_source string, source_size long, target double, whole int, p double")
+    wanted = _by_source(spark, plan, "w_source string, source_size long, target double, whole int, p double")
     state = units.join(wanted, F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source")
     counts = {s: totals[s][0] for s, _, _, _, p in plan if p > 0}
     done = [state.filter("p = 0")]
@@ -143,7 +151,7 @@ def balanced_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: f
     for x in done[1:]:
         out = out.unionByName(x)
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return out.select("row_key", F.col("doc_id").cast("long").alias("doc_id"), "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), "row_key")
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -151,8 +159,23 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns."""
-    taken = balanced_mix(docs, **how).groupBy("row_key").agg(F.max("copies").cast("int").alias("mix_copies")).filter("mix_copies > 0").withColumnRenamed("row_key", "mix_key")
+    """The rows of docs as often as the mix takes them, with all their columns; an empty table gives no rows.
+
+    Rows with equal doc_id, text and source get together what the mix takes of them, each its share.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed-rows")
+    taken = balanced_mix(docs, **how).groupBy(F.col("row_key").alias("mix_key")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).filter("mix_copies > 0")
+    taken = scratch.write(taken, "taken")
     packed = docs.select(row_key(docs).alias("mix_row_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"))
-    joined = packed.join(taken, F.col("mix_row_key") == F.col("mix_key"))
-    return joined.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy")).select("mix_row.*")
+    match = F.col("mix_row_key") == F.col("mix_key")
+    out = packed.join(taken.filter("mix_rows = 1"), match).select("mix_row", "mix_copies")
+    repeated = taken.filter("mix_rows > 1")
+    if repeated.count():
+        # Numbers of equal rows, in two levels: within a salt, and before it.
+        salted = scratch.write(packed.join(repeated, match).drop("mix_row_key").withColumn("mix_salt", F.monotonically_increasing_id() % 256), "repeated")
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("mix_key").orderBy("mix_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        salts = salted.groupBy("mix_key", "mix_salt").agg(F.count("*").alias("n")).select("mix_key", "mix_salt", before.alias("mix_before"))
+        nth = F.row_number().over(Window.partitionBy("mix_key", "mix_salt").orderBy("mix_salt")) + F.col("mix_before") - 1
+        share = F.floor(F.col("mix_copies") / F.col("mix_rows")) + (nth < F.col("mix_copies") % F.col("mix_rows")).cast("int")
+        out = out.unionByName(salted.join(salts, ["mix_key", "mix_salt"]).select("mix_row", share.alias("mix_copies")).filter("mix_copies > 0"))
+    return out.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select("mix_row.*")

@@ -3,16 +3,16 @@
 1. Signatures. Each document's distinct word shingles are hashed once to 64 bits. The range of the hash is cut into
    ``bins`` equal bins, of which each keeps its least hash; an empty bin takes over the bin that a 2-universal sequence
    of its own reaches first (optimal densification). A fingerprint of the sorted set names documents with equal sets.
-2. Classes. Documents with equal sets are one class, represented by the smallest doc_id; only representatives go on.
-3. Buckets. Runs of ``rows`` signature values are hashed to band keys; representatives that share a key share a bucket.
+2. Classes. Documents with equal sets are one class, a node of the graph; one text of each goes on.
+3. Buckets. Runs of ``rows`` signature values are hashed to band keys; nodes that share a key share a bucket.
 4. Stars. In a bucket only edges from a hub (its smallest member) to the others are candidates, so a bucket of n
    members has n - 1 candidates. Candidates are confirmed on full shingle sets, confirmed ones joined to components.
 5. Rest. A bucket whose members are not yet in one component may hide a link between two that are no hub. Members of
    such buckets that share them, directly or over others, are a cluster. In a cluster the largest component is told
-   from the other members, both are dealt to blocks of about ``BLOCK``, and every pair of blocks that may hold a link
-   between components is compared in full at once, by a product of its document-shingle matrices. So every pair that
-   shares a bucket is confirmed, refuted, or already connected, without a cap on members or partners; rows moved are
-   members times blocks, never pairs.
+   from the other members; both are dealt to bands of set size, of which only neighbours can hold similar sets, and to
+   blocks of about ``BLOCK``, and every pair of blocks that may hold a link between components is compared in full at
+   once, by a product of its document-shingle matrices. So every pair that shares a bucket is confirmed, refuted, or
+   already connected, without a cap on members or partners; rows moved are members times blocks, never pairs.
 
 Shingles are compared by 64-bit hashes of their words.
 """
@@ -20,6 +20,7 @@ Shingles are compared by 64-bit hashes of their words.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from ._text import hash_words, mix, slices
 #: Members of one hub that are confirmed in one group, which holds the hub's set and reads the others one by one.
 STAR = 256
 BLOCK = 256
-#: Up to so many requested documents (24 bytes each) are broadcast to the scan of the texts; more are joined by shuffle.
-BROADCAST_REQUESTS = 500_000
+#: Up to so many requested documents (40 bytes each) are broadcast to the scan of the texts; more are joined by shuffle.
+BROADCAST_REQUESTS = 200_000
+#: Classes that are broadcast by name in the last join have at least so many documents, and at least a share 1 / HOT_CLASSES.
+HOT_ROWS, HOT_CLASSES = 1000, 100_000
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -96,12 +99,11 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, fingerprint of the set, and its band keys (none for an empty set)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, text_hash, n_shingles, fingerprint of the set, and its band keys (none for an empty set)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("fingerprint", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
             done, held = 0, []
 
             def rows_of(held, done):
@@ -111,9 +113,10 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 for i, k in zip(full, keys):
                     lists[i] = k.tolist()
                 marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in held]
-                return pa.RecordBatch.from_arrays([ids.slice(done, len(held)), pa.array([len(s) for s in held], pa.int64()), pa.array(marks, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
+                names = [c.slice(done, len(held)) for c in batch.columns[:2]]
+                return pa.RecordBatch.from_arrays([*names, pa.array([len(s) for s in held], pa.int64()), pa.array(marks, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
 
-            for s in shingle_sets(texts, words):
+            for s in shingle_sets(batch.column(2), words):
                 held.append(s)
                 if len(held) == 256:
                     yield rows_of(held, done)
@@ -121,23 +124,31 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             if held:
                 yield rows_of(held, done)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(sign, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, fingerprint binary, bands array<long>")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted, rows with a doc_id, with the text of their documents; small requests are broadcast to the scan."""
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted, rows with a node, with the text of one of its documents; small requests are broadcast to the scan."""
+    asked = wanted.join(classes.select("node", F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash")), "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
-    return texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_REQUESTS else wanted, "doc_id")
+    few = wanted.count() <= BROADCAST_REQUESTS
+    return texts.join(F.broadcast(asked) if few else asked, (F.col("doc_id") == F.col("d_id")) & (F.xxhash64("text") == F.col("d_hash"))).select(*wanted.columns, "text")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of (hub, member), the pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("stars"))
-    dealt = pairs.join(sizes, "hub").withColumn("star", F.pmod(F.xxhash64("member"), F.col("stars"))).select("hub", "star", "member")
-    hubs = dealt.select("hub", "star", F.col("hub").alias("doc_id")).distinct()
-    found = _texts(docs, dealt.select("hub", "star", F.col("member").alias("doc_id")).unionByName(hubs)).select("hub", "star", "doc_id", "text")
-    ordered = found.repartition(partitions(docs.sparkSession), "hub", "star").sortWithinPartitions("hub", "star", (F.col("doc_id") != F.col("hub")).cast("int"), "doc_id")
+def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of (hub, member), the pairs (a, b) with 100 * intersection >= percent * union of their full sets.
+
+    Pairs whose set sizes rule that out are dropped before any text is read.
+    """
+    sizes = classes.select(F.col("node").alias("s_node"), "n_shingles")
+    sized = pairs.join(sizes.withColumnsRenamed({"s_node": "hub", "n_shingles": "h_size"}), "hub").join(sizes.withColumnsRenamed({"s_node": "member", "n_shingles": "m_size"}), "member")
+    pairs = sized.filter(100 * F.least("h_size", "m_size") >= percent * F.greatest("h_size", "m_size")).select("hub", "member")
+    stars = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("stars"))
+    dealt = pairs.join(stars, "hub").withColumn("star", F.pmod(F.xxhash64("member"), F.col("stars"))).select("hub", "star", "member")
+    hubs = dealt.select("hub", "star", F.col("hub").alias("node")).distinct()
+    found = _texts(docs, classes, dealt.select("hub", "star", F.col("member").alias("node")).unionByName(hubs))
+    ordered = found.repartition(partitions(docs.sparkSession), "hub", "star").sortWithinPartitions("hub", "star", (F.col("node") != F.col("hub")).cast("int"), "node")
 
     def check(batches):
         at, base = None, None
@@ -157,33 +168,36 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return ordered.mapInArrow(check, "a long, b long").distinct()
 
 
-def intersections(sets: list[np.ndarray], cells: int = 1 << 24) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, by products of 0/1 matrices of at most ``cells`` cells."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    distinct, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts > 1
+def intersections(left: list[np.ndarray], right: list[np.ndarray], cells: int = 1 << 23) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, by products of 0/1 matrices of at most ``cells`` cells."""
+    n, m = len(left), len(right)
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(n + m), [len(s) for s in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    sides = np.bincount(place[owner < n], minlength=place.max() + 1), np.bincount(place[owner >= n], minlength=place.max() + 1)
+    shared = (sides[0] > 0) & (sides[1] > 0)
     column = (np.cumsum(shared) - 1)[place]
-    keep = shared[place]
-    owner, column = owner[keep], column[keep]
+    owner, column = owner[shared[place]], column[shared[place]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((n, n), np.int64)
-    step = max(1, cells // n)
+    out = np.zeros((n, m), np.int64)
+    step = max(1, cells // (n + m))
     for first in range(0, int(shared.sum()), step):
         a, b = np.searchsorted(column, [first, first + step])
-        matrix = np.zeros((n, step), np.float32)
+        matrix = np.zeros((n + m, step), np.float32)
         matrix[owner[a:b], column[a:b] - first] = 1
-        out += (matrix @ matrix.T).astype(np.int64)
-    out[np.arange(n), np.arange(n)] = [len(s) for s in sets]
+        out += (matrix[:n] @ matrix[n:].T).astype(np.int64)
     return out
 
 
-def _within(names: list, labels: list, sets: list, percent: int) -> list[tuple[int, int]]:
-    """Links between documents of different labels in one pair of blocks: those that join labels not yet joined here."""
-    both = intersections(sets)
-    size = both.diagonal()
-    linked = np.argwhere(np.triu(100 * both >= percent * (size[:, None] + size - both), 1))
+def _within(left: tuple, right: tuple | None, percent: int) -> list[tuple[int, int]]:
+    """Links between nodes of different labels, of (nodes, labels, sets) on the left with those on the right, or among themselves.
+
+    Only those that join labels not yet joined here.
+    """
+    other = right or left
+    both = intersections(left[2], other[2])
+    linked = 100 * both >= percent * (np.array([[len(s)] for s in left[2]]) + np.array([len(s) for s in other[2]]) - both)
     root: dict = {}
 
     def find(x):
@@ -193,56 +207,81 @@ def _within(names: list, labels: list, sets: list, percent: int) -> list[tuple[i
         return x
 
     out = []
-    for i, j in linked.tolist():
-        x, y = find(labels[i]), find(labels[j])
+    for i, j in np.argwhere(linked if right else np.triu(linked, 1)).tolist():
+        x, y = find(left[1][i]), find(other[1][j])
         if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((names[i], names[j]))
+            out.append((left[0][i], other[0][j]))
     return out
 
 
-def _clusters(labelled: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between components within clusters of torn buckets; labelled: (key, rep, label)."""
-    torn = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("rep").alias("hub")).filter("x <> y").select("key", "hub")
-    rest = scratch.write(labelled.join(torn, "key").select("rep", "label", "hub").distinct(), "torn")
-    cluster = components(rest.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch, "clusters")
-    people = rest.select("rep", "label").distinct().join(cluster, F.col("rep") == F.col("node"), "left").select("rep", "label", F.coalesce("component", "rep").alias("cluster"))
-    people = scratch.write(people, "cluster-members")
+def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of nodes: their sets as bytes."""
+
+    def sets(batches):
+        for batch in batches:
+            node = batch.column(0)
+            for i, s in enumerate(shingle_sets(batch.column(1), words)):
+                yield pa.RecordBatch.from_arrays([node.slice(i, 1), pa.array([s.tobytes()], pa.binary())], names=["node", "shingles"])
+
+    return _texts(docs, classes, nodes).mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _clusters(labelled: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components within clusters of torn buckets; labelled: (key, node, label)."""
+    torn = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("hub")).filter("x <> y").select("key", "hub")
+    rest = scratch.write(labelled.join(torn, "key").select("node", "label", "hub").distinct(), "torn")
+    cluster = components(rest.select(F.col("node").alias("a"), F.col("hub").alias("b")), scratch, "clusters").withColumnRenamed("node", "c_node")
+    people = rest.select("node", "label").distinct().join(cluster, F.col("node") == F.col("c_node"), "left").select("node", "label", F.coalesce("component", "node").alias("cluster"))
+    # Similar sets are of the same band of sizes, or of bands next to one another.
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / (max(math.log(100 / percent), 1e-6) * (1 + 1e-9)))
+    people = scratch.write(people.join(classes.select("node", band.alias("band")), "node"), "cluster-members")
     by_label = people.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    sizes = by_label.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("m"))
-    sizes = sizes.select("cluster", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("m") - F.col("main.n")) / BLOCK).cast("int").alias("others"))
-    dealt = people.join(sizes, "cluster")
-    # Blocks 0 to others - 1 hold the smaller components, the blocks after them the main one.
-    apart = F.col("label") != F.col("main")
-    block = F.when(apart, F.pmod(F.xxhash64("rep"), F.col("others"))).otherwise(F.col("others") + F.pmod(F.xxhash64("rep"), F.col("mains"))).cast("int")
+    main = by_label.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("main")).select("cluster", F.col("main.label").alias("main"))
+    people = people.join(main, "cluster").withColumn("apart", F.col("label") != F.col("main"))
+    sizes = people.groupBy("cluster", "band").agg(F.ceil(F.count_if("apart") / BLOCK).cast("int").alias("others"), F.ceil(F.count_if(~F.col("apart")) / BLOCK).cast("int").alias("mains"))
+    dealt = people.join(sizes, ["cluster", "band"])
+    for name, by in (("up", 1), ("down", -1)):
+        near = sizes.select("cluster", (F.col("band") - by).alias("band"), F.col("others").alias(f"{name}_others"), F.col("mains").alias(f"{name}_mains"))
+        dealt = dealt.join(near, ["cluster", "band"], "left")
+    # Blocks 0 to others - 1 of a band hold the smaller components, the blocks after them the main one.
+    salt = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
+    block = F.when(F.col("apart"), salt(F.col("others"))).otherwise(F.col("others") + salt(F.col("mains"))).cast("int")
     dealt = dealt.withColumn("block", block)
-    partner = F.when(apart, F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") - 1))
-    sent = dealt.select("cluster", "label", F.col("rep").alias("doc_id"), "block", F.explode(partner).alias("with"))
-    sent = sent.select("cluster", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "doc_id", "label")
-    found = _texts(docs, sent).select("cluster", "i", "j", "doc_id", "label", "text")
-    ordered = found.repartition(partitions(docs.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+
+    def partners(others: str, mains: str, pair):
+        n = F.coalesce(F.col(others) + F.when(F.col("apart"), F.col(mains)).otherwise(0), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), pair), n
+
+    lists = [
+        partners("others", "mains", lambda j: F.struct(F.col("band").alias("b"), F.lit(0).alias("kind"), F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), (F.col("block") > j).cast("int").alias("side"))),
+        partners("up_others", "up_mains", lambda j: F.struct(F.col("band").alias("b"), F.lit(1).alias("kind"), F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
+        partners("down_others", "down_mains", lambda j: F.struct((F.col("band") - 1).alias("b"), F.lit(1).alias("kind"), j.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))),
+    ]
+    sent = dealt.select("cluster", "label", "node", F.explode(F.concat(*(F.when(n > 0, pairs).otherwise(F.slice(pairs, 1, 0)) for pairs, n in lists))).alias("p"))
+    sent = sent.select("cluster", "p.*", "node", "label")
+    sets = scratch.write(_sets(docs, classes, people.select("node").distinct(), words), "sets", "lz4")
+    key = ["cluster", "b", "kind", "i", "j"]
+    ordered = sent.join(sets, "node").select(*key, "side", "node", "label", "shingles").repartition(partitions(docs.sparkSession), *key).sortWithinPartitions(*key, "side", "node")
 
     def compare(batches):
-        at, held = None, ([], [], [])
+        at, held = None, []
 
         def close():
-            made = _within(*held, percent) if len(held[0]) > 1 else []
-            for x in held:
-                x.clear()
+            left, right = (tuple(zip(*(x[1:] for x in held if x[0] == side))) for side in (0, 1))
+            made = _within(left, None if at[3] == at[4] and at[2] == 0 else right, percent) if left and (right or at[3] == at[4] and at[2] == 0) else []
+            held.clear()
             return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in made], pa.int64()), "b": pa.array([y for _, y in made], pa.int64())})
 
         for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(3)))
-            for key, name, label, s in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), shingle_sets(batch.column(5), words)):
-                if key != at:
-                    if held[0]:
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for k, row in enumerate(zip(*columns)):
+                if row[:5] != at:
+                    if held:
                         yield close()
-                    at = key
-                if not held[0] or held[0][-1] != name:  # rows that share a doc_id are one here
-                    held[0].append(name)
-                    held[1].append(label)
-                    held[2].append(s)
-        if held[0]:
+                    at = row[:5]
+                held.append((*row[5:], np.frombuffer(batch.column(8)[k].as_py(), np.uint64)))
+        if held:
             yield close()
 
     return ordered.mapInArrow(compare, "a long, b long")
@@ -274,31 +313,41 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: int = 26, rows: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of (doc_id, text).
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for every row of (doc_id, text).
 
     Documents are linked when 100 * intersection >= percent * union of their sets of distinct word shingles; component_id
     is the smallest doc_id reachable, kept marks it. A document with fewer words than a shingle has all of them as one;
-    one without words or with null text has an empty set and is linked with nothing. Rows that share a doc_id
-    share what it is linked with, each its own row; a null doc_id is never linked: component_id null, kept true. A pair
-    of similarity s shares no bucket with probability (1 - s ** rows) ** bands: 2e-7 at 0.85 with the defaults. An
-    empty table gives no rows; extra columns are ignored.
+    one without words or with null text has an empty set and is linked with nothing. Rows are linked by their own texts, also
+    where they share a doc_id; a null doc_id is never linked: component_id null, kept true. A pair of similarity s
+    shares no bucket with probability (1 - s ** rows) ** bands: 2e-7 at 0.85 with the defaults. An empty table gives no
+    rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     signed = scratch.write(_signed(docs, words, bands, rows), "signed")
-    sets = signed.filter("doc_id is not null and fingerprint is not null").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-    classes = sets.select("fingerprint", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"))
-    members = classes.select("rep", F.explode("bands").alias("key"))
-    stars = members.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = scratch.write(members.join(stars, "key").select("key", "rep", "hub"), "buckets")
-    pairs = scratch.write(shared.filter("rep <> hub").select("hub", F.col("rep").alias("member")).distinct(), "pairs0")
-    links = scratch.write(confirm(pairs, docs, words, percent), "links")
+    sets = signed.filter("doc_id is not null and fingerprint is not null").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "bands")).alias("r"), F.count("*").alias("n"))
+    classes = scratch.write(sets.select("fingerprint", F.xxhash64("fingerprint").alias("node"), "r.*", "n"), "classes")
+    members = classes.select("node", F.explode("bands").alias("key"))
+    stars = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = scratch.write(members.join(stars, "key").select("key", "node", "hub"), "buckets")
+    pairs = scratch.write(shared.filter("node <> hub").select("hub", F.col("node").alias("member")).distinct(), "pairs0")
+    links = scratch.write(confirm(pairs, docs, classes, words, percent), "links")
     joined = components(links, scratch, "starred")
-    labelled = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
-    more = scratch.write(_clusters(labelled, docs, scratch, words, percent), "more-links")
+    labelled = shared.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    more = scratch.write(_clusters(labelled, docs, classes, scratch, words, percent), "more-links")
     # What is joined so far stands for the links it came from.
     joined = components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "joined")
-    names = classes.select("fingerprint", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "fingerprint").join(names, "fingerprint", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # A component is named by its smallest doc_id. The smallest node stands for itself.
+    named = classes.select("fingerprint", "node", "doc_id", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = joined.select("node", "component").unionByName(joined.select(F.col("component").alias("node"), "component").distinct()).join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("c_id"))
+    named = named.join(smallest, "component", "left").filter("n > 1 or c_id is not null").select("fingerprint", "n", F.coalesce("c_id", "doc_id").alias("c_id"))
+    named = scratch.write(named, "names")
+    scratch.drop_all_but("signed", "names")
+    hot = F.col("n") >= max(HOT_ROWS, signed.count() // HOT_CLASSES)
+    lone = F.col("doc_id").isNull() | F.col("fingerprint").isNull()
+    told = signed.drop("bands").join(F.broadcast(named.filter(hot).select("fingerprint", F.col("c_id").alias("hot_id"))), "fingerprint", "left")
+    # Rows without a set or id, and those of hot classes, need no shuffle.
+    easy = told.filter(lone | F.col("hot_id").isNotNull()).withColumn("c_id", F.when(~lone, F.col("hot_id")))
+    out = easy.unionByName(told.filter(~lone & F.col("hot_id").isNull()).join(named.filter(~hot).drop("n"), "fingerprint", "left"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")

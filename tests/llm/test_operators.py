@@ -205,6 +205,7 @@ def test_near_dedup(spark, monkeypatch, block):
         base = words
         texts.append(" ".join(words))
     texts += texts[-3:]
+    texts += [" ".join(base + [f"more{k}" for k in range(n)]) for n in range(0, 60, 2)]  # sets of growing size
     sets, of = brute_components(dict(enumerate(texts)), 85)
     rows = near_dedup.near_duplicates(docs(spark, texts)).collect()
     assert len(rows) == len(texts) + 1
@@ -215,12 +216,29 @@ def test_near_dedup(spark, monkeypatch, block):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), of[r["doc_id"]], of[r["doc_id"]] == r["doc_id"])
     if block == 4:
         assert near_dedup.near_duplicates(empty(spark)).count() == 0
+        # Rows that share a doc_id are linked by their own texts; equal rows are rows each.
+        a, b = texts[-1], "quite another text of seven words here"
+        made = near_dedup.near_duplicates(spark.createDataFrame([(5, a), (5, b), (3, a + " end"), (7, b), (7, b), (9, None), (None, a)], "doc_id long, text string"))
+        assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in made.collect()) == Counter([(5, 3, False), (3, 3, True), (5, 5, True), (7, 5, False), (7, 5, False), (9, 9, True), (None, None, True)])
+
+
+def test_pairs_at_the_limit_share_a_bucket():
+    """Of many set pairs at the least linked similarity none is without a shared bucket."""
+    rng, missed = np.random.default_rng(12), 0
+    for _ in range(40):
+        sets = []
+        for _ in range(50):
+            both, x, y = np.split(rng.integers(0, 1 << 63, 200, np.uint64), [170, 185])
+            sets += [np.sort(np.concatenate([both, x])), np.sort(np.concatenate([both, y]))]
+        keys = near_dedup.band_keys(near_dedup.signatures(sets, 26 * 5), 26, 5)
+        missed += int((~(keys[::2] == keys[1::2]).any(1)).sum())
+    assert missed == 0
 
 
 def test_intersections():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 50, n).astype(np.uint64)) for n in (1, 5, 30, 60, 60)]
-    assert near_dedup.intersections(sets, 16).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert near_dedup.intersections(sets, sets[1:], 16).tolist() == [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets]
 
 
 def test_mixing(spark):
@@ -237,6 +255,26 @@ def test_mixing(spark):
     for g in by.values():
         assert g[0]["target"] <= 2 * g[0]["source_size"] and abs(sum(r["taken"] for r in g) - g[0]["target"]) <= 2
     assert mixing.balanced_mix(empty(spark)).count() == 0
+    assert mixing.balanced_mix(empty(spark)).columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    # Targets worked out anew: weights 5, 2, 1 in turn over sources in order, null last, none above twice its size.
+    size = {}
+    for i, t in enumerate([*texts]):
+        s = f"s{i % 3}" if i % 5 else None
+        size[s] = size.get(s, 0) + len(WORD.findall(t or ""))
+    size[None] += 3
+    order, left, target = [*sorted(s for s in size if s), None], 1.5 * sum(size.values()), {}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    while any(s not in target and left * weight[s] / sum(weight[x] for x in order if x not in target) > 2 * size[s] for s in order):
+        whole = sum(weight[x] for x in order if x not in target)
+        for s in [s for s in order if s not in target and left * weight[s] / whole > 2 * size[s]]:
+            target[s] = 2.0 * size[s]
+        left = 1.5 * sum(size.values()) - sum(target.values())
+    rest = sum(weight[x] for x in order if x not in target)
+    assert {s: g[0]["target"] for s, g in by.items()} == pytest.approx({s: target.get(s, left * weight[s] / rest if rest else 0) for s in order})
+    # Repeated rows: written copies are the copies decided.
+    again = docs(spark, texts[:60]).union(docs(spark, texts[:60])).union(docs(spark, texts[:10]))
+    decided = mixing.balanced_mix(again).groupBy("doc_id").agg(F.sum("copies")).filter("`sum(copies)` > 0").collect()
+    assert {tuple(r) for r in mixing.mixed_rows(again).groupBy("doc_id").count().collect()} == {tuple(r) for r in decided}
     p = mixing.flight(np.sort(rng.integers(1, 99, 200))[::-1], np.full(200, 0.3), np.random.default_rng(0))
     assert ((p > 0) & (p < 1)).sum() <= 2 and p.sum() == pytest.approx(60)
 
