@@ -38,10 +38,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at 0.8 or more of their five-word shingles the one with the smallest doc_id stays.
 
-    Rows with a null doc_id stay.
+    Rows with a null doc_id or without words stay; rows that share a doc_id go or stay by their own texts. An empty table stays empty.
     """
-    gone = near_duplicates(docs, words=5, percent=80, bands=32, rows=4).filter(~F.col("kept")).select(F.col("doc_id").alias("gone id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone id"), "left_anti")
+    gone = near_duplicates(docs, words=5, percent=80, bands=32, rows=4).filter(~F.col("kept")).select(F.col("doc_id").alias("gone id"), F.col("text_hash").alias("gone hash")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("gone id")) & (F.xxhash64("text") == F.col("gone hash")), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
