@@ -23,5 +23,9 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def rounded(df, digits: int = 6):
-    """df with every double column rounded, and no negative zeros, for comparison between engines."""
-    return df.select(*((F.round(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """df with every double column rounded, large values to fewer places, and no negative zeros, for comparison between engines."""
+
+    def short(c):
+        return F.when(F.abs(F.col(c)) < 10.0 ** (12 - digits), F.round(F.col(c), digits) + 0.0).otherwise(F.round(F.col(c), digits - 4)).alias(c)
+
+    return df.select(*(short(c) if t == "double" else F.col(c) for c, t in df.dtypes))

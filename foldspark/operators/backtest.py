@@ -2,43 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import EPSILON, BusinessCost, mae, point_metrics, rmse, smape
 from ..functions.scalar import is_finite
-from .baselines import PREDICTION, folds_of, predict_constant, predict_historical_mean, predict_seasonal_naive, train_statistics
+from ..scratch import Scratch
+from .baselines import PREDICTION, fold_states, folds_of, seasonal, train_statistics
 from .features import TARGET, assert_no_leakage
 from .folds import WalkForwardConfig
-from .learners import Learner, boosting, predict_learned, ridge
+from .learners import Learner, boosting, predict_learned, predict_ridge
 
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """A model by backend: ``plan`` is a function (matrix, config, name, target) -> prediction rows, ``learner`` one on numpy."""
+    """A model by backend.
 
-    plan: object = None
+    ``column``: a function of the config, an expression over a fold's state (see ``fold_states``) with ``season`` recent
+    labels. ``plan``: a function (matrix, config, name, target) -> prediction rows. ``learner``: a function on numpy arrays.
+    """
+
+    column: Callable[[WalkForwardConfig], Column] | None = None
+    season: int | None = None
+    plan: Callable[..., DataFrame] | None = None
     learner: Learner | None = None
 
     def predict(self, matrix, config, name, target) -> DataFrame:
+        """Rows of a model that is no column."""
         if self.learner:
             return predict_learned(matrix, config, name, self.learner, target)
         return self.plan(matrix, config, name, target)
 
 
 def constant(value: float = 0.0) -> ModelSpec:
-    return ModelSpec(lambda m, c, name, t: predict_constant(m, c, name, value, t))
+    return ModelSpec(lambda config: F.lit(float(value)))
 
 
 def historical_mean() -> ModelSpec:
-    return ModelSpec(lambda m, c, name, t: predict_historical_mean(m, c, name, t))
+    return ModelSpec(lambda config: F.col("train_mean"))
 
 
 def seasonal_naive(season: int = 5) -> ModelSpec:
-    return ModelSpec(lambda m, c, name, t: predict_seasonal_naive(m, c, season, name, t))
+    return ModelSpec(lambda config: seasonal(season, config), season)
+
+
+def ridge_regression(alpha: float = 3.0) -> ModelSpec:
+    return ModelSpec(plan=lambda matrix, config, name, target: predict_ridge(matrix, config, name, alpha, target))
 
 
 def learned(learner: Learner) -> ModelSpec:
@@ -51,21 +64,34 @@ def default_models(seed: int = 42) -> dict[str, ModelSpec]:
         "naive_zero": constant(),
         "historical_mean": historical_mean(),
         "seasonal_naive_5": seasonal_naive(5),
-        "ridge": learned(ridge(3.0)),
+        "ridge": ridge_regression(3.0),
         "gradient_boosting": learned(boosting()),
     }
 
 
 def predictions(matrix: DataFrame, config: WalkForwardConfig, models: dict[str, ModelSpec], target: str = TARGET) -> DataFrame:
-    """Rows of (series_id, ts, row_idx, fold, model, actual, prediction), one for each tested row and model."""
-    return reduce(DataFrame.unionByName, (spec.predict(matrix, config, name, target) for name, spec in models.items()))
+    """Rows of (series_id, ts, row_idx, fold, model, actual, prediction, mase_scale), one for each tested row and model.
+
+    Models that are columns are unfolded from one pass over the tested rows; others are united with them.
+    """
+    columns = {name: spec for name, spec in models.items() if spec.column}
+    seasons = sorted({spec.season for spec in columns.values() if spec.season})
+    parts = []
+    if columns:
+        each = [F.struct(F.lit(name).alias("model"), spec.column(config).cast("double").alias("prediction")) for name, spec in columns.items()]
+        states = fold_states(matrix, config, target, seasons=seasons)
+        parts.append(states.withColumn("p", F.explode(F.array(*each))).select("series_id", "ts", "row_idx", "fold", "p.model", "actual", "p.prediction", "mase_scale"))
+    others = [spec.predict(matrix, config, name, target) for name, spec in models.items() if not spec.column]
+    if others:
+        scales = train_statistics(matrix, config, target).select("series_id", "fold", "mase_scale")
+        parts.append(reduce(DataFrame.unionByName, others).join(scales, ["series_id", "fold"], "left").select(*PREDICTION, "mase_scale"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def wide(rows: DataFrame, names: list[str]) -> DataFrame:
     """One row for each tested observation, a column for each model."""
-    return rows.groupBy("series_id", "ts", "row_idx", "fold").pivot("model", names).agg(F.first("prediction")).join(
-        rows.groupBy("series_id", "row_idx").agg(F.first("actual").alias("actual")), ["series_id", "row_idx"]
-    ).select("series_id", "ts", "row_idx", "fold", "actual", *names)
+    each = (F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(m) for m in names)
+    return rows.groupBy("series_id", "ts", "row_idx", "fold").agg(F.max("actual").alias("actual"), *each)
 
 
 def repeated_tests(rows: DataFrame) -> DataFrame:
@@ -73,11 +99,14 @@ def repeated_tests(rows: DataFrame) -> DataFrame:
     return rows.groupBy("series_id", "row_idx", "model").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def fold_metrics(rows: DataFrame, statistics: DataFrame) -> DataFrame:
-    """mae, rmse, smape and mase of each (series_id, fold, model); mase is null where its scale is (near) 0."""
-    by = rows.groupBy("series_id", "fold", "model").agg(mae().alias("mae"), rmse().alias("rmse"), smape().alias("smape"))
-    scale = F.when(F.col("mase_scale") > EPSILON, F.col("mase_scale"))
-    return by.join(statistics.select("series_id", "fold", scale.alias("scale")), ["series_id", "fold"]).select("series_id", "fold", "model", "mae", "rmse", "smape", (F.col("mae") / F.col("scale")).alias("mase"))
+def fold_metrics(rows: DataFrame) -> DataFrame:
+    """mae, rmse, smape and mase of each (series_id, fold, model) of prediction rows with their mase_scale.
+
+    mase is null where its scale is (near) 0.
+    """
+    by = rows.groupBy("series_id", "fold", "model").agg(mae().alias("mae"), rmse().alias("rmse"), smape().alias("smape"), F.max("mase_scale").alias("scale"))
+    scale = F.when(F.col("scale") > EPSILON, F.col("scale"))
+    return by.select("series_id", "fold", "model", "mae", "rmse", "smape", (F.col("mae") / scale).alias("mase"))
 
 
 def pooled_metrics(rows: DataFrame, cost: BusinessCost | None = None) -> DataFrame:
@@ -99,7 +128,8 @@ class BacktestResult:
 class BacktestRunner:
     """Checks a supervised matrix, runs every model on every fold, and reports metrics.
 
-    ``strict`` makes a constant training history an error, as one series wants it; without, its mase is null.
+    ``strict`` makes a constant training history an error, as one series wants it; without, its mase is null. A series
+    with too few rows for one fold is an error. Predictions are written once, in the session's shared folder.
     """
 
     def __init__(self, config: WalkForwardConfig, models: dict[str, ModelSpec], *, target_column: str = TARGET, strict: bool = True):
@@ -113,13 +143,14 @@ class BacktestRunner:
 
     def run(self, matrix: DataFrame) -> BacktestResult:
         assert_no_leakage(matrix, self.target)
-        n = matrix.groupBy("series_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        self.config.require_disjoint(n)
-        rows = predictions(matrix, self.config, self.models, self.target)
-        statistics = train_statistics(matrix, self.config, self.target)
-        if self.strict and not statistics.filter(F.col("mase_scale") <= EPSILON).isEmpty():
+        shortest, longest = matrix.groupBy("series_id").agg(F.count("*").alias("n")).agg(F.min("n"), F.max("n")).first()
+        self.config.count(shortest)
+        self.config.require_disjoint(longest)
+        rows = Scratch(matrix.sparkSession, "backtest").write(predictions(matrix, self.config, self.models, self.target), "predictions")
+        require_valid(rows)
+        if self.strict and not rows.filter(F.col("mase_scale") <= EPSILON).isEmpty():
             raise ValueError("MASE is undefined for a constant training history")
-        return BacktestResult(rows, folds_of(matrix, self.config), fold_metrics(rows, statistics), tuple(self.models))
+        return BacktestResult(rows, folds_of(matrix, self.config), fold_metrics(rows), tuple(self.models))
 
     def aggregate(self, result: BacktestResult, cost: BusinessCost | None = None) -> DataFrame:
         return pooled_metrics(result.predictions, cost)
@@ -132,4 +163,4 @@ def require_valid(rows: DataFrame) -> None:
         raise ValueError(f"invalid prediction vector: {sorted(r['model'] for r in bad)}")
 
 
-__all__ = ["BacktestResult", "BacktestRunner", "ModelSpec", "PREDICTION", "constant", "default_models", "fold_metrics", "historical_mean", "learned", "pooled_metrics", "predictions", "repeated_tests", "require_valid", "seasonal_naive", "wide"]
+__all__ = ["BacktestResult", "BacktestRunner", "ModelSpec", "PREDICTION", "constant", "default_models", "fold_metrics", "historical_mean", "learned", "pooled_metrics", "predictions", "repeated_tests", "require_valid", "ridge_regression", "seasonal_naive", "wide"]

@@ -1,61 +1,80 @@
 """Baseline forecasters as plans: a row for each tested observation and model.
 
-What a fold learns is the value of a running window at its last training row, so no training set is copied.
+What a fold learns is the value of a running window at its last training row, brought to its first tested row by a lag and
+from there to the others by a window: so no training set is copied, and all baselines share one sort and one pass.
+Rows of a series are numbered without holes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import TARGET
-from .folds import WalkForwardConfig, fold_table, test_rows
+from .folds import WalkForwardConfig, fold_of, fold_table, test_rows
 
 PREDICTION = ("series_id", "ts", "row_idx", "fold", "model", "actual", "prediction")
 
 
-def train_statistics(matrix: DataFrame, config: WalkForwardConfig, target: str = TARGET, seasonality: int = 1) -> DataFrame:
-    """(series_id, fold, train_mean, mase_scale) from two running averages read at the last training row.
+def fold_states(matrix: DataFrame, config: WalkForwardConfig, target: str = TARGET, seasonality: int = 1, seasons=()) -> DataFrame:
+    """Tested rows (series_id, ts, row_idx, fold, actual) with what their fold has learned from its training rows.
 
-    mase_scale is the mean absolute change over ``seasonality`` rows within the training rows.
+    train_mean: of the label; mase_scale: mean absolute change over ``seasonality`` rows within them; recent_L for each
+    season length L: the last L labels.
     """
     if seasonality < 1:
         raise ValueError("seasonality must be at least 1")
+    if seasonality >= config.min_train_size:
+        raise ValueError("training history must exceed seasonality")
+    for season in seasons:
+        require_season(season, config)
     w = Window.partitionBy("series_id").orderBy("row_idx")
     size = config.max_train_size
     level = w.rowsBetween(-(size - 1) if size else Window.unboundedPreceding, 0)
     # A change belongs to a training set if its earlier row does.
     changes = w.rowsBetween(-(size - 1 - seasonality) if size else Window.unboundedPreceding, 0)
-    change = F.abs(F.col(target) - F.lag(target, seasonality).over(w))
-    state = matrix.select("series_id", "row_idx", F.col(target), change.alias("change"))
-    state = state.select("series_id", (F.col("row_idx") + 1).alias("train_end"), F.avg(target).over(level).alias("train_mean"), F.avg("change").over(changes).alias("mase_scale"))
-    folds = folds_of(matrix, config).select("series_id", "fold", "train_end")
-    return folds.join(state, ["series_id", "train_end"]).select("series_id", "fold", "train_mean", "mase_scale")
+    y = F.col(target).cast("double")
+    rows = matrix.select("series_id", "ts", "row_idx", fold_of(F.col("row_idx"), config).alias("fold"), y.alias("actual"), F.abs(y - F.lag(y, seasonality).over(w)).alias("change"))
+    learned = [F.avg("actual").over(level).alias("train_mean"), F.avg("change").over(changes).alias("mase_scale")]
+    rows = rows.select("series_id", "ts", "row_idx", "fold", "actual", *learned)
+    back = config.gap + 1  # from a fold's first tested row to its last training row
+    known = [F.lag(c, back).over(w).alias(c) for c in ("train_mean", "mase_scale")]
+    known += [F.array(*(F.lag("actual", config.gap + n - k).over(w) for k in range(n))).alias(f"recent_{n}") for n in seasons]
+    first = F.col("row_idx") == F.col("fold") * config.step + config.first_test
+    rows = rows.withColumn("state", F.when(first, F.struct(*known))).withColumn("state", F.last("state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.filter(F.col("fold").isNotNull()).select("series_id", "ts", "row_idx", "fold", "actual", "state.*")
+
+
+def require_season(season: int, config: WalkForwardConfig) -> None:
+    if season < 1 or season > (config.max_train_size or config.min_train_size):
+        raise ValueError("season_length must be at least 1 and fit the training history")
 
 
-def folds_of(matrix: DataFrame, config: WalkForwardConfig) -> DataFrame:
-    return fold_table(matrix.groupBy("series_id").agg((F.max("row_idx") + 1).alias("n")), config)
+def seasonal(season: int, config: WalkForwardConfig) -> Column:
+    """The last ``season`` training labels over and over from the first test row on; a gap does not move the phase."""
+    start = F.col("fold") * config.step + config.first_test
+    return F.element_at(f"recent_{season}", ((F.col("row_idx") - start) % season).cast("int") + 1)
+
+
+def train_statistics(matrix: DataFrame, config: WalkForwardConfig, target: str = TARGET, seasonality: int = 1) -> DataFrame:
+    """(series_id, fold, train_mean, mase_scale) of each fold."""
+    first = F.col("row_idx") == F.col("fold") * config.step + config.first_test
+    return fold_states(matrix, config, target, seasonality).filter(first).select("series_id", "fold", "train_mean", "mase_scale")
 
 
-def _tested(matrix: DataFrame, config: WalkForwardConfig, target: str) -> DataFrame:
-    return test_rows(matrix, config).select("series_id", "ts", "row_idx", "fold", F.col(target).cast("double").alias("actual"))
+def folds_of(matrix: DataFrame, config: WalkForwardConfig) -> DataFrame:
+    return fold_table(matrix.groupBy("series_id").agg((F.max("row_idx") + 1).alias("n")), config)
 
 
 def predict_constant(matrix, config, model="naive_zero", value: float = 0.0, target: str = TARGET) -> DataFrame:
-    return _tested(matrix, config, target).withColumns({"model": F.lit(model), "prediction": F.lit(float(value))}).select(*PREDICTION)
+    rows = test_rows(matrix, config).withColumns({"actual": F.col(target).cast("double"), "model": F.lit(model), "prediction": F.lit(float(value))})
+    return rows.select(*PREDICTION)
 
 
 def predict_historical_mean(matrix, config, model="historical_mean", target: str = TARGET) -> DataFrame:
-    means = train_statistics(matrix, config, target).select("series_id", "fold", F.col("train_mean").alias("prediction"))
-    return _tested(matrix, config, target).join(means, ["series_id", "fold"]).withColumn("model", F.lit(model)).select(*PREDICTION)
+    return fold_states(matrix, config, target).withColumns({"model": F.lit(model), "prediction": F.col("train_mean")}).select(*PREDICTION)
 
 
 def predict_seasonal_naive(matrix, config, season: int = 5, model: str | None = None, target: str = TARGET) -> DataFrame:
-    """The last ``season`` training targets over and over from the first test row on; a gap does not move the phase."""
-    if season < 1 or season > (config.max_train_size or config.min_train_size):
-        raise ValueError("season_length must be at least 1 and fit the training history")
-    tested = _tested(matrix, config, target)
-    start = F.col("fold") * config.step + config.first_test
-    source = start - config.gap - season + (F.col("row_idx") - start) % season
-    past = matrix.select("series_id", F.col("row_idx").alias("source"), F.col(target).cast("double").alias("prediction"))
-    return tested.withColumn("source", source).join(past, ["series_id", "source"]).withColumn("model", F.lit(model or f"seasonal_naive_{season}")).select(*PREDICTION)
+    rows = fold_states(matrix, config, target, seasons=(season,))
+    return rows.withColumns({"model": F.lit(model or f"seasonal_naive_{season}"), "prediction": seasonal(season, config)}).select(*PREDICTION)

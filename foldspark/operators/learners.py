@@ -1,6 +1,8 @@
-"""Learned forecasters: one pandas task for each series and fold, fitted with numpy.
+"""Learned forecasters.
 
-A learner is any function ``(train_x, train_y, test_x) -> predictions`` on numpy arrays.
+Ridge regression comes from sums of products over blocks of rows, added up from fold to fold: no training row is
+copied. Any other learner is a function ``(train_x, train_y, test_x) -> predictions`` on numpy arrays, which a pandas task calls
+for a run of folds of a series, slicing the rows that they share.
 """
 
 from __future__ import annotations
@@ -9,13 +11,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import TARGET
-from .folds import WalkForwardConfig, test_rows, train_rows
+from .folds import WalkForwardConfig, fold_of, test_rows
 
 Learner = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Folds fitted by one task.
+RUN = 8
 KEY_COLUMNS = ("series_id", "ts", "row_idx", "fold")
 
 
@@ -82,19 +86,88 @@ def boosting(rounds: int = 100, depth: int = 3, rate: float = 0.05, l2: float =
     return learn
 
 
-def predict_learned(matrix: DataFrame, config: WalkForwardConfig, model: str, learner: Learner, target: str = TARGET) -> DataFrame:
-    """Predictions of a learner fitted on each fold's training rows; a task holds the rows of one fold of one series."""
-    features = [c for c in matrix.columns if c not in (*KEY_COLUMNS, target)]
-    numeric = matrix.select("series_id", "ts", "row_idx", *(F.col(c).cast("double").alias(c) for c in (*features, target)))
-    both = train_rows(numeric, config).withColumn("tested", F.lit(False)).unionByName(test_rows(numeric, config).withColumn("tested", F.lit(True)))
+def feature_names(matrix: DataFrame, target: str) -> list[str]:
+    return [c for c in matrix.columns if c not in (*KEY_COLUMNS, target)]
+
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+def predict_learned(matrix: DataFrame, config: WalkForwardConfig, model: str, learner: Learner, target: str = TARGET) -> DataFrame:
+    """Predictions of a learner fitted on each fold's training rows; a task holds the rows of a run of folds of one series."""
+    features = feature_names(matrix, target)
+    step, lead, most = config.step, config.min_train_size, config.max_train_size
+    rows = matrix.select("series_id", "ts", "row_idx", *(F.col(c).cast("double").alias(c) for c in (*features, target)))
+    i = F.col("row_idx")
+    last = F.ceil((F.max(i).over(Window.partitionBy("series_id")) + 1 - config.first_test) / F.lit(step)).cast("long") - 1
+    trains = F.greatest(F.lit(0).cast("long"), F.floor((i - lead) / F.lit(step)).cast("long") + 1)
+    ends = F.least(last, F.floor((i + most - lead) / F.lit(step)).cast("long")) if most else last
+    rows = rows.withColumns({"k0": F.least(trains, F.coalesce(fold_of(i, config), trains)), "k1": F.greatest(ends, F.coalesce(fold_of(i, config), ends))}).filter("k0 <= k1")
+    rows = rows.withColumn("run", F.explode(F.sequence(F.floor(F.col("k0") / RUN), F.floor(F.col("k1") / RUN)))).drop("k0", "k1")
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx", ignore_index=True)
-        train, test = pdf[~pdf["tested"]], pdf[pdf["tested"]]
-        predicted = np.asarray(learner(train[features].to_numpy(), train[target].to_numpy(), test[features].to_numpy()), float)
-        if predicted.shape != (len(test),) or not np.isfinite(predicted).all():
-            raise ValueError(f"{model} returned an invalid prediction vector")
-        return pd.DataFrame({"series_id": test["series_id"], "ts": test["ts"], "row_idx": test["row_idx"], "fold": test["fold"], "model": model, "actual": test[target], "prediction": predicted})
+        at, x, y = pdf["row_idx"].to_numpy(), pdf[features].to_numpy(), pdf[target].to_numpy()
+        out = []
+        for fold in range(key[1] * RUN, (key[1] + 1) * RUN):
+            end, start = lead + fold * step, config.first_test + fold * step
+            a, b, c, d = np.searchsorted(at, [max(0, end - most) if most else 0, end, start, start + config.test_size])
+            if c < d:
+                predicted = np.asarray(learner(x[a:b], y[a:b], x[c:d]), float)
+                if predicted.shape != (d - c,) or not np.isfinite(predicted).all():
+                    raise ValueError(f"{model} returned an invalid prediction vector")
+                out.append(pdf[["series_id", "ts", "row_idx"]][c:d].assign(fold=fold, model=model, actual=y[c:d], prediction=predicted))
+        return pd.concat(out) if out else pdf[:0].assign(fold=0, model=model, actual=0.0, prediction=0.0)[["series_id", "ts", "row_idx", "fold", "model", "actual", "prediction"]]
 
     time = dict(matrix.dtypes)["ts"]
-    return both.groupBy("series_id", "fold").applyInPandas(fit, f"series_id string, ts {time}, row_idx long, fold long, model string, actual double, prediction double")
+    return rows.groupBy("series_id", "run").applyInPandas(fit, f"series_id string, ts {time}, row_idx long, fold long, model string, actual double, prediction double")
+
+
+def predict_ridge(matrix: DataFrame, config: WalkForwardConfig, model: str = "ridge", alpha: float = 3.0, target: str = TARGET) -> DataFrame:
+    """Ridge predictions, as of ``ridge``, from the Gram matrices of blocks of rows that train the same folds.
+
+    A task sums its rows' blocks; a series' blocks (one for each step) are added up fold by fold, where 20 x 20 systems are
+    solved; coefficients are joined to the tested rows.
+    """
+    features = feature_names(matrix, target)
+    width = len(features)
+    i = F.col("row_idx")
+    floor = lambda a: F.floor(a / F.lit(config.step)).cast("long")
+    first = F.greatest(F.lit(0).cast("long"), floor(i - config.min_train_size) + 1)
+    last = floor(i + config.max_train_size - config.min_train_size) if config.max_train_size else F.lit(2**62).cast("long")
+    rows = matrix.select("series_id", first.alias("first"), last.alias("last"), F.array(F.lit(1.0), *(F.col(c).cast("double") for c in (*features, target))).alias("v"))
+
+    def add(frames):
+        for pdf in frames:
+            if len(pdf):
+                keys, place = np.unique(pdf[["series_id", "first", "last"]].astype(str).agg("|".join, axis=1), return_inverse=True)
+                order = np.argsort(place, kind="stable")
+                v = np.stack(pdf["v"].to_numpy()[order])
+                starts = np.searchsorted(place[order], np.arange(len(keys)))
+                sums = np.add.reduceat(v[:, :, None] * v[:, None, :], starts)
+                yield pdf.iloc[order[starts]][["series_id", "first", "last"]].assign(gram=[g.ravel() for g in sums])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["first", "last"], ignore_index=True)
+        begins, ends, grams = pdf["first"].to_numpy(), pdf["last"].to_numpy(), pdf["gram"].to_numpy()
+        out, total, taken, given = [], np.zeros((width + 2) ** 2), 0, 0
+        for fold in range(int(begins.max()) + 1):
+            while taken < len(pdf) and begins[taken] <= fold:
+                total = total + grams[taken]
+                taken += 1
+            while given < taken and ends[given] < fold:
+                total = total - grams[given]
+                given += 1
+            g = total.reshape(width + 2, width + 2)
+            n = g[0, 0]
+            mean = g[0] / n
+            cov = g / n - np.outer(mean, mean)
+            var = np.diag(cov)
+            scale = np.sqrt(np.where(var > 1e-14 * np.diag(g) / n, var, 1.0))
+            z = n * cov / np.outer(scale, scale)
+            w = np.linalg.solve(z[1:-1, 1:-1] + alpha * np.eye(width), z[1:-1, -1] * scale[-1]) / scale[1:-1]
+            out.append((pdf["series_id"].iloc[0], fold, w.tolist(), mean[-1] - w @ mean[1:-1]))
+        return pd.DataFrame(out, columns=["series_id", "fold", "weights", "intercept"])
+
+    blocks = rows.mapInPandas(add, "series_id string, first long, last long, gram array<double>")
+    weights = blocks.groupBy("series_id").applyInPandas(solve, "series_id string, fold long, weights array<double>, intercept double")
+    tested = test_rows(matrix, config).withColumn("x", F.array(*(F.col(c).cast("double") for c in features)))
+    value = F.aggregate(F.zip_with("x", "weights", lambda a, b: a * b), F.col("intercept"), lambda a, b: a + b)
+    return tested.join(weights, ["series_id", "fold"]).select("series_id", "ts", "row_idx", "fold", F.lit(model).alias("model"), F.col(target).cast("double").alias("actual"), value.alias("prediction"))

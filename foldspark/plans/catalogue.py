@@ -14,19 +14,20 @@ from pyspark.sql import functions as F
 from ..functions.metrics import BusinessCost, directional_accuracy, pinball
 from ..functions.scalar import rounded
 from ..operators import features as fe
-from ..operators.backtest import constant, fold_metrics, historical_mean, learned, pooled_metrics, predictions, repeated_tests, seasonal_naive, wide
+from ..operators.backtest import constant, default_models, fold_metrics, historical_mean, learned, pooled_metrics, predictions, repeated_tests, ridge_regression, seasonal_naive, wide
 from ..operators.baselines import folds_of, predict_constant, predict_historical_mean, predict_seasonal_naive, train_statistics
 from ..operators.bootstrap import arithmetic_starts, block_sums, default_block, loss_difference, sample_means
 from ..operators.conformal import conformal_radius, interval_evaluation, intervals, split_segments
 from ..operators.folds import WalkForwardConfig, isolation_violations, test_rows
-from ..operators.learners import boosting, ridge
+from ..operators.learners import boosting
 from ..operators.promotion import PromotionPolicy, win_rate
 from ..operators.quality import quality_report
 from ..operators.strategy import simple_metrics, strategy_metrics, strategy_path
-from ..sources.market import fingerprint
+from ..scratch import Scratch
+from ..sources.market import MarketData, fingerprint
 from ..sources.synthetic import regime_returns
 from ..sources.tables import events_hourly, lineitem_daily, orders_daily, segment_daily
-from .oracle import ALL, FEATURES, TARGET, VOLUME, r, sql
+from .oracle import ALL, FEATURES, TARGET, VOLUME, r, ridge_sql, short, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,7 +44,7 @@ def query(oracle: str | None = None):
         name = f.__name__
         QUERIES[name] = lambda spark, sf_dir: shown(f(spark, sf_dir))
         if oracle:
-            ORACLE_SQL[name] = oracle.replace(", 6) AS ", ", 6) + 0 AS ")  # no negative zeros
+            ORACLE_SQL[name] = oracle.replace(", 6) AS ", ", 6) + 0 AS ")  # no negative zeros; large values see oracle.short
         return f
 
     return add
@@ -61,6 +62,11 @@ def tested(spark, sf_dir, source=lineitem_daily, config=CONFIG) -> DataFrame:
     return predictions(matrix(spark, sf_dir, source), config, BASELINES)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for plans that read it more than once."""
+    return Scratch(df.sparkSession, "catalogue").write(df, "rows")
+
+
 def feature_query(columns: dict) -> str:
     return sql(f"SELECT series_id, {TS}, " + ", ".join(f"round({c}, 6) AS {c}" for c in columns) + " FROM feat")
 
@@ -217,7 +223,7 @@ def overlap_check(spark, sf_dir):
 @query(sql(f"SELECT series_id, fold, model, {r('mae', 'rmse', 'smape', 'mase')} FROM fm"))
 def fold_metrics_report(spark, sf_dir):
     m = matrix(spark, sf_dir)
-    return fold_metrics(predictions(m, CONFIG, BASELINES), train_statistics(m, CONFIG))
+    return fold_metrics(predictions(m, CONFIG, BASELINES))
 
 
 @query(sql(f"SELECT pm.series_id, pm.model, {r('mae', 'rmse', 'smape', 'directional_accuracy', 'mean_business_cost', 'total_business_cost', 'action_rate')} FROM pm JOIN pc USING (series_id, model)"))
@@ -266,7 +272,7 @@ def strategy_path_report(spark, sf_dir):
     return strategy_path(_small(spark, sf_dir)).select("series_id", "model", "row_idx", "position", "turnover", "gross", "net", "wealth", "drawdown")
 
 
-@query(sql("SELECT series_id, model, round(product(1 + gross) - 1, 6) AS gross_cumulative_return, round(arg_max(wealth, row_idx) - 1, 6) AS net_cumulative_return, round(avg(turnover), 6) AS average_turnover, round(coalesce(CASE WHEN stddev_samp(net) > 0 THEN avg(net) * 252 / (stddev_samp(net) * sqrt(252.0)) END, 0), 6) AS strategy_sharpe, round(min(drawdown), 6) AS max_drawdown FROM path GROUP BY 1, 2"))
+@query(sql("SELECT series_id, model, " + short("product(1 + gross) - 1", "gross_cumulative_return") + ", " + short("arg_max(wealth, row_idx) - 1", "net_cumulative_return") + ", round(avg(turnover), 6) AS average_turnover, round(coalesce(CASE WHEN stddev_samp(net) > 0 THEN avg(net) * 252 / (stddev_samp(net) * sqrt(252.0)) END, 0), 6) AS strategy_sharpe, round(min(drawdown), 6) AS max_drawdown FROM path GROUP BY 1, 2"))
 def strategy_metrics_report(spark, sf_dir):
     return strategy_metrics(_small(spark, sf_dir))
 
@@ -293,7 +299,7 @@ BOOTSTRAP = f"""SELECT series_id, round(quantile_cont(m, 0.05), 6) AS bootstrap_
 @query(sql(BOOTSTRAP))
 def block_bootstrap(spark, sf_dir):
     """With starts by integer arithmetic; one series, whose length alone is brought to the driver."""
-    diff = loss_difference(tested(spark, sf_dir), "historical_mean", "naive_zero")
+    diff = written(loss_difference(tested(spark, sf_dir), "historical_mean", "naive_zero"))
     n = diff.count()
     block = default_block(n)
     means = sample_means(block_sums(diff, n, block), arithmetic_starts(spark, SAMPLES, math.ceil(n / block), n), n, block)
@@ -303,7 +309,7 @@ def block_bootstrap(spark, sf_dir):
 @query(sql("SELECT series_id, round(avg(CASE WHEN c < b THEN 1.0::DOUBLE ELSE 0 END), 6) AS fold_win_rate FROM (SELECT series_id, fold, max(CASE WHEN model = 'seasonal_naive_5' THEN mae END) AS c, max(CASE WHEN model = 'naive_zero' THEN mae END) AS b FROM fm GROUP BY 1, 2) GROUP BY 1"))
 def fold_win_rate(spark, sf_dir):
     m = matrix(spark, sf_dir)
-    return win_rate(fold_metrics(predictions(m, CONFIG, BASELINES), train_statistics(m, CONFIG)), "seasonal_naive_5", "naive_zero")
+    return win_rate(fold_metrics(predictions(m, CONFIG, BASELINES)), "seasonal_naive_5", "naive_zero")
 
 
 DECISION = """SELECT series_id, 'seasonal_naive_5' AS candidate, 'naive_zero' AS baseline, CASE WHEN reasons = '' THEN 'champion' ELSE 'rejected' END AS status,
@@ -317,8 +323,8 @@ FROM (SELECT *, concat_ws(',', CASE WHEN i < 0.01 THEN 'relative_mae_improvement
 @query(sql(DECISION, series="segments"))
 def promotion_decision(spark, sf_dir):
     m = matrix(spark, sf_dir, segment_daily)
-    rows = predictions(m, CONFIG, BASELINES)
-    made = PromotionPolicy(0.01, 1.0, 0.5).decisions(pooled_metrics(rows, COST), fold_metrics(rows, train_statistics(m, CONFIG)), "seasonal_naive_5", "naive_zero")
+    rows = written(predictions(m, CONFIG, BASELINES))
+    made = PromotionPolicy(0.01, 1.0, 0.5).decisions(pooled_metrics(rows, COST), fold_metrics(rows), "seasonal_naive_5", "naive_zero")
     return made.withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -336,7 +342,7 @@ def panel_segment_backtest(spark, sf_dir):
 def events_hourly_backtest(spark, sf_dir):
     config = WalkForwardConfig(200, 25)
     m = matrix(spark, sf_dir, events_hourly)
-    return fold_metrics(predictions(m, config, BASELINES), train_statistics(m, config))
+    return fold_metrics(predictions(m, config, BASELINES))
 
 
 SHOCK_ROWS = 400
@@ -358,9 +364,9 @@ def ar_regime_recursion(spark, sf_dir):
 EVIDENCE = WalkForwardConfig(250, 25, 1)
 
 
-@query()
+@query(ridge_sql())
 def ridge_backtest(spark, sf_dir):
-    return pooled_metrics(predictions(matrix(spark, sf_dir), CONFIG, {"ridge": learned(ridge())}))
+    return pooled_metrics(predictions(matrix(spark, sf_dir), CONFIG, {"ridge": ridge_regression()}))
 
 
 @query()
@@ -368,15 +374,26 @@ def boosting_backtest(spark, sf_dir):
     return pooled_metrics(predictions(matrix(spark, sf_dir), CONFIG, {"gradient_boosting": learned(boosting())}))
 
 
+INTERVALS = sql("SELECT iv.series_id, iv.model, max(calibration_size) AS calibration_size, round(max(radius), 6) AS radius, round(avg(CASE WHEN actual BETWEEN lower AND upper THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, round(avg(upper - lower), 6) AS mean_width, round(avg(greatest(0.05::DOUBLE * (actual - lower), -0.95::DOUBLE * (actual - lower))), 6) AS lower_pinball_loss, round(avg(greatest(0.95::DOUBLE * (actual - upper), -0.05::DOUBLE * (actual - upper))), 6) AS upper_pinball_loss, count(*) AS evaluation_size FROM iv JOIN rad USING (series_id, model) WHERE iv.model = 'seasonal_naive_5' GROUP BY 1, 2", series="segments", test=25, gap=1)
+
+
+def _evidence(spark, sf_dir, models, candidate: str) -> DataFrame:
+    """Decision gates of a candidate against the zero forecast, and its interval, for each segment's series."""
+    rows = written(predictions(written(matrix(spark, sf_dir, segment_daily)), EVIDENCE, models))
+    made = PromotionPolicy(0.01, 1.0, 0.5).decisions(pooled_metrics(rows, COST), fold_metrics(rows), candidate, "naive_zero")
+    return made.withColumn("reasons", F.array_join("reasons", ",")).join(interval_evaluation(rows.filter(F.col("model") == candidate)), "series_id")
+
+
+@query("SELECT * FROM (" + sql(DECISION, series="segments", test=25, gap=1) + ") JOIN (" + INTERVALS + ") USING (series_id)")
+def evidence_baselines(spark, sf_dir):
+    """The evidence flow with the baselines alone."""
+    return _evidence(spark, sf_dir, BASELINES, "seasonal_naive_5")
+
+
 @query()
 def evidence_summary(spark, sf_dir):
-    """All five models, their decision gates, and the candidate's interval, for each segment's series."""
-    from ..operators.backtest import default_models
-
-    m = matrix(spark, sf_dir, segment_daily)
-    rows = predictions(m, EVIDENCE, default_models())
-    made = PromotionPolicy(0.01, 1.0, 0.5).decisions(pooled_metrics(rows, COST), fold_metrics(rows, train_statistics(m, EVIDENCE)), "gradient_boosting", "naive_zero")
-    return made.withColumn("reasons", F.array_join("reasons", ",")).join(interval_evaluation(rows.filter("model = 'gradient_boosting'")), "series_id")
+    """The evidence flow with all five default models."""
+    return _evidence(spark, sf_dir, default_models(), "gradient_boosting")
 
 
 def flagship(spark, sf_dir) -> DataFrame:

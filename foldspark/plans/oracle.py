@@ -11,10 +11,10 @@ LAGS, SPANS = (1, 2, 3, 5, 10, 20), (5, 10, 20, 60)
 W = "(PARTITION BY series_id ORDER BY ts)"
 
 SERIES = {
-    "lineitem": "SELECT 'lineitem' AS series_id, CAST(l_shipdate AS DATE) AS ts, sum(CAST(l_extendedprice AS DOUBLE)) / sum(CAST(l_quantity AS DOUBLE)) AS close, sum(CAST(l_quantity AS DOUBLE)) AS volume FROM lineitem GROUP BY 2",
-    "orders": "SELECT 'orders' AS series_id, CAST(o_orderdate AS DATE) AS ts, sum(CAST(o_totalprice AS DOUBLE)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY 2",
-    "events": "SELECT 'events' AS series_id, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS ts, avg(CAST(value AS DOUBLE)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 2",
-    "segments": "SELECT c_mktsegment AS series_id, CAST(o_orderdate AS DATE) AS ts, sum(CAST(o_totalprice AS DOUBLE)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
+    "lineitem": "SELECT 'lineitem' AS series_id, CAST(l_shipdate AS DATE) AS ts, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS close, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS volume FROM lineitem GROUP BY 2",
+    "orders": "SELECT 'orders' AS series_id, CAST(o_orderdate AS DATE) AS ts, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY 2",
+    "events": "SELECT 'events' AS series_id, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS ts, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 2",
+    "segments": "SELECT c_mktsegment AS series_id, CAST(o_orderdate AS DATE) AS ts, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2",
 }
 
 
@@ -58,6 +58,10 @@ def blocks(series: str = "lineitem", min_train=250, test=20, gap=0, step=None, c
         "oos": f"SELECT series_id, ts, row_idx, {fold} AS fold, target_next_return AS actual FROM mat WHERE row_idx >= {ts0} AND row_idx - {ts0} - {fold} * {step} < {test}",
         "train": "SELECT f.series_id, fold, row_idx, target_next_return AS y, abs(target_next_return - lag(target_next_return) OVER (PARTITION BY f.series_id, fold ORDER BY row_idx)) AS d FROM folds f JOIN mat m ON m.series_id = f.series_id AND row_idx >= train_start AND row_idx < train_end",
         "stats": "SELECT series_id, fold, avg(y) AS train_mean, avg(d) AS mase_scale FROM train GROUP BY 1, 2",
+        "ridge_cov": f"""SELECT series_id, fold, i, j, count(*) AS n, avg(v[i]) AS mean, avg(v[i] * v[j]) - avg(v[i]) * avg(v[j]) AS cov
+            FROM (SELECT f.series_id, fold, [{", ".join(c for c in ALL if c != "target_next_return")}, target_next_return] AS v FROM folds f JOIN mat m ON m.series_id = f.series_id AND row_idx >= train_start AND row_idx < train_end),
+            (SELECT unnest(range(1, {len(ALL)} + 1)) AS i) a, (SELECT unnest(range(1, {len(ALL)} + 1)) AS j) b GROUP BY 1, 2, 3, 4""",
+        "ridge_scale": f"SELECT series_id, fold, i, mean, CASE WHEN i <= {len(ALL) - 1} AND cov > 0 THEN sqrt(cov) ELSE 1 END AS scale FROM ridge_cov WHERE i = j",
         "zero": "SELECT *, 'naive_zero' AS model, 0.0::DOUBLE AS prediction FROM oos",
         "hist": "SELECT o.*, 'historical_mean' AS model, train_mean AS prediction FROM oos o JOIN stats USING (series_id, fold)",
         "seas": "SELECT o.*, 'seasonal_naive_5' AS model, m.target_next_return AS prediction FROM oos o JOIN folds f USING (series_id, fold) JOIN mat m ON m.series_id = o.series_id AND m.row_idx = f.train_end - 5 + (o.row_idx - f.test_start) % 5",
@@ -98,6 +102,38 @@ def sql(select: str, **how) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({have[n]})" for n in have if n in needed) + "\n" + select
 
 
-def r(*columns: str, digits: int = 6) -> str:
+def short(x: str, name: str) -> str:
+    """x rounded as results are: large values to fewer places."""
+    return f"CASE WHEN abs({x}) < 1e6 THEN round({x}, 6) + 0 ELSE round({x}, 2) END AS {name}"
+
+
+def r(*columns: str) -> str:
     """Rounded columns under their own names."""
-    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
+    return ", ".join(short(c, c) for c in columns)
+
+
+def ridge_sql(alpha: float = 3.0, **how) -> str:
+    """Pooled metrics of ridge regression: covariances of each fold's training rows, and elimination over lists."""
+    n = len(ALL) - 1
+    names = [c for c in ALL if c != "target_next_return"]
+    return sql(f"""SELECT series_id, 'ridge' AS model, {short("avg(abs(e))", "mae")}, {short("sqrt(avg(e * e))", "rmse")},
+  {short("avg(CASE WHEN abs(actual) + abs(p) > 0 THEN 2 * abs(e) / (abs(actual) + abs(p)) ELSE 0 END)", "smape")},
+  {short("avg(CASE WHEN sign(actual) = sign(p) THEN 1.0::DOUBLE ELSE 0 END)", "directional_accuracy")}
+FROM (SELECT series_id, actual, p, actual - p AS e FROM (
+  SELECT o.series_id, o.row_idx, max(o.actual) AS actual, max(y.mean) + sum(w * (x - s.mean) / s.scale) AS p
+  FROM (SELECT series_id, fold, i, m[i][{n + 1}] AS w FROM (
+      WITH RECURSIVE step AS (
+        SELECT series_id, fold, 1 AS k, m FROM (
+          SELECT series_id, fold, list(line ORDER BY i) AS m FROM (
+            SELECT c.series_id, c.fold, c.i, list(CASE WHEN c.j = {n + 1} THEN c.cov / a.scale ELSE c.cov / (a.scale * b.scale) + CASE WHEN c.i = c.j THEN {alpha}::DOUBLE / c.n ELSE 0 END END ORDER BY c.j) AS line
+            FROM ridge_cov c JOIN ridge_scale a ON a.series_id = c.series_id AND a.fold = c.fold AND a.i = c.i
+            JOIN ridge_scale b ON b.series_id = c.series_id AND b.fold = c.fold AND b.i = c.j WHERE c.i <= {n} GROUP BY 1, 2, 3) GROUP BY 1, 2)
+        UNION ALL
+        SELECT series_id, fold, k + 1, list_transform(range(1, {n + 1}), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda z: z / m[k][k]) ELSE list_transform(range(1, {n + 2}), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) END)
+        FROM step WHERE k <= {n})
+      SELECT series_id, fold, m, unnest(range(1, {n + 1})) AS i FROM step WHERE k = {n + 1})) w
+  JOIN ridge_scale s USING (series_id, fold, i)
+  JOIN ridge_scale y ON y.series_id = w.series_id AND y.fold = w.fold AND y.i = {n + 1}
+  JOIN oos o ON o.series_id = w.series_id AND o.fold = w.fold
+  JOIN (SELECT series_id, row_idx, unnest([{", ".join(names)}]) AS x, unnest(range(1, {n + 1})) AS i FROM mat) x ON x.series_id = o.series_id AND x.row_idx = o.row_idx AND x.i = w.i
+  GROUP BY 1, 2)) GROUP BY 1""", **how)
