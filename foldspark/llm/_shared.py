@@ -1,73 +1,5 @@
-"""Tables cut out of a plan: written as Parquet into the folder that driver and executors share.
+"""Scratch tables and partition counts, from the library."""
 
-A written table survives lost executors and ends the lineage before it. The folder is the one named by
-``spark.checkpoint.dir``; where that is unset (tests on one machine) a temporary folder becomes the checkpoint
-folder of the session.
-"""
+from ..scratch import Scratch, partitions, shared_dir
 
-from __future__ import annotations
-
-import atexit
-import contextlib
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none and runs on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="foldspark-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-class Scratch:
-    """A folder of written tables for one call of an operator.
-
-    ``drop`` removes a table that nothing lazy reads any more; what is left goes when Python ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.names: set[str] = set()
-        atexit.register(self.close)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        df.write.option("compression", codec).parquet(self.path(name))
-        self.names.add(name)
-        return self.read(name, df.schema)
-
-    def read(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            _delete(self.spark, self.path(name))
-            self.names.discard(name)
-
-    def drop_all_but(self, *names: str) -> None:
-        self.drop(*self.names.difference(names))
-
-    def close(self) -> None:
-        with contextlib.suppress(Exception):  # the session may have ended, and its folder with it
-            _delete(self.spark, self.root)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["Scratch", "partitions", "shared_dir"]
