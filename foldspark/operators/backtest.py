@@ -72,9 +72,12 @@ def default_models(seed: int = 42) -> dict[str, ModelSpec]:
 def predictions(matrix: DataFrame, config: WalkForwardConfig, models: dict[str, ModelSpec], target: str = TARGET) -> DataFrame:
     """Rows of (series_id, ts, row_idx, fold, model, actual, prediction, mase_scale), one for each tested row and model.
 
-    Models that are columns are unfolded from one pass over the tested rows; others are united with them.
+    Models that are columns are unfolded from one pass over the tested rows; others are united with them, and for them
+    the matrix is written first.
     """
     columns = {name: spec for name, spec in models.items() if spec.column}
+    if len(columns) < len(models):  # they read the matrix several times
+        matrix = Scratch(matrix.sparkSession, "matrix").write(matrix, "matrix")
     seasons = sorted({spec.season for spec in columns.values() if spec.season})
     parts = []
     if columns:

@@ -102,7 +102,7 @@ def predict_learned(matrix: DataFrame, config: WalkForwardConfig, model: str, le
     rows = rows.withColumns({"k0": F.least(trains, F.coalesce(fold_of(i, config), trains)), "k1": F.greatest(ends, F.coalesce(fold_of(i, config), ends))}).filter("k0 <= k1")
     rows = rows.withColumn("run", F.explode(F.sequence(F.floor(F.col("k0") / RUN), F.floor(F.col("k1") / RUN)))).drop("k0", "k1")
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx", ignore_index=True)
         at, x, y = pdf["row_idx"].to_numpy(), pdf[features].to_numpy(), pdf[target].to_numpy()
         out = []

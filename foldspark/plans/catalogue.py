@@ -379,7 +379,7 @@ INTERVALS = sql("SELECT iv.series_id, iv.model, max(calibration_size) AS calibra
 
 def _evidence(spark, sf_dir, models, candidate: str) -> DataFrame:
     """Decision gates of a candidate against the zero forecast, and its interval, for each segment's series."""
-    rows = written(predictions(written(matrix(spark, sf_dir, segment_daily)), EVIDENCE, models))
+    rows = written(predictions(matrix(spark, sf_dir, segment_daily), EVIDENCE, models))
     made = PromotionPolicy(0.01, 1.0, 0.5).decisions(pooled_metrics(rows, COST), fold_metrics(rows), candidate, "naive_zero")
     return made.withColumn("reasons", F.array_join("reasons", ",")).join(interval_evaluation(rows.filter(F.col("model") == candidate)), "series_id")
 
