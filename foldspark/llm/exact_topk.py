@@ -69,7 +69,8 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows with another vec_id than the
     query's. Rows that repeat a vec_id are candidates each; as queries they count once, by the smallest vector. Vectors
-    of different length are compared as if filled with zeros. Scores must fit 64 bits. Extra columns are ignored.
+    of different length are compared as if filled with zeros. Scores must fit 64 bits. An empty table gives no rows; extra
+    columns are ignored.
     """
     spark = vectors.sparkSession
     rows = quantised(vectors, scale)

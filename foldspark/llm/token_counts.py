@@ -1,7 +1,7 @@
 """Token counts by trie-shared dynamic programming over a unigram vocabulary.
 
 A text is cut into pre-tokens: one begins at the start and at every space or line feed. Each distinct pre-token is
-inserted in a trie, and the forward score of a node (the best sum of piece scores over all ways to spell the path to
+inserted in a trie (a very long one is scored alone), and the forward score of a node (the best sum of piece scores over all ways to spell the path to
 it) is computed once, from the nodes above it, however many pre-tokens share it. The node where a pre-token ends
 stores its token count; a document's count is the sum over its pre-tokens.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import math
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from ._bpe import pieces
 
+#: Bytes of a pre-token that is kept in the trie.
+LONG = 256
 _tries: dict[str, "Trie"] = {}
 
 
@@ -44,54 +47,73 @@ def pre_tokens(text: str) -> list[str]:
 class Trie:
     """Token counts of pre-tokens. Nodes are [forward score, tokens on that way, children].
 
-    Of equal scores the way with fewer tokens counts. ``limit`` bounds the nodes kept from call to call (about 300
-    bytes each); beyond it the trie is begun anew.
+    Of equal scores the way with fewer tokens counts. ``limit`` bounds the nodes (about 300 bytes each) and the stored
+    counts; beyond it they are begun anew. A pre-token longer than ``LONG`` bytes shares too little to be kept: its scores
+    are worked out in a window of the longest piece, without nodes.
     """
 
     def __init__(self, scores: dict[bytes, float], limit: int = 400_000):
         self.scores, self.limit = scores, limit
         self.longest = max(map(len, scores))
+        #: Every ending of a piece: where none matches, no longer piece can.
+        self.endings = {p[k:] for p in scores for k in range(len(p))}
+        self.terminal: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.root: list = [0.0, 0, {}]
         self.nodes = 0
-        self.terminal: dict[str, int] = {}
+
+    def _best(self, word: bytes, end: int, before) -> tuple[float, int]:
+        """Best score of the first ``end`` bytes and its number of tokens; before(k): those k bytes earlier."""
+        scores, endings = self.scores, self.endings
+        best, count = -math.inf, 0
+        for start in range(end - 1, -1, -1):
+            piece = word[start:end]
+            if piece not in endings:
+                break
+            s = scores.get(piece)
+            if s is not None:
+                last = before(end - start)
+                s += last[0]
+                if s > best or (s == best and last[1] + 1 < count):
+                    best, count = s, last[1] + 1
+        return best, count
+
+    def _long(self, word: bytes) -> int:
+        window = deque([(0.0, 0)], self.longest)
+        for end in range(1, len(word) + 1):
+            window.append(self._best(word, end, lambda k: window[-k]))
+        return window[-1][1]
 
     def insert(self, token: str) -> int:
-        word, scores, longest = token.encode(), self.scores, self.longest
-        path, node, i = [self.root], self.root, 0
-        for i, byte in enumerate(word):
-            child = node[2].get(byte)
-            if child is None:
+        """Tokens of a pre-token, which is stored."""
+        word = token.encode()
+        if len(word) > LONG:
+            return self.terminal.setdefault(token, self._long(word)) if len(word) <= 16 * LONG else self._long(word)
+        if self.nodes > self.limit:
+            self.clear()
+        path, node = [self.root], self.root
+        for byte in word:
+            node = node[2].get(byte)
+            if node is None:
                 break
-            path.append(child)
-            node = child
+            path.append(node)
         for end in range(len(path), len(word) + 1):
-            best, count = -math.inf, 0
-            for start in range(max(0, end - longest), end):
-                s = scores.get(word[start:end])
-                if s is not None:
-                    before = path[start]
-                    s += before[0]
-                    if s > best or (s == best and before[1] + 1 < count):
-                        best, count = s, before[1] + 1
-            child = [best, count, {}]
-            node[2][word[end - 1]] = child
+            child = [*self._best(word, end, lambda k: path[-k]), {}]
+            path[-1][2][word[end - 1]] = child
             path.append(child)
-            node = child
-        self.nodes += len(word)
-        self.terminal[token] = node[1]
-        return node[1]
+            self.nodes += 1
+        self.terminal[token] = path[-1][1]
+        return path[-1][1]
 
     def counts(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         """Of each text, the number of its pre-tokens and of its tokens."""
-        if self.nodes > self.limit * 4:
-            self.clear()
+        if len(self.terminal) > self.limit:
+            self.terminal.clear()
         cut = [pre_tokens(t) for t in texts]
-        for token in sorted(set().union(*cut).difference(self.terminal)):
-            self.insert(token)
-        get = self.terminal.__getitem__
+        here = {token: self.insert(token) for token in sorted(set().union(*cut).difference(self.terminal))}
+        get = lambda token: here[token] if token in here else self.terminal[token]
         return [len(x) for x in cut], [sum(map(get, x)) for x in cut]
 
 

@@ -433,15 +433,37 @@ def test_token_counts(spark):
             f.append((s, -k))
         return f[-1][1]
 
+    assert token_counts.token_counts(empty(spark), tokenizer_path("byte_bpe_50k.tiktoken")).count() == 0
+    assert token_counts.token_counts(docs(spark, ["a b"]).union(docs(spark, ["a b"])), tokenizer_path("byte_bpe_50k.tiktoken")).filter("doc_id = 0").count() == 2
     for r in token_counts.token_counts(docs(spark, ODD), tokenizer_path("byte_bpe_50k.tiktoken")).collect():
         cut = token_counts.pre_tokens(ODD[r["doc_id"]] if r["doc_id"] is not None else "null id here")
         assert "".join(cut) == ((ODD[r["doc_id"]] or "") if r["doc_id"] is not None else "null id here")
         assert (r["n_pretokens"], r["n_tokens"]) == (len(cut), sum(map(plain, cut)))
 
 
+def test_long_pretokens_need_no_nodes():
+    trie = token_counts.Trie(token_counts.load_pieces(tokenizer_path("byte_bpe_50k.tiktoken")), limit=1000)
+    rng = np.random.default_rng(13)
+    long = "".join(rng.choice(list("abcdeé"), 200_000))
+    short = long[:200]
+    [(n, m)] = [trie.counts([f"{long} {short}"])]
+    assert n == [2] and m[0] > 1 and trie.nodes <= 1000 + 256
+    whole, token_counts.LONG = token_counts.LONG, 100
+    try:
+        assert token_counts.Trie(trie.scores).counts([short]) == trie.counts([short])  # by the window, and by the trie
+    finally:
+        token_counts.LONG = whole
+    many = [" ".join("".join(rng.choice(list("abcdefgh"), 12)) for _ in range(2000))]
+    assert trie.counts(many) == token_counts.Trie(trie.scores).counts(many) and trie.nodes <= 1000 + 256
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "bye"), (1, 300, "ann", "bye"), (None, 0, "cy", "x"), (2, None, None, "y"), (2, 1, "dan", "z"), (3, 0, "system", "alone")]
-    made = chat_rotation.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert chat_rotation.rotate(table.filter("false")).count() == 0
+    clashing = table.withColumn("start", F.lit("x")).withColumn("seat", F.lit(1)).withColumn("perspective", F.lit(None).cast("string"))
+    assert sorted(map(repr, chat_rotation.rotate(clashing).collect())) == sorted(map(repr, chat_rotation.rotate(table).collect()))
+    made = chat_rotation.rotate(table).collect()
     assert len(made) == 5 * 2 + 1 + 2
     for conv in {(r["conv_id"], r["perspective"]) for r in made}:
         mine = sorted((r for r in made if (r["conv_id"], r["perspective"]) == conv), key=lambda r: r["segment"])
@@ -463,6 +485,53 @@ def test_topk(spark):
     q = {i: [math.floor(256 * x) for x in v] for i, v, _ in vectors if i is not None and v and None not in v and not any(map(math.isnan, v))}
     expected = {(a, k + 1, b, s) for a in q if a % 50 == 0 for k, (s, b) in enumerate(sorted(((sum(x * y for x, y in zip(q[a], q[b])), b) for b in q if b != a), key=lambda z: (-z[0], z[1]))[:5])}
     assert {tuple(r) for r in got} == expected
+    table = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>, score string")
+    assert exact_topk.exact_topk(table.filter("false")).count() == 0
+    assert sorted(r["vec_id"] for r in exact_topk.exact_topk(table).collect()) == [1, 2]  # fewer candidates than asked for
+
+
+@pytest.fixture
+def planted(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    words = lambda n, k: " ".join(f"{k}{x}" for x in rng.integers(0, 400, n))
+    base = words(60, "alpha")
+    near = base.replace(base.split()[10], "changed", 1)
+    at80 = base.split()[:55] + words(4, "tail").split()
+    texts = [base, near, base.upper(), " ".join(at80), None, "", "123 456", words(60, "beta"), words(60, "gamma"), "short one", "Short One", words(9000, "long"), "z" * 3000]
+    rows = [(i, t, "en", f"s{i % 2}" if i % 4 else None, len(t or ""), "kept as it is") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    return df, str(tmp_path), texts
+
+
+def test_pipeline_stages_against_brute_force(spark, planted):
+    """Every stage on its own input, and run() with its handover, on planted copies; empty tables too."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    df, folder, texts = planted
+    left = {i: t for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")}
+    kept = pipeline.language(spark, df, "")
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(left)
+    exact = {}
+    for i, t in left.items():
+        exact[lower(t)] = max(i, exact.get(lower(t), -1))
+    left = {i: left[i] for i in exact.values()}
+    kept = pipeline.exact(spark, kept, "")
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(left)
+    _, of = brute_components(left, 80)
+    left = {i: t for i, t in left.items() if of[i] == i}
+    kept = pipeline.near(spark, kept, "")
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(left) and 2 not in left
+    decided = {r["doc_id"]: r["copies"] for r in mixing.balanced_mix(kept).collect() if r["copies"]}
+    mixed = pipeline.mix(spark, kept, "")
+    assert mixed.columns == df.columns and {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == decided
+    e = PartEncoder(tokenizer_path("word_bpe_49k.json"))
+    rows = pipeline.run(spark, f"file://{folder}").collect()
+    tokens = {i: len(e.whole(texts[i])) + 1 for i in decided}
+    assert {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in decided} == {i: n * tokens[i] for i, n in decided.items()} and {r["doc_id"] for r in rows} == set(decided)
+    docs = df.filter("false")
+    for name, stage in pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0, name
 
 
 def test_pipeline(spark):
