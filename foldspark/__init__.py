@@ -1,3 +1,11 @@
 """Time-ordered analytics and model evaluation on Spark."""
 
-__version__ = "0.1.0"
+from .operators.backtest import BacktestRunner
+from .operators.conformal import SplitConformalCalibrator
+from .operators.folds import WalkForwardConfig
+from .plans.experiment import ForecastExperiment
+from .sources.market import MarketData, read_market_csv
+
+__version__ = "0.2.0"
+
+__all__ = ["BacktestRunner", "ForecastExperiment", "MarketData", "SplitConformalCalibrator", "WalkForwardConfig", "__version__", "read_market_csv"]

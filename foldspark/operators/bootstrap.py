@@ -9,9 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import is_finite
+
 METHOD = "circular_moving_block_bootstrap"
 
 
@@ -51,10 +54,15 @@ def arithmetic_starts(spark, samples: int, blocks: int, n: int) -> DataFrame:
 
 
 def random_starts(spark, samples: int, blocks: int, n: int, seed: int) -> DataFrame:
-    """Uniform starts of numpy's default generator, drawn on the driver: samples * blocks integers."""
-    draws = np.random.default_rng(seed).integers(0, n, size=(samples, blocks))
-    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(draws)], "sample long, starts array<long>")
-    return rows.select("sample", F.posexplode("starts").alias("block_no", "start"))
+    """Uniform starts, drawn in tasks: a sample's are those of numpy's generator seeded by (seed, sample)."""
+
+    def draw(frames):
+        for pdf in frames:
+            for sample in pdf["id"].tolist():
+                starts = np.random.default_rng([seed, sample]).integers(0, n, size=blocks)
+                yield pd.DataFrame({"sample": sample, "block_no": np.arange(blocks), "start": starts})
+
+    return spark.range(samples).mapInPandas(draw, "sample long, block_no long, start long")
 
 
 def paired_bootstrap(rows: DataFrame, a: str, b: str, *, samples: int = 3000, block_size: int | None = None, seed: int = 42) -> dict:
@@ -62,9 +70,9 @@ def paired_bootstrap(rows: DataFrame, a: str, b: str, *, samples: int = 3000, bl
     if isinstance(samples, bool) or not isinstance(samples, int) or samples < 1:
         raise ValueError("samples must be a positive integer")
     diff = loss_difference(rows, a, b)
-    n, missing, observed = diff.agg(F.count("*"), F.count_if(F.col("d").isNull() | F.isnan("d")), F.avg("d")).first()
+    n, missing, observed = diff.agg(F.count("*"), F.count_if(~is_finite(F.col("d"))), F.avg("d")).first()
     if not n or missing:
-        raise ValueError("paired vectors must be finite, equally indexed and non-empty")
+        raise ValueError("paired vectors need the same rows, at least one, and finite errors")
     if block_size is not None and (isinstance(block_size, bool) or not isinstance(block_size, int) or not 1 <= block_size <= n):
         raise ValueError("block_size must be an integer between 1 and the number of observations")
     block = block_size or default_block(n)

@@ -17,6 +17,19 @@ def conformal_rank(n: int, coverage: float) -> int:
     return min(n, math.ceil((n + 1) * coverage))
 
 
+def require_coverage(coverage: float) -> None:
+    if not 0 < coverage < 1:
+        raise ValueError("coverage must be between 0 and 1")
+
+
+def require_intervals(rows: DataFrame) -> None:
+    """Raises ValueError unless lower <= point <= upper, all finite, and 0 < coverage < 1 in every row."""
+    ordered = (F.col("lower") <= F.col("point")) & (F.col("point") <= F.col("upper"))
+    fine = is_finite(F.col("lower")) & is_finite(F.col("upper")) & F.coalesce(ordered, F.lit(False)) & (F.col("coverage") > 0) & (F.col("coverage") < 1)
+    if not rows.filter(~F.coalesce(fine, F.lit(False))).isEmpty():
+        raise ValueError("an interval has to hold its point between finite bounds, with a coverage between 0 and 1")
+
+
 def split_segments(rows: DataFrame, share: float = 0.4) -> DataFrame:
     """Adds ``calibrates``: true for the first max(2, int(share * n)) tested rows of each series and model."""
     w = Window.partitionBy("series_id", "model")
@@ -37,6 +50,7 @@ def conformal_radius(rows: DataFrame, coverage: float = 0.9) -> DataFrame:
 
 def intervals(rows: DataFrame, radius: DataFrame, coverage: float = 0.9) -> DataFrame:
     """point, lower, upper and coverage of each row; one radius for each series and model is joined."""
+    require_coverage(coverage)
     df = rows.join(radius.select("series_id", "model", "radius"), ["series_id", "model"])
     point = F.col("prediction")
     return df.select("series_id", "ts", "row_idx", "model", "actual", point.alias("point"), (point - F.col("radius")).alias("lower"), (point + F.col("radius")).alias("upper"), F.lit(float(coverage)).alias("coverage"))
@@ -57,8 +71,7 @@ class SplitConformalCalibrator:
     """Fits one radius on (actual, prediction) rows and widens points by it."""
 
     def __init__(self, coverage: float = 0.9):
-        if not 0 < coverage < 1:
-            raise ValueError("coverage must be between 0 and 1")
+        require_coverage(coverage)
         self.coverage, self.size, self.radius = coverage, None, None
 
     def fit(self, rows: DataFrame) -> SplitConformalCalibrator:

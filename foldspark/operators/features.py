@@ -98,9 +98,14 @@ def checked_matrix(observations: DataFrame) -> DataFrame:
     return out
 
 
+def with_volume(close: DataFrame, volume: DataFrame) -> DataFrame:
+    """Close with the volume of the same series and time, null where there is none; extra volume is left out."""
+    return close.join(volume.select(*KEYS, F.col("volume").cast("double")), list(KEYS), "left")
+
+
 def align_volume(close: DataFrame, volume: DataFrame) -> DataFrame:
-    """Close with the volume of the same series and time; an observation without volume is an error, extra volume is not."""
-    out = close.join(volume.select(*KEYS, F.col("volume").cast("double")), list(KEYS), "left")
+    """As ``with_volume``, but an observation without volume is an error."""
+    out = with_volume(close, volume)
     if not out.filter(F.col("volume").isNull()).isEmpty():
         raise ValueError("volume must cover every close timestamp")
     return out

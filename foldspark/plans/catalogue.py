@@ -11,17 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.metrics import BusinessCost, directional_accuracy, pinball
+from ..functions.metrics import BusinessCost, directional_accuracy, evaluate_pair, mae, pinball
 from ..functions.scalar import rounded
 from ..operators import features as fe
-from ..operators.backtest import constant, default_models, fold_metrics, historical_mean, learned, pooled_metrics, predictions, repeated_tests, ridge_regression, seasonal_naive, wide
+from ..operators.backtest import BacktestRunner, constant, default_models, fold_metrics, historical_mean, learned, pooled_metrics, predictions, repeated_tests, require_valid, ridge_regression, seasonal_naive, wide
 from ..operators.baselines import folds_of, predict_constant, predict_historical_mean, predict_seasonal_naive, train_statistics
-from ..operators.bootstrap import arithmetic_starts, block_sums, default_block, loss_difference, sample_means
-from ..operators.conformal import conformal_radius, interval_evaluation, intervals, split_segments
-from ..operators.folds import WalkForwardConfig, isolation_violations, test_rows
+from ..operators.bootstrap import arithmetic_starts, block_sums, default_block, loss_difference, paired_bootstrap, sample_means
+from ..operators.conformal import SplitConformalCalibrator, conformal_radius, interval_evaluation, intervals, require_intervals, split_segments
+from ..operators.folds import WalkForwardConfig, isolation_violations, test_rows, train_rows
 from ..operators.learners import boosting
 from ..operators.promotion import PromotionPolicy, win_rate
-from ..operators.quality import quality_report
+from ..operators.quality import quality_report, require_observations
 from ..operators.strategy import simple_metrics, strategy_metrics, strategy_path
 from ..scratch import Scratch
 from ..sources.market import MarketData, fingerprint
@@ -91,9 +91,10 @@ def series_quality_report(spark, sf_dir):
     return quality_report(lines.select(F.lit("lines").alias("series_id"), F.col("l_shipdate").cast("date").alias("ts"), (F.col("l_extendedprice").cast("double") - 20000).alias("close"), (F.col("l_quantity").cast("double") - 10).alias("volume")))
 
 
-@query(sql("SELECT series_id, count(*) AS raw_observations, CAST(min(ts) AS VARCHAR) AS first_time, CAST(max(ts) AS VARCHAR) AS last_time FROM obs GROUP BY 1", series="events"))
+@query(sql("SELECT 'external_market_csv' AS kind, 'events' AS source_name, '' AS sha256, count(*) AS raw_observations, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS start, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS \"end\", true AS has_volume FROM obs", series="events"))
 def series_metadata(spark, sf_dir):
-    return events_hourly(spark, sf_dir).groupBy("series_id").agg(F.count("*").alias("raw_observations"), F.min("ts").cast("string").alias("first_time"), F.max("ts").cast("string").alias("last_time"))
+    made = MarketData(events_hourly(spark, sf_dir), "events", "").metadata()
+    return spark.createDataFrame([made])
 
 
 @query("""WITH o AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1),
@@ -108,8 +109,8 @@ def series_fingerprint(spark, sf_dir):
 @query(sql(f"SELECT o.series_id, CAST(o.ts AS VARCHAR) AS ts, round(o.close, 6) AS close, v.volume FROM obs o LEFT JOIN ({sql('SELECT * FROM obs', series='lineitem')}) v ON v.ts = o.ts", series="orders"))
 def volume_reindex(spark, sf_dir):
     """Orders' closes with the lines' volume of the same day, null where there is none."""
-    volume = lineitem_daily(spark, sf_dir).select("ts", "volume")
-    return orders_daily(spark, sf_dir).drop("volume").join(volume, "ts", "left")
+    volume = lineitem_daily(spark, sf_dir).withColumn("series_id", F.lit("orders"))
+    return fe.with_volume(orders_daily(spark, sf_dir).drop("volume"), volume)
 
 
 @query(sql(f"SELECT series_id, {TS}, round(ret, 6) AS simple_return FROM ret"))
@@ -396,5 +397,59 @@ def evidence_summary(spark, sf_dir):
     return _evidence(spark, sf_dir, default_models(), "gradient_boosting")
 
 
+@query(sql("SELECT m.series_id, row_idx, fold FROM mat m JOIN folds f ON m.series_id = f.series_id AND row_idx >= train_start AND row_idx < train_end WHERE fold % 10 = 0", series="events", min_train=200, test=25, cap=220))
+def fold_train_membership(spark, sf_dir):
+    """Training rows of every tenth fold of rolling folds."""
+    config = WalkForwardConfig(200, 25, max_train_size=220)
+    return train_rows(matrix(spark, sf_dir, events_hourly), config).filter("fold % 10 = 0").select("series_id", "row_idx", "fold")
+
+
+def refused(call) -> str:
+    """What a call is refused for, in its first three words; empty if it isn't."""
+    try:
+        call()
+    except (TypeError, ValueError) as e:
+        return " ".join(str(e).split()[:3]).rstrip(":,")
+    return ""
+
+
+REFUSALS = {
+    "bad close": "close must be",
+    "infinite feature": "features and target",
+    "short series": "not enough observations",
+    "infinite error": "paired vectors need",
+    "bad interval": "an interval has",
+    "bad prediction": "invalid prediction vector",
+    "policy bound": "min_fold_win_rate is out",
+    "metric of nothing": "metric inputs must",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in REFUSALS.items()) + ") AS t(made, refusal)")
+def refusals(spark, sf_dir):
+    """Tables of the orders' series made wrong in one way each, and what the checks say of them."""
+    m = written(matrix(spark, sf_dir, orders_daily))
+    rows = written(predictions(m, CONFIG, BASELINES))
+    wrong = F.when(F.col("row_idx") == 300, float("inf"))
+    made = {
+        "bad close": lambda: require_observations(orders_daily(spark, sf_dir).withColumn("close", F.col("close") - F.col("close"))),
+        "infinite feature": lambda: fe.assert_no_leakage(m.withColumn("mean_5", F.coalesce(wrong, "mean_5"))),
+        "short series": lambda: BacktestRunner(WalkForwardConfig(100_000, 20), BASELINES).run(m),
+        "infinite error": lambda: paired_bootstrap(rows.withColumn("prediction", F.coalesce(wrong, "prediction")), "historical_mean", "naive_zero"),
+        "bad interval": lambda: require_intervals(rows.select(F.col("prediction").alias("point"), F.col("prediction").alias("lower"), (F.col("prediction") - 1).alias("upper"), F.lit(0.9).alias("coverage"))),
+        "bad prediction": lambda: require_valid(rows.withColumn("prediction", F.coalesce(wrong, "prediction"))),
+        "policy bound": lambda: PromotionPolicy(min_fold_win_rate=2.0),
+        "metric of nothing": lambda: evaluate_pair(rows.filter("false"), mae()),
+    }
+    return spark.createDataFrame([(k, refused(f)) for k, f in made.items()], "made string, refusal string")
+
+
+@query(sql("SELECT model AS method, calibration_size, round(radius, 6) AS radius, 0.9::DOUBLE AS target_coverage FROM rad WHERE model = 'naive_zero'").replace("model AS method", "'split_conformal_absolute_residual' AS method"))
+def calibrator_metadata(spark, sf_dir):
+    """Of a calibrator fitted on the earlier segment of the zero forecast."""
+    rows = split_segments(tested(spark, sf_dir)).filter("calibrates and model = 'naive_zero'")
+    return spark.createDataFrame([SplitConformalCalibrator(0.9).fit(rows).metadata()])
+
+
 def flagship(spark, sf_dir) -> DataFrame:
     return QUERIES["pooled_metrics_report"](spark, sf_dir)

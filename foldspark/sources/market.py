@@ -35,7 +35,7 @@ class MarketData:
 
     def metadata(self) -> dict:
         n, first, last = self.observations.agg(F.count("*"), *(F.date_format(f("ts"), "yyyy-MM-dd'T'HH:mm:ssXXX") for f in (F.min, F.max))).first()
-        return {"kind": "market_csv", "source_name": self.source_name, "sha256": self.sha256, "raw_observations": n, "start": first, "end": last, "has_volume": self.has_volume}
+        return {"kind": "external_market_csv", "source_name": self.source_name, "sha256": self.sha256, "raw_observations": n, "start": first, "end": last, "has_volume": self.has_volume}
 
 
 def canonical_row(df: DataFrame):

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from foldspark.functions.metrics import BusinessCost, evaluate_interval, evaluate_pair, mae, mase, pinball, rmse, smape
 from foldspark.operators.backtest import BacktestRunner, constant, historical_mean, seasonal_naive
 from foldspark.operators.bootstrap import paired_bootstrap
-from foldspark.operators.conformal import SplitConformalCalibrator
+from foldspark.operators.conformal import SplitConformalCalibrator, require_intervals
 from foldspark.operators.features import align_volume, assert_no_leakage, checked_matrix
 from foldspark.operators.folds import WalkForwardConfig, boundaries, fold_table, isolation_violations, test_rows as rows_tested, train_rows
-from foldspark.operators.learners import boosting, ridge
+from foldspark.operators.baselines import train_statistics
+from foldspark.operators.learners import boosting, predict_learned, predict_ridge, ridge
 from foldspark.operators.promotion import PromotionPolicy
 from foldspark.plans import catalogue
 from foldspark.plans.artifacts import render_report, write_manifest
@@ -90,6 +91,20 @@ def test_backtest(spark):
         assert r["prediction"] == pytest.approx(expected) and r["actual"] == pytest.approx(y[r["row_idx"]])
     with pytest.raises(ValueError, match="overlapping"):
         BacktestRunner(WalkForwardConfig(15, 5, 0, 2), models).run(matrix(spark))
+    with pytest.raises(ValueError, match="not enough observations"):
+        BacktestRunner(WalkForwardConfig(15, 5, 1), models).run(matrix(spark, 12))
+    with pytest.raises(ValueError, match="exceed seasonality"):
+        train_statistics(matrix(spark), WalkForwardConfig(15, 5), seasonality=15)
+    # Ridge from running sums, and any learner by runs of folds, are fits of each fold's own rows.
+    m = matrix(spark).withColumn("other", F.cos(F.col("row_idx") * 1.7)).withColumn("same", F.lit(2.0))
+    for config in (WalkForwardConfig(15, 1, 1), WalkForwardConfig(12, 4, 0, 5, 17)):
+        x = np.array([[i, math.cos(i * 1.7), 2.0] for i in range(40)], float)
+        expected = {}
+        for f in boundaries(40, config):
+            fit = ridge(3.0)(x[f.train_start : f.train_end], np.array(y[f.train_start : f.train_end]), x[f.test_start : f.test_end])
+            expected |= {(f.fold, i): v for i, v in zip(range(f.test_start, f.test_end), fit)}
+        for made in (predict_ridge(m, config), predict_learned(m, config, "ridge", ridge(3.0))):
+            assert {(r["fold"], r["row_idx"]): r["prediction"] for r in made.collect()} == pytest.approx(expected, rel=1e-6, abs=1e-8)
     with pytest.raises(ValueError, match="at least one model"):
         BacktestRunner(WalkForwardConfig(15, 5), {})
     with pytest.raises(ValueError, match="reserved"):
@@ -133,11 +148,19 @@ def test_conformal_bootstrap_promotion(spark):
     rows = spark.createDataFrame([("s", i, m, float(x), float(p)) for m, ps in (("a", a), ("b", b)) for i, (x, p) in enumerate(zip(actual, ps))], "series_id string, row_idx long, model string, actual double, prediction double")
     made = paired_bootstrap(rows, "a", "b", samples=200, block_size=3, seed=9)
     d = np.array([abs(x - p) - abs(x - q) for x, p, q in zip(actual, a, b)])
-    starts = np.random.default_rng(9).integers(0, 6, size=(200, 2))
+    starts = np.stack([np.random.default_rng([9, k]).integers(0, 6, 2) for k in range(200)])
     means = d[(starts[:, :, None] + np.arange(3)) % 6].reshape(200, -1)[:, :6].mean(1)
     assert (made["observed_mae_difference"], made["bootstrap_p05"], made["bootstrap_p95"]) == pytest.approx((d.mean(), np.quantile(means, 0.05), np.quantile(means, 0.95)))
     with pytest.raises(ValueError, match="block_size"):
         paired_bootstrap(rows, "a", "b", block_size=7)
+    for bad in (rows.withColumn("prediction", F.lit(float("inf"))), rows.filter("model = 'a'"), rows.filter("false")):
+        with pytest.raises(ValueError, match="paired vectors"):
+            paired_bootstrap(bad, "a", "b")
+    iv = spark.createDataFrame([(1.0, 0.0, 2.0, 0.9)], "point double, lower double, upper double, coverage double")
+    require_intervals(iv)
+    for bad in ({"lower": 1.5}, {"upper": float("nan")}, {"coverage": 1.0}, {"upper": 0.5}):
+        with pytest.raises(ValueError, match="interval"):
+            require_intervals(iv.withColumns({k: F.lit(v) for k, v in bad.items()}))
     pooled = lambda x, y: spark.createDataFrame([("c", float(x[0]), float(x[1])), ("b", float(y[0]), float(y[1]))], "model string, mae double, mean_business_cost double")
     folds = lambda x, y: spark.createDataFrame([(k, m, v) for k in (0, 1) for m, v in (("c", x), ("b", y))], "fold long, model string, mae double")
     got = PromotionPolicy().decide("c", "b", pooled((0.8, 1.2), (1.0, 1.0)), folds(0.8, 1.0))
