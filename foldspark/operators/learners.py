@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import partitions
 from .features import TARGET
 from .folds import WalkForwardConfig, fold_of, test_rows
 
@@ -57,30 +58,29 @@ def boosting(rounds: int = 100, depth: int = 3, rate: float = 0.05, l2: float =
         size = max(len(e) for e in edges) + 1
         flat = train + np.arange(width) * size
         fit, out = np.full(n, y.mean()), np.full(len(new), y.mean())
+        cells = width * size
+        root = np.bincount(flat.ravel(), minlength=cells)  # in every round
         for _ in range(rounds):
             gradient = fit - y
-            nodes = [(np.arange(n), np.arange(len(new)), 0)]
-            while nodes:
-                rows, fresh, level = nodes.pop()
-                g, h = gradient[rows].sum(), float(len(rows))
-                best = None
-                if level < depth and len(rows) >= 2 * least:
-                    cells = flat[rows].ravel()
-                    gs = np.bincount(cells, np.repeat(gradient[rows], width), width * size).reshape(width, size).cumsum(1)
-                    hs = np.bincount(cells, minlength=width * size).reshape(width, size).cumsum(1)
-                    gain = gs**2 / (hs + l2) + (g - gs) ** 2 / (h - hs + l2) - g * g / (h + l2)
-                    gain[(hs < least) | (h - hs < least)] = -np.inf
-                    at = int(gain.argmax())
-                    if gain.flat[at] > 1e-12:
-                        best = divmod(at, size)
-                if best is None:
-                    step = -rate * g / (h + l2)
-                    fit[rows] += step
-                    out[fresh] += step
-                else:
-                    f, b = best
-                    left, new_left = train[rows, f] <= b, test[fresh, f] <= b
-                    nodes += [(rows[left], fresh[new_left], level + 1), (rows[~left], fresh[~new_left], level + 1)]
+            weights = np.repeat(gradient, width)
+            node, fresh = np.zeros(n, np.int64), np.zeros(len(new), np.int64)
+            for level in range(depth):  # all nodes of a level at once; one that isn't split hands its rows to its left child
+                m = 1 << level
+                at = (node[:, None] * cells + flat).ravel() if level else flat.ravel()
+                gs = np.bincount(at, weights, m * cells).reshape(m, width, size).cumsum(2)
+                hs = (np.bincount(at, minlength=m * cells) if level else root).reshape(m, width, size).cumsum(2)
+                g, h = gs[:, :1, -1:], hs[:, :1, -1:]
+                gain = gs**2 / (hs + l2) + (g - gs) ** 2 / (h - hs + l2) - g * g / (h + l2)
+                gain[(hs < least) | (h - hs < least)] = -np.inf
+                gain = gain.reshape(m, cells)
+                best = gain.argmax(1)
+                feature, edge = np.divmod(best, size)
+                edge = np.where(gain[np.arange(m), best] > 1e-12, edge, size)
+                node = 2 * node + (train[np.arange(n), feature[node]] > edge[node])
+                fresh = 2 * fresh + (test[np.arange(len(new)), feature[fresh]] > edge[fresh])
+            step = -rate * np.bincount(node, gradient, 1 << depth) / (np.bincount(node, minlength=1 << depth) + l2)
+            fit += step[node]
+            out += step[fresh]
         return out
 
     return learn
@@ -117,6 +117,8 @@ def predict_learned(matrix: DataFrame, config: WalkForwardConfig, model: str, le
         return pd.concat(out) if out else pdf[:0].assign(fold=0, model=model, actual=0.0, prediction=0.0)[["series_id", "ts", "row_idx", "fold", "model", "actual", "prediction"]]
 
     time = dict(matrix.dtypes)["ts"]
+    # By number, or few bytes would make one task of all fits.
+    rows = rows.repartition(4 * partitions(matrix.sparkSession), "series_id", "run")
     return rows.groupBy("series_id", "run").applyInPandas(fit, f"series_id string, ts {time}, row_idx long, fold long, model string, actual double, prediction double")
 
 
