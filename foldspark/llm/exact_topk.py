@@ -107,7 +107,10 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256
             return pa.RecordBatch.from_pydict({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out)})
 
         for batch in batches:
-            for c, q, name, v in zip(*(col.to_pylist() for col in batch.columns)):
+            lists = batch.column(3)
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for i, (c, q, name) in enumerate(zip(*(col.to_pylist() for col in batch.columns[:3]))):
+                v = values[ends[i] : ends[i + 1]].copy()
                 if (c, q) != (state["c"], state["q"]):
                     if (done := close()) is not None:
                         yield done

@@ -406,7 +406,7 @@ def test_changes_of_information():
 def test_class_lm_clusters_all_words(spark, monkeypatch):
     """Words with no frequent word beside them get classes by the text too, and at the end no word is better off elsewhere."""
     rng, tables = np.random.default_rng(9), {}
-    texts = [" ".join(f"{k}{rng.integers(6)}" for k in "abc") for _ in range(150)]
+    texts = [" ".join(f"{k}{rng.integers(3)}" for k in "abc") for _ in range(100)]
     df = docs(spark, texts).filter("doc_id is not null").selectExpr("doc_id", "false held_out", "text")
     write = class_lm.Scratch.write
     monkeypatch.setattr(class_lm.Scratch, "write", lambda self, df, name, *a: tables.setdefault(name, write(self, df, name, *a)))
