@@ -23,7 +23,10 @@ FOLDS = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null text or no letters. Those with one are kept whatever their score."""
+    """Rejects documents without a language: null text or no letters. Those with one are kept whatever their score.
+
+    Repeated rows stay or go together, columns of any name are kept, an empty table stays empty.
+    """
     prototypes = fit_prototypes(docs.filter(~split_of(F.col("doc_id"), FOLDS)))
     kept = predict_language(docs.withColumnsRenamed({"lang_pred": "own lang_pred", "score": "own score"}), prototypes)
     kept = kept.filter((F.col("lang_pred") != UNKNOWN) | F.lit(not prototypes) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -31,7 +34,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (A-Z lower-cased) the one with the largest doc_id stays."""
+    """Of documents with equal texts (A-Z lower-cased) the one with the largest doc_id stays.
+
+    Null text is empty text; a null doc_id stays only where its group has no other; of repeated rows one stays; an empty
+    table stays empty.
+    """
     return drop_duplicates(docs, keep="largest")
 
 
@@ -45,12 +52,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 5, 2, 1 in turn for 150 % of all words; a document the mix takes twice is two rows."""
+    """Sources at weights 5, 2, 1 in turn for 150 % of all words; a document the mix takes twice is two rows.
+
+    A null source is the last one; null text has no words; repeated rows share what is taken of them; an empty table
+    stays empty.
+    """
     return mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens. Null text is its end id alone; no documents give no pieces."""
     return pack_digest(docs, tokenizer_path("word_bpe_49k.json"), 2, Limits())
 
 
@@ -61,6 +72,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over all documents; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "corpus-pipeline")
     for name, stage in STAGES:
