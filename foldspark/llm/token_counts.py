@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -64,33 +63,37 @@ class Trie:
         self.root: list = [0.0, 0, {}]
         self.nodes = 0
 
-    def _best(self, word: bytes, end: int, before) -> tuple[float, int]:
-        """Best score of the first ``end`` bytes and its number of tokens; before(k): those k bytes earlier."""
+    def _best(self, word: bytes, end: int, states: list, base: int = 0) -> tuple[float, int]:
+        """Best score of the first ``end`` bytes and its number of tokens; states: of the starts from ``base`` on."""
         scores, endings = self.scores, self.endings
         best, count = -math.inf, 0
         for start in range(end - 1, -1, -1):
             piece = word[start:end]
-            if piece not in endings:
-                break
             s = scores.get(piece)
             if s is not None:
-                last = before(end - start)
+                last = states[start - base]
                 s += last[0]
                 if s > best or (s == best and last[1] + 1 < count):
                     best, count = s, last[1] + 1
+            elif piece not in endings:
+                break
         return best, count
 
     def _long(self, word: bytes) -> int:
-        window = deque([(0.0, 0)], self.longest)
+        states, base = [(0.0, 0)], 0
         for end in range(1, len(word) + 1):
-            window.append(self._best(word, end, lambda k: window[-k]))
-        return window[-1][1]
+            states.append(self._best(word, end, states, base))
+            if len(states) > 8 * self.longest:
+                base += len(states) - self.longest
+                del states[: -self.longest]
+        return states[-1][1]
 
     def insert(self, token: str) -> int:
         """Tokens of a pre-token, which is stored."""
         word = token.encode()
         if len(word) > LONG:
-            return self.terminal.setdefault(token, self._long(word)) if len(word) <= 16 * LONG else self._long(word)
+            self.terminal[token] = self._long(word)
+            return self.terminal[token]
         if self.nodes > self.limit:
             self.clear()
         path, node = [self.root], self.root
@@ -100,7 +103,7 @@ class Trie:
                 break
             path.append(node)
         for end in range(len(path), len(word) + 1):
-            child = [*self._best(word, end, lambda k: path[-k]), {}]
+            child = [*self._best(word, end, path), {}]
             path[-1][2][word[end - 1]] = child
             path.append(child)
             self.nodes += 1
@@ -112,9 +115,15 @@ class Trie:
         if len(self.terminal) > self.limit:
             self.terminal.clear()
         cut = [pre_tokens(t) for t in texts]
-        here = {token: self.insert(token) for token in sorted(set().union(*cut).difference(self.terminal))}
-        get = lambda token: here[token] if token in here else self.terminal[token]
-        return [len(x) for x in cut], [sum(map(get, x)) for x in cut]
+        fresh = sorted(set().union(*cut).difference(self.terminal))
+        for token in fresh:
+            self.insert(token)
+        get = self.terminal.__getitem__
+        out = [len(x) for x in cut], [sum(map(get, x)) for x in cut]
+        for token in fresh:
+            if len(token) > LONG:  # not worth the memory
+                del self.terminal[token]
+        return out
 
 
 def token_counts(docs: DataFrame, pieces_path: str) -> DataFrame:
