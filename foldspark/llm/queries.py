@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_rotation, exact_dedup, exact_topk
+from .bpe_automaton import bpe_digest
 from .class_lm import class_scores
 from .exact_dedup import mark_duplicates
 from .language_id import language_id, split_of
@@ -102,3 +103,8 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op10_exact_topk"] = exact_topk.ORACLE_SQL
+
+
+@query
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
