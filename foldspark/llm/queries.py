@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, exact_dedup, exact_topk
+from . import chat_rotation, exact_dedup, exact_topk, exponion, hard_negatives
 from .bpe_automaton import bpe_digest
 from .class_lm import class_scores
 from .exact_dedup import mark_duplicates
@@ -108,3 +108,20 @@ ORACLE_SQL["op10_exact_topk"] = exact_topk.ORACLE_SQL
 @query
 def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster_digest(exponion.exponion(table(spark, sf_dir, "embeddings")))
+
+
+ORACLE_SQL["op12_exponion"] = exponion.ORACLE_SQL
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives.hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+ORACLE_SQL["op13_hard_negatives"] = hard_negatives.ORACLE_SQL
