@@ -41,37 +41,35 @@ class MergeAutomaton:
 
     def __init__(self, spelled: dict[int, bytes], ends: set[int], merges: list[tuple[int, int, int]], whole_words: bool):
         made = {m for _, _, m in merges}
-        tokens = [*sorted(set(spelled) - made), *(m for _, _, m in merges)]
-        row = {token: i for i, token in enumerate(tokens)}  # in the order in which they are made
-        done = len(tokens) - len(merges)
-        target, leading = [0] * len(tokens), [done]
-        arcs = np.zeros((len(tokens), 64), np.uint8)
-        arcs[:done, 0] = 1
-        for a, b, ab in merges:
-            a, b = row.get(a, done), row.get(b, done)
-            if a >= done or b >= done or row[ab] != done:
-                raise ValueError("a merge has to follow the merges of its parts, and no two may make one token")
+        self.tokens = np.array([*sorted(set(spelled) - made), *(m for _, _, m in merges)], np.int64)  # in the order in which they are made
+        row = {token: i for i, token in enumerate(self.tokens.tolist())}
+        base = len(row) - len(merges)
+        steps = [(row.get(a, len(row)), row.get(b, len(row)), row.get(m)) for a, b, m in merges]
+        if len(row) < len(self.tokens) or any(m != base + i or max(a, b) >= m for i, (a, b, m) in enumerate(steps)):
+            raise ValueError("a merge has to follow the merges of its parts, and no two may make one token")
+        target, leading = [0] * len(row), [base]
+        self.arcs = arcs = np.zeros((len(row), 64), np.uint8)
+        arcs[:base, 0] = 1
+        for a, b, ab in steps:
             behind, after = target[a], target[b]
-            if arcs[b, behind >> 3] >> (behind & 7) & 1:  # else b never follows a, as an earlier merge takes one of them
-                if behind == 0 or leading[behind] > 1 or a == b:  # others lead here: a state of its own, with the same arcs
-                    leading[behind] -= 1
-                    new = len(leading)
-                    if new >> 3 == arcs.shape[1]:
-                        arcs = np.concatenate([arcs, np.zeros_like(arcs)], 1)
-                    arcs[:done, new >> 3] |= (arcs[:done, behind >> 3] >> (behind & 7) & 1) << (new & 7)
-                    leading.append(1)
-                    behind = target[a] = new
-                arcs[b, behind >> 3] &= 255 - (1 << (behind & 7))
-                arcs[done] = arcs[a]
-                target[done] = after
-                leading[after] += 1
-            done += 1
-        self.states, size = len(leading), max(spelled, default=-1) + 1
-        self.target, self.arcs = np.zeros(size, np.int32), np.zeros((size, (self.states >> 3) + 1), np.uint8)
-        self.target[tokens], self.arcs[tokens] = target, arcs[:, : self.arcs.shape[1]]
-        self._trie(spelled, ends, whole_words)
-
-    def _trie(self, spelled: dict[int, bytes], ends: set[int], whole_words: bool) -> None:
+            if not arcs[b, behind >> 3] >> (behind & 7) & 1:
+                continue  # b never follows a: an earlier merge takes one of them
+            if behind == 0 or leading[behind] > 1 or a == b:  # others lead here: a state of its own, with the same arcs
+                leading[behind] -= 1
+                new = len(leading)
+                if new >> 3 == arcs.shape[1]:
+                    self.arcs = arcs = np.pad(arcs, ((0, 0), (0, 256)))
+                arcs[:ab, new >> 3] |= (arcs[:ab, behind >> 3] >> (behind & 7) & 1) << (new & 7)
+                leading.append(1)
+                behind = target[a] = new
+            arcs[b, behind >> 3] &= 255 - (1 << (behind & 7))
+            arcs[ab] = arcs[a]
+            target[ab] = after
+            leading[after] += 1
+        self.states, self.target = len(leading), np.array(target, np.int32)
+        self._trie(spelled, ends, whole_words, row)
+
+    def _trie(self, spelled: dict[int, bytes], ends: set[int], whole_words: bool, row: dict[int, int]) -> None:
         children: list[dict[int, int]] = [{}]
         inside, closing = [-1], [-1]
         for token, letters in spelled.items():
@@ -85,7 +83,7 @@ class MergeAutomaton:
                 node = children[node][x]
             for ids, right in ((inside, token not in ends), (closing, token in ends or not whole_words)):
                 if right:
-                    ids[node] = token
+                    ids[node] = row[token]
         # Nodes with children come first; only they have a row of the table.
         number = np.empty(len(children), np.int32)
         has = np.array([bool(c) for c in children])
@@ -98,9 +96,7 @@ class MergeAutomaton:
                 self.go[number[i], x] = number[child]
         self.inside, self.closing = np.full(len(children), -1, np.int32), np.full(len(children), -1, np.int32)
         self.inside[number], self.closing[number] = inside, closing
-        self.length = np.zeros(len(self.target), np.int64)
-        for token, letters in spelled.items():
-            self.length[token] = len(letters)
+        self.length = np.array([len(spelled[t]) for t in self.tokens.tolist()], np.int64)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word; a word without a path (a byte is no token) is an error."""
@@ -156,7 +152,7 @@ class MergeAutomaton:
         ids = np.zeros(int(ends[-1]), np.int64)
         for k, (rows, arc) in enumerate(steps):
             ids[ends[rows] - 1 - k] = arc
-        flat = ids.tolist()
+        flat = self.tokens[ids].tolist()
         return [flat[b - m : b] for b, m in zip(ends.tolist(), many.tolist())]
 
     def _alone(self, word: bytes) -> list[int]:
@@ -180,7 +176,7 @@ class MergeAutomaton:
         while place:
             if taken[place] < 0:
                 raise ValueError("a word has letters that are no token")
-            out.append(taken[place])
+            out.append(self.tokens.item(taken[place]))
             place -= self.length.item(taken[place])
         return out[::-1]
 
@@ -288,8 +284,8 @@ def encoder(path: str) -> AutomatonEncoder:
     return _encoders[path]
 
 
-def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every document's whole text.
+def bpe_encode(docs: DataFrame, tokenizer_path: str, spell: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) of every document's whole text; with ``spell`` also ``decoded``, the text that the ids spell.
 
     A null or empty text has no ids; null and repeated doc_ids are documents each; an empty table gives no rows; other
     columns are ignored.
@@ -297,11 +293,15 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def encode(batches):
         for batch in batches:
-            for a, b, ids, each in encoder(tokenizer_path).slices(batch.column(1)):
+            tables = encoder(tokenizer_path)
+            for a, b, ids, each in tables.slices(batch.column(1)):
                 offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+                columns = {"doc_id": batch.column(0).slice(a, b - a), "ids": lists} | ({"decoded": tables.decode(lists)} if spell else {})
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids array<int>")
+    kinds = "doc_id long, ids array<int>" + (", decoded string" if spell else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, kinds)
 
 
 def bpe_decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -323,6 +323,6 @@ def bpe_decode(rows: DataFrame, tokenizer_path: str, ids: str = "ids", text: str
 
 def bpe_digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 of each document; see ``bpe_encode``."""
-    ids = F.col("ids").cast("array<string>")
-    rows = bpe_encode(docs, tokenizer_path).select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", ids), 256).alias("ids_sha256"))
-    return bpe_decode(rows, tokenizer_path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    rows = bpe_encode(docs, tokenizer_path, spell=True)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
