@@ -481,10 +481,17 @@ def test_topk(spark):
     rng = np.random.default_rng(7)
     vectors = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 8], "x") for i in range(120)]
     vectors += [(200, None, "n"), (250, [float("nan")] * 6, "n"), (300, [None] * 6, "n"), (301, vectors[50][1], "copy"), (None, vectors[50][1], "n")]
+    vectors += [vectors[50], (50, vectors[7][1], "same id"), (350, [], "n"), (351, [1.0] * 9, "longer")]
     got = exact_topk.exact_topk(spark.createDataFrame(vectors, "vec_id long, embedding array<float>, score string")).collect()
-    q = {i: [math.floor(256 * x) for x in v] for i, v, _ in vectors if i is not None and v and None not in v and not any(map(math.isnan, v))}
-    expected = {(a, k + 1, b, s) for a in q if a % 50 == 0 for k, (s, b) in enumerate(sorted(((sum(x * y for x, y in zip(q[a], q[b])), b) for b in q if b != a), key=lambda z: (-z[0], z[1]))[:5])}
-    assert {tuple(r) for r in got} == expected
+    q = [(n, i, [math.floor(256 * x) for x in v]) for n, (i, v, _) in enumerate(vectors) if i is not None and v is not None and None not in v and not any(map(math.isnan, v))]
+    expected = []
+    for n, i, v in q:
+        if i % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), j) for m, j, w in q if m != n)[:5]
+            expected += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(expected)
+    with pytest.raises(Exception, match="too long"):
+        exact_topk.exact_topk(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>"))
     table = spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>, score string")
     assert exact_topk.exact_topk(table.filter("false")).count() == 0
     assert sorted(r["vec_id"] for r in exact_topk.exact_topk(table).collect()) == [1, 2]  # fewer candidates than asked for
