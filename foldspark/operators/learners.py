@@ -1,6 +1,6 @@
 """Learned forecasters.
 
-Ridge regression comes from sums of products over blocks of rows, added up from fold to fold: no training row is
+Ridge regression comes from centred moments of blocks of rows, merged from fold to fold: no training row is
 copied. Any other learner is a function ``(train_x, train_y, test_x) -> predictions`` on numpy arrays, which a pandas task calls
 for a run of folds of a series, slicing the rows that they share.
 """
@@ -8,19 +8,25 @@ for a run of folds of a series, slicing the rows that they share.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import partitions
+from ..scratch import Scratch, partitions
 from .features import TARGET
 from .folds import WalkForwardConfig, fold_of, test_rows
+from .moments import Moments, windows
 
 Learner = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: Folds fitted by one task.
 RUN = 8
+#: Folds of ridge solved by one task.
+FOLD_RANGE = 512
+_BLOCK = "series_id string, first long, last long, state array<double>"
 KEY_COLUMNS = ("series_id", "ts", "row_idx", "fold")
 
 
@@ -28,8 +34,9 @@ def ridge(alpha: float = 3.0) -> Learner:
     """Least squares with an L2 penalty on standardised features (population deviation, 1 where it is 0) and an intercept."""
 
     def learn(x, y, new):
+        x, new = x - x[0], new - x[0]  # an offset costs no digits
         mean, scale = x.mean(0), x.std(0)
-        scale = np.where(scale > 0, scale, 1.0)
+        scale = np.where((scale > 0) & (x != 0).any(0), scale, 1.0)
         z = (x - mean) / scale
         weights = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
         return (new - mean) / scale @ weights + y.mean()
@@ -123,53 +130,63 @@ def predict_learned(matrix: DataFrame, config: WalkForwardConfig, model: str, le
 
 
 def predict_ridge(matrix: DataFrame, config: WalkForwardConfig, model: str = "ridge", alpha: float = 3.0, target: str = TARGET) -> DataFrame:
-    """Ridge predictions, as of ``ridge``, from the Gram matrices of blocks of rows that train the same folds.
+    """Ridge predictions, as of ``ridge``, from centred moments of blocks of rows that train the same folds.
 
-    A task sums its rows' blocks; a series' blocks (one for each step) are added up fold by fold, where 20 x 20 systems are
-    solved; coefficients are joined to the tested rows.
+    A task makes the moments of its rows' blocks. Folds are dealt out in ranges of ``FOLD_RANGE``, which tasks solve fold by fold: a range of rolling
+    folds gets each block that lives in it; one of expanding folds its own blocks and the merged moments of all before.
+    Weights are joined to the tested rows. So no task holds more of a series than one range of folds and the
+    moments of its ranges, and no training row is copied.
     """
     features = feature_names(matrix, target)
-    width = len(features)
-    i = F.col("row_idx")
-    floor = lambda a: F.floor(a / F.lit(config.step)).cast("long")
-    first = F.greatest(F.lit(0).cast("long"), floor(i - config.min_train_size) + 1)
-    last = floor(i + config.max_train_size - config.min_train_size) if config.max_train_size else F.lit(2**62).cast("long")
-    rows = matrix.select("series_id", first.alias("first"), last.alias("last"), F.array(F.lit(1.0), *(F.col(c).cast("double") for c in (*features, target))).alias("v"))
+    width = len(features) + 1
+    i, step = F.col("row_idx"), F.lit(config.step)
+    first = F.greatest(F.lit(0).cast("long"), F.floor((i - config.min_train_size) / step).cast("long") + 1)
+    last = F.floor((i + config.max_train_size - config.min_train_size) / step).cast("long") if config.max_train_size else F.lit(2**62).cast("long")
+    rows = matrix.select("series_id", first.alias("first"), last.alias("last"), F.array(*(F.col(c).cast("double") for c in (*features, target))).alias("v"))
 
     def add(frames):
         for pdf in frames:
             if len(pdf):
-                keys, place = np.unique(pdf[["series_id", "first", "last"]].astype(str).agg("|".join, axis=1), return_inverse=True)
-                order = np.argsort(place, kind="stable")
+                block = pdf.groupby(["series_id", "first", "last"], sort=False, dropna=False).ngroup().to_numpy()
+                order = np.argsort(block, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(block[order]) > 0])
                 v = np.stack(pdf["v"].to_numpy()[order])
-                starts = np.searchsorted(place[order], np.arange(len(keys)))
-                sums = np.add.reduceat(v[:, :, None] * v[:, None, :], starts)
-                yield pdf.iloc[order[starts]][["series_id", "first", "last"]].assign(gram=[g.ravel() for g in sums])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first", "last"], ignore_index=True)
-        begins, ends, grams = pdf["first"].to_numpy(), pdf["last"].to_numpy(), pdf["gram"].to_numpy()
-        out, total, taken, given = [], np.zeros((width + 2) ** 2), 0, 0
-        for fold in range(int(begins.max()) + 1):
-            while taken < len(pdf) and begins[taken] <= fold:
-                total = total + grams[taken]
-                taken += 1
-            while given < taken and ends[given] < fold:
-                total = total - grams[given]
-                given += 1
-            g = total.reshape(width + 2, width + 2)
-            n = g[0, 0]
-            mean = g[0] / n
-            cov = g / n - np.outer(mean, mean)
-            var = np.diag(cov)
-            scale = np.sqrt(np.where(var > 1e-14 * np.diag(g) / n, var, 1.0))
-            z = n * cov / np.outer(scale, scale)
-            w = np.linalg.solve(z[1:-1, 1:-1] + alpha * np.eye(width), z[1:-1, -1] * scale[-1]) / scale[1:-1]
-            out.append((pdf["series_id"].iloc[0], fold, w.tolist(), mean[-1] - w @ mean[1:-1]))
-        return pd.DataFrame(out, columns=["series_id", "fold", "weights", "intercept"])
-
-    blocks = rows.mapInPandas(add, "series_id string, first long, last long, gram array<double>")
-    weights = blocks.groupBy("series_id").applyInPandas(solve, "series_id string, fold long, weights array<double>, intercept double")
+                yield pdf.iloc[order[starts]][["series_id", "first", "last"]].assign(state=[Moments.of(part).pack() for part in np.split(v, starts[1:])])
+
+    blocks = rows.filter("first <= last").mapInPandas(add, _BLOCK)
+    size = max(FOLD_RANGE, -(-(config.max_train_size or 0) // config.step))  # a rolling block lives in two ranges at most
+    own = F.floor(F.col("first") / size)
+    if config.max_train_size:
+        dealt = blocks.withColumn("range", F.explode(F.sequence(own, F.floor(F.col("last") / size))))
+    else:
+        dealt = Scratch(matrix.sparkSession, "ridge").write(blocks.withColumn("range", own), "blocks")
+        dealt = dealt.unionByName(_moments_before(dealt, width))
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["first", "last"])
+        alive = zip(pdf["first"].tolist(), pdf["last"].tolist(), (Moments.unpack(x, width) for x in pdf["state"]))
+        steps = range(key[1] * size, min((key[1] + 1) * size, int(pdf["first"].max()) + 1))
+        out = [(key[0], fold, *merged.ridge(alpha)) for fold, merged in windows(alive, steps) if merged]
+        return pd.DataFrame(out, columns=["series_id", "fold", "weights", "centre", "value"])
+
+    weights = dealt.groupBy("series_id", "range").applyInPandas(solve, "series_id string, fold long, weights array<double>, centre array<double>, value double")
     tested = test_rows(matrix, config).withColumn("x", F.array(*(F.col(c).cast("double") for c in features)))
-    value = F.aggregate(F.zip_with("x", "weights", lambda a, b: a * b), F.col("intercept"), lambda a, b: a + b)
+    away = F.zip_with("x", "centre", lambda a, b: a - b)
+    value = F.aggregate(F.zip_with(away, "weights", lambda a, b: a * b), F.col("value"), lambda a, b: a + b)
     return tested.join(weights, ["series_id", "fold"]).select("series_id", "ts", "row_idx", "fold", F.lit(model).alias("model"), F.col(target).cast("double").alias("actual"), value.alias("prediction"))
+
+
+def _moments_before(blocks: DataFrame, width: int) -> DataFrame:
+    """For each range of a series' folds but the first, the merged moments of all blocks of the ranges before, as a block."""
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        states = (Moments.unpack(x, width) for x in pdf.sort_values("first")["state"])
+        return pd.DataFrame({"series_id": [key[0]], "first": [0], "last": [2**62], "state": [reduce(Moments.__add__, states).pack()], "range": [key[1]]})
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("range")
+        states = accumulate((Moments.unpack(x, width) for x in pdf["state"]), Moments.__add__)
+        return pdf.assign(state=[s.pack() for s in states], range=pdf["range"] + 1)
+
+    schema = _BLOCK + ", range long"
+    return blocks.groupBy("series_id", "range").applyInPandas(merge, schema).groupBy("series_id").applyInPandas(run, schema)

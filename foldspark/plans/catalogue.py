@@ -370,6 +370,13 @@ def ridge_backtest(spark, sf_dir):
     return pooled_metrics(predictions(matrix(spark, sf_dir), CONFIG, {"ridge": ridge_regression()}))
 
 
+@query(ridge_sql(offset="1e6", series="segments", cap=400, gap=1))
+def ridge_shifted_backtest(spark, sf_dir):
+    """Rolling folds of the segments, with a feature whose mean is a million times its deviation."""
+    m = matrix(spark, sf_dir, segment_daily).withColumn("return_lag_1", F.col("return_lag_1") + 1e6)
+    return pooled_metrics(predictions(m, ROLLING, {"ridge": ridge_regression()}))
+
+
 @query()
 def boosting_backtest(spark, sf_dir):
     return pooled_metrics(predictions(matrix(spark, sf_dir), CONFIG, {"gradient_boosting": learned(boosting())}))

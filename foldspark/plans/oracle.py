@@ -42,7 +42,7 @@ TARGET = {"target_next_return": f"lead(ret, 1) OVER {W}"}
 ALL = FEATURES | VOLUME | TARGET
 
 
-def blocks(series: str = "lineitem", min_train=250, test=20, gap=0, step=None, cap=None) -> dict[str, str]:
+def blocks(series: str = "lineitem", min_train=250, test=20, gap=0, step=None, cap=None, offset="0") -> dict[str, str]:
     step = step or test
     ts0 = min_train + gap
     start = f"greatest(0, {ts0} + k * {step} - {gap} - {cap})" if cap else "0"
@@ -58,8 +58,11 @@ def blocks(series: str = "lineitem", min_train=250, test=20, gap=0, step=None, c
         "oos": f"SELECT series_id, ts, row_idx, {fold} AS fold, target_next_return AS actual FROM mat WHERE row_idx >= {ts0} AND row_idx - {ts0} - {fold} * {step} < {test}",
         "train": "SELECT f.series_id, fold, row_idx, target_next_return AS y, abs(target_next_return - lag(target_next_return) OVER (PARTITION BY f.series_id, fold ORDER BY row_idx)) AS d FROM folds f JOIN mat m ON m.series_id = f.series_id AND row_idx >= train_start AND row_idx < train_end",
         "stats": "SELECT series_id, fold, avg(y) AS train_mean, avg(d) AS mase_scale FROM train GROUP BY 1, 2",
-        "ridge_cov": f"""SELECT series_id, fold, i, j, count(*) AS n, avg(v[i]) AS mean, avg(v[i] * v[j]) - avg(v[i]) * avg(v[j]) AS cov
-            FROM (SELECT f.series_id, fold, [{", ".join(c for c in ALL if c != "target_next_return")}, target_next_return] AS v FROM folds f JOIN mat m ON m.series_id = f.series_id AND row_idx >= train_start AND row_idx < train_end),
+        "ridge_v": f"SELECT series_id, row_idx, [{', '.join(c + f' + {offset}' * (c == 'return_lag_1') for c in ALL)}] AS v FROM mat",
+        "ridge_train": "SELECT f.series_id, fold, v FROM folds f JOIN ridge_v m ON m.series_id = f.series_id AND row_idx >= train_start AND row_idx < train_end",
+        "ridge_mean": f"SELECT series_id, fold, list(mean ORDER BY i) AS m FROM (SELECT series_id, fold, i, avg(v[i]) AS mean FROM ridge_train, (SELECT unnest(range(1, {len(ALL)} + 1)) AS i) a GROUP BY 1, 2, 3) GROUP BY 1, 2",
+        "ridge_cov": f"""SELECT series_id, fold, i, j, count(*) AS n, any_value(m[i]) AS mean, avg((v[i] - m[i]) * (v[j] - m[j])) AS cov
+            FROM ridge_train JOIN ridge_mean USING (series_id, fold),
             (SELECT unnest(range(1, {len(ALL)} + 1)) AS i) a, (SELECT unnest(range(1, {len(ALL)} + 1)) AS j) b GROUP BY 1, 2, 3, 4""",
         "ridge_scale": f"SELECT series_id, fold, i, mean, CASE WHEN i <= {len(ALL) - 1} AND cov > 0 THEN sqrt(cov) ELSE 1 END AS scale FROM ridge_cov WHERE i = j",
         "zero": "SELECT *, 'naive_zero' AS model, 0.0::DOUBLE AS prediction FROM oos",
@@ -115,7 +118,6 @@ def r(*columns: str) -> str:
 def ridge_sql(alpha: float = 3.0, **how) -> str:
     """Pooled metrics of ridge regression: covariances of each fold's training rows, and elimination over lists."""
     n = len(ALL) - 1
-    names = [c for c in ALL if c != "target_next_return"]
     return sql(f"""SELECT series_id, 'ridge' AS model, {short("avg(abs(e))", "mae")}, {short("sqrt(avg(e * e))", "rmse")},
   {short("avg(CASE WHEN abs(actual) + abs(p) > 0 THEN 2 * abs(e) / (abs(actual) + abs(p)) ELSE 0 END)", "smape")},
   {short("avg(CASE WHEN sign(actual) = sign(p) THEN 1.0::DOUBLE ELSE 0 END)", "directional_accuracy")}
@@ -135,5 +137,5 @@ FROM (SELECT series_id, actual, p, actual - p AS e FROM (
   JOIN ridge_scale s USING (series_id, fold, i)
   JOIN ridge_scale y ON y.series_id = w.series_id AND y.fold = w.fold AND y.i = {n + 1}
   JOIN oos o ON o.series_id = w.series_id AND o.fold = w.fold
-  JOIN (SELECT series_id, row_idx, unnest([{", ".join(names)}]) AS x, unnest(range(1, {n + 1})) AS i FROM mat) x ON x.series_id = o.series_id AND x.row_idx = o.row_idx AND x.i = w.i
+  JOIN (SELECT series_id, row_idx, unnest(v) AS x, unnest(range(1, {n + 2})) AS i FROM ridge_v) x ON x.series_id = o.series_id AND x.row_idx = o.row_idx AND x.i = w.i
   GROUP BY 1, 2)) GROUP BY 1""", **how)
