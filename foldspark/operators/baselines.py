@@ -1,7 +1,8 @@
 """Baseline forecasters as plans: a row for each tested observation and model.
 
-What a fold learns is the value of a running window at its last training row, brought to its first tested row by a lag and
-from there to the others by a window: so no training set is copied, and all baselines share one sort and one pass.
+What a fold learns comes from a table of blocks, the rows between two folds' training ends: each block's sums are one aggregation over
+the rows, and a fold merges its blocks in a window over blocks alone. Recent labels are gathered for the few rows before a
+training end. So no training set is copied, no window runs over a series' rows, and all baselines share one pass.
 Rows of a series are numbered without holes.
 """
 
@@ -10,39 +11,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .features import TARGET
 from .folds import WalkForwardConfig, fold_of, fold_table, test_rows
+from .ranges import RANGE_ROWS, with_halo
 
 PREDICTION = ("series_id", "ts", "row_idx", "fold", "model", "actual", "prediction")
 
 
-def fold_states(matrix: DataFrame, config: WalkForwardConfig, target: str = TARGET, seasonality: int = 1, seasons=()) -> DataFrame:
-    """Tested rows (series_id, ts, row_idx, fold, actual) with what their fold has learned from its training rows.
+def changes(rows: DataFrame, seasonality: int, size: int = RANGE_ROWS) -> DataFrame:
+    """rows (series_id, row_idx, actual, ...) with ``change``, the absolute difference to the label ``seasonality`` rows before.
 
-    train_mean: of the label; mase_scale: mean absolute change over ``seasonality`` rows within them; recent_L for each
-    season length L: the last L labels.
+    In ranges of ``size`` rows and the labels before them, so no task holds a whole series.
+    """
+    w = Window.partitionBy("series_id", "range").orderBy("row_idx")
+    df = with_halo(rows, "row_idx", seasonality, 0, size).withColumn("change", F.abs(F.col("actual") - F.lag("actual", seasonality).over(w)))
+    return df.filter(~F.col("halo")).drop("range", "halo")
+
+
+def learned_states(rows: DataFrame, config: WalkForwardConfig, seasonality: int = 1, seasons=()) -> DataFrame:
+    """(series_id, fold, train_mean, mase_scale, recent_L ...) of each fold, of rows (series_id, row_idx, actual).
+
+    Block k of a series is the rows that fold k trains and the fold before doesn't. Expanding folds train all blocks up to their own. A
+    rolling fold trains the last ``max_train_size // step`` blocks, and of the one before them the rows at its end.
     """
+    step, lead, size = config.step, config.min_train_size, config.max_train_size
+    block = lambda shift: (F.floor((F.col("row_idx") - shift - lead) / F.lit(step)) + 1).cast("long")
+    parts = []
+    # A change belongs to a training set if its earlier row does.
+    for name, shift, x in (("level", 0, "actual"), ("change", seasonality, "change")):
+        whole, rest = divmod(size - shift, step) if size else (None, None)
+        late = (F.col("row_idx") - lead) - (block(0) - 1) * step >= step - rest if size else F.lit(False)
+        parts += [F.sum(x).alias(f"{name}_sum"), F.count(x).alias(f"{name}_n"), F.sum(F.when(late, F.col(x))).alias(f"{name}_late_sum"), F.count(F.when(late, F.col(x))).alias(f"{name}_late_n")]
+    sums = changes(rows, seasonality).groupBy("series_id", block(0).alias("fold")).agg(*parts)
+    w = Window.partitionBy("series_id").orderBy("fold")
+
+    def mean(name: str, shift: int) -> Column:
+        if not size:
+            frame = w.rangeBetween(Window.unboundedPreceding, 0)
+            return F.sum(f"{name}_sum").over(frame) / F.sum(f"{name}_n").over(frame)
+        whole = (size - shift) // step
+        edge = w.rangeBetween(-whole, -whole)
+        total = [F.coalesce(F.sum(f"{name}_late_{part}").over(edge), F.lit(0)) for part in ("sum", "n")]
+        if whole:
+            frame = w.rangeBetween(1 - whole, 0)
+            total = [t + F.coalesce(F.sum(f"{name}_{part}").over(frame), F.lit(0)) for t, part in zip(total, ("sum", "n"))]
+        return F.try_divide(*total)
+
+    learned = sums.select("series_id", "fold", mean("level", 0).alias("train_mean"), mean("change", seasonality).alias("mase_scale")).filter("fold >= 0")
+    for season in seasons:
+        # The rows before a training end at lead + fold * step; with steps shorter than a season a row lies before several.
+        first = F.greatest(F.lit(0).cast("long"), block(0))
+        near = rows.withColumn("fold", F.explode(F.sequence(first, F.greatest(first, F.floor((F.col("row_idx") - lead + season) / F.lit(step))))))
+        near = near.filter(F.col("row_idx") >= lead + F.col("fold") * step - season)
+        recent = near.groupBy("series_id", "fold").agg(F.sort_array(F.collect_list(F.struct("row_idx", "actual")))["actual"].alias(f"recent_{season}"))  # ``season`` labels
+        learned = learned.join(recent, ["series_id", "fold"], "left")
+    return learned
+
+
+def _labels(matrix: DataFrame, target: str) -> DataFrame:
+    """The label of each row as a written table: states and tested rows read it several times."""
+    rows = matrix.select("series_id", "ts", "row_idx", F.col(target).cast("double").alias("actual"))
+    return Scratch(matrix.sparkSession, "labels").write(rows, "labels")
+
+
+def _require(config: WalkForwardConfig, seasonality: int, seasons) -> None:
     if seasonality < 1:
         raise ValueError("seasonality must be at least 1")
     if seasonality >= config.min_train_size:
         raise ValueError("training history must exceed seasonality")
     for season in seasons:
         require_season(season, config)
-    w = Window.partitionBy("series_id").orderBy("row_idx")
-    size = config.max_train_size
-    level = w.rowsBetween(-(size - 1) if size else Window.unboundedPreceding, 0)
-    # A change belongs to a training set if its earlier row does.
-    changes = w.rowsBetween(-(size - 1 - seasonality) if size else Window.unboundedPreceding, 0)
-    y = F.col(target).cast("double")
-    rows = matrix.select("series_id", "ts", "row_idx", fold_of(F.col("row_idx"), config).alias("fold"), y.alias("actual"), F.abs(y - F.lag(y, seasonality).over(w)).alias("change"))
-    learned = [F.avg("actual").over(level).alias("train_mean"), F.avg("change").over(changes).alias("mase_scale")]
-    rows = rows.select("series_id", "ts", "row_idx", "fold", "actual", *learned)
-    back = config.gap + 1  # from a fold's first tested row to its last training row
-    known = [F.lag(c, back).over(w).alias(c) for c in ("train_mean", "mase_scale")]
-    known += [F.array(*(F.lag("actual", config.gap + n - k).over(w) for k in range(n))).alias(f"recent_{n}") for n in seasons]
-    first = F.col("row_idx") == F.col("fold") * config.step + config.first_test
-    rows = rows.withColumn("state", F.when(first, F.struct(*known))).withColumn("state", F.last("state", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.filter(F.col("fold").isNotNull()).select("series_id", "ts", "row_idx", "fold", "actual", "state.*")
+
+
+def fold_states(matrix: DataFrame, config: WalkForwardConfig, target: str = TARGET, seasonality: int = 1, seasons=()) -> DataFrame:
+    """Tested rows (series_id, ts, row_idx, fold, actual) with what their fold has learned from its training rows.
+
+    train_mean: of the label; mase_scale: mean absolute change over ``seasonality`` rows within them; recent_L for each
+    season length L: the last L labels.
+    """
+    _require(config, seasonality, seasons)
+    rows = _labels(matrix, target)
+    learned = learned_states(rows.drop("ts"), config, seasonality, seasons)
+    tested = rows.withColumn("fold", fold_of(F.col("row_idx"), config)).filter(F.col("fold").isNotNull())
+    columns = ["train_mean", "mase_scale", *(f"recent_{n}" for n in seasons)]
+    return tested.join(learned, ["series_id", "fold"], "left").select("series_id", "ts", "row_idx", "fold", "actual", *columns)
 
 
 def require_season(season: int, config: WalkForwardConfig) -> None:
@@ -58,8 +111,11 @@ def seasonal(season: int, config: WalkForwardConfig) -> Column:
 
 def train_statistics(matrix: DataFrame, config: WalkForwardConfig, target: str = TARGET, seasonality: int = 1) -> DataFrame:
     """(series_id, fold, train_mean, mase_scale) of each fold."""
-    first = F.col("row_idx") == F.col("fold") * config.step + config.first_test
-    return fold_states(matrix, config, target, seasonality).filter(first).select("series_id", "fold", "train_mean", "mase_scale")
+    _require(config, seasonality, ())
+    rows = _labels(matrix, target)
+    sizes = rows.groupBy("series_id").agg((F.max("row_idx") + 1).alias("n"))
+    folds = fold_table(sizes, config).select("series_id", "fold")
+    return folds.join(learned_states(rows.drop("ts"), config, seasonality), ["series_id", "fold"], "left")
 
 
 def folds_of(matrix: DataFrame, config: WalkForwardConfig) -> DataFrame:

@@ -24,11 +24,12 @@ def quality_report(observations: DataFrame) -> DataFrame:
     )
 
 
-def require_observations(observations: DataFrame) -> None:
-    """Raises TypeError or ValueError for observations that are missing, repeated or out of range."""
+def require_observations(observations: DataFrame) -> int:
+    """Raises TypeError or ValueError for observations that are missing, repeated or out of range; the longest series' observations."""
     if missing := [c for c in ("series_id", "ts", "close") if c not in observations.columns]:
         raise TypeError(f"observations need the columns {missing}")
-    r = quality_report(observations).agg(*(F.sum(c).alias(c) for c in ("observations", "missing_times", "repeated_times", "bad_close", "bad_volume"))).first()
+    sums = (F.sum(c).alias(c) for c in ("observations", "missing_times", "repeated_times", "bad_close", "bad_volume"))
+    r = quality_report(observations).agg(*sums, F.max("observations").alias("longest")).first()
     if not r["observations"]:
         raise ValueError("close must contain observations")
     if r["missing_times"]:
@@ -39,4 +40,4 @@ def require_observations(observations: DataFrame) -> None:
         raise ValueError("close must be finite and strictly positive")
     if r["bad_volume"]:
         raise ValueError("volume must be finite and non-negative")
-
+    return r["longest"]
