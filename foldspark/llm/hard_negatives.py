@@ -26,6 +26,8 @@ BLOCK_VALUES, LEAST_ROWS = 1 << 22, 1 << 10
 PART, TILE, PAIRS = 1 << 12, 256, 1 << 15
 #: Leading components that are rotated; longer vectors keep the others as they are.
 ROTATED = 512
+#: Where more than one in so many pairs of a tile is left after the first stage, all its products are made at once.
+DENSE = 16
 #: Of the product of two lengths: a bound of all rounding of rotation and partial products, some 1e-13 for 512 components.
 SLACK = 1e-10
 OPEN = 2**62
@@ -112,21 +114,48 @@ def seek(asked: Side, given: Side, windows: Windows, same: bool) -> int:
         below, above = product - margin, product + margin
         right = asked.labels[:, None] == part.labels
         right = right & (asked.rows[:, None] != part.rows) if same else ~right
+        exact = None
         for b in range(0, len(windows.anchor), TILE):
             q, low, high, least = (x[b : b + TILE] for x in (windows.anchor, windows.low, windows.high, windows.least))
             up, down = above[q], below[q]
             may = right[q] & (up >= low[:, None]) & (down <= high[:, None])
-            # k rows that are surely in the window bound from below what the best ones reach.
-            sure = np.where(may & (down >= low[:, None]) & (up <= high[:, None]), down, -np.inf)
-            if sure.shape[1] > windows.k:
+            if np.isneginf(least).any() and len(part.rows) > windows.k:
+                # k rows that are surely in the window bound from below what the best ones reach.
+                sure = np.where(may & (down >= low[:, None]) & (up <= high[:, None]), down, -np.inf)
                 least = np.maximum(least, np.partition(sure, -windows.k, axis=1)[:, -windows.k])
-            w, c = np.nonzero(may & (up >= least[:, None]))
+            may &= up >= least[:, None]
+            if np.count_nonzero(may) * DENSE > may.size:  # hardly a row is ruled out: all products of the tile at once
+                if exact is None:
+                    exact = _products(asked, part)
+                    made += exact.size
+                _choose(exact, part, windows, b, may, np.maximum(least, low))
+                continue
+            w, c = np.nonzero(may)
             floor = np.maximum(least, low)
             for s in range(0, len(w), PAIRS):
                 made += _verify(asked, part, windows, b + w[s : s + PAIRS], c[s : s + PAIRS], product, floor[w[s : s + PAIRS]])
     return made
 
 
+def _products(asked: Side, part: Side) -> np.ndarray:
+    """All integer products of two sides; by floating point where every partial sum is an integer that it holds exactly."""
+    if asked.length.max(initial=0) * part.length.max(initial=0) < 2**52:
+        return asked.v.astype(float) @ part.v.astype(float).T
+    return asked.v @ part.v.T
+
+
+def _choose(exact: np.ndarray, part: Side, windows: Windows, begin: int, may: np.ndarray, floor: np.ndarray) -> None:
+    """Adds what is best of the rows that may be in the windows from ``begin`` on, by their integer products."""
+    score = exact[windows.anchor[begin : begin + len(may)]]
+    fits = may & (score >= floor[:, None]) & (score <= windows.high[begin : begin + len(may), None])
+    many = np.flatnonzero(np.count_nonzero(fits, axis=1) > 4 * windows.k)
+    if len(many):
+        best = np.partition(np.where(fits[many], score[many], -np.inf), -windows.k, axis=1)[:, -windows.k]
+        fits[many] &= score[many] >= best[:, None]
+    w, c = np.nonzero(fits)
+    windows.add(begin + w, part.ids[c], score[w, c].astype(np.int64))
+
+
 def _verify(asked: Side, part: Side, windows: Windows, w: np.ndarray, c: np.ndarray, product: np.ndarray, floor: np.ndarray) -> int:
     """Takes pairs of a window and a row through the later stages and their integer products."""
     q, at = windows.anchor[w], product[windows.anchor[w], c]
