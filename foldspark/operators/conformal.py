@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import interval_coverage, interval_width, pinball
 from ..functions.scalar import is_finite
+from ..scratch import Scratch
+from .selection import kth_smallest
 
 METHOD = "split_conformal_absolute_residual"
 
@@ -31,21 +33,23 @@ def require_intervals(rows: DataFrame) -> None:
 
 
 def split_segments(rows: DataFrame, share: float = 0.4) -> DataFrame:
-    """Adds ``calibrates``: true for the first max(2, int(share * n)) tested rows of each series and model."""
-    w = Window.partitionBy("series_id", "model")
-    place = F.row_number().over(w.orderBy("row_idx"))
-    edge = F.greatest(F.lit(2), F.floor(F.count("*").over(w) * F.lit(share)))
-    return rows.withColumn("calibrates", place <= edge)
+    """Adds ``calibrates``: true for the first max(2, int(share * n)) tested rows of each series and model.
+
+    The last of them is found by selection, not by numbering a series' rows.
+    """
+    edge = kth_smallest(rows, ["series_id", "model"], "row_idx", lambda n: F.greatest(F.lit(2), F.floor(n * F.lit(share))))
+    edge = edge.select("series_id", "model", F.col("row_idx").alias("_edge"))
+    return rows.join(edge, ["series_id", "model"]).withColumn("calibrates", F.col("row_idx") <= F.col("_edge")).select(*rows.columns, "calibrates")
 
 
 def conformal_radius(rows: DataFrame, coverage: float = 0.9) -> DataFrame:
-    """(series_id, model, calibration_size, radius): the ceil((n + 1) * coverage)-th smallest absolute residual."""
-    w = Window.partitionBy("series_id", "model")
-    n = F.count("*").over(w)
-    df = rows.select("series_id", "model", F.abs(F.col("actual") - F.col("prediction")).alias("radius"))
-    df = df.withColumns({"place": F.row_number().over(w.orderBy("radius")), "calibration_size": n.cast("long")})
-    rank = F.least(F.col("calibration_size"), F.ceil((F.col("calibration_size") + 1).cast("double") * F.lit(float(coverage))))
-    return df.filter(F.col("place") == rank).select("series_id", "model", "calibration_size", "radius")
+    """(series_id, model, calibration_size, radius): the ceil((n + 1) * coverage)-th smallest absolute residual, by selection.
+
+    Rows without a residual (a null) are not counted.
+    """
+    residuals = rows.select("series_id", "model", F.abs(F.col("actual") - F.col("prediction")).alias("radius"))
+    found = kth_smallest(residuals, ["series_id", "model"], "radius", lambda n: F.ceil((n + 1).cast("double") * F.lit(float(coverage))))
+    return found.select("series_id", "model", F.col("n").alias("calibration_size"), "radius")
 
 
 def intervals(rows: DataFrame, radius: DataFrame, coverage: float = 0.9) -> DataFrame:
@@ -58,6 +62,7 @@ def intervals(rows: DataFrame, radius: DataFrame, coverage: float = 0.9) -> Data
 
 def interval_evaluation(rows: DataFrame, coverage: float = 0.9, share: float = 0.4) -> DataFrame:
     """Radius from the earlier segment of each series and model; coverage, width and pinball losses on the later one."""
+    rows = Scratch(rows.sparkSession, "intervals").write(rows, "rows")  # read for the split, the radius and the intervals
     split = split_segments(rows, share)
     radius = conformal_radius(split.filter("calibrates"), coverage)
     made = intervals(split.filter(~F.col("calibrates")), radius, coverage)

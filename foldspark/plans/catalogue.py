@@ -5,7 +5,6 @@ Times are returned as text and doubles rounded, so that engines can be compared.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from ..functions.scalar import rounded
 from ..operators import features as fe
 from ..operators.backtest import BacktestRunner, constant, default_models, fold_metrics, historical_mean, learned, pooled_metrics, predictions, repeated_tests, require_valid, ridge_regression, seasonal_naive, wide
 from ..operators.baselines import folds_of, predict_constant, predict_historical_mean, predict_seasonal_naive, train_statistics
-from ..operators.bootstrap import arithmetic_starts, block_sums, default_block, loss_difference, paired_bootstrap, sample_means
+from ..operators.bootstrap import arithmetic_starts, bootstrap_intervals, loss_difference, paired_bootstrap, sampling_plan
 from ..operators.conformal import SplitConformalCalibrator, conformal_radius, interval_evaluation, intervals, require_intervals, split_segments
 from ..operators.folds import WalkForwardConfig, isolation_violations, test_rows, train_rows
 from ..operators.learners import boosting
@@ -265,7 +264,7 @@ def interval_eval(spark, sf_dir):
 
 def _small(spark, sf_dir) -> DataFrame:
     """Returns of the test tables are far from market returns; a hundredth of them keeps wealth in range."""
-    return tested(spark, sf_dir).filter("model <> 'naive_zero'").withColumn("actual", F.col("actual") / 100)
+    return tested(spark, sf_dir).withColumn("actual", F.col("actual") / 100)
 
 
 @query(sql(f"SELECT series_id, model, row_idx, {r('position', 'turnover', 'gross', 'net', 'wealth', 'drawdown')} FROM path"))
@@ -283,7 +282,7 @@ def loss_difference_report(spark, sf_dir):
     return loss_difference(tested(spark, sf_dir), "historical_mean", "naive_zero").groupBy("series_id").agg(F.count("*").alias("observations"), F.avg("d").alias("loss_difference"))
 
 
-SAMPLES = 500
+SAMPLES = 3000
 
 
 # Block sums are differences of running sums over the series continued with itself.
@@ -297,14 +296,22 @@ BOOTSTRAP = f"""SELECT series_id, round(quantile_cont(m, 0.05), 6) AS bootstrap_
   GROUP BY 1, 2) GROUP BY 1"""
 
 
+def _bootstrap(spark, sf_dir, source) -> DataFrame:
+    """With starts by integer arithmetic, which other engines can repeat."""
+    diff = written(loss_difference(tested(spark, sf_dir, source), "historical_mean", "naive_zero"))
+    plan = sampling_plan(diff)
+    return bootstrap_intervals(diff, plan, arithmetic_starts(plan, SAMPLES)).select("series_id", "bootstrap_p05", "bootstrap_p95", "bootstrap_mean")
+
+
 @query(sql(BOOTSTRAP))
 def block_bootstrap(spark, sf_dir):
-    """With starts by integer arithmetic; one series, whose length alone is brought to the driver."""
-    diff = written(loss_difference(tested(spark, sf_dir), "historical_mean", "naive_zero"))
-    n = diff.count()
-    block = default_block(n)
-    means = sample_means(block_sums(diff, n, block), arithmetic_starts(spark, SAMPLES, math.ceil(n / block), n), n, block)
-    return means.groupBy("series_id").agg(F.percentile("mean_difference", F.lit(0.05)).alias("bootstrap_p05"), F.percentile("mean_difference", F.lit(0.95)).alias("bootstrap_p95"), F.avg("mean_difference").alias("bootstrap_mean"))
+    return _bootstrap(spark, sf_dir, lineitem_daily)
+
+
+@query(sql(BOOTSTRAP, series="segments"))
+def panel_bootstrap(spark, sf_dir):
+    """Of every segment at once: length, block and starts are a series' own."""
+    return _bootstrap(spark, sf_dir, segment_daily)
 
 
 @query(sql("SELECT series_id, round(avg(CASE WHEN c < b THEN 1.0::DOUBLE ELSE 0 END), 6) AS fold_win_rate FROM (SELECT series_id, fold, max(CASE WHEN model = 'seasonal_naive_5' THEN mae END) AS c, max(CASE WHEN model = 'naive_zero' THEN mae END) AS b FROM fm GROUP BY 1, 2) GROUP BY 1"))
@@ -404,11 +411,11 @@ def evidence_summary(spark, sf_dir):
     return _evidence(spark, sf_dir, default_models(), "gradient_boosting")
 
 
-@query(sql("SELECT m.series_id, row_idx, fold FROM mat m JOIN folds f ON m.series_id = f.series_id AND row_idx >= train_start AND row_idx < train_end WHERE fold % 10 = 0", series="events", min_train=200, test=25, cap=220))
+@query(sql("SELECT m.series_id, row_idx, fold FROM mat m JOIN folds f ON m.series_id = f.series_id AND row_idx >= train_start AND row_idx < train_end", series="events", min_train=200, test=25, cap=220))
 def fold_train_membership(spark, sf_dir):
-    """Training rows of every tenth fold of rolling folds."""
+    """Training rows of each of the rolling folds."""
     config = WalkForwardConfig(200, 25, max_train_size=220)
-    return train_rows(matrix(spark, sf_dir, events_hourly), config).filter("fold % 10 = 0").select("series_id", "row_idx", "fold")
+    return train_rows(matrix(spark, sf_dir, events_hourly), config).select("series_id", "row_idx", "fold")
 
 
 def refused(call) -> str:

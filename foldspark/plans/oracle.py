@@ -71,7 +71,7 @@ def blocks(series: str = "lineitem", min_train=250, test=20, gap=0, step=None, c
         "pred": "SELECT * FROM zero UNION ALL SELECT * FROM hist UNION ALL SELECT * FROM seas",
         "e": "SELECT *, actual - prediction AS e, abs(actual) + abs(prediction) AS size FROM pred",
         # Returns of the test tables are far from market returns; a hundredth of them keeps wealth in range.
-        "small": "SELECT series_id, model, row_idx, actual / 100 AS actual, prediction FROM pred WHERE model <> 'naive_zero'",
+        "small": "SELECT series_id, model, row_idx, actual / 100 AS actual, prediction FROM pred",
         "pos": "SELECT *, CAST(sign(prediction) AS DOUBLE) AS position FROM small",
         "turn": "SELECT *, coalesce(abs(position - lag(position) OVER m), abs(position)) AS turnover, position * actual AS gross FROM pos WINDOW m AS (PARTITION BY series_id, model ORDER BY row_idx)",
         "net": "SELECT *, gross - turnover * 0.0005 AS net FROM turn",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions.metrics import BusinessCost, evaluate_interval, evaluate_pair, mae, mase, pinball, rmse, smape
 from foldspark.operators.backtest import BacktestRunner, constant, historical_mean, seasonal_naive
-from foldspark.operators.bootstrap import paired_bootstrap
+from foldspark.operators.bootstrap import block_sums, default_block, loss_difference, paired_bootstrap, panel_bootstrap, random_starts, sampling_plan
 from foldspark.operators.conformal import SplitConformalCalibrator, require_intervals
 from foldspark.operators.features import align_volume, assert_no_leakage, checked_matrix
 from foldspark.operators.folds import WalkForwardConfig, boundaries, fold_table, isolation_violations, test_rows as rows_tested, train_rows
@@ -148,7 +148,9 @@ def test_conformal_bootstrap_promotion(spark):
     rows = spark.createDataFrame([("s", i, m, float(x), float(p)) for m, ps in (("a", a), ("b", b)) for i, (x, p) in enumerate(zip(actual, ps))], "series_id string, row_idx long, model string, actual double, prediction double")
     made = paired_bootstrap(rows, "a", "b", samples=200, block_size=3, seed=9)
     d = np.array([abs(x - p) - abs(x - q) for x, p, q in zip(actual, a, b)])
-    starts = np.stack([np.random.default_rng([9, k]).integers(0, 6, 2) for k in range(200)])
+    plan = sampling_plan(loss_difference(rows, "a", "b"), 3)
+    starts = np.array([r["start"] for r in random_starts(plan, 200, 9).orderBy("sample", "block_no").collect()]).reshape(200, 2)
+    assert set(starts.ravel()) == set(range(6))
     means = d[(starts[:, :, None] + np.arange(3)) % 6].reshape(200, -1)[:, :6].mean(1)
     assert (made["observed_mae_difference"], made["bootstrap_p05"], made["bootstrap_p95"]) == pytest.approx((d.mean(), np.quantile(means, 0.05), np.quantile(means, 0.95)))
     with pytest.raises(ValueError, match="block_size"):
@@ -174,6 +176,28 @@ def test_conformal_bootstrap_promotion(spark):
         PromotionPolicy().decide("x", "b", pooled((1, 1), (1, 1)), folds(1.0, 1.0))
 
 
+def test_panel_bootstrap(spark):
+    """Each series has its own length and block, and what it has by itself."""
+    rng = np.random.default_rng(3)
+    sizes = {"a": 1, "b": 8, "c": 27, "d": 100}
+    rows = [(s, 3 * i + 7, m, float(x), float(x + e)) for s, n in sizes.items() for i, x in enumerate(rng.normal(size=n)) for m, e in zip("pq", rng.normal(size=2))]
+    df = spark.createDataFrame([*rows, ("bad", 0, "p", 1.0, float("inf")), ("bad", 0, "q", 1.0, 1.0)], "series_id string, row_idx long, model string, actual double, prediction double")
+    diff = loss_difference(df.filter("series_id <> 'bad'"), "p", "q", 10).cache()
+    plan = {r["series_id"]: (r["n"], r["block"], r["blocks"]) for r in sampling_plan(diff).collect()}
+    assert plan == {s: (n, default_block(n), -(-n // default_block(n))) for s, n in sizes.items()}
+    values = {s: [r["d"] for r in diff.filter(F.col("series_id") == s).orderBy("i").collect()] for s in sizes}
+    for r in block_sums(diff, sampling_plan(diff), 10).collect():
+        n, block, blocks = plan[r["series_id"]]
+        around = values[r["series_id"]] * 2
+        a = r["start"]
+        assert (r["full"], r["tail"]) == pytest.approx((sum(around[a : a + block]), sum(around[a : a + n - (blocks - 1) * block])))
+    made = {r["series_id"]: r for r in panel_bootstrap(df, "p", "q", samples=50).collect()}
+    assert made.keys() == sizes.keys()
+    for s in sizes:
+        alone = paired_bootstrap(df.filter(F.col("series_id") == s), "p", "q", samples=50)
+        assert [made[s][k] for k in ("block_size", "observed_mae_difference", "bootstrap_p05", "bootstrap_p95")] == pytest.approx([alone[k] for k in ("block_size", "observed_mae_difference", "bootstrap_p05", "bootstrap_p95")])
+
+
 def test_learners():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 4))
