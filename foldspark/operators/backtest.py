@@ -119,20 +119,48 @@ def pooled_metrics(rows: DataFrame, cost: BusinessCost | None = None) -> DataFra
 
 @dataclass
 class BacktestResult:
+    """``quarantine``: (series_id, rule, reason) of the series that were left out, with the first rule that each breaks."""
+
     predictions: DataFrame
     folds: DataFrame
     fold_metrics: DataFrame
     models: tuple[str, ...]
+    quarantine: DataFrame
 
     def model_names(self) -> tuple[str, ...]:
         return self.models
 
 
+#: Rules of the quarantine, in the order in which they are tried.
+SHORT, INVALID, CONSTANT = "too_short", "invalid_prediction", "constant_history"
+
+
+def short_series(matrix: DataFrame, config: WalkForwardConfig) -> DataFrame:
+    """Quarantine rows of series too short for one fold."""
+    sizes = matrix.groupBy("series_id").agg(F.count("*").alias("n")).filter(F.col("n") <= config.first_test)
+    reason = F.concat(F.lit("not enough observations: "), F.col("n").cast("string"), F.lit(f", and the first fold tests row {config.first_test}"))
+    return sizes.select("series_id", F.lit(SHORT).alias("rule"), reason.alias("reason"))
+
+
+def unfit_series(rows: DataFrame, strict: bool = True) -> DataFrame:
+    """Quarantine rows of series with a prediction that is missing or not finite, or (strict) a fold whose training labels never change."""
+    found = rows.groupBy("series_id").agg(
+        F.sort_array(F.collect_set(F.when(~is_finite(F.col("prediction")), F.col("model")))).alias("models"),
+        F.min(F.when(F.col("mase_scale") <= EPSILON, F.col("fold"))).alias("fold"),
+    )
+    invalid = F.size("models") > 0
+    rule = F.when(invalid, INVALID).when(F.col("fold").isNotNull() & F.lit(strict), CONSTANT)
+    reason = F.when(invalid, F.concat(F.lit("invalid prediction vector: "), F.array_join("models", ", "))).otherwise(F.concat(F.lit("MASE is undefined for a constant training history: fold "), F.col("fold").cast("string")))
+    return found.select("series_id", rule.alias("rule"), reason.alias("reason")).filter("rule IS NOT NULL")
+
+
 class BacktestRunner:
     """Checks a supervised matrix, runs every model on every fold, and reports metrics.
 
-    ``strict`` makes a constant training history an error, as one series wants it; without, its mase is null. A series
-    with too few rows for one fold is an error. Predictions are written once, in the session's shared folder.
+    A series that can't be evaluated is put in the quarantine with its rule and reason, and the others go on: one with too few rows for
+    one fold, one with an invalid prediction, and (``strict``) one with a constant training history, whose mase is undefined; not
+    strict, its mase is null. Only if no series is left is the first one's reason raised. Predictions are written once, in the
+    session's shared folder.
     """
 
     def __init__(self, config: WalkForwardConfig, models: dict[str, ModelSpec], *, target_column: str = TARGET, strict: bool = True):
@@ -145,15 +173,22 @@ class BacktestRunner:
         self.config, self.models, self.target, self.strict = config, dict(models), target_column, strict
 
     def run(self, matrix: DataFrame) -> BacktestResult:
+        scratch = Scratch(matrix.sparkSession, "backtest")
+        matrix = scratch.write(matrix, "matrix")
         assert_no_leakage(matrix, self.target)
-        shortest, longest = matrix.groupBy("series_id").agg(F.count("*").alias("n")).agg(F.min("n"), F.max("n")).first()
-        self.config.count(shortest)
+        sizes = matrix.groupBy("series_id").agg(F.count("*").alias("n"))
+        longest, series = sizes.agg(F.max("n"), F.count("*")).first()
+        self.config.count(longest)
         self.config.require_disjoint(longest)
-        rows = Scratch(matrix.sparkSession, "backtest").write(predictions(matrix, self.config, self.models, self.target), "predictions")
-        require_valid(rows)
-        if self.strict and not rows.filter(F.col("mase_scale") <= EPSILON).isEmpty():
-            raise ValueError("MASE is undefined for a constant training history")
-        return BacktestResult(rows, folds_of(matrix, self.config), fold_metrics(rows), tuple(self.models))
+        short = short_series(matrix, self.config)
+        tested = matrix.join(short, "series_id", "left_anti")
+        rows = scratch.write(predictions(tested, self.config, self.models, self.target), "predictions")
+        quarantine = scratch.write(short.unionByName(unfit_series(rows, self.strict)), "quarantine")
+        if quarantine.count() == series:
+            raise ValueError(quarantine.orderBy("series_id").first()["reason"])
+        kept = rows.join(quarantine, "series_id", "left_anti")
+        folds = folds_of(matrix.join(quarantine, "series_id", "left_anti"), self.config)
+        return BacktestResult(kept, folds, fold_metrics(kept), tuple(self.models), quarantine)
 
     def aggregate(self, result: BacktestResult, cost: BusinessCost | None = None) -> DataFrame:
         return pooled_metrics(result.predictions, cost)

@@ -353,6 +353,48 @@ def events_hourly_backtest(spark, sf_dir):
     return fold_metrics(predictions(m, config, BASELINES))
 
 
+def _flawed(spark, sf_dir) -> DataFrame:
+    """The segments' matrix with one series cut short and one whose label never changes."""
+    m = written(matrix(spark, sf_dir, segment_daily))
+    return m.filter("series_id <> 'BUILDING' OR row_idx < 200").withColumn(fe.TARGET, F.when(F.col("series_id") == "MACHINERY", 0.5).otherwise(F.col(fe.TARGET)))
+
+
+#: The same in SQL: the block before it, and the series left out of others.
+FLAWED = "SELECT * REPLACE (CASE WHEN series_id = 'MACHINERY' THEN 0.5::DOUBLE ELSE target_next_return END AS target_next_return) FROM whole WHERE series_id <> 'BUILDING' OR row_idx < 200"
+
+
+def flawed_sql(select: str) -> str:
+    text = sql(select, series="segments", gap=1)
+    a, b = text.split("mat AS (", 1)
+    return a + "whole AS (" + b.replace("),\nsizes AS", f"),\nmat AS ({FLAWED}),\nsizes AS", 1)
+
+
+@query(flawed_sql("""SELECT series_id, 'too_short' AS rule, 'not enough observations: ' || n || ', and the first fold tests row 251' AS reason FROM sizes WHERE n <= 251
+UNION ALL SELECT series_id, 'constant_history', 'MASE is undefined for a constant training history: fold ' || min(fold) FROM stats WHERE mase_scale <= 2.220446049250313e-16 GROUP BY 1"""))
+def panel_quarantine(spark, sf_dir):
+    """Series that a backtest leaves out, and why."""
+    return BacktestRunner(WalkForwardConfig(250, 20, 1), BASELINES).run(_flawed(spark, sf_dir)).quarantine
+
+
+@query(flawed_sql(f"SELECT series_id, fold, model, {r('mae', 'rmse', 'smape', 'mase')} FROM fm WHERE series_id NOT IN (SELECT series_id FROM stats GROUP BY 1 HAVING min(mase_scale) <= 2.220446049250313e-16)"))
+def panel_quarantine_metrics(spark, sf_dir):
+    """The other series' metrics of the same backtest."""
+    return BacktestRunner(WalkForwardConfig(250, 20, 1), BASELINES).run(_flawed(spark, sf_dir)).fold_metrics
+
+
+@query(sql("SELECT series_id, count(*) AS n, min(row_idx) AS first_row, max(row_idx) AS last_row, count(*) - count(DISTINCT row_idx) AS repeated FROM mat GROUP BY 1", series="segments"))
+def matrix_numbering(spark, sf_dir):
+    """Of the matrix by ranges of 256 observations: numbers without holes, whatever the ranges."""
+    m = fe.supervised_matrix(segment_daily(spark, sf_dir), 256)
+    return m.groupBy("series_id").agg(F.count("*").alias("n"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"), (F.count("*") - F.countDistinct("row_idx")).alias("repeated"))
+
+
+@query(sql(f"SELECT series_id, {TS}, row_idx, {r(*ALL)} FROM mat", series="segments"))
+def supervised_matrix_ranges(spark, sf_dir):
+    """The segments' matrix by ranges of 256 observations, as a long series is worked on."""
+    return fe.supervised_matrix(segment_daily(spark, sf_dir), 256)
+
+
 SHOCK_ROWS = 400
 
 

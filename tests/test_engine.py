@@ -9,7 +9,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from foldspark.functions.metrics import BusinessCost, evaluate_interval, evaluate_pair, mae, mase, pinball, rmse, smape
-from foldspark.operators.backtest import BacktestRunner, constant, historical_mean, seasonal_naive
+from foldspark.operators.backtest import BacktestRunner, ModelSpec, constant, historical_mean, seasonal_naive
 from foldspark.operators.bootstrap import block_sums, default_block, loss_difference, paired_bootstrap, panel_bootstrap, random_starts, sampling_plan
 from foldspark.operators.conformal import SplitConformalCalibrator, require_intervals
 from foldspark.operators.features import align_volume, assert_no_leakage, checked_matrix
@@ -111,6 +111,30 @@ def test_backtest(spark):
         BacktestRunner(WalkForwardConfig(15, 5), {"fold": constant()})
 
 
+def test_quarantine(spark):
+    """A short and a constant series, and one with an invalid prediction, don't end the run of the others."""
+    y = {"good": [math.sin(i / 4) for i in range(40)], "short": [0.1, 0.2, 0.4], "edge": [math.cos(i) for i in range(16)], "same": [0.25] * 40, "late": [0.25] * 17 + [math.sin(i) for i in range(23)]}
+    m = spark.createDataFrame([(s, i, i, float(i), float(v)) for s, ys in y.items() for i, v in enumerate(ys)], "series_id string, ts long, row_idx long, feature double, target_next_return double")
+    config, models = WalkForwardConfig(15, 5, 1), {"zero": constant(), "mean": historical_mean()}
+    result = BacktestRunner(config, models).run(m)
+    rules = {r["series_id"]: (r["rule"], r["reason"]) for r in result.quarantine.collect()}
+    assert {s: rule for s, (rule, _) in rules.items()} == {"short": "too_short", "edge": "too_short", "same": "constant_history", "late": "constant_history"}
+    assert rules["edge"][1] == "not enough observations: 16, and the first fold tests row 16"
+    for df in (result.predictions, result.folds, result.fold_metrics):
+        assert {r["series_id"] for r in df.select("series_id").distinct().collect()} == {"good"}
+    alone = BacktestRunner(config, models).run(m.filter("series_id = 'good'"))
+    assert sorted(map(tuple, result.fold_metrics.collect())) == sorted(map(tuple, alone.fold_metrics.collect()))
+    loose = BacktestRunner(config, models, strict=False).run(m)
+    assert {r["series_id"] for r in loose.quarantine.collect()} == {"short", "edge"}
+    assert loose.fold_metrics.filter("series_id = 'same'").agg(F.count("*"), F.count("mase")).first() == (5 * 2, 0)
+    broken = models | {"broken": ModelSpec(column=lambda config: F.when((F.col("fold") == 1) & (F.col("series_id") == "late"), float("inf")).otherwise(F.col("train_mean")))}
+    rules = {r["series_id"]: r["reason"] for r in BacktestRunner(config, broken, strict=False).run(m).quarantine.collect()}
+    assert rules["late"] == "invalid prediction vector: broken"
+    for bad, message in (("short", "not enough observations"), ("same", "constant training history")):
+        with pytest.raises(ValueError, match=message):
+            BacktestRunner(config, models).run(m.filter(F.col("series_id") == bad))
+
+
 def test_features(spark):
     base = [100 + i / 4 + math.sin(i) for i in range(90)]
     made = checked_matrix(prices(spark, base)).orderBy("row_idx").collect()
