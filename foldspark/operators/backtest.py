@@ -13,9 +13,10 @@ from ..functions.metrics import EPSILON, BusinessCost, mae, point_metrics, rmse,
 from ..functions.scalar import is_finite
 from ..scratch import Scratch
 from .baselines import PREDICTION, fold_states, folds_of, seasonal, train_statistics
+from .boosted import predict_boosting
 from .features import TARGET, assert_no_leakage
 from .folds import WalkForwardConfig
-from .learners import Learner, boosting, predict_learned, predict_ridge
+from .learners import Learner, predict_learned, predict_ridge
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,11 @@ def ridge_regression(alpha: float = 3.0) -> ModelSpec:
     return ModelSpec(plan=lambda matrix, config, name, target: predict_ridge(matrix, config, name, alpha, target))
 
 
+def gradient_boosting(**how) -> ModelSpec:
+    """Boosting with the settings of ``learners.boosting``, by levels where a series is too long for one task."""
+    return ModelSpec(plan=lambda matrix, config, name, target: predict_boosting(matrix, config, name, target, **how))
+
+
 def learned(learner: Learner) -> ModelSpec:
     return ModelSpec(learner=learner)
 
@@ -65,7 +71,7 @@ def default_models(seed: int = 42) -> dict[str, ModelSpec]:
         "historical_mean": historical_mean(),
         "seasonal_naive_5": seasonal_naive(5),
         "ridge": ridge_regression(3.0),
-        "gradient_boosting": learned(boosting()),
+        "gradient_boosting": gradient_boosting(),
     }
 
 
@@ -201,4 +207,4 @@ def require_valid(rows: DataFrame) -> None:
         raise ValueError(f"invalid prediction vector: {sorted(r['model'] for r in bad)}")
 
 
-__all__ = ["BacktestResult", "BacktestRunner", "ModelSpec", "PREDICTION", "constant", "default_models", "fold_metrics", "historical_mean", "learned", "pooled_metrics", "predictions", "repeated_tests", "require_valid", "ridge_regression", "seasonal_naive", "wide"]
+__all__ = ["BacktestResult", "BacktestRunner", "ModelSpec", "PREDICTION", "constant", "default_models", "fold_metrics", "gradient_boosting", "historical_mean", "learned", "pooled_metrics", "predictions", "repeated_tests", "require_valid", "ridge_regression", "seasonal_naive", "wide"]

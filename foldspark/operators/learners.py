@@ -13,7 +13,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, partitions
@@ -97,16 +97,24 @@ def feature_names(matrix: DataFrame, target: str) -> list[str]:
     return [c for c in matrix.columns if c not in (*KEY_COLUMNS, target)]
 
 
+def trained_folds(rows: DataFrame, config: WalkForwardConfig) -> DataFrame:
+    """rows (series_id, row_idx, ...) with the ``first`` and the ``last`` fold that each trains; last is below first if there is none."""
+    i, step = F.col("row_idx"), F.lit(config.step)
+    sizes = rows.groupBy("series_id").agg((F.max("row_idx") + 1).alias("n"))
+    last = F.ceil((F.col("n") - config.first_test) / step).cast("long") - 1
+    first = F.greatest(F.lit(0).cast("long"), F.floor((i - config.min_train_size) / step).cast("long") + 1)
+    if config.max_train_size:
+        last = F.least(last, F.floor((i + config.max_train_size - config.min_train_size) / step).cast("long"))
+    return rows.join(sizes, "series_id").withColumns({"first": first, "last": last}).drop("n")
+
+
 def predict_learned(matrix: DataFrame, config: WalkForwardConfig, model: str, learner: Learner, target: str = TARGET) -> DataFrame:
     """Predictions of a learner fitted on each fold's training rows; a task holds the rows of a run of folds of one series."""
     features = feature_names(matrix, target)
     step, lead, most = config.step, config.min_train_size, config.max_train_size
     rows = matrix.select("series_id", "ts", "row_idx", *(F.col(c).cast("double").alias(c) for c in (*features, target)))
-    i = F.col("row_idx")
-    last = F.ceil((F.max(i).over(Window.partitionBy("series_id")) + 1 - config.first_test) / F.lit(step)).cast("long") - 1
-    trains = F.greatest(F.lit(0).cast("long"), F.floor((i - lead) / F.lit(step)).cast("long") + 1)
-    ends = F.least(last, F.floor((i + most - lead) / F.lit(step)).cast("long")) if most else last
-    rows = rows.withColumns({"k0": F.least(trains, F.coalesce(fold_of(i, config), trains)), "k1": F.greatest(ends, F.coalesce(fold_of(i, config), ends))}).filter("k0 <= k1")
+    rows, tests = trained_folds(rows, config), fold_of(F.col("row_idx"), config)
+    rows = rows.withColumns({"k0": F.least("first", F.coalesce(tests, "first")), "k1": F.greatest("last", F.coalesce(tests, "last"))}).drop("first", "last").filter("k0 <= k1")
     rows = rows.withColumn("run", F.explode(F.sequence(F.floor(F.col("k0") / RUN), F.floor(F.col("k1") / RUN)))).drop("k0", "k1")
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

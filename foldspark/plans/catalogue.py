@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from ..functions.metrics import BusinessCost, directional_accuracy, evaluate_pair, mae, pinball
 from ..functions.scalar import rounded
 from ..operators import features as fe
-from ..operators.backtest import BacktestRunner, constant, default_models, fold_metrics, historical_mean, learned, pooled_metrics, predictions, repeated_tests, require_valid, ridge_regression, seasonal_naive, wide
+from ..operators.backtest import BacktestRunner, constant, default_models, fold_metrics, gradient_boosting, historical_mean, pooled_metrics, predictions, repeated_tests, require_valid, ridge_regression, seasonal_naive, wide
 from ..operators.baselines import folds_of, predict_constant, predict_historical_mean, predict_seasonal_naive, train_statistics
 from ..operators.bootstrap import arithmetic_starts, bootstrap_intervals, loss_difference, paired_bootstrap, sampling_plan
 from ..operators.conformal import SplitConformalCalibrator, conformal_radius, interval_evaluation, intervals, require_intervals, split_segments
 from ..operators.folds import WalkForwardConfig, isolation_violations, test_rows, train_rows
-from ..operators.learners import boosting
 from ..operators.promotion import PromotionPolicy, win_rate
 from ..operators.quality import quality_report, require_observations
 from ..operators.strategy import simple_metrics, strategy_metrics, strategy_path
@@ -428,7 +427,7 @@ def ridge_shifted_backtest(spark, sf_dir):
 
 @query()
 def boosting_backtest(spark, sf_dir):
-    return pooled_metrics(predictions(matrix(spark, sf_dir), CONFIG, {"gradient_boosting": learned(boosting())}))
+    return pooled_metrics(predictions(matrix(spark, sf_dir), CONFIG, {"gradient_boosting": gradient_boosting()}))
 
 
 INTERVALS = sql("SELECT iv.series_id, iv.model, max(calibration_size) AS calibration_size, round(max(radius), 6) AS radius, round(avg(CASE WHEN actual BETWEEN lower AND upper THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, round(avg(upper - lower), 6) AS mean_width, round(avg(greatest(0.05::DOUBLE * (actual - lower), -0.95::DOUBLE * (actual - lower))), 6) AS lower_pinball_loss, round(avg(greatest(0.95::DOUBLE * (actual - upper), -0.05::DOUBLE * (actual - upper))), 6) AS upper_pinball_loss, count(*) AS evaluation_size FROM iv JOIN rad USING (series_id, model) WHERE iv.model = 'seasonal_naive_5' GROUP BY 1, 2", series="segments", test=25, gap=1)

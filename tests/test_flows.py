@@ -10,7 +10,6 @@ from foldspark.cli import main
 from foldspark.http import respond
 from foldspark.operators import backtest
 from foldspark.operators.folds import WalkForwardConfig
-from foldspark.operators.learners import boosting
 from foldspark.plans import experiment
 from foldspark.sources.market import read_market_csv
 from foldspark.sources.synthetic import synthetic_market
@@ -27,7 +26,8 @@ def market_csv(spark, tmp_path_factory):
 @pytest.fixture(autouse=True)
 def quick_boosting(monkeypatch):
     """Fewer rounds: the flows are tested here, not the fit."""
-    monkeypatch.setattr(backtest, "boosting", lambda: boosting(rounds=5))
+    made = backtest.gradient_boosting
+    monkeypatch.setattr(backtest, "gradient_boosting", lambda: made(rounds=5))
 
 
 def test_cli_report(spark, market_csv, tmp_path, capsys):
