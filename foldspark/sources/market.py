@@ -10,15 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_finite
+from ..operators.ranges import numbered
+from .times import parse_time
 
-#: Accepted forms of a timestamp, tried in turn; the first three by cast.
-TIME_FORMATS = ("yyyy/MM/dd", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd MMM yyyy", "MMM d, yyyy")
-
-
-def parse_time(text):
-    """A timestamp in UTC, null if no form fits; a time without zone is UTC (the session's zone)."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(c.try_cast("timestamp"), *(F.try_to_timestamp(c, F.lit(f)) for f in TIME_FORMATS))
+#: Hashes joined into one at each level of a fingerprint.
+RUN = 4096
 
 
 @dataclass(frozen=True)
@@ -44,15 +40,25 @@ def canonical_row(df: DataFrame):
     return F.concat_ws(",", *parts, *([F.col("volume").cast("double").cast("string")] if "volume" in df.columns else []))
 
 
-def fingerprint(observations: DataFrame) -> DataFrame:
-    """(series_id, sha256) of each series: the hash of its rows' hashes in order of time.
+def fingerprint(observations: DataFrame, run: int = RUN) -> DataFrame:
+    """(series_id, sha256) of each series: the root of a tree of hashes over its rows in order of time.
 
-    Rows are hashed first, in blocks of a calendar month, so no task holds the text of a whole series.
+    Rows are hashed one by one; then each ``run`` of hashes, joined by line feeds, is hashed again, at least once and until one is left. So no
+    task holds more than a run, however long a series is, and a series' fingerprint depends on its own rows alone.
     """
-    rows = observations.select("series_id", "ts", F.trunc(F.col("ts").cast("date"), "month").alias("month"), F.sha2(canonical_row(observations).cast("binary"), 256).alias("h"))
-    joined = lambda a, b: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda x: x[b]), "\n")
-    months = rows.groupBy("series_id", "month").agg(F.sha2(joined("ts", "h").cast("binary"), 256).alias("m"))
-    return months.groupBy("series_id").agg(F.sha2(joined("month", "m").cast("binary"), 256).alias("sha256"))
+    rows = numbered(observations.withColumn("h", F.sha2(canonical_row(observations).cast("binary"), 256)).select("series_id", "ts", "h"), ["series_id", "ts"])
+    first = rows.groupBy("series_id").agg(F.min("number").alias("first"), F.count("*").alias("n"))
+    longest = first.agg(F.max("n")).first()[0] or 0
+    hashes = rows.join(first, "series_id").select("series_id", (F.col("number") - F.col("first")).alias("i"), "h")
+    level = 0
+    while level == 0 or longest > 1:
+        mine = F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])
+        joined = F.sha2(F.array_join(mine, "\n").cast("binary"), 256)
+        done = (F.col("run") == 0) & (F.size(mine) == 1)  # one hash is left of this series
+        runs = hashes.groupBy("series_id", F.floor(F.col("i") / F.lit(run)).alias("run"))
+        hashes = runs.agg((F.when(done, mine[0]).otherwise(joined) if level else joined).alias("h")).withColumnRenamed("run", "i")
+        level, longest = level + 1, -(-longest // run)
+    return hashes.select("series_id", F.col("h").alias("sha256"))
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -69,8 +75,9 @@ def read_market_csv(spark: SparkSession, path: str, *, timestamp_column: str = "
     """Reads one series from a CSV file with a header; the first rule that it breaks raises ValueError.
 
     Rules, in order: the file exists; column names are non-empty and distinct; the file can be read; it has the
-    columns, and rows; times can be parsed, are unique and rise in file order; closes are finite and positive; volumes
-    are finite and not negative. The file is read as one partition, whose row order is then an explicit column.
+    columns, and rows; times can be parsed (``times.parse_time``), are unique and rise in file order; closes are finite and
+    positive; volumes are finite and not negative. Order is checked within each split of the file, and over the splits by
+    their first and last times, so a long file is read by many tasks.
     """
     path = str(path)
     names = [timestamp_column, close_column, *([volume_column] if volume_column is not None else [])]
@@ -81,27 +88,34 @@ def read_market_csv(spark: SparkSession, path: str, *, timestamp_column: str = "
         if header:
             raise ValueError(f"market CSV is missing columns: {missing}")
         raise ValueError("market CSV cannot be empty")
-    raw = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE").select(*(F.col(f"`{c}`") for c in names)).coalesce(1)
-    parsed = raw.select(F.monotonically_increasing_id().alias("line"), parse_time(F.col(f"`{timestamp_column}`")).alias("ts"), *(F.col(f"`{c}`").try_cast("double").alias(n) for c, n in zip(names[1:], ("close", "volume"))))
-    before = F.lag("ts").over(Window.orderBy("line"))
-    rows = parsed.withColumn("before", before)
+    raw = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE")
+    place = [F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")]
+    parsed = raw.select(*place, parse_time(F.col(f"`{timestamp_column}`")).alias("ts"), *(F.col(f"`{c}`").try_cast("double").alias(n) for c, n in zip(names[1:], ("close", "volume"))))
+    rows = parsed.withColumn("before", F.lag("ts").over(Window.partitionBy("split").orderBy("line")))
     close = F.col("close")
     checks = {
         "n": F.count("*"),
         "invalid": F.count_if(F.col("ts").isNull()),
-        "distinct": F.countDistinct("ts"),
         "falls": F.count_if(F.col("ts") < F.col("before")),
+        "stays": F.count_if(F.col("ts") == F.col("before")),
         "close_number": F.count_if(~is_finite(close)),
         "close_sign": F.count_if(close <= 0),
     }
     if volume_column is not None:
         checks |= {"volume_number": F.count_if(~is_finite(F.col("volume"))), "volume_sign": F.count_if(F.col("volume") < 0)}
-    found = rows.agg(*(c.alias(k) for k, c in checks.items())).first()
+    # One row for each split of the file.
+    splits = rows.groupBy("split").agg(*(c.alias(k) for k, c in checks.items()), F.min_by("ts", "line").alias("first"), F.max_by("ts", "line").alias("last"))
+    edge = F.lag("last").over(Window.orderBy("split"))
+    splits = splits.withColumns({"edge_falls": (F.col("first") < edge).cast("long"), "edge_stays": (F.col("first") == edge).cast("long")})
+    found = splits.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in (*checks, "edge_falls", "edge_stays"))).first()
+    falls = found["falls"] + found["edge_falls"]
+    # Times that rise are unique; only where they don't is a repeat looked for among all.
+    repeated = found["stays"] + found["edge_stays"] or falls and not found["invalid"] and not parsed.groupBy("ts").count().filter("count > 1").isEmpty()
     rules = [
         (not found["n"], "market CSV cannot be empty"),
         (found["invalid"], "market CSV has invalid timestamps"),
-        (found["distinct"] < found["n"], "market CSV timestamps must be unique"),
-        (found["falls"], "market CSV timestamps must be increasing"),
+        (repeated, "market CSV timestamps must be unique"),
+        (falls, "market CSV timestamps must be increasing"),
         (found["close_number"], f"column {close_column} must hold finite numeric values"),
         (found["close_sign"], f"column {close_column} must be strictly positive"),
     ]
