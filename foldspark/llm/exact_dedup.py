@@ -22,6 +22,8 @@ HOT_ROWS = 256
 #: The list of hot hashes is broadcast; it has at most so many rows whatever the input, since a hot text has at least
 #: rows / HOT_TEXTS copies.
 HOT_TEXTS = 100_000
+#: Rows of merged subgroups that are broadcast.
+BROADCAST_TEXTS = HOT_TEXTS
 PREFIX = 32
 
 
@@ -67,7 +69,13 @@ def mark_duplicates(docs: DataFrame, keep: str = "largest", payload: bool = Fals
     best = F.max(F.struct("sub_id", F.negate("salt").alias("salt"))) if keep == "largest" else F.min(F.struct(F.col("sub_id").isNull().alias("none"), "sub_id", F.negate("salt").alias("salt")))
     merged = subs.filter(F.col("again").isNotNull()).groupBy("hash", "again").agg(F.first("sha").alias("m_sha"), best.alias("best"), F.sum("sub_size").alias("m_size"))
     merged = merged.select(F.col("hash").alias("m_hash"), "m_sha", F.col("best.sub_id").alias("m_id"), F.negate("best.salt").alias("m_salt"), "m_size")
-    joined = subs.join(merged, (F.col("hash") == F.col("m_hash")) & (F.col("sha") == F.col("m_sha")), "left")
+    merged = scratch.write(merged, "merged")
+    same = (F.col("hash") == F.col("m_hash")) & (F.col("sha") == F.col("m_sha"))
+    if merged.count() <= BROADCAST_TEXTS:  # small, as hot texts are few: no row of a hot text is moved
+        joined = subs.join(F.broadcast(merged), same, "left")
+    else:  # texts that differ in letters beyond A-Z share a hash, so there can be more: then by subgroup
+        groups = subs.filter(F.col("again").isNotNull()).select("hash", "sha", "salt").join(merged, same).select("m_hash", "m_sha", F.col("salt").alias("g_salt"), "m_id", "m_salt", "m_size")
+        joined = subs.join(groups, same & (F.col("salt") == F.col("g_salt")), "left")
     hot = F.col("m_hash").isNotNull()
     out = [
         F.col("id").alias("doc_id"),
@@ -80,7 +88,10 @@ def mark_duplicates(docs: DataFrame, keep: str = "largest", payload: bool = Fals
 
 
 def drop_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns, whatever their names.
+
+    Null text counts as empty text; of rows that share doc_id and text one stays; an empty table stays empty. See ``mark_duplicates``.
+    """
     return mark_duplicates(docs, keep, payload=True).filter("kept").select("row.*")
 
 

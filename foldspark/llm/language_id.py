@@ -11,6 +11,7 @@ from the letters' when needed, a block at a time, so a worker's memory doesn't d
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranges import numbered
+from ._shared import Scratch
 from ._text import slices
 
 DIMENSIONS = 2048
@@ -27,7 +30,7 @@ DIMENSIONS = 2048
 BLOCK = 1024
 #: Letters whose vectors a worker keeps (2 KB each); beyond it they are made anew.
 LETTERS = 8192
-#: Languages that prototypes are held of: in every worker, so their number is bounded.
+#: Languages that a worker holds prototypes of at a time; texts go through a pass for each so many.
 LANGUAGES = 4096
 UNKNOWN = "und"
 
@@ -164,12 +167,14 @@ def _summed(vectors: DataFrame, keys: list[str]) -> DataFrame:
     return vectors.repartition(*keys).mapInArrow(add, vectors.schema)
 
 
-def fit_prototypes(docs: DataFrame, seed: int = 0) -> dict[str, np.ndarray]:
-    """Prototype of each language of (text, lang), from all rows whose lang is not null.
+Prototypes = dict[str, np.ndarray]
 
-    A task sends one vector for each language it meets; they are added in two steps, and a language's prototype is
-    all that reaches the driver. Repeated rows count each; an empty table gives no prototypes. More than
-    ``LANGUAGES`` distinct values of lang are refused (ValueError).
+
+def prototype_table(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """(lang, v): the prototype of each language of (text, lang), from all rows whose lang is not null, as a written table.
+
+    A task sends one vector for each language it meets; they are added in two steps. Repeated rows count each; an empty table gives
+    no prototypes.
     """
     rows = docs.filter(F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
 
@@ -198,23 +203,51 @@ def fit_prototypes(docs: DataFrame, seed: int = 0) -> dict[str, np.ndarray]:
         yield from flush()
 
     parts = _summed(rows.mapInArrow(bundle, "lang string, salt int, v binary"), ["lang", "salt"])
-    found = _summed(parts, ["lang"]).limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
-        raise ValueError(f"lang has more than {LANGUAGES} distinct values")
-    return {r["lang"]: np.frombuffer(r["v"]) for r in found}
+    return Scratch(docs.sparkSession, "language").write(_summed(parts, ["lang"]).select("lang", "v"), "prototypes")
+
+
+def fit_prototypes(docs: DataFrame, seed: int = 0) -> list[Prototypes]:
+    """``prototype_table`` in blocks of ``LANGUAGES`` languages, ascending; see ``prototype_blocks``."""
+    return list(prototype_blocks(prototype_table(docs, seed)))
+
+
+def prototype_blocks(table: DataFrame) -> Iterator[Prototypes]:
+    """The prototypes in ascending order of language, ``LANGUAGES`` at a time: that is all of them that the driver holds. At least one block."""
+    n = table.count()
+    ordered = numbered(table, ["lang"]) if n > LANGUAGES else None
+    for a in range(0, max(n, 1), LANGUAGES):
+        block = ordered.filter(F.col("number").between(a, a + LANGUAGES - 1)) if ordered is not None else table
+        yield {r["lang"]: np.frombuffer(r["v"]) for r in block.select("lang", "v").collect()}
 
 
-def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray], seed: int = 0, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict_language(docs: DataFrame, prototypes: Prototypes | Iterable[Prototypes], seed: int = 0, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, if None) and lang_pred, score: the language of the largest cosine, and that cosine, 0 to 1.
 
     ``und`` with score 0 where text is null or has no letters, or nothing was learned. Equal cosines go to the
     language first in order. Repeated rows are rows each, an empty table gives no rows. A column of docs that is named
-    lang_pred or score is replaced.
+    lang_pred or score is replaced. Prototypes in several blocks are gone through one pass after another, each of which keeps the better
+    language of its own and the passes before.
     """
+    blocks = [prototypes] if isinstance(prototypes, dict) else list(prototypes)
+    kept = keep or [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    if len(blocks) == 1:
+        return _predicted(docs, blocks[0], seed, text, kept)
+    shown = docs.select(*(F.col(f"`{c}`").alias(f"kept {i}") for i, c in enumerate(kept)), F.col(f"`{text}`").cast("string").alias("whole text"))
+    names = shown.columns
+    best = shown.withColumns({"best lang": F.lit(UNKNOWN), "best score": F.lit(-1.0).cast("double")})
+    for block in blocks:
+        new = _predicted(best, block, seed, "whole text", best.columns)
+        better = (F.col("lang_pred") != UNKNOWN) & (F.col("score") > F.col("best score"))
+        best = new.select(*names, F.when(better, F.col("lang_pred")).otherwise(F.col("best lang")).alias("best lang"), F.when(better, F.col("score")).otherwise(F.col("best score")).alias("best score"))
+    return best.select(*(F.col(f"kept {i}").alias(c) for i, c in enumerate(kept)), F.col("best lang").alias("lang_pred"), F.greatest(F.lit(0.0), F.col("best score")).alias("score"))
+
+
+def _predicted(docs: DataFrame, prototypes: Prototypes, seed: int, text: str, keep: list[str]) -> DataFrame:
+    """One pass: the columns ``keep``, lang_pred and score by one block of prototypes."""
     names = sorted(prototypes)
     norms = [np.linalg.norm(prototypes[x]) or 1.0 for x in names]
     weights = np.stack([prototypes[x] / n for x, n in zip(names, norms)], 1).astype(np.float32) if names else np.zeros((DIMENSIONS, 0), np.float32)
-    kept = docs.select(*(F.col(f"`{c}`") for c in (keep or docs.columns) if c.lower() not in ("lang_pred", "score")))
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep))
     # The text goes to the workers once: as the column it is, or behind the others where it isn't among them.
     own = text in kept.columns and isinstance(kept.schema[text].dataType, T.StringType)
     at = kept.columns.index(text) if own else len(kept.columns)

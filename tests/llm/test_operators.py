@@ -173,6 +173,9 @@ def test_exact_dedup(spark, monkeypatch):
             g = groups[lower(texts[r["doc_id"]] if r["doc_id"] is not None else "null id here")]
             assert r["group_size"] == len(g) and r["keep_id"] == (best(g) if g != [None] else None) and r["kept"] == (r["doc_id"] == r["keep_id"])
     assert exact_dedup.drop_duplicates(docs(spark, texts)).columns == docs(spark, []).columns
+    marked = sorted(map(tuple, exact_dedup.mark_duplicates(docs(spark, texts)).collect()), key=repr)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_TEXTS", 0)  # hot texts by subgroup, without a broadcast
+    assert sorted(map(tuple, exact_dedup.mark_duplicates(docs(spark, texts)).collect()), key=repr) == marked
     twice = docs(spark, ["x"]).union(docs(spark, ["x"]))
     assert sorted(r["kept"] for r in exact_dedup.mark_duplicates(twice).collect()) == [False, False, True, True]
     assert exact_dedup.mark_duplicates(empty(spark)).count() == 0
@@ -304,7 +307,7 @@ def test_hypervectors_match_counts():
     assert abs(vector("ü") @ vector("š")) < 300
 
 
-def test_language_brute_force(spark):
+def test_language_brute_force(spark, monkeypatch):
     """Predictions are those of cosines worked out letter by letter."""
     texts = ["the cat sat on the mat", "der Hund läuft im Wald", "le chat est là", "der Wald", "the mat", "le là", "", None, "123", "žluťoučký kůň"] * 3
     rows = [(i, t, ["en", "de", "fr"][i % 10] if i % 10 < 3 else None) for i, t in enumerate(texts)]
@@ -330,6 +333,15 @@ def test_language_brute_force(spark):
         assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(max(0, cosine.get(best, 0)), abs=1e-5)
     twice = language_id.language_id(df.union(df))
     assert twice.count() == 2 * len(rows)
+    # Languages in blocks, one pass for each, are what all at once are.
+    for languages in (1, 2):
+        monkeypatch.setattr(language_id, "LANGUAGES", languages)
+        blocks = language_id.fit_prototypes(df)
+        assert [list(b) for b in blocks] == [["de"], ["en"], ["fr"]] if languages == 1 else [["de", "en"], ["fr"]]
+        again = {r["doc_id"]: r for r in language_id.language_id(df).collect()}
+        assert again.keys() == got.keys()
+        for i, r in again.items():
+            assert r["lang_pred"] == got[i]["lang_pred"] and r["held_out"] == got[i]["held_out"] and r["score"] == pytest.approx(got[i]["score"], abs=1e-6)
 
 
 def test_language_memory_is_bounded():
@@ -367,6 +379,52 @@ def test_class_lm(spark):
     assert class_lm.class_scores(df.filter("false").select("doc_id", "held_out", "text")).count() == 0
 
 
+def test_class_scores_from_the_lexicon(spark, monkeypatch):
+    """Scores worked out word by word from the classes that the exchange gave: transitions, emissions, unseen words."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["the", "a", "dog", "cat", "runs", "sits", "Red", "blue", f"once{i}"], rng.integers(0, 25))) for i in range(40)] + [None, "", "never seen words", "the the the"]
+    rows = [(i, i % 4 == 1 or i >= 41, t) for i, t in enumerate(texts)]
+    seen, sweeps = [], class_lm._sweeps
+
+    def kept(*args):
+        out = sweeps(*args)
+        seen.extend(map(tuple, out.collect()))
+        return out
+
+    monkeypatch.setattr(class_lm, "_sweeps", kept)
+    classes, alpha = 5, 0.1
+    got = {r["doc_id"]: r for r in class_lm.class_scores(spark.createDataFrame(rows, "doc_id long, held_out boolean, text string"), classes, 8, alpha).collect()}
+    tokens = {i: [*WORD.findall(lower(t)), None] for i, _, t in rows}
+    distinct = sorted({w for ts in tokens.values() for w in ts if w})
+    column = pa.array(distinct)
+    [(_, _, data, offsets)] = list(slices(column))
+    name = dict(zip(distinct, hash_words(data, offsets)[0].astype(np.int64).tolist())) | {None: class_lm.END_WORD}
+    train = Counter(name[w] for i, held, _ in rows if not held for w in tokens[i])
+    assert {w: n for w, n, _ in seen} == dict(train)
+    of, end, unseen = {w: k for w, _, k in seen}, classes, classes + 1
+    assert of[class_lm.END_WORD] == end and all(0 <= k < classes for w, k in of.items() if w != class_lm.END_WORD)
+    moves = np.full((classes + 2, classes + 2), alpha)
+    for i, held, _ in rows:
+        before = (end, False)
+        for w in tokens[i] if not held else ():
+            own = (of[name[w]], train[name[w]] == 1)
+            for a in {before[0], unseen if before[1] else before[0]}:
+                for b in {own[0], unseen if own[1] else own[0]}:
+                    moves[a, b] += 1
+            before = own
+    moves /= moves.sum(1, keepdims=True)
+    for i, held, _ in rows:
+        want, before = 0.0, end
+        for w in tokens[i]:
+            k, n = of.get(name[w], unseen), train[name[w]]
+            want += math.log10(moves[before, k])
+            if k != unseen:
+                mine = [v for v, c in of.items() if c == k]
+                want += math.log10((n + alpha) / (sum(train[v] for v in mine) + alpha * len(mine)))
+            before = k
+        assert got[i]["score"] == pytest.approx(want) and got[i]["n_tokens"] == len(tokens[i])
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(6)
     b = np.zeros((13, 13), int)
@@ -553,6 +611,22 @@ def test_pipeline(spark):
     assert mixed.columns == base.columns and {r["doc_id"] for r in mixed.collect()} <= ids
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    """Columns that are called as the stages call their own."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ["lang_pred", "own lang_pred", "score", "gone id", "gone hash", "id", "hash", "row", "c0", "text_hash", "kept", "mix_row", "copies", "size", "target", "nth", "p", "bucket", "norm", "salt", "a.b"]
+    base = docs(spark, ["Same words of a text here", "same words of a text here", "one two three four five six", None, "1 2"], extra=False)
+    wide = base.withColumns({n: F.lit(n) for n in names})
+    for stage in (pipeline.language, pipeline.exact, pipeline.near, pipeline.mix):
+        plain, named = stage(spark, base, ""), stage(spark, wide, "")
+        assert named.columns == wide.columns
+        assert sorted(map(tuple, named.select(*base.columns).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+        assert all(r[n] == n for r in named.collect() for n in names)
+    assert pipeline.pack(spark, wide, "").count() > 0
+    for make in (lambda d: near_dedup.near_duplicates(d), lambda d: exact_dedup.mark_duplicates(d), lambda d: language_id.language_id(d), lambda d: mixing.balanced_mix(d), lambda d: token_counts.token_counts(d, tokenizer_path("byte_bpe_50k.tiktoken"))):
+        assert make(wide).count() == 6
+
+
 @pytest.fixture(scope="module")
 def duck():
     duckdb = pytest.importorskip("duckdb")
