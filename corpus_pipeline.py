@@ -28,9 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows stay or go together, columns of any name are kept, an empty table stays empty.
     """
     prototypes = fit_prototypes(docs.filter(~split_of(F.col("doc_id"), FOLDS)))
-    kept = predict_language(docs.withColumnsRenamed({"lang_pred": "own lang_pred", "score": "own score"}), prototypes)
-    kept = kept.filter((F.col("lang_pred") != UNKNOWN) | F.lit(not prototypes) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({"own lang_pred": "lang_pred", "own score": "score"})
+    plain = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so no column is called as the prediction is
+    text = F.col(plain["text"])
+    kept = predict_language(docs.toDF(*plain.values()), prototypes, text=plain["text"])
+    kept = kept.filter((F.col("lang_pred") != UNKNOWN) | F.lit(not any(prototypes)) & F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+    return kept.select(*(F.col(c).alias(name) for name, c in plain.items()))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +49,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null doc_id or without words stay; rows that share a doc_id go or stay by their own texts. An empty table stays empty.
     """
-    gone = near_duplicates(docs, words=5, percent=80, bands=32, rows=4).filter(~F.col("kept")).select(F.col("doc_id").alias("gone id"), F.col("text_hash").alias("gone hash")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("gone id")) & (F.xxhash64("text") == F.col("gone hash")), "left_anti")
+    gone = near_duplicates(docs, words=5, percent=80, bands=32, rows=4).filter(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,4 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "corpus-pipeline")
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop_all_but(name)  # a stage's input is not read again once its output is written
     return docs
