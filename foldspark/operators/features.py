@@ -81,16 +81,18 @@ def target(by=SERIES) -> dict[str, Column]:
     return {TARGET: F.lead("return", 1).over(series_window(by))}
 
 
-def supervised_matrix(observations: DataFrame, range_rows: int | None = None) -> DataFrame:
+def supervised_matrix(observations: DataFrame, range_rows: int | None = None, volume: bool = True) -> DataFrame:
     """series_id, ts, row_idx, features and label; rows with a null or a value that is not finite are left out.
 
+    Features of the volume are made where there is one, unless ``volume`` is false.
+
     Lags and windows run over all observations; rows are dropped and numbered (from 0, for each series) afterwards.
 
     With ``range_rows`` no task holds more than a range of so many observations and the ``BACK`` before it: observations are numbered
     in order, and rows by the counts of the ranges before. The rows are the same; the table is written twice for it. Without,
     a series is one task's.
     """
-    volume = "volume" in observations.columns
+    volume = volume and "volume" in observations.columns
     by = SERIES
     if range_rows:
         names = [*KEYS, "close", *(["volume"] if volume else [])]

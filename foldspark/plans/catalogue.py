@@ -22,9 +22,11 @@ from ..operators.promotion import PromotionPolicy, win_rate
 from ..operators.quality import quality_report, require_observations
 from ..operators.strategy import simple_metrics, strategy_metrics, strategy_path
 from ..scratch import Scratch
-from ..sources.market import MarketData, fingerprint
+from ..sources.market import MarketData, fingerprint, read_table
 from ..sources.synthetic import regime_returns
 from ..sources.tables import events_hourly, lineitem_daily, orders_daily, segment_daily
+from .experiment import simple_experiment
+from .records import prediction_records, read_records, write_records
 from .oracle import ALL, FEATURES, TARGET, VOLUME, r, ridge_sql, short, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -394,6 +396,45 @@ def supervised_matrix_ranges(spark, sf_dir):
     return fe.supervised_matrix(segment_daily(spark, sf_dir), 256)
 
 
+@query(sql("SELECT series_id, model, fold, count(*) AS tested, count(*) FILTER (WHERE actual > 0) AS rises, min(row_idx) AS first_row FROM pred GROUP BY 1, 2, 3", series="segments"))
+def prediction_counts(spark, sf_dir):
+    """How many rows each fold of each model tests."""
+    rows = tested(spark, sf_dir, segment_daily)
+    return rows.groupBy("series_id", "model", "fold").agg(F.count("*").alias("tested"), F.count_if(F.col("actual") > 0).alias("rises"), F.min("row_idx").alias("first_row"))
+
+
+@query(sql(f"SELECT series_id, {TS}, row_idx, round(actual, 6) AS actual, " + ", ".join(f"round(max(CASE WHEN model = '{m}' THEN prediction END), 6) AS {m}" for m in BASELINES) + " FROM pred GROUP BY series_id, ts, row_idx, actual").replace(f"{TS}, row_idx", "CAST(ts AS VARCHAR) AS timestamp, row_idx"))
+def prediction_record_rows(spark, sf_dir):
+    """The records of the baselines, written as sorted JSON lines and read back by their listing."""
+    records = prediction_records(tested(spark, sf_dir), list(BASELINES))
+    folder = Scratch(spark, "records").path("sink")
+    write_records(records, folder)
+    return read_records(spark, folder, records.schema)
+
+
+@query("SELECT 'customers' AS series_id, CAST(o_orderdate AS DATE)::VARCHAR AS ts, round(max(CAST(o_totalprice AS DOUBLE)), 6) AS close, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS volume FROM orders GROUP BY 2")
+def table_series(spark, sf_dir):
+    """A series from a table that Spark reads: a day's largest order, and its customers."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.max(F.col("o_totalprice").cast("double")).alias("top"), F.countDistinct("o_custkey").alias("customers"))
+    path = Scratch(spark, "table").path("days")
+    orders.write.parquet(path)
+    return read_table(spark, path, "day", "top", "customers").withColumn("series_id", F.lit("customers"))
+
+
+@query(sql("SELECT count(*) AS rows, count(*) FILTER (WHERE mean_60 IS NULL OR NOT isfinite(mean_60) OR target_next_return IS NULL) AS bad, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("return_lag_1", "mean_60", "momentum_20", "volume_z_20")) + " FROM mat", series="segments"))
+def matrix_checked(spark, sf_dir):
+    """A checked matrix that names no future and is finite throughout."""
+    m = written(fe.checked_matrix(segment_daily(spark, sf_dir)))
+    fe.assert_no_leakage(m)
+    return m.agg(F.count("*").alias("rows"), F.count_if(F.col("mean_60").isNull() | F.isnan("mean_60") | F.col(fe.TARGET).isNull()).alias("bad"), *(F.avg(c).alias(c) for c in ("return_lag_1", "mean_60", "momentum_20", "volume_z_20")))
+
+
+@query()
+def simple_backtest(spark, sf_dir):
+    """The older flow: price features, boosting of 150 rounds, metrics without costs."""
+    return simple_experiment(lineitem_daily(spark, sf_dir))
+
+
 SHOCK_ROWS = 400
 
 
