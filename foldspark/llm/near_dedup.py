@@ -128,6 +128,18 @@ def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return texts.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, fingerprint binary, bands array<long>")
 
 
+def _told(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table, which has one row for each key and, as n, how many rows have it; total: of all rows.
+
+    What a hot key is told is broadcast, so its rows stay where they are: no task gets all rows of a common template's bucket or of a
+    hub. Keys of so many rows are at most ``HOT_CLASSES``, whatever the input; the others are joined by key.
+    """
+    hot = F.col("n") >= max(HOT_ROWS, -(-total // HOT_CLASSES))
+    told = rows.join(F.broadcast(table.filter(hot).withColumn("_hot", F.lit(True))), key, "left")
+    near = told.filter(F.col("_hot")).drop("n", "_hot")
+    return near.unionByName(told.filter(F.col("_hot").isNull()).select(*rows.columns).join(table.filter(~hot).drop("n"), key))
+
+
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted, rows with a node, with the text of one of its documents; small requests are broadcast to the scan."""
     asked = wanted.join(classes.select("node", F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash")), "node")
@@ -142,10 +154,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, p
     Pairs whose set sizes rule that out are dropped before any text is read.
     """
     sizes = classes.select(F.col("node").alias("s_node"), "n_shingles")
-    sized = pairs.join(sizes.withColumnsRenamed({"s_node": "hub", "n_shingles": "h_size"}), "hub").join(sizes.withColumnsRenamed({"s_node": "member", "n_shingles": "m_size"}), "member")
+    total = pairs.count()
+    hubs = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(sizes.withColumnsRenamed({"s_node": "hub", "n_shingles": "h_size"}), "hub")
+    sized = _told(pairs, hubs, "hub", total).join(sizes.withColumnsRenamed({"s_node": "member", "n_shingles": "m_size"}), "member")
     pairs = sized.filter(100 * F.least("h_size", "m_size") >= percent * F.greatest("h_size", "m_size")).select("hub", "member")
-    stars = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("stars"))
-    dealt = pairs.join(stars, "hub").withColumn("star", F.pmod(F.xxhash64("member"), F.col("stars"))).select("hub", "star", "member")
+    stars = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("stars"), F.count("*").alias("n"))
+    dealt = _told(pairs, stars, "hub", total).withColumn("star", F.pmod(F.xxhash64("member"), F.col("stars"))).select("hub", "star", "member")
     hubs = dealt.select("hub", "star", F.col("hub").alias("node")).distinct()
     found = _texts(docs, classes, dealt.select("hub", "star", F.col("member").alias("node")).unionByName(hubs))
     ordered = found.repartition(partitions(docs.sparkSession), "hub", "star").sortWithinPartitions("hub", "star", (F.col("node") != F.col("hub")).cast("int"), "node")
@@ -229,16 +243,18 @@ def _sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) ->
 
 def _clusters(labelled: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
     """Links (a, b) between components within clusters of torn buckets; labelled: (key, node, label)."""
-    torn = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("hub")).filter("x <> y").select("key", "hub")
-    rest = scratch.write(labelled.join(torn, "key").select("node", "label", "hub").distinct(), "torn")
+    labelled = scratch.write(labelled, "labelled")
+    torn = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("hub"), F.count("*").alias("n")).filter("x <> y").select("key", "hub", "n")
+    rest = scratch.write(_told(labelled, torn, "key", labelled.count()).select("node", "label", "hub").distinct(), "torn")
+    scratch.drop("labelled")
     cluster = components(rest.select(F.col("node").alias("a"), F.col("hub").alias("b")), scratch, "clusters").withColumnRenamed("node", "c_node")
     people = rest.select("node", "label").distinct().join(cluster, F.col("node") == F.col("c_node"), "left").select("node", "label", F.coalesce("component", "node").alias("cluster"))
     # Similar sets are of the same band of sizes, or of bands next to one another.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / (max(math.log(100 / percent), 1e-6) * (1 + 1e-9)))
     people = scratch.write(people.join(classes.select("node", band.alias("band")), "node"), "cluster-members")
     by_label = people.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    main = by_label.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("main")).select("cluster", F.col("main.label").alias("main"))
-    people = people.join(main, "cluster").withColumn("apart", F.col("label") != F.col("main"))
+    main = by_label.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n")).select("cluster", F.col("main.label").alias("main"), "n")
+    people = _told(people, main, "cluster", people.count()).withColumn("apart", F.col("label") != F.col("main"))
     sizes = people.groupBy("cluster", "band").agg(F.ceil(F.count_if("apart") / BLOCK).cast("int").alias("others"), F.ceil(F.count_if(~F.col("apart")) / BLOCK).cast("int").alias("mains"))
     dealt = people.join(sizes, ["cluster", "band"])
     for name, by in (("up", 1), ("down", -1)):
@@ -296,14 +312,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     mark, step, last = None, 0, None
     edges = scratch.write(edges, f"{name}edges")
+    total = 2 * edges.count()
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = _told(both, low, "a", total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = scratch.write(large, f"{name}large{step}")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _told(large, low, "a", total).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         edges = scratch.write(small, f"{name}{step}")
+        scratch.drop(f"{name}large{step}")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        total = 2 * now[0]
         if last:
             scratch.drop(last)
         last, step = f"{name}{step}", step + 1
@@ -328,8 +348,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85, bands: i
     sets = signed.filter("doc_id is not null and fingerprint is not null").groupBy("fingerprint").agg(F.min(F.struct("doc_id", "text_hash", "n_shingles", "bands")).alias("r"), F.count("*").alias("n"))
     classes = scratch.write(sets.select("fingerprint", F.xxhash64("fingerprint").alias("node"), "r.*", "n"), "classes")
     members = classes.select("node", F.explode("bands").alias("key"))
-    stars = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = scratch.write(members.join(stars, "key").select("key", "node", "hub"), "buckets")
+    stars = members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.write(_told(members, stars, "key", bands * classes.count()).select("key", "node", "hub"), "buckets")
     pairs = scratch.write(shared.filter("node <> hub").select("hub", F.col("node").alias("member")).distinct(), "pairs0")
     links = scratch.write(confirm(pairs, docs, classes, words, percent), "links")
     joined = components(links, scratch, "starred")
