@@ -1,10 +1,13 @@
 """Token counts by trie-shared dynamic programming over a unigram vocabulary.
 
 A text is cut into pre-tokens: one begins at the start and at every space or line feed. Each distinct pre-token is
-inserted in a trie (a very long one is scored alone), and the forward score of a node (the best sum of piece scores over all ways to spell the path to
+inserted in a trie, and the forward score of a node (the best sum of piece scores over all ways to spell the path to
 it) is computed once, from the nodes above it, however many pre-tokens share it. The node where a pre-token ends
 stores its token count; a document's count is the sum over its pre-tokens.
 
+A long pre-token, such as a line of a script without spaces, is cut first where no piece of the vocabulary that occurs in it reaches
+across: every way to spell it passes there, so its tokens are those of the parts, and parts share the trie as words do.
+
 The vocabulary is a public file of byte pieces in rank order; a piece's score is its log probability under Zipf's law,
 -log(rank + 1) up to a constant for each token, so ``score = -log(rank + 1) - log(sum of 1 / (rank + 1))``. Every byte is
 a piece, so every text can be spelled.
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._bpe import pieces
 
-#: Bytes of a pre-token that is kept in the trie.
+#: Bytes of a pre-token that is not cut, and of a part that is kept in the trie.
 LONG = 256
 _tries: dict[str, "Trie"] = {}
 
@@ -47,8 +50,8 @@ class Trie:
     """Token counts of pre-tokens. Nodes are [forward score, tokens on that way, children].
 
     Of equal scores the way with fewer tokens counts. ``limit`` bounds the nodes (about 300 bytes each) and the stored
-    counts; beyond it they are begun anew. A pre-token longer than ``LONG`` bytes shares too little to be kept: its scores
-    are worked out in a window of the longest piece, without nodes.
+    counts; beyond it they are begun anew. A pre-token longer than ``LONG`` bytes is cut into parts (``parts``); a part that is still longer,
+    pieces overlapping all along it, shares too little to be kept: its scores are worked out in a window of the longest piece.
     """
 
     def __init__(self, scores: dict[bytes, float], limit: int = 400_000):
@@ -56,7 +59,10 @@ class Trie:
         self.longest = max(map(len, scores))
         #: Every ending of a piece: where none matches, no longer piece can.
         self.endings = {p[k:] for p in scores for k in range(len(p))}
+        #: Every beginning of a piece.
+        self.beginnings = {p[:k] for p in scores for k in range(1, len(p) + 1)}
         self.terminal: dict[str, int] = {}
+        self.of_part: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -91,9 +97,36 @@ class Trie:
     def insert(self, token: str) -> int:
         """Tokens of a pre-token, which is stored."""
         word = token.encode()
+        self.terminal[token] = self._walk(word) if len(word) <= LONG else sum(map(self._part, self.parts(word)))
+        return self.terminal[token]
+
+    def parts(self, word: bytes) -> list[bytes]:
+        """The word, cut at each place that no piece occurring in it crosses."""
+        scores, beginnings = self.scores, self.beginnings
+        out, begin, reach = [], 0, 0
+        for start in range(len(word)):
+            if start == reach and start:
+                out.append(word[begin:start])
+                begin = start
+            end = start + 1
+            while end <= len(word) and word[start:end] in beginnings:
+                if end > reach and word[start:end] in scores:
+                    reach = end
+                end += 1
+        return [*out, word[begin:]]
+
+    def _part(self, word: bytes) -> int:
         if len(word) > LONG:
-            self.terminal[token] = self._long(word)
-            return self.terminal[token]
+            return self._long(word)
+        n = self.of_part.get(word)
+        if n is None:
+            if len(self.of_part) > self.limit:
+                self.of_part.clear()
+            n = self.of_part[word] = self._walk(word)
+        return n
+
+    def _walk(self, word: bytes) -> int:
+        """Tokens of a word by the path of its bytes in the trie, which is made where it is new."""
         if self.nodes > self.limit:
             self.clear()
         path, node = [self.root], self.root
@@ -107,7 +140,6 @@ class Trie:
             path[-1][2][word[end - 1]] = child
             path.append(child)
             self.nodes += 1
-        self.terminal[token] = path[-1][1]
         return path[-1][1]
 
     def counts(self, texts: list[str | None]) -> tuple[list[int], list[int]]:

@@ -515,6 +515,23 @@ def test_long_pretokens_need_no_nodes():
     assert trie.counts(many) == token_counts.Trie(trie.scores).counts(many) and trie.nodes <= 1000 + 256
 
 
+def test_long_pretokens_are_cut():
+    """Text without spaces goes through the trie in parts, with the counts of the whole."""
+    trie = token_counts.Trie(token_counts.load_pieces(tokenizer_path("byte_bpe_50k.tiktoken")))
+    rng = np.random.default_rng(15)
+    signs = [*"日本語の文章は空白で分けられていませんภาษาไทย。、", "한국", "the", "ing", "é", "1"]
+    for n in (100, 400, 3000):
+        line = "".join(rng.choice(signs, n))
+        word = line.encode()
+        parts = trie.parts(word)
+        assert b"".join(parts) == word and len(parts) > n / 10
+        ends = set(np.cumsum([len(p) for p in parts]).tolist()) - {len(word)}
+        crossed = {e for a in range(len(word)) for b in range(a + 2, min(len(word), a + trie.longest) + 1) if word[a:b] in trie.scores for e in range(a + 1, b)}
+        assert ends == set(range(1, len(word))) - crossed
+        assert trie.counts([line])[1] == [trie._long(word)]
+    assert 0 < len(trie.of_part) < 3000
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "be"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 300, "ann", "bye"), (1, 300, "ann", "bye"), (None, 0, "cy", "x"), (2, None, None, "y"), (2, 1, "dan", "z"), (3, 0, "system", "alone")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
