@@ -16,15 +16,17 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
+from ._joins import told
 from ._shared import Scratch
 
 BUCKET = 1024
 LANDING = 12
-#: Up to so many sources (some 50 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_SOURCES = 100_000
+#: The key of a null source; others are "=" and the source.
+NO_SOURCE = ""
 WORDS = r"[^\x20\x09-\x0D]+"
 _NEAR = 1e-9
 
@@ -34,19 +36,27 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def target_words(sizes: dict, weights: dict, share: float, most: float) -> dict:
-    """share * all words dealt by weight; a source stops at most * its size and the rest is dealt again."""
-    rest, open_, out = share * sum(sizes.values()), dict(weights), {}
-    while open_:
-        unit = rest / sum(open_.values())
-        over = [s for s, w in open_.items() if unit * w > most * sizes[s]]
-        if not over:
-            return out | {s: unit * w for s, w in open_.items()}
-        for s in over:
-            out[s] = float(most * sizes[s])
-            rest -= out[s]
-            del open_[s]
-    return out
+def source_plan(totals: DataFrame, weights, share: float, most: float, scratch: Scratch) -> DataFrame:
+    """(skey, n, source_size, target, whole, p) of (skey, n, words) of each source: its target, and each document's whole copies and probability.
+
+    Sources in code-point order, null last, take the weights in turn. share * all words are dealt by weight; a source stops at most *
+    its size and the rest is dealt again, until none is above. A round brings two sums to the driver, never a source.
+    """
+    ordered = numbered(totals.withColumn("last", F.col("skey") == NO_SOURCE), ["last", "skey"])
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("number") % len(weights) + 1).cast("int"))
+    plan = scratch.write(ordered.select("skey", "n", F.col("words").alias("source_size"), weight.alias("weight"), (F.lit(float(most)) * F.col("words")).alias("top")), "sources")
+    everything, unit, capped = plan.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], 0.0, -1
+    while True:
+        over = F.lit(unit) * F.col("weight") > F.col("top")
+        now, full, open_ = plan.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("top"))), F.lit(0.0)), F.sum(F.when(~over, F.col("weight")))).first()
+        if now == capped or not open_:
+            break
+        unit, capped = (share * everything - full) / open_, now
+    target = F.least(F.lit(unit) * F.col("weight"), F.col("top"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(rate + _NEAR)
+    p = F.when(rate - whole > _NEAR, rate - whole).otherwise(0.0)
+    return plan.withColumn("target", target).select("skey", "n", "source_size", "target", whole.cast("int").alias("whole"), p.alias("p"))
 
 
 def _step(p: list, u: tuple, draw: float) -> None:
@@ -88,28 +98,22 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator, land: bool
     return p
 
 
-def _by_source(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A table of one row for each source, broadcast where it is small: so no source's documents meet in one task."""
-    table = spark.createDataFrame(rows, schema)
-    return F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table
-
-
-def _level(units: DataFrame, level: int, buckets: dict, seed: int) -> DataFrame:
+def _level(units: DataFrame, level: int, seed: int) -> DataFrame:
     """One flight over units dealt to buckets; a source with one bucket lands."""
-    spark = units.sparkSession
-    dealt = units.join(_by_source(spark, list(buckets.items()), "b_source string, b_count int"), F.col("source").eqNullSafe(F.col("b_source")))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("row_key", "doc_id", "size", "nth", F.lit(level)), F.col("b_count")).cast("int")).withColumn("lands", F.col("b_count") == 1).drop("b_source", "b_count")
+    counts = units.groupBy("skey").agg(F.count("*").alias("n")).withColumn("b_count", F.ceil(F.col("n") / BUCKET).cast("int"))
+    dealt = told(units, counts, "skey", units.count())
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("row_key", "doc_id", "size", "nth", F.lit(level)), F.col("b_count")).cast("int")).withColumn("lands", F.col("b_count") == 1).drop("b_count").select(*units.columns, "bucket", "lands")
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         # Large documents first: those left open are small.
         pdf = pdf.sort_values(["size", "row_key", "nth"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        name = pdf["source"].iloc[0]
-        code = zlib.crc32(name.encode()) if isinstance(name, str) else 1 << 32
+        name = pdf["skey"].iloc[0]
+        code = zlib.crc32(name[1:].encode()) if name != NO_SOURCE else 1 << 32
         rng = np.random.default_rng([seed, level, code, int(pdf["bucket"].iloc[0])])
         pdf["p"] = flight(pdf["size"].to_numpy(), pdf["p"].to_numpy(), rng, bool(pdf["lands"].iloc[0]))
         return pdf.drop(columns=["bucket", "lands"])
 
-    return dealt.groupBy("source", "bucket").applyInPandas(fly, units.schema)
+    return dealt.groupBy("skey", "bucket").applyInPandas(fly, units.schema)
 
 
 def balanced_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
@@ -118,40 +122,29 @@ def balanced_mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: f
     Size is the number of words (null text: 0). Sources in code-point order, null last, take the weights in turn;
     together they share ``share`` times all words, each at most ``most`` times its own. taken = copies * size, and a
     source's taken words differ from its target by what the landing can't even out, less than one small document. row_key is a hash of the row's
-    columns; identical rows are decided each for itself, and documents without words too. Reruns agree. One row for each
-    source is brought to the driver. An empty table gives no rows; extra columns are ignored.
+    columns; identical rows are decided each for itself, and documents without words too. Reruns agree. Sources are rows of tables
+    throughout, however many there are. An empty table gives no rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    units = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    units = docs.select(row_key(docs).alias("row_key"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(NO_SOURCE)).alias("skey"), word_count(F.col("text").cast("string")).alias("size"))
     # doc_id travels as text: pandas has no integer that may be null. Identical rows are counted, then numbered.
     units = units.groupBy(*units.columns).agg(F.count("*").alias("n"))
-    units = scratch.write(units.select("row_key", "doc_id", "source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth")), "sizes")
-    totals = {r["source"]: (r["n"], r["words"]) for r in units.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()}
-    names = sorted((s for s in totals if s is not None), key=lambda s: s.encode()) + [None] * (None in totals)
-    sizes = {s: totals[s][1] for s in names}
-    targets = target_words(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, share, most)
-    plan = []
-    for s in names:
-        rate = targets[s] / sizes[s] if sizes[s] else 0.0
-        whole = int(rate + _NEAR)
-        plan.append((s, sizes[s], targets[s], whole, max(0.0, rate - whole) if rate - whole > _NEAR else 0.0))
-    wanted = _by_source(spark, plan, "w_source string, source_size long, target double, whole int, p double")
-    state = units.join(wanted, F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source")
-    counts = {s: totals[s][0] for s, _, _, _, p in plan if p > 0}
-    done = [state.filter("p = 0")]
-    state, level = state.filter("p > 0"), 0
-    while counts:
-        state = scratch.write(_level(state, level, {s: -(-n // BUCKET) for s, n in counts.items()}, seed), f"level{level}")
+    units = scratch.write(units.select("row_key", "doc_id", "skey", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth")), "sizes")
+    totals = units.groupBy("skey").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    state = told(units, source_plan(totals, weights, share, most, scratch), "skey", units.count())
+    state = scratch.write(state, "planned")
+    done, level = [state.filter("p = 0")], 0
+    state = state.filter("p > 0")
+    while not state.isEmpty():
+        state = scratch.write(_level(state, level, seed), f"level{level}")
         done.append(state.filter("p = 0 or p = 1"))
-        state = state.filter("p > 0 and p < 1")
-        counts = {r["source"]: r["n"] for r in state.groupBy("source").agg(F.count("*").alias("n")).collect()}
-        level += 1
+        state, level = state.filter("p > 0 and p < 1"), level + 1
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), "row_key")
+    source = F.when(F.col("skey") != NO_SOURCE, F.substring("skey", 2, 2**31 - 1))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), source.alias("source"), copies.alias("copies"), "row_key")
 
 
 def row_key(docs: DataFrame) -> Column:

@@ -282,6 +282,25 @@ def test_mixing(spark):
     assert ((p > 0) & (p < 1)).sum() <= 2 and p.sum() == pytest.approx(60)
 
 
+def test_targets_of_many_sources(spark):
+    """Targets by rounds of sums are those of dealing the excess again, over hundreds of sources of very different sizes."""
+    rng = np.random.default_rng(16)
+    sizes = {f"s{i:03}": int(n) for i, n in enumerate(np.exp(rng.normal(3, 2, 300)))} | {"é": 50, "Z": 40, "": 30, None: 20}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())]
+    got = {r["source"]: (r["source_size"], r["target"]) for r in mixing.balanced_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight, rest, want = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, 1.5 * sum(sizes.values()), {}
+    while weight:
+        unit = rest / sum(weight.values())
+        over = [s for s in weight if unit * weight[s] > 2 * sizes[s]]
+        want |= {s: 2.0 * sizes[s] for s in over} if over else {s: unit * w for s, w in weight.items()}
+        rest -= sum(2.0 * sizes[s] for s in over)
+        weight = {s: w for s, w in weight.items() if s not in over} if over else {}
+    assert {s: n for s, (n, _) in got.items()} == sizes
+    assert {s: t for s, (_, t) in got.items()} == pytest.approx(want)
+    assert 0 < sum(want[s] == 2 * sizes[s] for s in sizes) < len(sizes)
+
+
 def test_language(spark):
     rows = QUERIES["op2_language_id"](spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
