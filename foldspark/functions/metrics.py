@@ -111,14 +111,18 @@ def evaluate_interval(df: DataFrame, actual: str = "actual", lower: str = "lower
 
 
 def mase(df: DataFrame, training: DataFrame, order: str, seasonality: int = 1, actual="actual", predicted="prediction", target="target") -> float:
-    """MAE of df over the mean absolute seasonal change of training, in the order of a column."""
-    from pyspark.sql import Window
+    """MAE of df over the mean absolute seasonal change of training, in the order of a column whose values are unique.
+
+    Training rows are numbered and compared in ranges, so no task holds all of them.
+    """
+    from ..operators.baselines import changes
+    from ..operators.ranges import numbered
 
     if seasonality < 1:
         raise ValueError("seasonality must be at least 1")
     _checked(training, target)
-    change = F.abs(F.col(target) - F.lag(target, seasonality).over(Window.orderBy(order)))
-    n, scale = training.select(F.col(target), change.alias("c")).agg(F.count("*"), F.avg("c")).first()
+    rows = numbered(training.select(F.col(order).alias("order"), F.col(target).cast("double").alias("actual")), ["order"], "row_idx")
+    n, scale = changes(rows.withColumn("series_id", F.lit("training")), seasonality).agg(F.count("*"), F.avg("change")).first()
     if n <= seasonality:
         raise ValueError("training history must exceed seasonality")
     if scale <= EPSILON:

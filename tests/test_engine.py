@@ -49,6 +49,11 @@ def test_metrics(spark):
     assert pairs(spark, [1], [0]).agg(*BusinessCost().aggregates()).first()["action_rate"] == 0
     train = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 3, 2])], "i long, target double")
     assert mase(df, train, "i") == pytest.approx((2 / 3) / 1.5)
+    seasonal = spark.createDataFrame([(-i, float(i % 4 + i)) for i in range(30)], "i long, target double")
+    assert mase(df, seasonal, "i", 4) == pytest.approx((2 / 3) / 4)
+    for rows, season, message in ((train, 3, "exceed"), (train, 0, "at least 1"), (train.withColumn("target", F.lit(1.0)), 1, "constant")):
+        with pytest.raises(ValueError, match=message):
+            mase(df, rows, "i", season)
     for bad in (pairs(spark, [], []), pairs(spark, [float("nan")], [0])):
         with pytest.raises(ValueError, match="finite and non-empty"):
             evaluate_pair(bad, mae())
