@@ -7,7 +7,7 @@ from conftest import SMALL
 
 from foldspark.plans.catalogue import ORACLE_SQL, QUERIES
 
-FEW = ["series_lineitem_daily", "series_quality_report", "series_fingerprint", "supervised_matrix", "folds_rolling", "fold_train_stats", "pred_seasonal_naive", "fold_metrics_report", "conformal_intervals", "strategy_metrics_report", "block_bootstrap", "ar_regime_recursion"]
+FEW = ["supervised_matrix_ranges", "matrix_checked", "prediction_record_rows", "table_series", "series_lineitem_daily", "series_quality_report", "series_fingerprint", "supervised_matrix", "folds_rolling", "fold_train_stats", "pred_seasonal_naive", "fold_metrics_report", "conformal_intervals", "strategy_metrics_report", "block_bootstrap", "ar_regime_recursion"]
 
 
 @pytest.fixture(scope="module")
