@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ranges import numbered
-from ._shared import Scratch
+from ._shared import Scratch, released
 from ._text import slices
 
 DIMENSIONS = 2048
@@ -187,7 +187,7 @@ def prototype_table(docs: DataFrame, seed: int = 0) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([name]), "salt": pa.array([salt], pa.int32()), "v": pa.array([v.tobytes()], pa.binary())})
             sums.clear()
 
-        for batch in batches:
+        for batch in released(batches):
             langs = batch.column(1).dictionary_encode()
             names, of = langs.dictionary.to_pylist(), langs.indices.to_numpy()
             for a, b, letters, codes, row, _ in trigram_codes(batch.column(0)):
@@ -257,7 +257,7 @@ def _predicted(docs: DataFrame, prototypes: Prototypes, seed: int, text: str, ke
 
     def predict(batches):
         answers = pa.array([*names, UNKNOWN])
-        for batch in batches:
+        for batch in released(batches):
             for a, b, letters, codes, row, has in trigram_codes(batch.column(at)):
                 best, score = np.full(b - a, len(names)), np.zeros(b - a)
                 first = np.searchsorted(row, np.arange(b - a + 1))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import encoder
+from ._shared import released
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -127,7 +128,7 @@ def _emit(batches, tokenizer_path: str, end_id: int, limits: Limits, row, schema
         columns = zip(*(row(p, base + p[4]) for p in placed))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    for batch in batches:
+    for batch in released(batches):
         names, loss = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for a, b, ids, sizes in tokens.slices(batch.column(1)):
             placed, start = [], 0
