@@ -36,6 +36,7 @@ NONE = 255  # class of a word that has none yet
 _REACH = 2  # sweeps in which classes spread from word to word
 FEWEST = 64  # a share of the words: where moving one in so many raises nothing, the exchange has ended
 _SMALL = 32  # counts whose changes are tabulated
+_BLOCK, _WORDS = 1024, 1024  # contexts and words taken together, so that what is made of them stays in a processor's cache
 
 
 def _squeeze(ids: np.ndarray) -> bytes:
@@ -48,7 +49,12 @@ def _squeeze(ids: np.ndarray) -> bytes:
 def _expand(data: bytes) -> np.ndarray:
     import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    out = planes[0].astype(np.uint32)
+    for i in (1, 2, 3):
+        if planes[i].any():
+            out |= planes[i].astype(np.uint32) << np.uint32(8 * i)
+    return out
 
 
 CHUNK_SCHEMA = "chunk long, payload binary, words array<long>, counts array<long>"
@@ -88,8 +94,9 @@ def code_chunks(docs: DataFrame) -> DataFrame:
     def chunk(held_ids, held_flags, hashes, lengths, number):
         words = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
         lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        distinct, of = np.unique(words, return_inverse=True)
-        order = np.argsort(-np.bincount(of, minlength=len(distinct)), kind="stable")
+        coded = pa.array(words, pa.int64()).dictionary_encode()
+        distinct, of = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        order = np.lexsort((distinct, -np.bincount(of, minlength=len(distinct))))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         coded, training = rank[of], np.repeat(~np.array(held_flags, bool), lengths)
@@ -228,10 +235,27 @@ def _seed_numbers(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return of
 
 
-def _steps(table: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """f(cell + n) - f(cell) by n (up to ``_SMALL``), context and class: for classes in front, and for classes behind."""
+def _steps(table: np.ndarray, classes: int) -> tuple:
+    """(counts, f of them, f(count + n) - f(count) by n up to ``_SMALL``) by context and class: for classes in front, and for classes behind."""
     n = np.arange(_SMALL + 1.0)[:, None, None]
-    return tuple(_f(held + n) - _f(held) for held in (table[:, :classes].astype(float), table[:classes].T.astype(float)))
+    return tuple((held, _f(held), _f(held + n) - _f(held)) for held in (table[:, :classes].astype(float), table[:classes].T.astype(float)))
+
+
+def _looked_up(step: np.ndarray, row: np.ndarray, context: np.ndarray, counts: np.ndarray, which: np.ndarray, words: int) -> np.ndarray:
+    """Sum of step[count, context] by row (ascending), over the entries asked for: first entries of all rows, then second ones."""
+    out, row = np.zeros((words, step.shape[2])), row[which]
+    if len(row):
+        each = np.bincount(row, minlength=words)
+        by_size = np.argsort(-each, kind="stable")
+        rank = np.empty(words, np.int64)
+        rank[by_size] = np.arange(words)
+        at = np.zeros((each.max(), words), np.int64)
+        at[np.arange(len(row)) - (np.cumsum(each) - each)[row], rank[row]] = counts[which].astype(np.int64) * step.shape[1] + context[which]
+        flat, left = step.reshape(-1, step.shape[2]), np.searchsorted(-each[by_size], -np.arange(len(at)), "left")
+        for x, n in zip(at, left.tolist()):
+            out[:n] += flat.take(x[:n], 0)
+        out = out[rank]
+    return out
 
 
 def _changes(keys: np.ndarray, counts: np.ndarray, of: np.ndarray, table: np.ndarray, classes: int, steps: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -244,44 +268,105 @@ def _changes(keys: np.ndarray, counts: np.ndarray, of: np.ndarray, table: np.nda
     """
     size = classes + 1
     place, context = np.divmod(keys, 2 * size + 1)
-    words, row = np.unique(place, return_inverse=True)
+    new = np.append(True, place[1:] != place[:-1])
+    words, row = place[new], np.cumsum(new) - 1
     dense = np.bincount(row * (2 * size + 1) + context, weights=counts, minlength=len(words) * (2 * size + 1)).reshape(len(words), -1)
     left, right, twin = dense[:, :size], dense[:, size : 2 * size], dense[:, 2 * size]
     own, table = of[words].astype(np.int64), table.astype(float)
     placed = own != NONE
     seated, seat = np.flatnonzero(placed), own[placed]
     change = np.zeros((len(words), classes))
-    steps = steps or _steps(table, classes)
-    for side, other, held, step in ((0, right, table[:, :classes], steps[0]), (size, left, table[:classes].T, steps[1])):
+    for side, other, (held, whole, step) in zip((0, size), (right, left), steps or _steps(table, classes)):
         at = np.flatnonzero((context >= side) & (context < side + size))
-        for x in (at[i : i + 20_000] for i in range(0, len(at), 20_000)):
-            r, c, n = row[x], context[x] - side, counts[x].astype(float)
-            gain = step[np.minimum(n, _SMALL).astype(np.int64), c]
-            here = np.flatnonzero(placed[r])
-            rest = np.maximum(held[c[here], own[r[here]]] - n[here], 0)  # its own class without it
-            gain[here, own[r[here]]] = _f(rest + n[here]) - _f(rest)
-            odd = np.flatnonzero((n > _SMALL) | (c == own[r]))
-            cell = held[c[odd]]
-            away = np.flatnonzero(placed[r[odd]])
-            cell[away, own[r[odd[away]]]] -= n[odd[away]]
-            same = np.flatnonzero(c[odd] == own[r[odd]])  # the neighbours are in its own class, which it leaves
-            cell[same] -= other[r[odd[same]], :classes]
-            cell[same, own[r[odd[same]]]] -= twin[r[odd[same]]]
-            cell = np.maximum(cell, 0)
-            gain[odd] = _f(cell + n[odd, None]) - _f(cell)
-            starts = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-            change[r[starts]] += np.add.reduceat(gain, starts)
-    cell = np.tile(np.diag(table)[:classes], (len(words), 1))
-    cell[seated, seat] -= left[seated, seat] + right[seated, seat] + twin[seated]
+        r, c, n = row[at], context[at] - side, counts[at].astype(float)
+        home = c == own[r]  # the neighbours are in its own class, which it leaves
+        gain = _looked_up(step, r, c, n, ~home & (n <= _SMALL), len(words))
+        many = np.flatnonzero(~home & (n > _SMALL))
+        for x in (many[i : i + _BLOCK] for i in range(0, len(many), _BLOCK)):
+            starts = np.flatnonzero(np.append(True, r[x][1:] != r[x][:-1]))
+            gain[r[x][starts]] += np.add.reduceat(_f(held[c[x]] + n[x, None]) - whole[c[x]], starts)
+        here = np.flatnonzero(placed[r] & ~home)
+        rest = np.maximum(held[c[here], own[r[here]]] - n[here], 0)  # its own class without it
+        gain[seated, seat] = np.bincount(r[here], _f(rest + n[here]) - _f(rest), len(words))[seated]
+        x, n = r[home], n[home]
+        cell, mine = held[own[x]] - other[x, :classes], (np.arange(len(x)), own[x])
+        cell[mine] -= n + twin[x]
+        cell = np.maximum(cell, 0)
+        gain[x] += _f(cell + n[:, None]) - _f(cell)
+        change += gain
     before, behind = left[:, :classes], right[:, :classes]
-    change += _f(cell + before + behind + twin[:, None]) + _f(cell) - _f(cell + before) - _f(cell + behind)
-    for sums, own_sum in ((table.sum(1), right.sum(1) + twin), (table.sum(0), left.sum(1) + twin)):
-        rest = np.tile(sums[:classes], (len(words), 1))
-        rest[seated, seat] = np.maximum(rest[seated, seat] - own_sum[seated], 0)
-        change -= _f(rest + own_sum[:, None]) - _f(rest)
+    r, k = np.nonzero(((before > 0) & (behind > 0)) | (twin > 0)[:, None])  # else the cell of a class and itself adds nothing
+    cell, a, b, t = table[k, k], before[r, k], behind[r, k], twin[r]
+    cell -= np.where(own[r] == k, a + b + t, 0)
+    change[r, k] += _f(cell + a + b + t) + _f(cell) - _f(cell + a) - _f(cell + b)
+    for sums, own_sum in ((table.sum(1)[:classes], right.sum(1) + twin), (table.sum(0)[:classes], left.sum(1) + twin)):
+        some, at = np.unique(own_sum, return_inverse=True)
+        rise = (_f(sums + some[:, None]) - _f(sums))[at]
+        rest = np.maximum(sums[seat] - own_sum[seated], 0)
+        rise[seated, seat] = _f(rest + own_sum[seated]) - _f(rest)
+        change -= rise
     return words, change
 
 
+def _alone(table: np.ndarray, classes: int, steps: tuple) -> tuple[np.ndarray, ...]:
+    """What ``_changes`` says of any word with at most one token before it and one behind, none of them of its own class.
+
+    Its changes depend only on those two classes (the number size: none): by the pair, the best class, its change, the second
+    best class, its change. Its own class, from which it is taken out, alone differs: by neighbour and class what it adds
+    before it and behind it, then by class what its sums take.
+    """
+    size, (front, back) = classes + 1, steps
+    rows, cols = table.sum(1)[:classes].astype(float), table.sum(0)[:classes].astype(float)
+    rise = lambda x: _f(x + 1) - _f(x)
+    change = np.zeros((size + 1, size + 1, classes))
+    change[:size] += front[2][1][:, None]
+    change[:, :size] += back[2][1]
+    k = np.arange(classes)
+    cell = np.diag(table)[:classes].astype(float)
+    change[k, k, k] += _f(cell + 1 + 1) + _f(cell) - _f(cell + 1) - _f(cell + 1)
+    change[:, :size] -= rise(rows)
+    change[:size] -= rise(cols)
+    change = change.reshape(-1, classes)
+    best, at = change.argmax(1), np.arange(len(change))
+    value = change[at, best]
+    change[at, best] = -np.inf
+    second = change.argmax(1)
+    none = np.zeros((1, classes))
+    stay = [np.concatenate([rise(np.maximum(held - 1, 0)), none]) for held in (front[0], back[0])]
+    return best, value, second, change[at, second], *stay, rise(np.maximum(rows - 1, 0)), rise(np.maximum(cols - 1, 0))
+
+
+def _moved(keys: np.ndarray, counts: np.ndarray, of: np.ndarray, table: np.ndarray, classes: int, steps: tuple, alone: tuple, least: float) -> np.ndarray:
+    """Class of each word, moved to that of the largest change (see ``_changes``) if it is more than least above its own class's."""
+    size, new = classes + 1, of.copy()
+    width = 2 * size + 1
+    place, context = np.divmod(keys, width)
+    start = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(keys) else np.zeros(0, np.int64)
+    entries = np.diff(np.append(start, len(keys)))
+    last = start + entries - 1
+    first, other = context[start], context[last]
+    before = np.where(first < size, first, size)
+    behind = np.where((other >= size) & (other < 2 * size), other - size, size)
+    own = of[place[start]].astype(np.int64)
+    plain = (counts[start] == 1) & (counts[last] == 1) & (entries == (before < size).astype(int) + (behind < size)) & (before != own) & (behind != own)
+    word, a, b, own = place[start[plain]], before[plain], behind[plain], own[plain]
+    best, value, second, value2, stay_front, stay_back, stay_rows, stay_cols = alone
+    pair, o = a * (size + 1) + b, np.where(own == NONE, 0, own)
+    ahead = (best[pair] != own) | (classes < 2)
+    to, gain = np.where(ahead, best[pair], second[pair]), np.where(ahead, value[pair], value2[pair])
+    stays = stay_front[a, o] + stay_back[b, o] - np.where(b < size, stay_rows[o], 0) - np.where(a < size, stay_cols[o], 0)
+    new[word] = np.where((own != NONE) & ~(gain > stays + least), own, to)
+    rest = np.repeat(~plain, entries)
+    keys, counts, place = keys[rest], counts[rest], place[rest]
+    cuts = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1]))[::_WORDS], len(keys)) if len(keys) else np.zeros(1, np.int64)
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        who, change = _changes(keys[x:y], counts[x:y], of, table, classes, steps)
+        best, own, rows = change.argmax(1), of[who], np.arange(len(who))
+        stays = (own != NONE) & (change[rows, best] <= change[rows, np.where(own == NONE, 0, own)] + least)
+        new[who] = np.where(stays, own, best)
+    return new
+
+
 def _information(table: np.ndarray) -> float:
     """Mutual information of adjacent classes, in nats a token."""
     table = table.astype(float)
@@ -320,10 +405,10 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
         return np.where(number >= 0, of_seed[number], NONE).astype(np.uint8)
 
     def dealt(words):
-        """Places of a chunk's words in order of (part, hash), and the bounds of the parts."""
-        part = words % parts
-        order = np.lexsort((words, part))
-        return order, np.searchsorted(part[order], np.arange(parts + 1))
+        """Places of a chunk's words in order of the hash, and the bounds of the parts, which are ranges of it (see ``part``)."""
+        order = np.argsort(words.view(np.uint64))
+        share = (words[order].view(np.uint64) >> np.uint64(33)).astype(np.int64) * parts >> 31
+        return order, np.searchsorted(share, np.arange(parts + 1))
 
     def lexicon(batches):
         held: dict[int, list] = {}
@@ -333,7 +418,7 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
                 held.setdefault(p, []).append((word[part == p], n[part == p]))
         for p, rows in held.items():
             word, n = (np.concatenate(x) for x in zip(*rows))
-            order = np.argsort(word)
+            order = np.argsort(word.view(np.uint64))
             yield answer(p, -1, word[order].tobytes(), n[order].tobytes(), first(word[order]), 0, 0)
 
     def answer(part, chunk, words, counts, of, moved, left):
@@ -357,8 +442,7 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
         order = np.argsort(keys)
         return keys[order], n[order]
 
-    def requests(chunk, payload, words, of, sweep, turns):
-        order, bounds = dealt(words)
+    def requests(chunk, payload, words, order, bounds, of, sweep, turns):
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         before, own, tokens = _pairs(of, payload, classes)
@@ -367,15 +451,16 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
         none = pa.nulls(rows.num_rows, pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, -1), pa.int32()), rows.column(0).cast(pa.int64()), rows.column(1), none, none], names=["part", "chunk", "words", "keys", "counts"])
         asked = ((of == NONE) | _turn(words, sweep, turns)) & (words != END_WORD)
-        end = words[tokens] == END_WORD
-        twin = np.zeros(len(tokens), bool)  # the token is the one before it again, in one document
-        twin[1:] = (tokens[1:] == tokens[:-1]) & ~end[1:]
-        behind, twin_behind = np.full_like(own, NONE), np.zeros_like(twin)
-        behind[:-1], twin_behind[:-1] = own[1:], twin[1:]
-        word = asked[tokens]
-        base = tokens * width
-        a, b = word & (before != NONE) & ~twin, word & (behind != NONE) & ~twin_behind
-        keys, n = tallied(np.concatenate([base[a] + before[a], base[b] + size + behind[b], base[word & twin] + 2 * size]), rank)
+        end = np.flatnonzero(words == END_WORD)
+        twin = np.zeros(len(tokens) + 1, bool)  # the token is the one before it again, in one document
+        twin[1:-1] = tokens[1:] == tokens[:-1]
+        for e in end.tolist():
+            twin[:-1] &= tokens != e
+        at = np.flatnonzero(asked[tokens])
+        base, front, back = tokens[at] * width, before[at], np.append(own, np.uint8(NONE))[at + 1]
+        again, again_behind = twin[at], twin[at + 1]
+        a, b = (front != NONE) & ~again, (back != NONE) & ~again_behind
+        keys, n = tallied(np.concatenate([base[a] + front[a], base[b] + (size + back[b].astype(np.int64)), base[again] + 2 * size]), rank)
         cuts = np.searchsorted(keys, bounds * width)
         full = np.flatnonzero(np.diff(bounds)).tolist()
         told = [words[order[bounds[p] : bounds[p + 1]]].tobytes() for p in full]
@@ -393,31 +478,28 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
                         got.append(batch.column(2)[i].as_py())
                         continue
                     words = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+                    order, bounds = dealt(words)
                     if sweep:
                         of = np.empty(len(words), np.uint8)
-                        of[dealt(words)[0]] = np.frombuffer(b"".join(got), np.uint8)
+                        of[order] = np.frombuffer(b"".join(got), np.uint8)
                     else:
                         of = first(words)
                     got = []
-                    yield from requests(int(chunk[i]), batch.column(3)[i].as_buffer(), words, of, sweep, turns)
+                    yield from requests(int(chunk[i]), batch.column(3)[i].as_buffer(), words, order, bounds, of, sweep, turns)
 
         return run
 
     def choose(table, sweep):
         least, steps = 1e-12 * float(_f(np.array(max(table.sum(), 1.0)))), _steps(table, classes)
+        alone = _alone(table, classes, steps)
 
         def part_done(part, words, counts, of, asked):
             keys, n = (np.concatenate([x[i] for x in asked]) if asked else np.zeros(0, np.int64) for i in (2, 3))
-            keys, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at, weights=n, minlength=len(keys))
-            new = of.copy()
-            cuts = np.searchsorted(keys, np.arange(0, len(words) + 4096, 4096) * width)
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a < b:
-                    who, change = _changes(keys[a:b], n[a:b], of, table, classes, steps)
-                    best, own, rows = change.argmax(1), of[who], np.arange(len(who))
-                    stays = (own != NONE) & (change[rows, best] <= change[rows, np.where(own == NONE, 0, own)] + least)
-                    new[who] = np.where(stays, own, best)
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            keys, n = keys[starts], np.add.reduceat(n, starts) if len(starts) else n
+            new = _moved(keys, n, of, table, classes, steps, alone, least)
             if sweep + 1 >= _REACH:
                 new = np.where((new == NONE) & (words != END_WORD), (words >> 13) % classes, new).astype(np.uint8)
             yield answer(part, -1, words.tobytes(), counts, new, int((new != of).sum()), int((new == NONE).sum()))
@@ -438,7 +520,7 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
                         now = (part, words if known else words[:0], batch.column(4)[i].as_py() if known else b"", np.frombuffer(batch.column(5)[i].as_py(), np.uint8) if known else np.zeros(0, np.uint8), [])
                         if known:
                             continue
-                    at = np.minimum(np.searchsorted(now[1], words), max(len(now[1]) - 1, 0))
+                    at = np.minimum(np.searchsorted(now[1].view(np.uint64), words.view(np.uint64)), max(len(now[1]) - 1, 0))
                     found = np.where(now[1][at] == words, at, -1) if len(now[1]) else np.full(len(words), -1)  # -1: only in held-out text
                     keys, n = np.cumsum(_expand(batch.column(3)[i].as_py()).astype(np.int64)), _expand(batch.column(4)[i].as_py()).astype(np.int64)
                     place, context = np.divmod(keys, width)
@@ -448,7 +530,8 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
 
         return run
 
-    rows = vocabulary.select(F.pmod("word", F.lit(parts)).cast("int").alias("part"), "word", "n").repartition(parts, "part").mapInArrow(lexicon, ANSWER_SCHEMA)
+    part = F.shiftright(F.shiftrightunsigned("word", 33) * F.lit(parts).cast("long"), 31).cast("int")
+    rows = vocabulary.select(part.alias("part"), "word", "n").repartition(parts, "part").mapInArrow(lexicon, ANSWER_SCHEMA)
     answers, sequences = scratch.write(rows, "classes-0"), chunks.select("chunk", "payload", "words").mapInArrow(as_bytes, "chunk long, part int, data binary, payload binary")
     moves, known, turns, left = [], [], 2, distinct  # words moved, and the information where all words had classes
     for sweep in count_up():
@@ -456,7 +539,7 @@ def _sweeps(scratch: Scratch, chunks: DataFrame, vocabulary: DataFrame, distinct
         if sweep:
             sent = answers.filter("chunk >= 0").select("chunk", "part", F.col("classes").alias("data"), F.lit(None).cast("binary").alias("payload"))
             told = sent.unionByName(sequences).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
-        asked = scratch.write(told.mapInArrow(count(sweep, turns), REQUEST_SCHEMA), f"neighbours-{sweep}")
+        asked = scratch.write(told.mapInArrow(count(sweep, turns), REQUEST_SCHEMA), f"neighbours-{sweep}", "uncompressed")
         table = _summed(asked.filter("part < 0").select(F.col("chunk").cast("int").alias("i"), F.col("words").alias("v")), size)
         if not left:
             known.append(_information(table))

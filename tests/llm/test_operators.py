@@ -677,3 +677,33 @@ def test_oracle(spark, duck, name):
     """The queries with SQL give DuckDB's rows."""
     rows = lambda df: sorted(map(repr, ([None if x is None or x != x else x for x in r] for r in df[sorted(df.columns)].astype(object).values.tolist())))
     assert rows(QUERIES[name](spark, SMALL).toPandas()) == rows(duck.sql(ORACLE_SQL[name]).df())
+
+
+@pytest.mark.parametrize("placed", [True, False])
+def test_words_with_few_contexts_move_alike(placed, monkeypatch):
+    """The class a word moves to, by the changes of each; their logarithms are few where words have few contexts."""
+    rng, classes = np.random.default_rng(3), 8
+    size, words = classes + 1, 3000
+    table = rng.integers(0, 60, (size, size)) ** 2
+    table[3], table[:, 5] = table[3] // 900, table[:, 5] // 900
+    of = np.where(rng.random(words) < (1 if placed else 0.4), rng.integers(0, classes, words), class_lm.NONE).astype(np.uint8)
+    found = Counter()
+    for w in range(words):
+        for _ in range(1 if w < 2400 else int(rng.integers(2, 90))):
+            for side in rng.choice([0, size], int(rng.integers(1, 3)), replace=False):
+                found[w * (2 * size + 1) + int(side) + int(rng.integers(0, size))] += 1
+            if w % 50 == 0:
+                found[w * (2 * size + 1) + 2 * size] += 1
+    keys = np.array(sorted(found))
+    counts = np.array([found[k] for k in keys.tolist()])
+    steps = class_lm._steps(table, classes)
+    who, change = class_lm._changes(keys, counts, of, table, classes, steps)
+    own, at = of[who].astype(int), np.arange(len(who))
+    stays = (own != class_lm.NONE) & (change.max(1) <= change[at, np.where(own == class_lm.NONE, 0, own)] + 1e-9)
+    wanted = of.copy()
+    wanted[who] = np.where(stays, own, change.argmax(1))
+    alone, f, logs = class_lm._alone(table, classes, steps), class_lm._f, []
+    monkeypatch.setattr(class_lm, "_f", lambda x: logs.append(np.size(x)) or f(x))
+    assert class_lm._moved(keys, counts, of, table, classes, steps, alone, 1e-9).tolist() == wanted.tolist()
+    assert 0.1 < (wanted != of).mean() and sum(logs) < 30 * words
+    assert class_lm._moved(keys[:0], counts[:0], of, table, classes, steps, alone, 1e-9).tolist() == of.tolist()
