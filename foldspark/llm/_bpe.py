@@ -10,6 +10,7 @@ encoded whole, and a file of an unknown kind always is.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from itertools import chain
@@ -77,7 +78,8 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.limit = Tokenizer.from_file(path), _kind(path), limit
-        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.tokenize, letters = self.tokenizer.model.tokenize, _byte_letters() | {10: "\n"}  # line feeds part words
+        self.letters = "".join(letters.get(b, chr(b)) for b in range(256))
         self.lead = " " if self.kind == "byte" else ""
         self._clear()
 
@@ -99,13 +101,15 @@ class PartEncoder:
             self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
         return self.tails[tail]
 
-    def _stem(self, word: str, lead: str) -> list[int]:
-        """Ids of a word of plain letters, straight from the vocabulary: no rule splits it."""
+    def _stems(self, words: list[str], lead: str) -> list[list[int]]:
+        """Ids of words of plain letters, straight from the vocabulary: no rule splits them. They are rewritten together."""
+        text = "\n".join(words)
         if self.kind == "word":
-            word = word.lower()
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.tokenize("Ġ" + word if lead else word)]
+            text = text.lower()
+        if not text.isascii():
+            text = codecs.charmap_decode(text.encode(), "strict", self.letters)[0]
+        front = "Ġ" if lead else ""
+        return [[t.id for t in self.tokenize(front + w)] for w in text.split("\n")] if words else []
 
     def _add(self, found: list[list[int]]) -> int:
         """Appends parts' ids to the pool; the number of the first."""
@@ -120,49 +124,46 @@ class PartEncoder:
         self.parts, self.ids = first + len(found), self.ids + total
         return first
 
-    def _learn(self, parts: list[str], store: dict[str, int], lead: str) -> None:
-        """Puts unknown parts into the store, each as encoded behind lead."""
-        found: list[list[int]] = []
-        names: list[str] = []
-        hard: list[str] = []
-        here: dict[tuple[str, str], list[int]] = {}
-        for p in parts:
-            own, front, word = lead, [], p
-            if not p:
-                store[p] = -1 if self.lead else 0
-                continue
-            if p[0] == "\n":  # only in byte-level files
-                own, word = "", p[1:]
-                front = self._tail("\n")
-            m = _WORD.fullmatch(word)
+    def _learn(self, parts: list[str], store: dict[str, int], lead: str) -> np.ndarray:
+        """Puts unknown parts, all different, into the store, each as encoded behind lead; their numbers."""
+        numbers = np.zeros(len(parts), np.int64)
+        hard: list[int] = []
+        plain, lines = [], []  # (place, letters, punctuation) of parts without and with a line feed in front, which only byte-level files have
+        for i, (p, m) in enumerate(zip(parts, map(_WORD.fullmatch, parts))):
             if m:
-                stem, tail = m.groups()
-                ids = here.get((own, stem))
-                if ids is None:
-                    ids = here[own, stem] = self._stem(stem, own)
-                found.append([*front, *ids, *self._tail(tail)] if tail or front else ids)
-                names.append(p)
+                plain.append((i, *m.groups()))
+            elif not p:
+                store[p] = numbers[i] = -1 if self.lead else 0
+            elif p[0] == "\n" and (m := _WORD.fullmatch(p, 1)):
+                lines.append((i, *m.groups()))
             elif self.lead and (p[-1].isspace() or p[1:2].isspace() or (p[0] != "\n" and p[0].isspace())):
-                store[p] = -1
+                store[p] = numbers[i] = -1
             else:
-                hard.append(p)
+                hard.append(i)
+        at, found = [i for i, _, _ in plain] + [i for i, _, _ in lines] + hard, []
+        for rows, own, front in ((plain, lead, []), (lines, "", self._tail("\n") if lines else [])):
+            here = dict.fromkeys(stem for _, stem, _ in rows)
+            here = dict(zip(here, self._stems(list(here), own)))
+            found += [[*front, *here[stem], *self._tail(tail)] if tail or front else here[stem] for _, stem, tail in rows]
         if hard:
-            keys = [p if p[0] == "\n" else lead + p for p in hard]
+            keys = [p if p[0] == "\n" else lead + p for p in map(parts.__getitem__, hard)]
             found += [e.ids for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
-            names += hard
         if found:
             first = self._add(found)
-            store.update(zip(names, range(first, first + len(names))))
+            numbers[at] = np.arange(first, first + len(at))
+            store.update(zip(map(parts.__getitem__, at), range(first, first + len(at))))
+        return numbers
 
     def _numbers(self, parts: list[str], store: dict[str, int], lead: str) -> np.ndarray:
         """Numbers of distinct parts."""
         out = list(map(store.get, parts))
         fresh = [i for i, k in enumerate(out) if k is None]
-        if fresh:
-            self._learn([parts[i] for i in fresh], store, lead)
-            for i in fresh:
-                out[i] = store[parts[i]]
-        return np.array(out, np.int64)
+        if not fresh:
+            return np.fromiter(out, np.int64, len(out))
+        numbers = self._learn([parts[i] for i in fresh], store, lead)
+        whole = np.fromiter((k or 0 for k in out), np.int64, len(out))
+        whole[fresh] = numbers
+        return whole
 
     def slices(self, column: pa.Array):
         """(first row, end row, ids, number of ids of each row) of slices of a text column of about ``SLICE`` bytes."""
@@ -195,11 +196,11 @@ class PartEncoder:
             wanted[place[rest]] = True
             wanted = np.flatnonzero(wanted)
             table = np.zeros(len(parts.dictionary), np.int64)
-            table[wanted] = self._numbers(parts.dictionary.take(pa.array(wanted)).to_pylist(), self.known, self.lead)
+            table[wanted] = self._numbers(parts.dictionary.take(pa.array(wanted)).to_numpy(zero_copy_only=False).tolist(), self.known, self.lead)
             number = table[place]
             if self.lead:  # the first part of a text has no space in front
                 opening, at = np.unique(place[bounds[:-1]], return_inverse=True)
-                number[bounds[:-1]] = self._numbers(parts.dictionary.take(pa.array(opening)).to_pylist(), self.opening, "")[at]
+                number[bounds[:-1]] = self._numbers(parts.dictionary.take(pa.array(opening)).to_numpy(zero_copy_only=False).tolist(), self.opening, "")[at]
         empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
         number[bounds[:-1][empty]] = 0
         odd = np.unique(np.searchsorted(bounds, np.flatnonzero(number < 0), "right") - 1)

@@ -47,6 +47,8 @@ class Packer:
     waiting: list = field(default_factory=list)
     open: list = field(default_factory=list)
     used: list = field(default_factory=lambda: [0, 0, 0])
+    # Tokens and loss-bearing tokens of the waiting pieces, place by place, kept up as these come and go.
+    demands: np.ndarray = field(default_factory=lambda: np.zeros((2, 512), np.int64))
 
     def add(self, name, ids: np.ndarray, loss: int) -> list:
         """Takes a document up; places pieces as soon as more than ``view`` are waiting."""
@@ -58,6 +60,9 @@ class Packer:
             self.sequence, start = self.sequence + 1, start + full
         if start < total:
             self.waiting.append((name, start, ids[start:], total, free))
+            if len(self.waiting) > self.demands.shape[1]:
+                self.demands = np.concatenate([self.demands, np.zeros_like(self.demands)], 1)
+            self._note(len(self.waiting) - 1)
         while len(self.waiting) > self.limits.view:
             out += self._place()
         return out
@@ -68,24 +73,23 @@ class Packer:
             out += self._place()
         return out + self._close()
 
-    def _demand(self) -> np.ndarray:
-        n = np.array([len(p[2]) for p in self.waiting], np.int64)
-        start, free = np.array([p[1] for p in self.waiting], np.int64), np.array([p[4] for p in self.waiting], np.int64)
-        return np.stack([n, np.ones_like(n), n - np.clip(free - start, 0, n)], 1)
+    def _note(self, at: int) -> None:
+        _, start, ids, _, free = self.waiting[at]
+        self.demands[:, at] = len(ids), len(ids) - min(max(free - start, 0), len(ids))
 
     def _place(self) -> list:
-        cap = np.array([self.limits.tokens, self.limits.segments, self.limits.loss_tokens], np.int64)
-        left = cap - self.used
-        if (left <= 0).any():
+        cap = self.limits.tokens, self.limits.segments, self.limits.loss_tokens
+        left = [c - u for c, u in zip(cap, self.used)]
+        if min(left) <= 0:
             return self._close()
-        demand = self._demand()
-        fits = (demand <= left).all(1)
-        if fits.any():
-            gain = np.where(fits, (demand / cap) @ (left / cap), -1)
-            at = int(gain.argmax())
-            self._take(at, len(self.waiting[at][2]), demand[at])
+        tokens, bearing = self.demands[:, : len(self.waiting)]
+        fits = (tokens <= left[0]) & (bearing <= left[2])
+        if fits.any():  # one segment each, so that dimension ranks no piece before another
+            gain = tokens * (left[0] / cap[0] ** 2) + bearing * (left[2] / cap[2] ** 2)
+            at = int(np.where(fits, gain, -1).argmax())
+            self._take(at, int(tokens[at]), (tokens[at], 1, bearing[at]))
         else:  # cut the largest piece; what is left of it waits
-            at = int(demand[:, 0].argmax())
+            at = int(tokens.argmax())
             name, start, ids, total, free = self.waiting[at]
             n = int(min(left[0], max(0, free - start) + left[2]))
             self._take(at, n, (n, 1, n - min(n, max(0, free - start))))
@@ -93,13 +97,15 @@ class Packer:
 
     def _take(self, at: int, n: int, demand) -> None:
         name, start, ids, total, free = self.waiting[at]
+        self.used = [u + int(d) for u, d in zip(self.used, demand)]
         self.open.append((name, start, ids[:n], total))
         if n < len(ids):
             self.waiting[at] = (name, start + n, ids[n:], total, free)
+            self._note(at)
         else:
+            self.demands[:, at] = self.demands[:, len(self.waiting) - 1]
             self.waiting[at] = self.waiting[-1]
             self.waiting.pop()
-        self.used = [u + int(d) for u, d in zip(self.used, demand)]
 
     def _close(self) -> list:
         out, total = [], sum(len(p[2]) for p in self.open)

@@ -1,6 +1,8 @@
 """Operators against brute force, exact round trips and awkward inputs, on tiny tables."""
 
+import cProfile
 import math
+import pstats
 import re
 import zlib
 from collections import Counter
@@ -707,3 +709,29 @@ def test_words_with_few_contexts_move_alike(placed, monkeypatch):
     assert class_lm._moved(keys, counts, of, table, classes, steps, alone, 1e-9).tolist() == wanted.tolist()
     assert 0.1 < (wanted != of).mean() and sum(logs) < 30 * words
     assert class_lm._moved(keys[:0], counts[:0], of, table, classes, steps, alone, 1e-9).tolist() == of.tolist()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_calls_are_few_for_each_new_word_and_piece(name):
+    """Distinct words are looked up and rewritten together, waiting pieces keep their demands: no Python for each of them again and again."""
+    def calls(f):
+        profile = cProfile.Profile()
+        out = profile.runcall(f)
+        return out, pstats.Stats(profile).total_calls
+
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdeßüÄÉstORT"), int(rng.integers(3, 9)))) + (".", ",", "", "")[i % 4] for i in range(4000)]
+    texts = [" ".join(words[:2000]), "\n".join(words[2000:]), "", " a\n\n b", *words[:50], None, "x\ny 1,2 ok\n"]
+    tokens = PartEncoder(tokenizer_path(name))
+    (ids, sizes), n = calls(lambda: tokens.encode(pa.array(texts)))
+    wanted = [tokens.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [x for w in wanted for x in w] and sizes.tolist() == [len(w) for w in wanted]
+    assert n < 8 * len(words)
+    packer = packing.Packer(packing.Limits(segments=64))
+    lengths = rng.integers(1, 900, 1500)
+    placed, n = calls(lambda: [p for i, k in enumerate(lengths.tolist()) for p in packer.add(i, np.arange(k), k)] + packer.finish())
+    assert n < 100 * len(lengths)
+    found = Counter()
+    for p in placed:
+        found[p[0]] += len(p[2])
+    assert [found[i] for i in range(len(lengths))] == lengths.tolist()
