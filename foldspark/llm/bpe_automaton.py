@@ -245,11 +245,12 @@ class AutomatonEncoder(PartEncoder):
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._ids([text])[0], np.uint32)
 
-    def _learn(self, parts: list[str], store: dict[str, int], lead: str) -> None:
+    def _learn(self, parts: list[str], store: dict[str, int], lead: str) -> np.ndarray:
         first = self._add(self._ids(parts))
         store.update(zip(parts, range(first, first + len(parts))))
         if "" in store:
             store[""] = 0
+        return np.fromiter(map(store.get, parts), np.int64, len(parts))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """The text of each list of ids, null for null; ids that are no token are left out."""
